@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandwise.functions.keys import SEQUENCE, content_key, shuffle_key
 from strandwise.functions.reads import read_weight
@@ -69,6 +69,23 @@ def balance_targets(groups: DataFrame, own: DataFrame) -> DataFrame:
     )
 
 
+def edges_of(hist: DataFrame, target: Callable[[Column], Column]) -> DataFrame:
+    """Edge weight and number of groups taken there, for a target that depends on the type's weight only.
+
+    ``hist`` holds (sample_id, group_type, weight, groups); its windows run over distinct weights.
+    """
+    group = Window.partitionBy("sample_id", "group_type")
+    mass = F.col("weight") * F.col("groups")
+    upto = F.sum(mass).over(group.orderBy("weight").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = hist.select("*", upto.alias("_upto"), mass.alias("_mass"), target(F.sum(mass).over(group)).alias("target"))
+    beyond = F.col("_upto") > F.col("target")
+    left = F.when(beyond, F.struct("weight", F.floor((F.col("target") - F.col("_upto") + F.col("_mass")) / F.col("weight")).alias("taken")))
+    return rows.groupBy("sample_id", "group_type").agg(F.min(left).alias("e"), F.max("target").alias("target")).select(
+        "sample_id", "group_type", "target",
+        F.coalesce("e.weight", F.lit(1 << 62)).alias("edge"), F.coalesce("e.taken", F.lit(0)).cast("long").alias("taken"),
+    )
+
+
 def off_target_prefix(groups: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
     """Lightest-first groups per (sample, type) while their summed weight stays within the target.
 
