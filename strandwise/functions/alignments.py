@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from strandwise.functions.keys import let
+
 DUPLICATE, PAIRED, REVERSE, FIRST = 1024, 1, 16, 64
 METHYLATED_FROM = 178  # summed 0..255 likelihoods of both modifications
 
@@ -75,7 +77,7 @@ def decoded_kmers(bases: Column, k: int = 3) -> tuple[Column, Column]:
     plain = F.translate(bases, "hHzZxX", "CCCCCC")
     windows = F.length(bases) - k
     spots = F.sequence(F.lit(1), windows)
-    dna = F.array_join(F.transform(spots, lambda i: F.substring(plain, i, F.lit(k))), " ")
+    dna = F.array_join(let(plain, lambda s: F.transform(spots, lambda i: F.substring(s, i, F.lit(k)))), " ")
     middle = lambda i: F.substring(bases, i + k // 2, F.lit(1))
     methyl = F.array_join(
         F.transform(spots, lambda i: F.when(middle(i) == "z", "0").when(middle(i) == "Z", "1").otherwise("2")), ""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 SEQUENCE = ("dna_seq", "methyl_seq")
@@ -19,3 +21,12 @@ def content_key(*cols: Column | str) -> Column:
 def shuffle_key(*cols: Column | str, seed: int = 42) -> Column:
     """Hex text whose sort order is a seeded shuffle of the given columns, the same in every engine."""
     return F.md5(F.concat_ws("|", *[as_col(c).cast("string") for c in cols], F.lit(str(seed))))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    An expression used inside a lambda is evaluated again for every element; bound as the single
+    element of an array it becomes a variable.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

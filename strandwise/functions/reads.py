@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from strandwise.functions.keys import let
+
 FLANK = 10  # bases of context kept on each side of the covered CpGs
 
 
@@ -14,12 +16,12 @@ def clean_bases(seq: Column) -> Column:
 
 def kmer_array(seq: Column, k: int = 3, drop_last: bool = False) -> Column:
     """All overlapping k-mers of a cleaned sequence; ``drop_last`` leaves out the final window."""
-    windows = F.length(seq) - (k if drop_last else k - 1)
-    cleaned = clean_bases(seq)
-    return F.when(
-        windows >= 1,
-        F.transform(F.sequence(F.lit(1), windows), lambda i: F.substring(cleaned, i, F.lit(k))),
-    ).otherwise(F.array().cast("array<string>"))
+    lost = k if drop_last else k - 1
+
+    def windows(s: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(s) - lost), lambda i: F.substring(s, i, F.lit(k)))
+
+    return F.when(F.length(seq) > lost, let(clean_bases(seq), windows)).otherwise(F.array().cast("array<string>"))
 
 
 def kmers(seq: Column, k: int = 3, drop_last: bool = False) -> Column:
@@ -33,10 +35,14 @@ def impute_missing(pattern: Column) -> Column:
     The pattern is cut into runs of one call and the gap after it, each run becomes its call
     repeated, and the leading gap repeats the first character. All-missing patterns stay.
     """
-    runs = F.regexp_extract_all(pattern, F.lit(r"[CT]\.*"), F.lit(0))
-    filled = F.array_join(F.transform(runs, lambda r: F.repeat(F.left(r, F.lit(1)), F.length(r))), "")
     gap = F.length(F.regexp_extract(pattern, r"^(\.*)", 1))
-    return F.when(pattern.rlike("[CT]"), F.concat(F.repeat(F.left(filled, F.lit(1)), gap), filled)).otherwise(pattern)
+    first = F.substring(pattern, gap + 1, F.lit(1))
+    runs = F.regexp_extract_all(pattern, F.lit(r"[CT]\.*"), F.lit(0))
+    filled = F.transform(runs, lambda r: F.repeat(F.left(r, F.lit(1)), F.length(r)))
+    return (
+        F.when(~F.contains(pattern, F.lit(".")) | ~pattern.rlike("[CT]"), pattern)
+        .otherwise(F.concat(F.repeat(first, gap), F.array_join(filled, "")))
+    )
 
 
 def n_cpg(methyl: Column) -> Column:
@@ -91,28 +97,27 @@ def methyl_string(cpgs: Column, origin: Column, tokens: Column) -> Column:
     return F.rpad(drawn, tokens, "2")
 
 
-def half_lengths(length: Column, longest: int, limit: int = 1 << 20) -> Column:
-    """Piece lengths left by halving until no piece is longer than ``longest``.
+def half_lengths(length: Column, longest: int) -> Column:
+    """Piece lengths left by halving until no piece is longer than ``longest``, in order.
 
-    Halving a level at a time: every piece that is still too long turns into ``n div 2`` and the rest.
-    ``limit`` only bounds how often the step is repeated (log2 of the longest read), not the data.
+    Every round replaces a piece that is still too long by ``n div 2`` and the rest; log2 of the
+    length over ``longest`` rounds are enough, one more covers the uneven halves.
     """
     if longest < 1:
         raise ValueError("longest must be positive")
-    rounds = max(1, limit.bit_length())
     too_long = lambda n: n > longest
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(rounds)),
-        F.array(length.cast("int")),
-        lambda pieces, _: F.when(
-            F.exists(pieces, too_long),
-            F.flatten(
-                F.transform(
-                    pieces,
-                    lambda n: F.when(
-                        too_long(n), F.array(F.floor(n / 2).cast("int"), (n - F.floor(n / 2)).cast("int"))
-                    ).otherwise(F.array(n)),
-                )
-            ),
-        ).otherwise(pieces),
+
+    def halve(pieces: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                pieces,
+                lambda n: F.when(
+                    too_long(n), F.array(F.floor(n / 2).cast("int"), (n - F.floor(n / 2)).cast("int"))
+                ).otherwise(F.array(n)),
+            )
+        )
+
+    rounds = F.ceil(F.log2(length / F.lit(float(longest))) + 1e-9).cast("int") + 1
+    return F.when(length <= longest, F.array(length.cast("int"))).otherwise(
+        F.aggregate(F.sequence(F.lit(1), rounds), F.array(length.cast("int")), lambda pieces, _: halve(pieces))
     )

@@ -6,7 +6,7 @@ from itertools import product
 
 from pyspark.sql import Column, functions as F
 
-from strandwise.functions.keys import as_col
+from strandwise.functions.keys import as_col, let
 
 # Ids of the special tokens, then all 3-mers in alphabetical order.
 SPECIALS = ("<pad>", "<unk>", "<eos>", "<sos>", "<mask>")
@@ -24,8 +24,9 @@ def vocabulary_map() -> Column:
 
 def token_ids(dna: Column) -> Column:
     """Ids of a space-joined 3-mer sequence; unknown tokens become 1."""
-    vocab = vocabulary_map()
-    return F.transform(F.split(dna, " "), lambda t: F.coalesce(vocab[t], F.lit(UNK)))
+    return let(
+        vocabulary_map(), lambda vocab: F.transform(F.split(dna, " "), lambda t: F.coalesce(vocab[t], F.lit(UNK)))
+    )
 
 
 def methyl_states(methyl: Column) -> Column:
@@ -39,26 +40,31 @@ def encode(dna: Column, methyl: Column, max_len: int) -> tuple[Column, Column]:
     Cut or padded to ``max_len``; the end marker replaces the first pad, or the last token when
     there is no pad; the start marker goes in front. Markers and pads carry state 2.
     """
-    ids = F.slice(token_ids(dna), 1, max_len)
-    kept = F.least(F.size(ids), F.lit(max_len - 1))
-    pads = F.lit(max_len - 1) - kept
-    full_ids = F.concat(
-        F.array(F.lit(SOS)), F.slice(ids, F.lit(1), kept), F.array(F.lit(EOS)), F.array_repeat(F.lit(PAD), pads)
-    )
-    states = F.slice(methyl_states(methyl), F.lit(1), kept)
     blank = F.lit(NO_CALL).cast("tinyint")
-    full_states = F.concat(F.array(blank), states, F.array_repeat(blank, F.lit(max_len) - F.size(states)))
+    full_ids = let(
+        F.slice(token_ids(dna), 1, max_len - 1),
+        lambda ids: F.concat(
+            F.array(F.lit(SOS)), ids, F.array(F.lit(EOS)), F.array_repeat(F.lit(PAD), F.lit(max_len - 1) - F.size(ids))
+        ),
+    )
+    full_states = let(
+        F.slice(methyl_states(methyl), 1, max_len - 1),
+        lambda states: F.concat(F.array(blank), states, F.array_repeat(blank, F.lit(max_len) - F.size(states))),
+    )
     return full_ids, full_states
 
 
 def decode(ids: Column) -> Column:
     """Token ids back to bases: specials dropped, first base, all middle bases, last base."""
-    words = F.array(*[F.lit(t) for t in VOCABULARY])
-    tokens = F.transform(F.filter(ids, lambda i: i >= len(SPECIALS)), lambda i: F.element_at(words, i + 1))
-    middles = F.array_join(F.transform(tokens, lambda t: F.substring(t, 2, 1)), "")
-    return F.when(
-        F.size(tokens) > 0,
-        F.concat(F.left(F.element_at(tokens, 1), F.lit(1)), middles, F.right(F.element_at(tokens, -1), F.lit(1))),
+    kept = F.filter(ids, lambda i: i >= len(SPECIALS))
+    text = "".join(VOCABULARY[len(SPECIALS) :])
+    base = lambda i, at: F.substring(F.lit(text), (i - len(SPECIALS)) * 3 + at, F.lit(1))
+    middles = lambda k: F.array_join(F.transform(k, lambda i: base(i, 2)), "")
+    return let(
+        kept,
+        lambda k: F.when(
+            F.size(k) > 0, F.concat(base(F.element_at(k, 1), 1), middles(k), base(F.element_at(k, -1), 3))
+        ),
     )
 
 
@@ -80,37 +86,44 @@ def mask_tokens(ids: Column, row_key: Column, rate: float = 0.15, k: int = 3, se
     reach = [d for d in range(-half, half + 1) if d != 0]
     if k % 2 == 0:
         reach = reach[:-1]
-    places = F.sequence(F.lit(0), F.size(ids) - 1)
-    end = F.array_max(F.transform(places, lambda p: F.when(F.get(ids, p) >= len(SPECIALS), p).otherwise(F.lit(-1))))
-    is_centre = lambda p: (
-        (F.get(ids, p) >= len(SPECIALS)) & (draw(row_key, p, F.lit("centre"), F.lit(str(seed))) < rate)
-    )
-    centres = F.filter(places, is_centre)
-    # the widened neighbours of every centre, so that each place is a lookup and not a new draw
-    spread = F.array_union(
-        centres,
-        F.filter(
-            F.flatten(F.transform(centres, lambda c: F.array(*[c + d for d in reach]))),
-            lambda p: (p >= 0) & (p <= end),
-        ),
-    )
-
-    def shown(p: Column) -> Column:
-        token = F.get(ids, p)
-        kind = draw(row_key, p, F.lit("kind"), F.lit(str(seed)))
-        random_id = F.floor(draw(row_key, p, F.lit("word"), F.lit(str(seed))) * len(VOCABULARY)).cast("int")
-        replaced = F.when(kind < 0.8, F.lit(MASK)).when(kind < 0.9, random_id).otherwise(token)
-        return F.when(p == end, F.lit(EOS)).when(F.array_contains(spread, p), replaced).otherwise(token)
-
-    labels = F.transform(
-        places, lambda p: F.when(F.array_contains(spread, p), F.get(ids, p)).otherwise(F.lit(IGNORED))
-    )
-    marks = F.transform(places, lambda p: F.array_contains(centres, p))
-    return F.struct(
-        F.concat(F.array(F.lit(SOS)), F.transform(places, shown)).alias("inputs"),
-        F.concat(F.array(F.lit(IGNORED)), labels).alias("labels"),
-        F.concat(F.array(F.lit(False)), marks).alias("centres"),
-    )
+    chance = lambda p, kind: draw(row_key, p, F.lit(kind), F.lit(str(seed)))
+
+    def masked(tokens: Column, places: Column, centres: Column, end: Column) -> Column:
+        near = F.filter(
+            F.flatten(F.transform(centres, lambda c: F.array(*[c + d for d in reach]))), lambda p: (p >= 0) & (p <= end)
+        )
+
+        def built(hidden: Column) -> Column:
+            def shown(token: Column, p: Column) -> Column:
+                random_id = F.floor(chance(p, "word") * len(VOCABULARY)).cast("int")
+                replaced = let(
+                    chance(p, "kind"), lambda x: F.when(x < 0.8, F.lit(MASK)).when(x < 0.9, random_id).otherwise(token)
+                )
+                return F.when(p == end, F.lit(EOS)).when(F.array_contains(hidden, p), replaced).otherwise(token)
+
+            labels = F.transform(tokens, lambda t, p: F.when(F.array_contains(hidden, p), t).otherwise(F.lit(IGNORED)))
+            marks = F.transform(places, lambda p: F.array_contains(centres, p))
+            return F.struct(
+                F.concat(F.array(F.lit(SOS)), F.transform(tokens, shown)).alias("inputs"),
+                F.concat(F.array(F.lit(IGNORED)), labels).alias("labels"),
+                F.concat(F.array(F.lit(False)), marks).alias("centres"),
+            )
+
+        return let(F.array_union(centres, near), built)
+
+    def placed(tokens: Column) -> Column:
+        real = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda p: F.get(tokens, p) >= len(SPECIALS))
+        centres = lambda r: F.filter(r, lambda p: chance(p, "centre") < rate)
+        every = F.sequence(F.lit(0), F.size(tokens) - 1)
+        return let(
+            real,
+            lambda r: let(
+                F.coalesce(F.array_max(r), F.lit(-1)),
+                lambda end: let(centres(r), lambda c: masked(tokens, every, c, end)),
+            ),
+        )
+
+    return let(ids, placed)
 
 
 def crop_random(ids: Column, row_key: Column, seq_len: int, shortest: int = 5, seed: int = 42) -> Column:

@@ -6,13 +6,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
+from strandwise.functions.keys import let
+
 
 def softmax(logits: Column) -> Column:
     """Softmax of an array, shifted by its maximum."""
-    top = F.array_max(logits)
-    raised = F.transform(logits, lambda x: F.exp(x.cast("double") - top.cast("double")))
-    total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(raised, lambda x: x / total)
+    values = logits.cast("array<double>")
+    raised = let(F.array_max(values), lambda top: F.transform(values, lambda x: F.exp(x - top)))
+    return let(
+        raised,
+        lambda r: let(F.aggregate(r, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(r, lambda x: x / total)),
+    )
 
 
 def argmax(values: Column) -> Column:
@@ -39,9 +43,11 @@ def _softplus(x: Column) -> Column:
 
 def cross_entropy(logits: Column, target: Column, weights: Sequence[float] | None = None) -> Column:
     """-log softmax at the true class, times the class weight."""
-    top = F.array_max(logits).cast("double")
-    total = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - top))
-    loss = F.log(total) + top - F.get(logits, target).cast("double")
+    values = logits.cast("array<double>")
+    loss = let(
+        F.array_max(values),
+        lambda top: F.log(F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x - top))) + top - F.get(values, target),
+    )
     return loss if weights is None else loss * F.get(F.array(*[F.lit(float(w)) for w in weights]), target)
 
 
