@@ -1 +1,100 @@
-"""To come."""
+"""Mixture proportions and training curves."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strandwise.catalog import query, views as V
+from strandwise.operators import mixture as X, runs
+
+N = 200
+MARGINS = (0.6, 0.4)
+PAIR_SQL = f"SELECT read_id, dmr_ctype, a / (a + b) / 0.6 AS x, b / (a + b) / 0.4 AS y FROM (SELECT read_id, dmr_ctype, probs[1] AS a, probs[2] AS b FROM ({V.PROBS_SQL}) p) q"
+
+
+def _pair(spark, sf):
+    """The first two classes as normal and type."""
+    a, b = F.get("probs", F.lit(0)), F.get("probs", F.lit(1))
+    return V.scored(spark, sf).select("read_id", "dmr_ctype", (a / (a + b)).alias("p_n"), (b / (a + b)).alias("p_t"))
+
+
+def _curve_sql(by: str) -> str:
+    keys = f"{by}, " if by else ""
+    part = f"PARTITION BY {by}" if by else ""
+    return f"""
+c AS (SELECT {keys}g, sum(ln((1 - g / {N}) * x + g / {N} * y)) AS ll FROM ({PAIR_SQL}) p, (SELECT unnest(range(0, {N})) AS g) i GROUP BY {keys}g),
+d AS (SELECT *, ll - lag(ll) OVER ({part} ORDER BY g) AS step FROM c)"""
+
+
+@query("mixture_curve", f"WITH {_curve_sql('')} SELECT CAST(g AS INT) AS grid, round(ll, 6) AS loglik FROM c")
+def mixture_curve(spark, sf):
+    return X.mixture_curve(_pair(spark, sf), MARGINS, N).withColumn("loglik", F.round("loglik", 6))
+
+
+@query("mixture_grid", f"WITH {_curve_sql('')} SELECT round(arg_min(g, [-ll, g]) / {N}, 6) AS purity, round(var_pop(step), 8) AS fi, round(max(ll), 6) AS loglik FROM d")
+def mixture_grid(spark, sf):
+    g = X.mixture_grid(_pair(spark, sf), MARGINS, N)
+    return g.select(F.round("purity", 6).alias("purity"), F.round("fi", 8).alias("fi"), F.round("loglik", 6).alias("loglik"))
+
+
+BY_REGION_SQL = f"WITH {_curve_sql('dmr_ctype')} SELECT dmr_ctype, arg_min(g, [-ll, g]) / {N} AS purity, var_pop(step) AS fi, max(ll) AS loglik FROM d GROUP BY dmr_ctype"
+
+
+@query("mixture_grid_by_region", f"SELECT dmr_ctype, round(purity, 6) AS purity, round(fi, 8) AS fi, round(loglik, 6) AS loglik FROM ({BY_REGION_SQL}) b")
+def mixture_grid_by_region(spark, sf):
+    g = X.mixture_grid_by_region(_pair(spark, sf), MARGINS, N, region="dmr_ctype")
+    return g.select("dmr_ctype", F.round("purity", 6).alias("purity"), F.round("fi", 8).alias("fi"), F.round("loglik", 6).alias("loglik"))
+
+
+@query("mean_purity", f"SELECT count(*) AS n_regions, round(greatest(least(avg(purity), 1.0), 0.0), 6) AS purity FROM ({BY_REGION_SQL}) b")
+def mean_purity(spark, sf):
+    g = X.mean_purity(X.mixture_grid_by_region(_pair(spark, sf), MARGINS, N, region="dmr_ctype"))
+    return g.withColumn("purity", F.round("purity", 6))
+
+
+@query("mixture_proportions")
+def mixture_proportions(spark, sf):
+    """Iterative: the tests compare it with a direct search on a small fixture."""
+    rows = V.scored(spark, sf).select("dmr_ctype", F.get("probs", F.lit(1)).alias("p_ctype"))
+    found = X.mixture_proportions(rows, {"T0": 0.2, "T1": 0.3, "T2": 0.3, "T3": 0.2})
+    return found.withColumn("pred", F.round("pred", 6))
+
+
+@query("region_moments", """
+SELECT o_orderpriority, count(*) AS n, round(avg((v - 0.5) ** 2), 6) AS m2, round(avg((v - 0.5) ** 3), 6) AS m3,
+ round(avg((v - 0.5) ** 3) ** 2 / avg((v - 0.5) ** 2) ** 3, 6) AS skewness_sq FROM (SELECT o_orderpriority, o_totalprice / 600000 AS v FROM orders) t GROUP BY o_orderpriority""")
+def region_moments(spark, sf):
+    rows = V.table(spark, sf, "orders").select("o_orderpriority", (F.col("o_totalprice") / 600000).alias("purity"))
+    m = X.region_moments(rows, 0.5, by=("o_orderpriority",))
+    return m.select("o_orderpriority", "n", *[F.round(c, 6).alias(c) for c in ("m2", "m3", "skewness_sq")])
+
+
+RUNS_SQL = V.RUN_EVAL_SQL
+
+
+@query("run_summary", f"""
+SELECT run, count(*) AS n_points, arg_min(step, [loss, step]) AS final_step, min(loss) AS final_loss, arg_min(acc, [loss, step]) AS final_acc,
+ arg_min(step, [-acc, step]) AS best_step, max(acc) AS best_acc FROM ({RUNS_SQL}) e GROUP BY run""")
+def run_summary(spark, sf):
+    return runs.run_summary(V.run_eval(spark, sf))
+
+
+@query("improvements", f"""
+SELECT run, step, loss, acc FROM (SELECT *, min(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best
+ FROM ({RUNS_SQL}) e) t WHERE best IS NULL OR loss < best""")
+def improvements(spark, sf):
+    return runs.improvements(V.run_eval(spark, sf))
+
+
+THIN_SQL = f"""
+WITH RECURSIVE e AS MATERIALIZED ({RUNS_SQL}),
+k AS (SELECT run, min(step) AS step FROM e GROUP BY run
+  UNION ALL SELECT k.run, (SELECT min(e.step) FROM e WHERE e.run = k.run AND e.step >= k.step + 1000) FROM k WHERE k.step IS NOT NULL)
+SELECT e.run, e.step, e.loss, e.acc FROM e WHERE EXISTS (SELECT 1 FROM k WHERE k.run = e.run AND k.step = e.step)
+ OR e.step = (SELECT max(x.step) FROM e x WHERE x.run = e.run)
+"""
+
+
+@query("thin_curve", THIN_SQL)
+def thin_curve(spark, sf):
+    return runs.thin_curve(V.run_eval(spark, sf), 1000)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from strandwise.functions.keys import let
@@ -13,6 +13,7 @@ from strandwise.functions.keys import let
 DUPLICATE, PAIRED, REVERSE, FIRST = 1024, 1, 16, 64
 METHYLATED_FROM = 178  # summed 0..255 likelihoods of both modifications
 
+DECODED = T.StructType([T.StructField("bases", T.StringType()), T.StructField("failed", T.BooleanType())])
 _OP = re.compile(r"(\d+)([A-Z=])")
 _KEEP, _DROP, _GAP = "keep", "drop", "gap"
 _EFFECT = {"D": _GAP, "S": _DROP, "I": _DROP}
@@ -57,7 +58,7 @@ def _decode_one(ref: str, xm: str, cigar: str, flag: int) -> tuple[str | None, b
     return "".join(bases), False
 
 
-@pandas_udf("struct<bases: string, failed: boolean>")
+@pandas_udf(DECODED)
 def decode_bismark(ref: pd.Series, xm: pd.Series, cigar: pd.Series, flag: pd.Series) -> pd.DataFrame:
     """Reference bases with z / Z at called CpGs.
 

@@ -57,7 +57,9 @@ def index_cpgs(genome: DataFrame, chunk: int) -> DataFrame:
         size > 1,
         F.filter(F.sequence(F.lit(1), size - 1), lambda i: F.substring(F.col("_text"), i, F.lit(2)) == "CG"),
     ).otherwise(F.array().cast("array<int>"))
-    points = joined.select("chr", (F.col("chunk_id") * chunk + F.explode(places)).alias("pos"))
+    points = joined.select("chr", "chunk_id", F.explode(places).alias("_at")).select(
+        "chr", (F.col("chunk_id") * chunk + F.col("_at")).alias("pos")
+    )
     return rank_positions(points, "chr", "pos", "cpg_idx")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from strandwise.functions import vectors
 
@@ -18,7 +18,7 @@ def score_reads(reads: DataFrame, make_predict: Callable, inputs: list[str], bat
     columns to a (rows x classes) array of logits, so a model is loaded once and not per batch. The
     softmax is applied once, on the JVM side.
     """
-    schema = reads.select("*").schema.add("logits", "array<double>")
+    schema = T.StructType([*reads.schema.fields, T.StructField("logits", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = make_predict()

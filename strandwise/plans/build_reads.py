@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from strandwise.functions.keys import let
 from strandwise.functions.reads import clean_bases, context_span, impute_missing, kmers, methyl_string
 from strandwise.operators.genome import slice_reference
 from strandwise.operators.intervals import attach_cpg_range, overlap_fragments, region_cpgs, require_cpgs
@@ -29,30 +30,43 @@ def prepare_regions(regions: DataFrame, cpg: DataFrame, genome: DataFrame, chunk
 
 
 def assemble(pairs: DataFrame) -> DataFrame:
-    """Bases and methylation string of every overlapping (fragment, region) pair."""
+    """Bases and methylation string of every overlapping (fragment, region) pair.
+
+    Each step explodes a list of at most one result: a pair without one disappears, and the optimizer
+    cannot move the step's expression into the join condition, where it would be computed twice.
+    """
+    keep = ["sample_id", "ctype", "dmr_label", "dmr_ctype", "read_count"]
     covered = F.filter(
         "cpgs", lambda c: (c["cpg_idx"] >= F.col("cpg_start")) & (c["cpg_idx"] <= F.col("cpg_end"))
     )
-    filled = impute_missing(F.col("pattern"))
-    pairs = pairs.withColumn("_covered", covered).where(F.size("_covered") > 0).withColumn("_filled", filled)
+    pairs = pairs.withColumnRenamed("cell_type", "dmr_ctype")
+    spans = pairs.select(
+        *keep, "cpg_start", "start", "ref_seq", "pattern",
+        F.explode(F.filter(F.array(covered), lambda c: F.size(c) > 0)).alias("_covered"),
+    )
     first_c = (F.element_at("_covered", 1)["pos"] - F.col("start")).cast("int")
     last_g = (F.element_at("_covered", -1)["pos"] - F.col("start") + 1).cast("int")
     low, high = context_span(F.col("ref_seq"), F.col("_first_c"), F.col("_last_g"))
-    state = lambda c: F.translate(
-        F.substring(F.col("_filled"), (c["cpg_idx"] - F.col("cpg_start") + 1).cast("int"), F.lit(1)), "CT.", "102"
-    )
-    states = F.transform("_covered", lambda c: F.struct(c["pos"].alias("pos"), state(c).alias("state")))
     placed = (
-        pairs.withColumn("_first_c", first_c).withColumn("_last_g", last_g)
-        .withColumn("_low", low).withColumn("_high", high)
+        spans.withColumns({"_first_c": first_c, "_last_g": last_g})
+        .select("*", F.inline(F.array(F.struct(low.alias("_low"), high.alias("_high")))))
         .withColumn("_tokens", F.col("_high") - F.col("_low") - 1)
         .where(F.col("_tokens") > 0)
     )
-    return placed.select(
-        "sample_id", "ctype", "dmr_label", F.col("cell_type").alias("dmr_ctype"), "read_count",
-        clean_bases(F.substring("ref_seq", F.col("_low") + 1, F.col("_tokens") + 2)).alias("bases"),
-        methyl_string(states, F.col("start") + F.col("_low"), F.col("_tokens")).alias("methyl_seq"),
-    ).where(F.col("methyl_seq").rlike("[01]"))
+
+    def spelled(filled: Column) -> Column:
+        state = lambda c: F.translate(
+            F.substring(filled, (c["cpg_idx"] - F.col("cpg_start") + 1).cast("int"), F.lit(1)), "CT.", "102"
+        )
+        states = F.transform("_covered", lambda c: F.struct(c["pos"].alias("pos"), state(c).alias("state")))
+        return F.struct(
+            clean_bases(F.substring("ref_seq", F.col("_low") + 1, F.col("_tokens") + 2)).alias("bases"),
+            methyl_string(states, F.col("start") + F.col("_low"), F.col("_tokens")).alias("methyl_seq"),
+        )
+
+    read = let(impute_missing(F.col("pattern")), spelled)
+    informative = F.filter(F.array(read), lambda r: r["methyl_seq"].rlike("[01]"))
+    return placed.select(*keep, F.inline(informative))
 
 
 def build_reads(

@@ -45,6 +45,11 @@ def _local_dir() -> str:
     return tempfile.mkdtemp(prefix="strandwise-")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return os.path.join(shared_dir(spark), "strandwise", f"{name}-{uuid.uuid4().hex}")
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -52,6 +57,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     the table's true size on disk: a later join broadcasts it only when it really is small.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "strandwise", f"{name}-{uuid.uuid4().hex}")
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

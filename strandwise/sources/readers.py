@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strandwise.functions import coords
 from strandwise.operators.intervals import attach_cpg_range, require_cpgs
 from strandwise.operators.ordering import running
 from strandwise.sources.headers import resolve_columns, sniff_delimiter
+from strandwise.session import stage
 from strandwise.sources.lines import fill_from_marker, numbered_lines
 
 PAT_SCHEMA = "chr string, cpg_start bigint, pattern string, read_count int"
@@ -50,13 +51,25 @@ def read_regions(
     drop_sex: bool = True,
     type_columns: tuple[str, ...] = ("cell_type", "Type", "DMR_cType"),
 ) -> DataFrame:
-    """Marker regions from CSV; ``dmr_label`` is the data row number before any filtering."""
+    """Marker regions from CSV; ``dmr_label`` is the data row number before any filtering.
+
+    Several files count on in the order of their names, each with its own header row.
+    """
     headers = [h.strip() for h in spark.read.text(path).first().value.split(",")]
     if cpg is None and not {"startCpG", "endCpG"} <= set(headers):
         raise ValueError("regions need startCpG and endCpG columns or a CpG index")
     schema = ", ".join(f"`{h}` string" for h in headers)
-    lines = numbered_lines(spark, path).where(F.col("row_no") > 0)
-    row = lines.select((F.col("row_no") - 1).alias("dmr_label"), F.from_csv("value", schema).alias("r"))
+    lines = numbered_lines(spark, path)
+    # one row per file
+    earlier = Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = stage(
+        lines.groupBy("file").agg(F.max("row_no").alias("_n"))
+        .select("file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")),
+        "files",
+    )
+    row = lines.where(F.col("row_no") > 0).join(files, "file").select(
+        (F.col("_before") + F.col("row_no") - 1).alias("dmr_label"), F.from_csv("value", schema).alias("r")
+    )
     type_column = next((c for c in type_columns if c in headers), None)
     has_cpg = "startCpG" in headers and "endCpG" in headers
     regions = row.select(
@@ -180,14 +193,17 @@ def read_run_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return raw.select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("run"), "*")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Sample manifest: global paths next to a map of samples, one row per sample."""
+def read_manifest(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Sample manifest: global paths next to a map of samples, one row per sample.
+
+    ``multiline`` reads one document per file, otherwise one per line.
+    """
     entry = "struct<pat_file:string, output_file:string, cell_type:string>"
     schema = (
         "collective_csv_file string, fasta_file string, cpg_bed_file string, "
         f"cell_types map<string, {entry}>"
     )
-    raw = spark.read.schema(schema).json(path, multiLine=True)
+    raw = spark.read.schema(schema).json(path, multiLine=multiline)
     return raw.select(
         "collective_csv_file", "fasta_file", "cpg_bed_file", F.explode("cell_types").alias("sample_key", "e")
     ).select("sample_key", "e.pat_file", "e.output_file", "e.cell_type", "collective_csv_file", "fasta_file", "cpg_bed_file")

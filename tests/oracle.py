@@ -74,7 +74,7 @@ def main() -> int:
         "oracle", "local[8]",
         **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"},
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     bad = 0
     for name in names:
         try:
