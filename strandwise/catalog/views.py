@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from strandwise.functions.coords import fragment_end
 from strandwise.operators.genome import index_cpgs
 from strandwise.operators.ordering import rank_positions
+from strandwise.session import spread
 
 CHUNK = 32  # bases per genome chunk of the view
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 # --- fragments -----------------------------------------------------------------------------------

@@ -12,8 +12,13 @@ from strandwise.operators.joins import skew_join
 BROADCAST_ROWS = 500_000
 
 
+def _bin(position: Column, width: int) -> Column:
+    return F.call_function("div", position, F.lit(width))
+
+
 def _bins(start: Column, end: Column, width: int) -> Column:
-    return F.sequence(F.floor(start / width), F.floor(end / width))
+    first = _bin(start, width)
+    return F.sequence(first, F.greatest(first, _bin(end, width)))
 
 
 def interval_join(
@@ -40,15 +45,17 @@ def interval_join(
     on = list(on)
     ls, le = (F.col(c) for c in left_span)
     rs, re = (F.col(c) for c in right_span)
-    right = right.where(rs <= re)
-    bins = right.agg(F.sum(F.floor(re / width) - F.floor(rs / width) + 1)).first()[0] or 0
+    bins = right.agg(F.sum(F.size(_bins(rs, re, width)))).first()[0] or 0
+    # One comparison over both sides also rules out empty ranges. As it cannot be split into one-sided
+    # filters, the span expressions of the big side are not evaluated again below the join.
+    meet = F.greatest(ls, rs) <= F.least(le, re)
     if contained:
         # the bin of the left start always belongs to a range that contains the left range
-        binned = left.where(ls <= le).withColumn("_bin", F.floor(ls / width))
-        keep = (rs <= ls) & (le <= re)
+        binned = left.withColumn("_bin", _bin(ls, width))
+        keep = meet & (rs <= ls) & (le <= re)
     else:
-        binned = left.where(ls <= le).withColumn("_bin", F.explode(_bins(ls, le, width)))
-        keep = (ls <= re) & (rs <= le) & (F.col("_bin") == F.floor(F.greatest(ls, rs) / width))
+        binned = left.withColumn("_bin", F.explode(_bins(ls, le, width)))
+        keep = meet & (F.col("_bin") == _bin(F.greatest(ls, rs), width))
     targets = right.withColumn("_bin", F.explode(_bins(rs, re, width)))
     keys = [*on, "_bin"]
     if bins <= broadcast_rows:

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandwise.session import stage
 
-PREFIX = 4  # hex digits of the order key that name a slice: 65,536 slices per group
+DIGITS = 3  # hex digits of the order key per round: each round cuts a slice into 4,096
+ROUNDS = 3
+SORT_ROWS = 1_000_000  # rows of one slice that may be sorted together
 AFTER_ALL = "g"  # sorts after every hex key
 
 
@@ -24,7 +26,7 @@ def prefix_cuts(
     target: Callable[[Column], Column] | DataFrame,
     weight: Column | None = None,
     nearest: bool = False,
-    prefix: int = PREFIX,
+    sort_rows: int = SORT_ROWS,
 ) -> DataFrame:
     """Per group, the last order key of the longest prefix whose weight stays within the target.
 
@@ -32,42 +34,53 @@ def prefix_cuts(
     Rows sharing ``key`` are one item and stay together. With ``nearest`` the item that crosses the
     limit is taken too when at least half of it lies below the limit. Returns ``groups + cut``; an
     item belongs to the prefix when ``key <= cut``.
+
+    The slice of the order in which the limit falls is narrowed until it is small enough to sort.
     """
     names = list(groups) or ["_all"]
     slim = items if groups else items.withColumn("_all", F.lit(0))
-    slim = slim.select(
-        *names,
-        F.col(key).alias("_key"),
-        F.substring(F.col(key), 1, prefix).alias("_slice"),
-        (F.lit(1) if weight is None else weight).cast("long").alias("_weight"),
-    )
-    whole = Window.partitionBy(*names)
+    slim = slim.select(*names, F.col(key).alias("_key"), (F.lit(1) if weight is None else weight).cast("long").alias("_weight"))
+    whole = Window.partitionBy(*names)  # one row per slice of a group
     upto = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slices = (
-        slim.groupBy(*names, "_slice")
-        .agg(F.sum("_weight").alias("_size"))
-        .select(
-            *names, "_slice", "_size",
-            F.sum("_size").over(upto).alias("_upto"),
-            F.sum("_size").over(whole).alias("_total"),
-        )
-    )
+    slice_of = lambda digits: F.substring("_key", 1, digits).alias("_slice")
+
+    slices = slim.groupBy(*names, slice_of(DIGITS)).agg(F.sum("_weight").alias("_size"), F.count("*").alias("_rows"))
+    slices = slices.select("*", F.sum("_size").over(upto).alias("_upto"))
     if isinstance(target, DataFrame):
         slices = slices.join(target.withColumnRenamed("target", "_target"), names)
     else:
-        slices = slices.withColumn("_target", target(F.col("_total")).cast("long"))
-    crossing = (F.col("_upto") > F.col("_target")) & (F.col("_upto") - F.col("_size") <= F.col("_target"))
-    edges = stage(
-        slices.groupBy(*names).agg(
-            F.max(F.when(crossing, F.col("_slice"))).alias("_slice"),
-            F.max(F.when(crossing, F.col("_upto") - F.col("_size"))).alias("_before"),
-            F.max("_target").alias("_target"),
-        ),
-        "edges",
-    )
-    run = Window.partitionBy(*names).orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        slices = slices.withColumn("_target", target(F.sum("_size").over(whole)).cast("long"))
+
+    def crossed(table: DataFrame) -> DataFrame:
+        """The slice of each group that holds the limit, null when the limit is not reached."""
+        hit = (F.col("_upto") > F.col("_target")) & (F.col("_upto") - F.col("_size") <= F.col("_target"))
+        pick = lambda c: F.max(F.when(hit, c))
+        return stage(
+            table.groupBy(*names).agg(
+                pick(F.col("_slice")).alias("_slice"), pick(F.col("_upto") - F.col("_size")).alias("_before"),
+                pick(F.col("_rows")).alias("_rows"), F.max("_target").alias("_target"),
+            ),
+            "edges",
+        )
+
+    edges, digits = crossed(slices), DIGITS
+    for _ in range(1, ROUNDS):
+        if (edges.agg(F.max("_rows")).first()[0] or 0) <= sort_rows:
+            break
+        open_edges = edges.select(*names, "_slice", "_before", "_target").where(F.col("_slice").isNotNull())
+        finer = (
+            slim.withColumn("_slice", slice_of(digits)).join(open_edges, [*names, "_slice"])
+            .groupBy(*names, slice_of(digits + DIGITS))
+            .agg(F.sum("_weight").alias("_size"), F.count("*").alias("_rows"), F.max("_before").alias("_b"), F.max("_target").alias("_target"))
+            .withColumn("_upto", F.sum("_size").over(upto) + F.col("_b"))
+        )
+        rest = edges.where(F.col("_slice").isNull())
+        edges = crossed(finer).unionByName(rest)
+        digits += DIGITS
+    run = whole.orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = (
-        slim.join(edges.where(F.col("_slice").isNotNull()), [*names, "_slice"])
+        slim.withColumn("_slice", slice_of(digits))
+        .join(edges.drop("_rows").where(F.col("_slice").isNotNull()), [*names, "_slice"])
         .groupBy(*names, "_key")
         .agg(F.sum("_weight").alias("_w"), F.max("_before").alias("_before"), F.max("_target").alias("_target"))
         .withColumn("_run", F.sum("_w").over(run) + F.col("_before"))
@@ -79,9 +92,8 @@ def prefix_cuts(
     last = inside.where(taken).groupBy(*names).agg(F.max("_key").alias("_last"))
     cuts = edges.join(last, names, "left").select(
         *names,
-        F.when(F.col("_slice").isNull(), F.lit(AFTER_ALL))
-        .otherwise(F.coalesce("_last", "_slice"))
-        .alias("cut"),
+        # nothing of the slice taken: cut just before it
+        F.when(F.col("_slice").isNull(), F.lit(AFTER_ALL)).otherwise(F.coalesce("_last", "_slice")).alias("cut"),
     )
     return stage(cuts if groups else cuts.drop("_all"), "cuts")
 
@@ -97,14 +109,17 @@ def flag_prefix(rows: DataFrame, cuts: DataFrame, groups: Sequence[str], key: st
 
 
 def rank_in_group(
-    rows: DataFrame, groups: Sequence[str], key: str, rank: str = "rank", prefix: int = PREFIX
+    rows: DataFrame, groups: Sequence[str], key: str, rank: str = "rank", sort_rows: int = SORT_ROWS
 ) -> DataFrame:
-    """1-based rank of each row by ``key`` inside its group; sorts one slice at a time."""
+    """1-based rank of each row by ``key`` inside its group; sorts one slice at a time.
+
+    The number of slices follows from the largest group, so that none holds much more than ``sort_rows`` rows.
+    """
     names = list(groups)
-    sliced = rows.withColumn("_slice", F.substring(F.col(key), 1, prefix))
-    before = (
-        Window.partitionBy(*names).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    largest = rows.groupBy(*names).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    digits = next(d for d in range(1, 9) if largest / 16**d <= sort_rows / 4 or d == 8)
+    sliced = rows.withColumn("_slice", F.substring(F.col(key), 1, digits))
+    before = Window.partitionBy(*names).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stage(
         sliced.groupBy(*names, "_slice")
         .agg(F.count("*").alias("_n"))

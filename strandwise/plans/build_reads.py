@@ -9,24 +9,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 from strandwise.functions.keys import let
 from strandwise.functions.reads import clean_bases, context_span, impute_missing, kmers, methyl_string
 from strandwise.operators.genome import slice_reference
-from strandwise.operators.intervals import attach_cpg_range, overlap_fragments, region_cpgs, require_cpgs
+from strandwise.operators.intervals import interval_join, overlap_fragments
+from strandwise.session import stage
 
 
 def prepare_regions(regions: DataFrame, cpg: DataFrame, genome: DataFrame, chunk: int) -> DataFrame:
-    """Regions with CpG range, bases and the CpGs that a 3-mer can show.
+    """Regions with CpG range, bases and the CpGs that a 3-mer can show, as a written table.
 
-    A CpG is showable when a base precedes its C and its G lies inside the region.
+    A CpG is showable when a base precedes its C and its G lies inside the region. One range join
+    gives the index range and the list.
     """
-    ranged = require_cpgs(attach_cpg_range(regions, cpg))
-    cpgs = (
-        region_cpgs(ranged, cpg)
-        .groupBy("dmr_label")
+    spans = regions.select("dmr_label", "chr", F.col("start").alias("_start"), F.col("end").alias("_end"))
+    points = cpg.select("chr", "pos", F.col("pos").alias("_pos_end"), "cpg_idx")
+    inside = interval_join(points, spans, ("pos", "_pos_end"), ("_start", "_end"), width=4096)
+    shown = (F.col("pos") > F.col("_start")) & (F.col("pos") < F.col("_end"))
+    ranged = inside.groupBy("dmr_label").agg(
+        F.min("cpg_idx").alias("cpg_start"), F.max("cpg_idx").alias("cpg_end"),
         # distinct positions inside one region, so no longer than the region
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "cpg_idx"))).alias("cpgs"))
+        F.array_sort(F.collect_list(F.when(shown, F.struct("pos", "cpg_idx")))).alias("cpgs"),
     )
-    shown = slice_reference(ranged, genome, chunk).join(cpgs, "dmr_label")
-    inner = F.filter("cpgs", lambda c: (c["pos"] > F.col("start")) & (c["pos"] < F.col("end")))
-    return shown.withColumn("cpgs", inner).where(F.size("cpgs") > 0)
+    marked = slice_reference(regions, genome, chunk).join(ranged.where(F.size("cpgs") > 0), "dmr_label")
+    return stage(marked, "marked-regions")
 
 
 def assemble(pairs: DataFrame) -> DataFrame:
