@@ -71,7 +71,7 @@ SELECT ctype, sample_id, CASE WHEN n <= 3 OR (chosen AND needed > 0) THEN 'split
 
 @query("sample_assignment", f"SELECT ctype, sample_id, plan, unit, round(share, 6) AS share FROM ({ASSIGNMENT_SQL}) a")
 def sample_assignment(spark, sf):
-    return S.sample_assignment(_reads(spark, sf)).withColumn("share", F.round("share", 6))
+    return S.sample_assignment(_reads(spark, sf)).drop("n_rows").withColumn("share", F.round("share", 6))
 
 
 @query("split_by_sample", f"""

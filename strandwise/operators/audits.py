@@ -1,6 +1,7 @@
 """Leakage audits of a train / test pair.
 
 Both sides are reduced to one row per key before they meet, so copies of one read never form pairs.
+The keys travel as 128-bit digests, not as sequences.
 """
 
 from __future__ import annotations
@@ -9,16 +10,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from strandwise.functions.keys import SEQUENCE
+from strandwise.functions.keys import SEQUENCE, content_key
 
 
 def exact_twins(test: DataFrame, train: DataFrame, keys: Sequence[str] = (*SEQUENCE, "dmr_label")) -> DataFrame:
     """Share of test rows whose key also occurs in train; one row."""
-    keys = list(keys)
-    n = test.groupBy(*keys).agg(F.count("*").alias("_n"))
-    known = train.select(*keys).distinct().withColumn("_known", F.lit(True))
+    key = content_key(*keys).alias("_key")
+    n = test.groupBy(key).agg(F.count("*").alias("_n"))
+    known = train.select(key).distinct().withColumn("_known", F.lit(True))
     hit = F.when(F.col("_known"), F.col("_n")).otherwise(0)
-    return n.join(known, keys, "left").agg(
+    return n.join(known, "_key", "left").agg(
         F.sum("_n").alias("n_test"), F.sum(hit).alias("n_twins"),
         F.round(F.sum(hit) / F.sum("_n"), 6).alias("share_twins"),
     )
@@ -29,13 +30,14 @@ def conflicting_twins(test: DataFrame, train: DataFrame, keys: Sequence[str] = S
 
     Another label exists exactly when the smallest or the largest train label differs.
     """
-    keys = list(keys)
-    n = test.groupBy(*keys, "ctype").agg(F.count("*").alias("_n"))
-    labels = train.groupBy(*keys).agg(F.min("ctype").alias("_lo"), F.max("ctype").alias("_hi"))
+    key = content_key(*keys).alias("_key")
+    n = test.groupBy(key, "ctype").agg(F.count("*").alias("_n"))
+    # distinct first: that is a hash aggregate, while a minimum of texts has to sort its input
+    labels = train.select(key, "ctype").distinct().groupBy("_key").agg(F.min("ctype").alias("_lo"), F.max("ctype").alias("_hi"))
     other = (F.col("_lo") != F.col("ctype")) | (F.col("_hi") != F.col("ctype"))
     twin = F.when(F.col("_lo").isNotNull(), F.col("_n")).otherwise(0)
     conflict = F.when(other, F.col("_n")).otherwise(0)
-    return n.join(labels, keys, "left").agg(
+    return n.join(labels, "_key", "left").agg(
         F.sum("_n").alias("n_test"), F.sum(twin).alias("n_twins"), F.sum(conflict).alias("n_conflicts"),
         F.round(F.sum(twin) / F.sum("_n"), 6).alias("share_twins"),
         F.round(F.sum(conflict) / F.sum("_n"), 6).alias("share_conflicts"),

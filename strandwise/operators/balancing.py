@@ -143,8 +143,8 @@ def balanced_batches(
     used = batches * quota
     # rows beyond the used ones are cut away before anything is ranked
     cuts = prefix_cuts(keyed, [label], "_order", lambda total: F.least(total, F.lit(used)))
-    needed = keyed.join(cuts, label).where(F.col("_order") <= F.col("cut")).drop("cut")
-    ranked = rank_in_group(needed, [label], "_order", "_rank").join(sizes, label)
+    needed = stage(keyed.join(cuts, label).where(F.col("_order") <= F.col("cut")).drop("cut"), "batch-rows")
+    ranked = rank_in_group(needed, [label], "_order", "_rank", largest=used).join(sizes, label)
     # place r, r + n, r + 2n, ... of the walk; at most one extra round, in a class below `used`
     rounds = F.floor((F.lit(used) - F.col("_rank")) / F.col("_n"))
     walk = ranked.withColumn("_round", F.explode(F.sequence(F.lit(0), rounds)))

@@ -7,7 +7,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from strandwise.functions.keys import SEQUENCE
+from strandwise.functions.keys import SEQUENCE, content_key
+from strandwise.session import stage
 
 
 def combine_samples(samples: Sequence[DataFrame]) -> DataFrame:
@@ -17,14 +18,15 @@ def combine_samples(samples: Sequence[DataFrame]) -> DataFrame:
 
 def keep_known_region_types(reads: DataFrame, focus: str | None = None) -> DataFrame:
     """Rows whose region type is among the cell types seen in the input; optionally of one sample only."""
-    seen = reads.select(F.trim("ctype").alias("dmr_ctype")).where(F.col("dmr_ctype") != "").distinct()
+    # written first, so that the join knows how small it is and leaves the reads where they are
+    seen = stage(reads.select(F.trim("ctype").alias("dmr_ctype")).where(F.col("dmr_ctype") != "").distinct(), "seen-types")
     rows = reads if focus is None else reads.where(F.col("sample_id") == focus)
     return rows.join(seen, "dmr_ctype", "left_semi").select(*reads.columns)
 
 
 def types_to_process(samples: DataFrame, regions: DataFrame) -> DataFrame:
     """Samples whose cell type has regions."""
-    types = regions.select("cell_type").distinct()
+    types = stage(regions.select("cell_type").distinct(), "region-types")
     return samples.join(types, "cell_type", "left_semi")
 
 
@@ -45,10 +47,11 @@ def skip_processed(work: DataFrame, done: DataFrame) -> DataFrame:
 
 def leak_check(train: DataFrame, test: DataFrame, keys: Sequence[str] = SEQUENCE) -> DataFrame:
     """Number of distinct keys in train, in test and in both; one row."""
+    key = content_key(*keys).alias("_key")
     sides = (
-        train.select(*keys, F.lit(1).alias("_in_train"), F.lit(0).alias("_in_test"))
-        .unionByName(test.select(*keys, F.lit(0).alias("_in_train"), F.lit(1).alias("_in_test")))
-        .groupBy(*keys)
+        train.select(key, F.lit(1).alias("_in_train"), F.lit(0).alias("_in_test"))
+        .unionByName(test.select(key, F.lit(0).alias("_in_train"), F.lit(1).alias("_in_test")))
+        .groupBy("_key")
         .agg(F.max("_in_train").alias("_in_train"), F.max("_in_test").alias("_in_test"))
     )
     return sides.agg(

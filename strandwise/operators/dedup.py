@@ -7,14 +7,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strandwise.functions.keys import SEQUENCE
+from strandwise.functions.keys import SEQUENCE, content_key
 from strandwise.functions.reads import read_weight
 from strandwise.operators.joins import skew_join
 from strandwise.session import stage
 
 COLLAPSE_KEY = ("dna_seq", "methyl_seq", "dmr_label", "ctype", "dmr_ctype")
-# a missing count is the text '1' in the key
-TWIN_KEY = ("dna_seq", "methyl_seq", "dmr_label", "dmr_ctype", "_count")
 
 
 def collapse_reads(reads: DataFrame, keys: Sequence[str] = COLLAPSE_KEY) -> DataFrame:
@@ -46,7 +44,7 @@ def keep_first(
 ) -> DataFrame:
     """First row per key by ``order``; an integer read count above 1 becomes 1."""
     groups = (["sample_id"] if per_sample else []) + list(keys)
-    first = reads.groupBy(*groups).agg(F.min_by(_row(reads), F.col(order)).alias("_r")).select("_r.*")
+    first = reads.groupBy(content_key(*groups)).agg(F.min_by(_row(reads), F.col(order)).alias("_r")).select("_r.*")
     if "read_count" not in reads.columns:
         return first
     kind = reads.schema["read_count"].dataType.simpleString()
@@ -56,8 +54,10 @@ def keep_first(
     )
 
 
-def _with_count_text(reads: DataFrame) -> DataFrame:
-    return reads.withColumn("_count", F.coalesce(F.col("read_count").cast("string"), F.lit("1")))
+def _with_twin_key(reads: DataFrame) -> DataFrame:
+    """Digest of sequence, region, region type and count; a missing count is the text '1' in it."""
+    count = F.coalesce(F.col("read_count").cast("string"), F.lit("1"))
+    return reads.withColumn("_key", content_key("dna_seq", "methyl_seq", "dmr_label", "dmr_ctype", count))
 
 
 def dedup_cross_sample(reads: DataFrame, order: str = "row_id") -> DataFrame:
@@ -65,9 +65,9 @@ def dedup_cross_sample(reads: DataFrame, order: str = "row_id") -> DataFrame:
 
     The key leaves the cell type out. Repeats inside one sample count like repeats across samples.
     """
-    keyed = _with_count_text(reads)
+    keyed = _with_twin_key(reads)
     return (
-        keyed.groupBy(*TWIN_KEY)
+        keyed.groupBy("_key")
         .agg(
             F.min_by(_row(reads), F.col(order)).alias("_r"),
             F.min("ctype").alias("_lo"), F.max("ctype").alias("_hi"),
@@ -85,8 +85,8 @@ def dedup_shared_by_all(
     ``within`` names columns that separate independent inputs held in one table.
     """
     within = list(within)
-    keyed = _with_count_text(reads)
-    key = [*within, *[c for c in TWIN_KEY if c not in within]]
+    keyed = _with_twin_key(reads)
+    key = [*within, "_key"]
     # (key, sample) first: a hot key shrinks to one row per sample before it meets in one task
     per_sample = keyed.groupBy(*key, sample).agg(
         F.count("*").alias("_n"), F.min("ctype").alias("_lo"), F.max("ctype").alias("_hi"),
@@ -109,8 +109,8 @@ def dedup_shared_by_all(
 
 def dedup_report(reads: DataFrame) -> DataFrame:
     """Rows removed by ``dedup_cross_sample`` per cell type and reason."""
-    per_type = _with_count_text(reads).groupBy(*TWIN_KEY, "ctype").agg(F.count("*").alias("_n"))
-    types = F.count("*").over(Window.partitionBy(*TWIN_KEY))  # as many rows as cell types
+    per_type = _with_twin_key(reads).groupBy("_key", "ctype").agg(F.count("*").alias("_n"))
+    types = F.count("*").over(Window.partitionBy("_key"))  # as many rows as cell types
     judged = per_type.withColumn("_types", types)
     reason = F.when(F.col("_types") > 1, F.lit("conflict")).otherwise(F.lit("same_label"))
     removed = F.when(F.col("_types") > 1, F.col("_n")).otherwise(F.col("_n") - 1)

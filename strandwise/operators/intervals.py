@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from strandwise.operators.joins import skew_join
 
-# A side is broadcast only when a count shows that its binned rows stay below this number.
-BROADCAST_ROWS = 500_000
+# A side is broadcast only when it is counted to stay within both limits.
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 256 << 20
 
 
 def _bin(position: Column, width: int) -> Column:
@@ -30,6 +31,7 @@ def interval_join(
     width: int = 1024,
     contained: bool = False,
     broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
     spread: Sequence[str] = (),
     hot_rows: int | None = None,
 ) -> DataFrame:
@@ -38,14 +40,16 @@ def interval_join(
     Both sides are listed under every bin they touch and joined on the bin; a pair sharing several
     bins is kept only in the bin where the later of the two starts lies. With ``contained`` the left
     range must lie inside the right one. ``right`` is the smaller side: it is broadcast when its
-    counted bin rows are within ``broadcast_rows``; beyond that both sides are shuffled on
-    (``on``, bin) and bins holding very many left rows are split.
+    counted bin rows and their size as text are within ``broadcast_rows`` and ``broadcast_bytes``;
+    beyond that both sides are shuffled on (``on``, bin) and bins holding very many left rows are split.
     Columns other than ``on`` must differ between the sides.
     """
     on = list(on)
     ls, le = (F.col(c) for c in left_span)
     rs, re = (F.col(c) for c in right_span)
-    bins = right.agg(F.sum(F.size(_bins(rs, re, width)))).first()[0] or 0
+    bins = F.size(_bins(rs, re, width))
+    size = right.agg(F.sum(bins), F.sum(bins * F.octet_length(F.to_json(F.struct(*right.columns))))).first()
+    small = (size[0] or 0) <= broadcast_rows and (size[1] or 0) <= broadcast_bytes
     # One comparison over both sides also rules out empty ranges. As it cannot be split into one-sided
     # filters, the span expressions of the big side are not evaluated again below the join.
     meet = F.greatest(ls, rs) <= F.least(le, re)
@@ -58,7 +62,7 @@ def interval_join(
         keep = meet & (F.col("_bin") == _bin(F.greatest(ls, rs), width))
     targets = right.withColumn("_bin", F.explode(_bins(rs, re, width)))
     keys = [*on, "_bin"]
-    if bins <= broadcast_rows:
+    if small:
         joined = binned.join(F.broadcast(targets), keys)
     else:
         extra = {} if hot_rows is None else {"hot_rows": hot_rows}

@@ -109,14 +109,16 @@ def flag_prefix(rows: DataFrame, cuts: DataFrame, groups: Sequence[str], key: st
 
 
 def rank_in_group(
-    rows: DataFrame, groups: Sequence[str], key: str, rank: str = "rank", sort_rows: int = SORT_ROWS
+    rows: DataFrame, groups: Sequence[str], key: str, rank: str = "rank", sort_rows: int = SORT_ROWS, largest: int | None = None
 ) -> DataFrame:
     """1-based rank of each row by ``key`` inside its group; sorts one slice at a time.
 
-    The number of slices follows from the largest group, so that none holds much more than ``sort_rows`` rows.
+    The number of slices follows from the size of the largest group (counted when not given), so that
+    none holds much more than ``sort_rows`` rows.
     """
     names = list(groups)
-    largest = rows.groupBy(*names).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if largest is None:
+        largest = rows.groupBy(*names).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
     digits = next(d for d in range(1, 9) if largest / 16**d <= sort_rows / 4 or d == 8)
     sliced = rows.withColumn("_slice", F.substring(F.col(key), 1, digits))
     before = Window.partitionBy(*names).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

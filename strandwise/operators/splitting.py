@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from strandwise.functions.keys import SEQUENCE, shuffle_key
 from strandwise.functions.reads import read_weight
 from strandwise.operators.dedup import dedup_cross_sample, dedup_shared_by_all, keep_first
+from strandwise.operators.joins import skew_join
 from strandwise.operators.ordering import flag_prefix, prefix_cuts
 from strandwise.session import stage
 
@@ -122,17 +123,19 @@ def sample_assignment(reads: DataFrame, ratio: float = TRAIN_SHARE, few: int = 3
         .when(F.col("in_train"), F.lit("train")).otherwise(F.lit("test")).alias("plan"),
         F.when(few_samples, F.lit("*")).otherwise(F.col("sample_id")).alias("unit"),
         F.when(few_samples, F.lit(float(ratio))).otherwise(F.col("needed") / F.col("weight")).alias("share"),
+        "n_rows",
     )
 
 
 def split_by_sample(reads: DataFrame, ratio: float = TRAIN_SHARE, seed: int = SEED, **how) -> DataFrame:
     """Whole samples on one side where that meets the ratio, the rest split by sequence."""
     plan = stage(sample_assignment(reads, ratio, **how), "assignment")
-    keyed = reads.withColumn("_order", shuffle_key(*SEQUENCE, seed=seed)).join(plan, ["ctype", "sample_id"])
+    keyed = reads.withColumn("_order", shuffle_key(*SEQUENCE, seed=seed)).join(plan.drop("n_rows"), ["ctype", "sample_id"])
     groups = ["ctype", "unit"]
-    parts = keyed.where(F.col("plan") == "split")
-    # the share is the same for all rows of a unit
-    sizes = parts.groupBy(*groups).agg(F.floor(F.count("*") * F.max("share")).cast("long").alias("target"))
+    split = F.col("plan") == "split"
+    parts = keyed.where(split)
+    # the share is the same for all samples of a unit
+    sizes = plan.where(split).groupBy(*groups).agg(F.floor(F.sum("n_rows") * F.max("share")).cast("long").alias("target"))
     cuts = prefix_cuts(parts, groups, "_order", sizes, nearest=True)
     first = F.when(F.col("plan") == "split", F.col("_order") <= F.col("cut")).otherwise(F.col("plan") == "train")
     return _sides(keyed.join(cuts, groups, "left").withColumn("_first", first)).select(*reads.columns, "side")
@@ -154,8 +157,11 @@ def dedup_shared_split(reads: DataFrame, ratio: float = TRAIN_SHARE, seed: int =
 
 
 def apply_membership(reads: DataFrame, assignment: DataFrame, key: str) -> DataFrame:
-    """Rows routed to the side their key (sample, file or read name) is assigned to."""
-    return reads.join(assignment.select(key, "side"), key)
+    """Rows routed to the side their key (sample, file or read name) is assigned to.
+
+    The written assignment shows its size: a short one is broadcast and the rows stay in place.
+    """
+    return reads.join(stage(assignment.select(key, "side"), "membership"), key)
 
 
 def split_manual(reads: DataFrame, assignment: DataFrame) -> DataFrame:
@@ -164,15 +170,19 @@ def split_manual(reads: DataFrame, assignment: DataFrame) -> DataFrame:
 
 
 def split_train_valid_test(
-    reads: DataFrame, ratios: tuple[float, float, float], by: str, label: str = "ctype", seed: int = SEED
+    reads: DataFrame, ratios: tuple[float, float, float], by: str, label: str = "ctype", seed: int = SEED, **how
 ) -> DataFrame:
-    """Distinct values of ``by`` (read name or file) split per label in up to three parts."""
+    """Distinct values of ``by`` (read name or file) split per label in up to three parts.
+
+    A file may hold a large share of the rows, so its rows are routed in parts (see ``skew_join``).
+    """
     if abs(sum(ratios) - 1.0) > 1e-9:
         raise ValueError("ratios must sum to 1")
     if ratios[0] == 1.0:
         return reads.withColumn("side", F.lit("train"))
     items = stage(
-        reads.groupBy(by).agg(F.min(label).alias("_label")).withColumn("_order", shuffle_key(by, seed=seed)), "names"
+        reads.groupBy(by).agg(F.min(label).alias("_label"), F.count("*").alias("n")).withColumn("_order", shuffle_key(by, seed=seed)),
+        "names",
     )
     train = prefix_cuts(items, ["_label"], "_order", _portion(ratios[0]))
     valid = prefix_cuts(items, ["_label"], "_order", _portion(ratios[0] + ratios[1]))
@@ -180,4 +190,4 @@ def split_train_valid_test(
     sides = flagged.select(
         by, F.when(F.col("_t"), F.lit("train")).when(F.col("_v"), F.lit("valid")).otherwise(F.lit("test")).alias("side")
     )
-    return apply_membership(reads, sides, by)
+    return skew_join(reads, stage(sides, "membership"), [by], counts=items.select(by, "n"), **how)
