@@ -8,7 +8,9 @@ from strandwise.catalog import query, views as V
 from strandwise.catalog.interval_queries import IMPUTE_SQL
 from strandwise.functions import alignments as AL
 from strandwise.operators import genome as G, profiles
-from strandwise.plans.build_reads import build_reads, extract_reads
+from strandwise.plans.build_reads import build_reads, extract_reads, prepare_regions
+from strandwise.session import scratch_path, stage
+from strandwise.streaming.ingest import ingest_samples, stream_fragments
 
 SLICE_SQL = f"""
 SELECT m.dmr_label, any_value(m.chr) AS chr, any_value(m."start") AS "start", any_value(m."end") AS "end",
@@ -85,6 +87,20 @@ def built_on_target(spark, sf):
     return profiles.on_target(_build(spark, sf))
 
 
+@query("ingest_samples", BUILD_SQL)
+def ingest_samples_query(spark, sf):
+    """One PAT file per sample picked up by a stream; the appended table equals the batch build."""
+    src, out, state = (scratch_path(spark, n) for n in ("incoming", "reads", "state"))
+    raw = V.raw_fragments(spark, sf)
+    raw.withColumnRenamed("sample_id", "sample").write.partitionBy("sample").csv(src, sep="\t")
+    samples = raw.select("sample_id").distinct().withColumn("ctype", F.concat(F.lit("T"), F.substring("sample_id", 2, 10)))
+    marked = prepare_regions(V.markers(spark, sf), V.genome_cpgs(spark, sf), V.genome(spark, sf), V.CHUNK)
+    # the folder names the sample here, and all files of the folder tree arrive in one batch
+    arriving = stream_fragments(spark, src, files_per_batch=1 << 20).drop("sample_id").withColumnRenamed("sample", "sample_id")
+    ingest_samples(arriving, stage(samples, "samples"), marked, out, state).awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
 def _first_call(batches):
     """A user extractor: the first called CpG of a pattern."""
     for pdf in batches:

@@ -175,6 +175,13 @@ def top_regions(spark, sf):
     return selection.top_regions(r, 20, "stat")
 
 
+@query("assign_region_ids", """
+SELECT p_partkey AS dmr_label, p_retailprice - 1000 AS stat, row_number() OVER (ORDER BY abs(p_retailprice - 1000) DESC, p_partkey) - 1 AS dmr_id FROM part""")
+def assign_region_ids(spark, sf):
+    r = V.table(spark, sf, "part").select(F.col("p_partkey").alias("dmr_label"), (F.col("p_retailprice") - 1000).alias("stat"))
+    return selection.assign_region_ids(r, "stat", "dmr_label")
+
+
 SKIP_SQL = f"""
 WITH w AS (SELECT DISTINCT sample_id, dmr_label FROM ({J3_SQL}) j)
 SELECT sample_id, dmr_label FROM w WHERE NOT EXISTS (

@@ -9,6 +9,7 @@ from strandwise.catalog import query, views as V
 from strandwise.operators import confidence as C, metrics as M
 from strandwise.operators.scoring import score_reads
 from strandwise.plans.reports import sample_composition
+from strandwise.session import scratch_path
 from strandwise.streaming.ingest import running_composition
 
 P = V.PROBS_SQL
@@ -104,8 +105,17 @@ def sample_composition_query(spark, sf):
 
 @query("running_composition", f"SELECT sample_id, pred, count(*) AS n_reads FROM ({P}) p GROUP BY ALL")
 def running_composition_query(spark, sf):
-    """The batch counterpart of the streaming count; the stream itself is covered by the tests."""
-    return running_composition(V.scored(spark, sf))
+    """The scored table read as a stream to its end; the last state of the counts is the result."""
+    src, out, state = (scratch_path(spark, n) for n in ("scored", "counts", "state"))
+    V.scored(spark, sf).select("sample_id", "pred").write.parquet(src)
+    stream = spark.readStream.schema("sample_id string, pred int").option("maxFilesPerTrigger", 4).parquet(src)
+    q = (
+        running_composition(stream).writeStream.outputMode("complete")
+        .foreachBatch(lambda counts, i: counts.write.mode("overwrite").parquet(f"{out}/{i:06d}"))
+        .option("checkpointLocation", state).trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/{q.lastProgress['batchId']:06d}")
 
 
 @query("pooled_call", f"""

@@ -161,3 +161,17 @@ def write_composition(spark, sf):
     path = scratch_path(spark, "composition")
     W.write_composition(metrics.composition(V.scored(spark, sf)), path)
     return spark.read.schema("sample_id string, pred int, n_reads bigint, pct double").json(path)
+
+
+@query("read_family_schemes", """
+SELECT 'Method ' || CAST(p_size % 5 AS VARCHAR) AS scheme, p_brand AS family, 'type ' || CAST(p_partkey AS VARCHAR) || part AS ctype
+FROM part, (VALUES ('a'), ('b')) x(part)""")
+def read_family_schemes(spark, sf):
+    """Text with a title line per part of a scheme."""
+    path = scratch_path(spark, "schemes")
+    key = F.col("p_partkey").cast("string")
+    member = F.concat(F.lit("- "), F.col("p_brand"), F.lit(": type "), key, F.lit("a, type "), key, F.lit("b"))
+    title = F.concat(F.lit("Method "), (F.col("p_size") % 5).cast("string"))
+    rows = V.table(spark, sf, "part").select(F.explode(F.array(title, member, F.lit(""))).alias("value"))
+    rows.write.text(path)
+    return S.read_family_schemes(spark, path)

@@ -1,76 +1,69 @@
-"""Methylation calls of aligned reads."""
+"""Methylation calls of aligned reads, as column expressions."""
 
 from __future__ import annotations
 
-import re
+from pyspark.sql import Column, functions as F
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
-from pyspark.sql.functions import pandas_udf
-
-from strandwise.functions.keys import let
+from strandwise.functions.keys import as_col, let
 
 DUPLICATE, PAIRED, REVERSE, FIRST = 1024, 1, 16, 64
 METHYLATED_FROM = 178  # summed 0..255 likelihoods of both modifications
-
-DECODED = T.StructType([T.StructField("bases", T.StringType()), T.StructField("failed", T.BooleanType())])
-_OP = re.compile(r"(\d+)([A-Z=])")
-_KEEP, _DROP, _GAP = "keep", "drop", "gap"
-_EFFECT = {"D": _GAP, "S": _DROP, "I": _DROP}
+FAILED = "!"  # stands for a non-CpG call inside a CpG
 
 
-def project_on_reference(calls: str, cigar: str) -> str:
+def project_on_reference(calls: Column, cigar: Column) -> Column:
     """Per-base calls of the query laid out along the reference: clips and insertions go, deletions are D."""
-    out, at = [], 0
-    for size, op in _OP.findall(cigar):
-        n, effect = int(size), _EFFECT.get(op, _KEEP)
-        if effect == _GAP:
-            out.append("D" * n)
-            continue
-        if effect == _KEEP:
-            out.append(calls[at : at + n])
-        at += n
-    return "".join(out)
-
-
-def _decode_one(ref: str, xm: str, cigar: str, flag: int) -> tuple[str | None, bool]:
-    calls = project_on_reference(xm, cigar)
-    sites = [m.start() for m in re.finditer("CG", ref)]
-    if not sites:
-        return None, False
-    reverse = bool(flag & REVERSE)
-    if flag & PAIRED:
-        top = reverse != bool(flag & FIRST)
-    else:
-        top = not reverse
-    bases = list(ref)
-    for c in sites:
-        # the call of a bottom-strand read sits on the G
-        at = c if top or c >= len(calls) else c + 1
-        call = calls[at] if at < len(calls) else "."
-        if call in ".D":
-            call = "C"
-        elif call in "xhXH":
-            if "D" not in calls[c : c + 2]:
-                return None, True
-            call = "C"
-        bases[c] = call
-    return "".join(bases), False
-
-
-@pandas_udf(DECODED)
-def decode_bismark(ref: pd.Series, xm: pd.Series, cigar: pd.Series, flag: pd.Series) -> pd.DataFrame:
-    """Reference bases with z / Z at called CpGs.
-
-    Duplicates, reads without a CpG call and references without a CG give null. A non-CpG call inside
-    a CpG sets ``failed`` instead of ending the job.
+    sizes = F.regexp_extract_all(cigar, F.lit(r"(\d+)[A-Z=]"), F.lit(1))
+    kinds = F.regexp_extract_all(cigar, F.lit(r"\d+([A-Z=])"), F.lit(1))
+    steps = F.zip_with(sizes, kinds, lambda n, k: F.struct(n.cast("int").alias("n"), k.alias("k")))
+
+    def step(acc: Column, s: Column) -> Column:
+        n, kind = s["n"], s["k"]
+        kept = F.when(kind == "D", F.repeat(F.lit("D"), n)).when(kind.isin("S", "I"), "").otherwise(
+            F.substring(calls, acc["at"] + 1, n)
+        )
+        return F.struct(
+            F.concat(acc["text"], kept).alias("text"), F.when(kind == "D", acc["at"]).otherwise(acc["at"] + n).alias("at")
+        )
+
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
+    return F.aggregate(steps, start, step, lambda acc: acc["text"])
+
+
+def decode_bismark(ref: Column | str, xm: Column | str, cigar: Column | str, flag: Column | str) -> Column:
+    """struct(bases, failed): reference bases with z / Z at called CpGs.
+
+    Duplicates, reads without a CpG call and references without a CG give null bases. A missing or
+    deleted call counts as C. A non-CpG call inside a CpG sets ``failed`` instead of ending the job.
     """
-    rows = [
-        _decode_one(r, x, c, int(f))
-        if r and x and c and not int(f) & DUPLICATE and ("z" in x or "Z" in x) else (None, False)
-        for r, x, c, f in zip(ref, xm, cigar, flag)
-    ]
-    return pd.DataFrame(rows, columns=["bases", "failed"])
+    ref, xm, cigar, flag = (as_col(c) for c in (ref, xm, cigar, flag))
+    bit = lambda b: flag.bitwiseAND(b) != 0
+    top = F.when(bit(PAIRED), bit(REVERSE) != bit(FIRST)).otherwise(~bit(REVERSE))
+
+    def spelled(calls: Column) -> Column:
+        def base(i: Column) -> Column:
+            # the call of a bottom-strand read sits on the G
+            at = F.when(top | (i > F.length(calls)), i).otherwise(i + 1)
+            call = F.when(at <= F.length(calls), F.substring(calls, at, F.lit(1))).otherwise(".")
+            shown = let(
+                call,
+                lambda c: F.when(c.isin(".", "D"), "C")
+                .when(c.isin("x", "h", "X", "H"), F.when(F.contains(F.substring(calls, i, F.lit(2)), F.lit("D")), "C").otherwise(FAILED))
+                .otherwise(c),
+            )
+            return F.when(F.substring(ref, i, F.lit(2)) == "CG", shown).otherwise(F.substring(ref, i, F.lit(1)))
+
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(ref)), base), "")
+
+    usable = ~bit(DUPLICATE) & xm.rlike("[zZ]") & F.contains(ref, F.lit("CG"))
+    text = F.when(usable, let(project_on_reference(xm, cigar), spelled))
+    return let(
+        text,
+        lambda t: F.struct(
+            F.when(~F.contains(t, F.lit(FAILED)), t).alias("bases"),
+            F.coalesce(F.contains(t, F.lit(FAILED)), F.lit(False)).alias("failed"),
+        ),
+    )
 
 
 def decoded_kmers(bases: Column, k: int = 3) -> tuple[Column, Column]:

@@ -156,6 +156,29 @@ def rank_positions(
     )
 
 
+def rank_globally(rows: DataFrame, *order: Column | str, rank: str = "rank") -> DataFrame:
+    """1-based rank over the whole table by a distributed sort; ``order`` must tell rows apart.
+
+    The sorted rows are written with their partition and place. One count per partition turns the
+    place into a rank.
+    """
+    placed = stage(
+        rows.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}),
+        "sorted",
+    )
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = stage(
+        placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+        .select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")),
+        "offsets",
+    )
+    return (
+        placed.join(offsets, "_part")
+        .withColumn(rank, F.col("_offset") + F.col("_place") - F.col("_first") + 1)
+        .drop("_part", "_place", "_first", "_offset")
+    )
+
+
 def running(
     rows: DataFrame,
     groups: Sequence[str],

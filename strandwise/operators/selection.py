@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandwise.functions.naming import matches_any
+from strandwise.operators.ordering import rank_globally
 
 TRAINING_COLUMNS = ("dna_seq", "methyl_seq", "ctype", "dmr_label")
 
@@ -65,6 +66,14 @@ def top_regions(regions: DataFrame, n: int, by: str | None, tie: str = "dmr_labe
     return regions.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= n).drop("_rank")
 
 
+def assign_region_ids(regions: DataFrame, by: str | None, tie: str) -> DataFrame:
+    """Number regions from 0 by falling absolute statistic, unless they already carry ``dmr_id``."""
+    if "dmr_id" in regions.columns:
+        return regions
+    order = [F.abs(F.col(by)).desc()] if by else []
+    return rank_globally(regions, *order, tie, rank="dmr_id").withColumn("dmr_id", F.col("dmr_id") - 1)
+
+
 def first_rows(rows: DataFrame, n: int, key: str) -> DataFrame:
     """The first ``n`` rows by ``key`` (a top-n, not a full sort)."""
     return rows.orderBy(key).limit(n)

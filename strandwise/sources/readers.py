@@ -209,6 +209,22 @@ def read_manifest(spark: SparkSession, path: str, multiline: bool = True) -> Dat
     ).select("sample_key", "e.pat_file", "e.output_file", "e.cell_type", "collective_csv_file", "fasta_file", "cpg_bed_file")
 
 
+def read_family_schemes(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Grouping schemes from text: a title line, then ``- family: type, type, ...`` lines.
+
+    One row per (scheme, family, ctype); the result goes into ``naming.assign_family``.
+    """
+    lines = numbered_lines(spark, path).withColumn("value", F.trim("value")).where(F.col("value") != "")
+    is_member = F.col("value").startswith("- ")
+    filled = fill_from_marker(lines, F.when(~is_member, F.col("value")), "scheme").where(is_member)
+    # the last colon separates the family, whose own name may hold one
+    family = F.regexp_extract("value", r"^- (.*):[^:]*$", 1)
+    members = F.split(F.regexp_extract("value", r":([^:]*)$", 1), ",")
+    return filled.select("scheme", F.trim(family).alias("family"), F.explode(F.transform(members, lambda m: F.trim(m))).alias("ctype")).where(
+        F.col("ctype") != ""
+    )
+
+
 def manifest_from_names(names: DataFrame, column: str = "name", label: str = "CTC") -> DataFrame:
     """Manifest rows for the ``*.pat.gz`` names found in whitespace-separated text."""
     found = names.select(F.explode(F.split(F.col(column), r"\s+")).alias("pat_file")).where(
