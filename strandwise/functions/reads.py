@@ -47,7 +47,7 @@ def impute_missing(pattern: Column) -> Column:
 
 def n_cpg(methyl: Column) -> Column:
     """Number of called CpGs in a methylation string."""
-    return F.length(F.regexp_replace(methyl, "[^01]", ""))
+    return F.length(F.regexp_replace(methyl, "[^01]", "")).cast("long")
 
 
 def is_informative(methyl: Column) -> Column:

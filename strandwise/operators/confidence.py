@@ -27,7 +27,7 @@ def confidence_extremes(scored: DataFrame, low_k: int = 15, high_k: int = 15, sh
         ).select("true_label", "r.*")
         place = Window.partitionBy("true_label").orderBy(sign * F.col("confidence"), "read_id")
         parts.append(
-            unique.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).withColumn("kind", F.lit(kind))
+            unique.withColumn("place", F.row_number().over(place).cast("long")).where(F.col("place") <= k).withColumn("kind", F.lit(kind))
         )
     best = F.transform(vectors.top_k(F.col("probs"), shown), lambda s: s["class"])
     listed = F.when(F.array_contains(best, F.col("true_label")), best).otherwise(
@@ -52,4 +52,4 @@ def top_classes(scored: DataFrame, k: int = 5) -> DataFrame:
     """The k best classes of every read with their probabilities, one row each."""
     return scored.select(
         "read_id", F.posexplode(vectors.top_k(F.col("probs"), k)).alias("place", "c")
-    ).select("read_id", (F.col("place") + 1).alias("place"), F.col("c.class").alias("class"), F.col("c.prob").alias("prob"))
+    ).select("read_id", (F.col("place") + 1).cast("long").alias("place"), F.col("c.class").alias("class"), F.col("c.prob").alias("prob"))

@@ -104,7 +104,7 @@ def pooled_call(scored: DataFrame, by: Sequence[str] = ("sample_id",)) -> DataFr
     )
     place = Window.partitionBy(*by).orderBy(F.desc("_mean"), "class")
     return means.select(
-        *by, "class", F.round("_mean", 6).alias("mean_prob"), F.row_number().over(place).alias("place"),
+        *by, F.col("class").cast("long").alias("class"), F.round("_mean", 6).alias("mean_prob"), F.row_number().over(place).cast("long").alias("place"),
         "n_called", "n_reads",
     )
 

@@ -77,7 +77,7 @@ def agreement_bands(reads: DataFrame) -> DataFrame:
 
 def length_counts(reads: DataFrame, column: str = "methyl_seq") -> DataFrame:
     """Rows and percent per length."""
-    counts = reads.groupBy(F.length(column).alias("length")).agg(F.count("*").alias("n_rows"))
+    counts = reads.groupBy(F.length(column).cast("long").alias("length")).agg(F.count("*").alias("n_rows"))
     total = F.sum("n_rows").over(Window.partitionBy(F.lit(0)))  # one row per length
     return counts.withColumn("pct", _share(F.col("n_rows"), total))
 
@@ -87,7 +87,7 @@ def length_profile(reads: DataFrame, column: str = "methyl_seq") -> DataFrame:
 
     Lengths are counted first, so the exact median works on one row per length.
     """
-    c = reads.groupBy(F.length(column).alias("length")).agg(F.count("*").alias("n"))
+    c = reads.groupBy(F.length(column).cast("long").alias("length")).agg(F.count("*").alias("n"))
     n, x = F.col("n"), F.col("length")
     total, first, second = F.sum(n), F.sum(n * x), F.sum(n * x * x)
     mean = first / total
@@ -102,7 +102,7 @@ def length_profile(reads: DataFrame, column: str = "methyl_seq") -> DataFrame:
 
 def length_histogram(reads: DataFrame, column: str = "methyl_seq", bins: int = 50) -> DataFrame:
     """Rows per equal-width length bin, the last bin closed on the right; empty bins are left out."""
-    c = reads.groupBy(F.length(column).alias("length")).agg(F.count("*").alias("n"))
+    c = reads.groupBy(F.length(column).cast("long").alias("length")).agg(F.count("*").alias("n"))
     edge = Window.partitionBy(F.lit(0))  # one row per length
     low, high = F.min("length").over(edge), F.max("length").over(edge)
     spot = F.when(high == low, F.lit(0)).otherwise(
@@ -144,7 +144,7 @@ def top_region_types(reads: DataFrame, k: int = 5) -> DataFrame:
     counts = reads.groupBy("ctype", "dmr_ctype").agg(F.count("*").alias("n_rows"))
     per_type = Window.partitionBy("ctype")  # as many rows as region types
     ranked = counts.withColumn("pct", _share(F.col("n_rows"), F.sum("n_rows").over(per_type))).withColumn(
-        "place", F.row_number().over(per_type.orderBy(F.desc("n_rows"), "dmr_ctype"))
+        "place", F.row_number().over(per_type.orderBy(F.desc("n_rows"), "dmr_ctype")).cast("long")
     )
     return ranked.where(F.col("place") <= k)
 
@@ -163,16 +163,16 @@ def label_index(*tables: DataFrame) -> DataFrame:
         counts = part if counts is None else counts.unionByName(part)
     merged = counts.groupBy("ctype").agg(F.sum("n").alias("n_rows"))
     # one row per cell type
-    return merged.withColumn("label", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ctype")) - 1)
+    return merged.withColumn("label", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ctype")).cast("long") - 1)
 
 
 def profile_reads(reads: DataFrame) -> DataFrame:
     """Longest token sequence and range of labels over all reads; one row."""
-    tokens = F.size(F.split("dna_seq", " "))
+    tokens = F.size(F.split("dna_seq", " ")).cast("long")
     label = F.col("dmr_label").cast("long")
     return reads.agg(
         F.count("*").alias("n_rows"), F.max(tokens).alias("max_tokens"),
-        F.max(F.length("methyl_seq")).alias("max_methyl"),
+        F.max(F.length("methyl_seq").cast("long")).alias("max_methyl"),
         F.min(label).alias("min_label"), F.max(label).alias("max_label"),
         F.count_if(tokens != F.length("methyl_seq")).alias("n_mismatched"),
     )
