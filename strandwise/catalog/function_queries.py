@@ -59,6 +59,19 @@ def normalize_chromosome(spark, sf):
     return counts.select("name", coords.normalize_chromosome(F.col("name")).alias("chr"), "n").where(coords.is_autosome(F.col("chr")))
 
 
+@query("drop_sex_chromosomes", """
+SELECT chr, n, regexp_matches(chr, 'chr[0-9]') AS numbered FROM (
+ SELECT CASE p_size % 4 WHEN 0 THEN 'chrX' WHEN 1 THEN 'chrY' WHEN 2 THEN 'chrM' ELSE 'chr' || CAST(p_size AS VARCHAR) || '_alt' END AS chr, count(*) AS n FROM part GROUP BY 1) t
+WHERE chr NOT IN ('chrX', 'chrY')""")
+def drop_sex_chromosomes(spark, sf):
+    kind = F.col("p_size") % 4
+    name = F.when(kind == 0, "chrX").when(kind == 1, "chrY").when(kind == 2, "chrM").otherwise(
+        F.concat(F.lit("chr"), F.col("p_size").cast("string"), F.lit("_alt"))
+    )
+    counts = V.table(spark, sf, "part").groupBy(name.alias("chr")).agg(F.count("*").alias("n")).where(coords.is_autosome(F.col("chr")))
+    return counts.withColumn("numbered", coords.is_autosome(F.col("chr"), numbered_only=True))
+
+
 @query("clean_reads", """
 SELECT dna_seq, methyl_seq, ctype, CAST(dmr_label AS INT) AS dmr_label FROM (
  SELECT p_name AS dna_seq, CASE WHEN p_partkey % 7 = 0 THEN 'xx' ELSE CAST(p_size AS VARCHAR) END AS methyl_seq,

@@ -134,7 +134,7 @@ def split_report(spark, sf):
 
 @query("sequence_groups", f"SELECT sample_id, seq_key, CAST(weight AS BIGINT) AS weight, n, group_type FROM (SELECT sample_id, md5(dna_seq || '|' || methyl_seq) AS seq_key, sum(read_count) AS weight, count(*) AS n, arg_min(dmr_ctype, row_id) AS group_type FROM ({R}) r GROUP BY sample_id, md5(dna_seq || '|' || methyl_seq)) g")
 def sequence_groups(spark, sf):
-    return B.sequence_groups(_reads(spark, sf))
+    return B.sequence_groups(_reads(spark, sf)).drop("first_at", "first_type")
 
 
 # The chain over types is a recursion over at most nine types per sample.

@@ -17,12 +17,15 @@ TARGET_SCHEMA = "sample_id string, group_type string, target bigint, edge bigint
 
 
 def sequence_groups(reads: DataFrame, order: str = "row_id") -> DataFrame:
-    """One row per (sample, sequence): weight, rows and the region type of the first row."""
+    """One row per (sample, sequence): weight, rows, and region type, place and cell type of the first row."""
     weight = read_weight(F.col("read_count")) if "read_count" in reads.columns else F.lit(1)
     return reads.groupBy("sample_id", content_key(*SEQUENCE).alias("seq_key")).agg(
         F.sum(weight).cast("long").alias("weight"),
         F.count("*").alias("n"),
-        F.min_by("dmr_ctype", order).alias("group_type"),
+        F.min(F.struct(F.col(order).alias("at"), "dmr_ctype", "ctype")).alias("_first"),
+    ).select(
+        "sample_id", "seq_key", "weight", "n", F.col("_first.dmr_ctype").alias("group_type"),
+        F.col("_first.at").alias("first_at"), F.col("_first.ctype").alias("first_type"),
     )
 
 
@@ -108,7 +111,7 @@ def balance_on_target(reads: DataFrame, order: str = "row_id", seed: int = 42, *
     weight stay whole.
     """
     groups = stage(sequence_groups(reads, order), "groups")
-    own = stage(reads.groupBy("sample_id").agg(F.min_by("ctype", order).alias("own_type")), "own-types")
+    own = stage(groups.groupBy("sample_id").agg(F.min_by("first_type", "first_at").alias("own_type")), "own-types")
     targets = stage(balance_targets(groups, own), "targets")
     typed = groups.join(own, "sample_id")
     is_own = F.col("group_type") == F.col("own_type")
