@@ -39,11 +39,11 @@ def test_mixture_proportions_is_the_maximum(spark, seed):
     got = {r["cell_type"]: r["pred"] for r in X.mixture_proportions(df, margins).collect()}
     assert sum(got.values()) == pytest.approx(1.0)
     best = objective(got, rows, margins)
-    grid = np.linspace(0.001, 0.997, 60)
+    grid = np.linspace(0.001, 0.997, 15)
     for a in grid:
         for b in grid:
             if a + b < 0.999:
-                assert objective({"A": a, "B": b, "C": 1 - a - b}, rows[::1], margins) <= best + 1e-6 if (a * 60 + b * 7) % 5 < 0.2 else True
+                assert objective({"A": a, "B": b, "C": 1 - a - b}, rows, margins) <= best + 1e-6
     for i, j in (("A", "B"), ("B", "C"), ("A", "C")):
         for d in (1e-4, -1e-4):
             moved = {**got, i: got[i] + d, j: got[j] - d}
