@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandwise.llm import decontamination, mixing, secrets, token_records
+from strandwise.llm import decontamination, mixing, quality, secrets, token_records, toxicity
+from strandwise.llm.labelled import held_out
 from strandwise.llm.sql import OP6_SQL, OP9_SQL
 from strandwise.session import stage
 
@@ -29,6 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), out="toxicity", keep=["doc_id"])
+    score = F.col("toxicity.score")
+    return scored.select(
+        "doc_id", held_out("doc_id").alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted")
+    )
+
+
 @query("op4_secret_scan")
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"), out="secrets", keep=["doc_id"])
@@ -65,3 +76,19 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     mixed = mixing.mix(stage(docs, "mix-sizes"), F.col("size"), out="mix")
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+
+
+def _grade():
+    """Grades of the labels: 0 poor, 1 well written but toxic, 2 good."""
+    return F.col("quality") * (F.lit(2) - F.coalesce("toxic", F.lit(0)))
+
+
+@query("op10_quality_grade")
+def op10_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), _grade(), 3)
+    q = F.col("quality")
+    return quality.grade(docs, model, out="quality", keep=["doc_id"]).select(
+        "doc_id", held_out("doc_id").alias("held_out"), q["expected_grade"].alias("expected_grade"),
+        q["tails"][0].alias("p_acceptable"), q["tails"][1].alias("p_good"), (q["tails"][0] >= 0.5).alias("keep"),
+    )
