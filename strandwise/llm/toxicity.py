@@ -1,6 +1,6 @@
 """Toxicity from class-conditional Kneser-Ney models of the letters of words.
 
-Two models predict each letter from the four before it in its word. Their highest order holds the
+Two models predict each letter from the six before it in its word. Their highest order holds the
 counts of one class; both back off to the same lower orders, whose continuation counts come from both
 classes together, so an expression that neither class has seen weighs nothing either way. A text is
 judged by its length-normalised log-likelihood under the toxic model less that under the ordinary one:
@@ -25,12 +25,13 @@ from strandwise.llm.columns import with_struct
 from strandwise.llm.labelled import sample, training_labels
 from strandwise.session import stage
 
-ORDER = 5
-BITS = 12  # of a letter in a packed group; ORDER * BITS < 63
-BINS = 1 << 20
+ORDER = 7
+BITS = 8  # of a letter in a packed group; ORDER * BITS < 63
+BINS = 1 << 21
 DISCOUNT = 0.75
 STRETCH = 3  # words
-STRONG = 8.0  # log-likelihood ratio of a word that counts as strong
+STRONG = 3.0  # log-likelihood ratio of a word that counts as strong
+FEATURES = 5
 CALIBRATION_ROWS = 20_000
 CACHED_WORDS = 1 << 18
 ROWS = 256
@@ -179,17 +180,21 @@ class Scorer:
         if new:
             grams, lengths = letter_groups(new)
             known.update(zip(new, np.add.reduceat(self.ratios(grams), np.cumsum(lengths) - lengths).tolist()))
-        return np.array([self._features(ws) for ws in words]).reshape(-1, 4)
+        return np.array([self._features(ws) for ws in words]).reshape(-1, FEATURES)
 
     def _features(self, words: list[str]) -> list[float]:
         if not words:
-            return [0.0] * 4
+            return [0.0, 0.0, 0.0, 0.0, float(np.log(0.01))]
         ratio = np.array([*map(self.known.__getitem__, words)])
         length = np.array([*map(len, words)]) + 1.0
         n = min(STRETCH, len(words))
         up, along = np.concatenate([[0], np.cumsum(ratio)]), np.concatenate([[0], np.cumsum(length)])
         stretch = (up[n:] - up[:-n]) / (along[n:] - along[:-n])
-        return [float(up[-1] / along[-1]), float(stretch.max()), float((ratio / length).max()), float(np.log1p((ratio > STRONG).sum()))]
+        strong = float((ratio > STRONG).sum())
+        return [
+            float(up[-1] / along[-1]), float(stretch.max()), float((ratio / length).max()), float(np.log1p(strong)),
+            float(np.log((strong + 0.5) / (len(words) + 50))),
+        ]
 
 
 @dataclass
@@ -207,10 +212,10 @@ class Model:
 
 def _calibrate(ratios: Ratios, features: np.ndarray, label: np.ndarray) -> Model:
     """Logistic regression by Newton steps with a slight penalty on the weights."""
-    centre, scale = (features.mean(axis=0), np.maximum(features.std(axis=0), 1e-6)) if len(features) else (np.zeros(4), np.ones(4))
+    centre, scale = (features.mean(axis=0), np.maximum(features.std(axis=0), 1e-6)) if len(features) else (np.zeros(FEATURES), np.ones(FEATURES))
     x = np.hstack([(features - centre) / scale, np.ones((len(features), 1))])
-    w = np.zeros(5)
-    penalty = np.diag([1e-2] * 4 + [1e-6])
+    w = np.zeros(FEATURES + 1)
+    penalty = np.diag([1e-2] * FEATURES + [1e-6])
     for _ in range(30 if len(features) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
         grad = x.T @ (p - label) + penalty @ w
@@ -218,7 +223,7 @@ def _calibrate(ratios: Ratios, features: np.ndarray, label: np.ndarray) -> Model
         w -= step
         if np.abs(step).max() < 1e-8:
             break
-    return Model(ratios, centre, scale, w[:4], float(w[4]))
+    return Model(ratios, centre, scale, w[:-1], float(w[-1]))
 
 
 # --- the operator --------------------------------------------------------------------------------
@@ -240,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     few = stage(sample(usable.where("half = 1").select("id", "label"), CALIBRATION_ROWS), "toxicity-sample")
     rows = with_struct(texts.join(F.broadcast(few), "id"), "text", "made", FIELDS, _featurer(first), keep=["label"])
     got = rows.select("label", "made.features").toArrow()
-    features = np.array(got["features"].to_pylist(), dtype=float).reshape(-1, 4)
+    features = np.array(got["features"].to_pylist(), dtype=float).reshape(-1, FEATURES)
     curve = _calibrate(first, features, (got["label"].to_numpy() > 0).astype(float))
     return Model(fit_ratios(grams, c[2] + c[3], c[0] + c[1]), curve.centre, curve.scale, curve.weights, curve.bias)
 
@@ -259,7 +264,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicit
     Null and empty texts, and texts without letters, get the score of a text of which nothing is known.
     Equal texts score alike. A column already called ``out`` is replaced; other columns stay.
     """
-    # at most BINS groups: some 32 MB
+    # at most BINS groups: some 64 MB
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
