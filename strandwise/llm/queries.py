@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandwise.llm import decontamination, mixing, quality, secrets, token_records, toxicity
+from strandwise.llm import decontamination, html, mixing, quality, secrets, token_records, toxicity
 from strandwise.llm.labelled import held_out
 from strandwise.llm.sql import OP6_SQL, OP9_SQL
 from strandwise.session import stage
@@ -40,6 +40,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_main_text")
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages"), out="main", keep=["page_id", "url"])
+    return found.select("page_id", "url", F.col("main.text").alias("text"), F.length("main.text").cast("long").alias("n_chars"))
+
+
 @query("op4_secret_scan")
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"), out="secrets", keep=["doc_id"])
