@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandwise.llm import decontamination, html, mixing, quality, secrets, token_records, toxicity
+from strandwise.llm import decontamination, embeddings, html, mixing, quality, secrets, shingle_join, token_records, toxicity
 from strandwise.llm.labelled import held_out
-from strandwise.llm.sql import OP6_SQL, OP9_SQL
+from strandwise.llm.sql import OP5_SQL, OP6_SQL, OP7_SQL, OP9_SQL
 from strandwise.session import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_embedding_near_duplicates", OP5_SQL)
+def op5_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 @query("op6_decontamination", OP6_SQL)
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(
@@ -70,6 +76,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_shingle_join", OP7_SQL)
+def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shingle_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 @query("op8_token_records")
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
