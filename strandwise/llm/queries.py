@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandwise.llm import decontamination, embeddings, html, mixing, quality, secrets, shingle_join, token_records, toxicity
+from strandwise.llm import decontamination, embeddings, html, mixing, quality, secrets, shingle_join, substrings, token_records, toxicity
 from strandwise.llm.labelled import held_out
 from strandwise.llm.sql import OP5_SQL, OP6_SQL, OP7_SQL, OP9_SQL
 from strandwise.session import stage
@@ -46,6 +46,12 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main.text").alias("text"), F.length("main.text").cast("long").alias("n_chars"))
 
 
+@query("op3_substring_removal")
+def op3_substring_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.repeated_spans(table(spark, sf_dir, "documents"), out="r", keep=["doc_id"])
+    return found.select("doc_id", "r.n_bytes", "r.n_removed", "r.n_spans", "r.kept_sha256")
+
+
 @query("op4_secret_scan")
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"), out="secrets", keep=["doc_id"])
