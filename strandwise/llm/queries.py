@@ -116,3 +116,10 @@ def op10_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out("doc_id").alias("held_out"), q["expected_grade"].alias("expected_grade"),
         q["tails"][0].alias("p_acceptable"), q["tails"][1].alias("p_good"), (q["tails"][0] >= 0.5).alias("keep"),
     )
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
