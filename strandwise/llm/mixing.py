@@ -86,11 +86,11 @@ def mix(
         F.col(f"`{doc_id}`").cast("string").alias("id"), F.col(f"`{source}`").alias("from"),
     )
     rows = rows.withColumn("range", _range("id"))
-    targets = source_targets(rows, F.col("size"), "from", weights, share, epochs)
+    ranges = stage(rows.groupBy("from", "range").agg(F.sum("size").alias("n")), "mix-ranges")
+    targets = source_targets(ranges, F.col("n"), "from", weights, share, epochs)
     budget = F.floor(F.col("target") + 0.5).cast("long")
     plan = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long"))
     plan = plan.withColumn("rest", budget - F.col("whole") * F.col("source_size"))
-    ranges = rows.groupBy("from", "range").agg(F.sum("size").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("from").orderBy("range"))
     summed = ranges.withColumn("upto", upto)
     end = (

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandwise.llm.components import components
+from strandwise.llm.filters import with_flag
 from strandwise.session import stage
 
 WORDS = 5
@@ -386,14 +387,9 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("best"))
     judged = rows.join(best, "root").select("row", (F.col("row") == F.col("best.row")).alias("stays"), "copies")
     special = stage(judged.where("NOT stays OR copies > 1").groupBy("row").agg(F.max("stays").alias("stays")), "join-special")
-    bit = F.col("_row").bitwiseAND(F.lit(BLOOM_WORDS * 64 - 1))
-    words = special.select(F.col("row").alias("_row")).select(F.shiftright(bit, 6).alias("_word"), F.expr("shiftleft(1L, cast(_row & 63 as int))").alias("m"))
-    words = stage(words.groupBy("_word").agg(F.bit_or("m").alias("_bits")), "join-filter")
-    # at most BLOOM_WORDS rows of 16 bytes
-    marked = docs.withColumn("_row", row_key(doc_id, text)).withColumn("_word", F.shiftright(bit, 6)).join(F.broadcast(words), "_word", "left")
-    may_go = F.coalesce(F.expr("shiftright(_bits, cast(_row & 63 as int)) & 1") == 1, F.lit(False))
-    sure = marked.where(~may_go).select(*docs.columns)
-    asked = marked.where(may_go).join(special.select(F.col("row").alias("_row"), "stays"), "_row", "left")
+    marked = with_flag(docs.withColumn("_row", row_key(doc_id, text)), F.col("_row"), special.select(F.col("row").alias("key")), "_may_go")
+    sure = marked.where(~F.col("_may_go")).select(*docs.columns)
+    asked = marked.where("_may_go").join(special.select(F.col("row").alias("_row"), "stays"), "_row", "left")
     asked = asked.where(F.coalesce("stays", F.lit(True)))
     place = F.when(F.col("stays"), F.row_number().over(Window.partitionBy("_row").orderBy("_row"))).otherwise(1)
     asked = asked.withColumn("_place", place).where("_place = 1").select(*docs.columns)
