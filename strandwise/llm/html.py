@@ -155,7 +155,7 @@ def _lean(name: str, attributes: str) -> tuple[float, bool]:
 def odds_of(block: Block) -> float:
     """Log-odds of content: where the block stands, how long it is, how much of it is links."""
     n = len(block.text)
-    odds = -0.6 + block.lean + 0.45 * log1p(n / 20) - 4.0 * min(1.0, block.linked / n)
+    odds = -0.2 + block.lean + 0.45 * log1p(n / 20) - 4.0 * min(1.0, block.linked / n)
     return max(-12.0, min(12.0, odds + 0.5 * (block.text[-1] in ".!?:;\"'…")))
 
 

@@ -101,11 +101,13 @@ def fit_ordinal(rows: np.ndarray, bins: np.ndarray, values: np.ndarray, grades:
     The thresholds are a first one and positive gaps, so they stay in order.
     """
     n = len(grades)
+    if not n:
+        return Model(np.zeros(BINS, dtype=np.float32), np.arange(n_grades - 1, dtype=float))
     share = np.clip(np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / max(1, n), 1e-3, 1 - 1e-3)
     start = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-3 * np.arange(n_grades - 1))
     theta = np.concatenate([np.zeros(BINS), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, STEPS + 1 if n else 1):
+    for step in range(1, STEPS + 1):
         cuts = np.cumsum(np.concatenate([theta[BINS : BINS + 1], np.exp(theta[BINS + 1 :])]))
         z = np.bincount(rows, weights=values * theta[bins], minlength=n)
         # P(grade <= k) at both ends of each row's grade
