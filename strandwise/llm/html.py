@@ -50,7 +50,8 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.I) for name in ("script", "style", "noscript", "iframe", "textarea", "title", "template", "svg", "math")}
 
-SMOOTH = 1.2  # capacity between neighbours that share all ancestors
+MOST = 3.0  # log-odds that enclosing elements can add for content
+SMOOTH = 1.0  # capacity between neighbours that share all ancestors
 REACH = 3  # blocks in page order that are joined
 UNIT = 1000  # capacities are whole numbers of 1 / UNIT
 
@@ -125,7 +126,7 @@ def blocks_of(html: str) -> list[Block]:
         number += 1
         _, _, lean, dropped = stack[-1]
         own, hidden = _lean(name, match[3])
-        stack.append((name, number, lean + own, dropped or hidden or name in DROPPED))
+        stack.append((name, number, min(lean + own, MOST) if own > 0 else min(lean, MOST) + own, dropped or hidden or name in DROPPED))
         links += name == "a"
     write(html[at:])
     flush()
