@@ -18,6 +18,8 @@ import os
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from strandwise.session import scratch_path, stage
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 NULL = 2**32 - 1
-CACHED_WORDS = 1 << 18  # a task's memory of encoded words; emptied when full
+CACHED_WORDS = 1 << 19  # a worker's memory of encoded words; emptied when full
 ROWS = 256
 INDEX = np.dtype([("offset", "<u8"), ("size", "<u8"), ("ids", "<u4")])
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_bytes long"
@@ -51,7 +53,9 @@ class Encoder:
     """Texts to ids as little-endian bytes.
 
     This tokenizer drops white space before it splits, so a text's ids are those of its pieces between
-    spaces and line ends, one after the other; pieces seen before are not encoded again.
+    spaces and line ends, one after the other; pieces seen before are not encoded again. A piece of
+    Latin letters, with or without one mark behind, is split as the tokenizer would and goes straight to
+    its model; any other piece goes through the whole tokenizer.
     """
 
     def __init__(self, vocabulary: str):
@@ -59,19 +63,63 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
         if len(known) > CACHED_WORDS:
             known.clear()
-        new = [p for p in set().union(*pieces) if p not in known]
-        for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[piece] = np.array(got.ids, dtype=self.kind).tobytes()
-        end = np.array([END], dtype=self.kind).tobytes()
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
+        rest = []
+        for piece in set().union(*pieces).difference(known):
+            got = self._letters(piece)
+            if got is None:
+                rest.append(piece)
+            else:
+                known[piece] = got
+        for piece, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            known[piece] = self._packed(got.ids)
+        end = self._packed([END])
         return [b"".join([*map(known.__getitem__, p), end]) for p in pieces]
 
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.kind).tobytes()
+
+    def _letters(self, piece: str) -> bytes | None:
+        low = piece.lower()
+        word, mark = (low[:-1], low[-1]) if low and low[-1] in MARKS else (low, "")
+        if not word.isalpha() or max(word) >= BEYOND_LATIN or not is_normalized("NFC", word):
+            return None
+        return self._part(word) + (self._part(mark) if mark else b"")
+
+    def _part(self, part: str) -> bytes:
+        got = self.words.get(part)
+        if got is None:
+            spelled = part if part.isascii() else part.encode().decode("latin-1").translate(_byte_letters())
+            got = self.words[part] = self._packed([t.id for t in self.model.tokenize(spelled)])
+        return got
+
+
+MARKS = ",.!?;:"
+BEYOND_LATIN = "\u0250"
+
+
+@cache
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies spell a byte as its Latin-1 character, or one past 255 where that does not print."""
+    printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(printed)))}
+
+
+@cache
+def encoder(vocabulary: str) -> Encoder:
+    """One encoder for all tasks that a Python worker runs, with the pieces it knows."""
+    return Encoder(vocabulary)
+
 
 def _frames(keys: list[str | None], ids: list[bytes], width: int, squeeze: zstandard.ZstdCompressor) -> list[bytes]:
     payloads = []
@@ -122,7 +170,7 @@ class _Sink:
     """One data file and its index, written as the task goes."""
 
     def __init__(self, path: str, vocabulary: str):
-        self.encode = Encoder(vocabulary)
+        self.encode = encoder(vocabulary)
         self.width = np.dtype(self.encode.kind).itemsize
         self.squeeze = zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False)
         self.name = os.path.join(path, f"records-{uuid.uuid4().hex}")
