@@ -30,9 +30,10 @@ def n_cpg(spark, sf):
     return V.reads(spark, sf).select("row_id", X.n_cpg(F.col("methyl_seq")).alias("n_cpg"))
 
 
-@query("drop_uninformative", f"SELECT row_id, methyl_seq FROM (SELECT row_id, methyl_seq[1:4] AS methyl_seq FROM ({R}) r) s WHERE regexp_matches(methyl_seq, '[01]')")
+@query("drop_uninformative", f"SELECT row_id, methyl_seq FROM (SELECT row_id, CASE WHEN dmr_label % 4 = 0 THEN translate(methyl_seq, '01', '22') ELSE methyl_seq END AS methyl_seq FROM ({R}) r) s WHERE regexp_matches(methyl_seq, '[01]')")
 def drop_uninformative(spark, sf):
-    rows = V.reads(spark, sf).select("row_id", F.substring("methyl_seq", 1, 4).alias("methyl_seq"))
+    blank = F.translate("methyl_seq", "01", "22")
+    rows = V.reads(spark, sf).select("row_id", F.when(F.col("dmr_label") % 4 == 0, blank).otherwise(F.col("methyl_seq")).alias("methyl_seq"))
     return selection.drop_uninformative(rows)
 
 

@@ -10,21 +10,32 @@ from strandwise.functions import alignments as AL
 from strandwise.operators import genome as G, profiles
 from strandwise.plans.build_reads import build_reads, extract_reads, prepare_regions
 from strandwise.session import scratch_path, stage
-from strandwise.streaming.ingest import ingest_samples, stream_fragments
+from strandwise.streaming.ingest import ingest_samples, read_ingested, stream_fragments
 
-SLICE_SQL = f"""
+def _slice_sql(genome: str) -> str:
+    return f"""
 SELECT m.dmr_label, any_value(m.chr) AS chr, any_value(m."start") AS "start", any_value(m."end") AS "end",
- upper(substr(string_agg(g.seq, '' ORDER BY g.chunk_id), CAST(any_value(m."start") - min(g.chunk_id) * 32 AS BIGINT), any_value(m."end" - m."start") + 1)) AS ref_seq,
+ upper(substr(string_agg(rpad(coalesce(g.seq, ''), 32, 'N'), '' ORDER BY m.chunk_id), CAST(any_value(m."start") - min(m.chunk_id) * 32 AS BIGINT), any_value(m."end" - m."start") + 1)) AS ref_seq,
  any_value(m.cell_type) AS cell_type
-FROM ({V.MARKERS_SQL}) m JOIN ({V.GENOME_SQL}) g ON g.chr = m.chr AND g.chunk_id BETWEEN (m."start" - 1) // 32 AND (m."end" - 1) // 32 GROUP BY m.dmr_label
+FROM (SELECT *, unnest(range((m."start" - 1) // 32, (m."end" - 1) // 32 + 1)) AS chunk_id FROM ({V.MARKERS_SQL}) m) m
+LEFT JOIN ({genome}) g ON g.chr = m.chr AND g.chunk_id = m.chunk_id GROUP BY m.dmr_label HAVING count(g.seq) > 0
 """
 
 
+SLICE_SQL = _slice_sql(V.GENOME_SQL)
+
+
 @query("slice_reference", SLICE_SQL)
 def slice_reference(spark, sf):
     return G.slice_reference(V.markers(spark, sf), V.genome(spark, sf), V.CHUNK)
 
 
+@query("slice_reference_holes", _slice_sql(f"SELECT * FROM ({V.GENOME_SQL}) g WHERE chunk_id % 3 <> 1"))
+def slice_reference_holes(spark, sf):
+    """Every third chunk is absent: at the start, in the middle and at the end of spans."""
+    return G.slice_reference(V.markers(spark, sf), V.genome(spark, sf).where("chunk_id % 3 <> 1"), V.CHUNK)
+
+
 @query("index_cpgs", V.GENOME_CPG_SQL)
 def index_cpgs(spark, sf):
     return V.genome_cpgs(spark, sf)
@@ -89,16 +100,16 @@ def built_on_target(spark, sf):
 
 @query("ingest_samples", BUILD_SQL)
 def ingest_samples_query(spark, sf):
-    """One PAT file per sample picked up by a stream; the appended table equals the batch build."""
+    """Many PAT files of every sample picked up by a stream, a few per batch; the table equals the batch build."""
     src, out, state = (scratch_path(spark, n) for n in ("incoming", "reads", "state"))
     raw = V.raw_fragments(spark, sf)
-    raw.withColumnRenamed("sample_id", "sample").write.partitionBy("sample").csv(src, sep="\t")
+    raw.withColumnRenamed("sample_id", "sample").repartition(3).write.partitionBy("sample").csv(src, sep="\t")
     samples = raw.select("sample_id").distinct().withColumn("ctype", F.concat(F.lit("T"), F.substring("sample_id", 2, 10)))
     marked = prepare_regions(V.markers(spark, sf), V.genome_cpgs(spark, sf), V.genome(spark, sf), V.CHUNK)
-    # the folder names the sample here, and all files of the folder tree arrive in one batch
-    arriving = stream_fragments(spark, src, files_per_batch=1 << 20).drop("sample_id").withColumnRenamed("sample", "sample_id")
+    # the folder names the sample here
+    arriving = stream_fragments(spark, src, files_per_batch=8).drop("sample_id").withColumnRenamed("sample", "sample_id")
     ingest_samples(arriving, stage(samples, "samples"), marked, out, state).awaitTermination()
-    return spark.read.parquet(out).drop("batch")
+    return read_ingested(spark, out)
 
 
 def _first_call(batches):

@@ -25,18 +25,18 @@ def softmax(spark, sf):
 
 
 def _linear_model():
-    """A fixed linear scorer standing for the user's model: class j scores the j-th and (j+1)-th entry."""
+    """A fixed linear scorer standing for the user's model: class j scores the j-th entry and the one after it."""
 
     def predict(pdf):
         x = np.stack(pdf["embedding"].to_numpy()).astype(float)
-        return x[:, :10] - 0.5 * x[:, 1:11]
+        return x[:, :-1] - 0.5 * x[:, 1:]
 
     return predict
 
 
 @query("score_reads", """
 SELECT read_id, list_position(s, list_max(s)) - 1 AS pred, round(list_max(s), 6) AS top_logit FROM (
- SELECT vec_id AS read_id, list_transform(range(1, 11), lambda j: CAST(embedding[j] AS DOUBLE) - 0.5 * CAST(embedding[j + 1] AS DOUBLE)) AS s FROM embeddings) t""")
+ SELECT vec_id AS read_id, list_transform(range(1, len(embedding)), lambda j: CAST(embedding[j] AS DOUBLE) - 0.5 * CAST(embedding[j + 1] AS DOUBLE)) AS s FROM embeddings) t""")
 def score_reads_query(spark, sf):
     rows = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("read_id"), "embedding")
     return score_reads(rows, _linear_model, ["embedding"]).select(
@@ -121,7 +121,7 @@ def running_composition_query(spark, sf):
 @query("pooled_call", f"""
 SELECT sample_id, class, round(m, 6) AS mean_prob, row_number() OVER (PARTITION BY sample_id ORDER BY m DESC, class) AS place, n_called, n_reads FROM (
  SELECT sample_id, i - 1 AS class, avg(probs[i]) AS m, count(*) FILTER (pred = i - 1) AS n_called, count(*) AS n_reads
- FROM (SELECT sample_id, probs, pred, unnest(range(1, 11)) AS i FROM ({P}) p) q GROUP BY sample_id, i) g""")
+ FROM (SELECT sample_id, probs, pred, unnest(range(1, len(probs) + 1)) AS i FROM ({P}) p) q GROUP BY sample_id, i) g""")
 def pooled_call(spark, sf):
     return M.pooled_call(V.scored(spark, sf))
 
@@ -148,17 +148,17 @@ def per_class_confidence(spark, sf):
     return M.per_class_confidence(V.scored(spark, sf))
 
 
-CW = [0.5 + 0.1 * i for i in range(10)]
+CW = [0.5 + 0.1 * (i % 10) for i in range(64)]
 
 
 @query("loss_metrics", f"""
 WITH p AS (SELECT *, -ln(probs[true_label + 1]) AS ce, ({CW!r})[true_label + 1] AS w FROM ({P}) p)
 SELECT count(*) AS n_reads, round(avg(ce * w), 6) AS cross_entropy, round(avg(power(1 - probs[true_label + 1], 2) * ce * w), 6) AS focal,
- round(avg(list_sum(list_transform(range(1, 11), lambda i: CASE WHEN i = true_label + 1
+ round(avg(list_sum(list_transform(range(1, len(logits) + 1), lambda i: CASE WHEN i = true_label + 1
   THEN 0.75 * greatest(1 - 1 / (1 + exp(-logits[i])), 1e-6) * ln(1 + exp(-logits[i])) ELSE 0.5 * greatest(1 / (1 + exp(-logits[i])), 1e-6) * ln(1 + exp(logits[i])) END))), 6) AS focal_one_vs_rest
 FROM p""")
 def loss_metrics(spark, sf):
-    return M.loss_metrics(V.logits(spark, sf), weights=CW, alpha_pos=[0.75] * 10, alpha_neg=[0.5] * 10)
+    return M.loss_metrics(V.logits(spark, sf), weights=CW, alpha_pos=[0.75] * 64, alpha_neg=[0.5] * 64)
 
 
 EXTREMES_SQL = f"""
@@ -169,7 +169,7 @@ q AS (SELECT *, row_number() OVER (PARTITION BY kind, true_label ORDER BY sgn *
 
 
 @query("confidence_extremes", EXTREMES_SQL + """,
-b AS (SELECT *, list_transform(list_sort(list_transform(range(0, 10), lambda i: [-probs[i + 1], i]))[1:4], lambda s: CAST(s[2] AS INT)) AS best FROM q WHERE place <= 15)
+b AS (SELECT *, list_transform(list_sort(list_transform(range(0, len(probs)), lambda i: [-probs[i + 1], i]))[1:4], lambda s: CAST(s[2] AS INT)) AS best FROM q WHERE place <= 15)
 SELECT kind, true_label, place, read_id, pred, round(max_prob, 6) AS confidence,
  array_to_string(CASE WHEN list_contains(best, true_label) THEN best ELSE list_append(best, true_label) END, ' ') AS classes FROM b""")
 def confidence_extremes(spark, sf):
@@ -184,6 +184,6 @@ def confidence_summary(spark, sf):
 
 @query("top_classes", f"""
 SELECT read_id, i AS place, CAST(s[i][2] AS INT) AS class, round(-s[i][1], 6) AS prob FROM (
- SELECT read_id, s, unnest(range(1, 6)) AS i FROM (SELECT read_id, list_sort(list_transform(range(0, 10), lambda i: [-probs[i + 1], i])) AS s FROM ({P}) p) t) u""")
+ SELECT read_id, s, unnest(range(1, 6)) AS i FROM (SELECT read_id, list_sort(list_transform(range(0, len(probs)), lambda i: [-probs[i + 1], i])) AS s FROM ({P}) p) t) u""")
 def top_classes(spark, sf):
     return C.top_classes(V.scored(spark, sf)).withColumn("prob", F.round("prob", 6))

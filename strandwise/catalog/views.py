@@ -11,13 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from strandwise.functions.coords import fragment_end
 from strandwise.operators.genome import index_cpgs
 from strandwise.operators.ordering import rank_positions
-from strandwise.session import spread
 
 CHUNK = 32  # bases per genome chunk of the view
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # --- fragments -----------------------------------------------------------------------------------
@@ -191,7 +190,7 @@ KEYED_SQL = f"SELECT row_id, sample_id, lane, dna_bases AS dna_seq, methyl_seq,
 
 SCORED_SQL = """
 SELECT vec_id AS read_id, 's' || CAST(vec_id % 5 AS VARCHAR) AS sample_id, 'T' || CAST(vec_id % 4 AS VARCHAR) AS dmr_ctype,
- label AS true_label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS logits FROM embeddings
+ label AS true_label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS logits FROM embeddings
 """
 PROBS_SQL = f"""
 SELECT *, list_position(probs, list_max(probs)) - 1 AS pred, list_max(probs) AS max_prob FROM (
@@ -210,7 +209,7 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("s"), (F.col("vec_id") % 5).cast("string")).alias("sample_id"),
         F.concat(F.lit("T"), (F.col("vec_id") % 4).cast("string")).alias("dmr_ctype"),
         F.col("label").alias("true_label"),
-        F.slice("embedding", 1, 10).cast("array<double>").alias("logits"),
+        F.col("embedding").cast("array<double>").alias("logits"),
     )
 
 

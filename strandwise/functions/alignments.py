@@ -12,18 +12,22 @@ FAILED = "!"  # stands for a non-CpG call inside a CpG
 
 
 def project_on_reference(calls: Column, cigar: Column) -> Column:
-    """Per-base calls of the query laid out along the reference: clips and insertions go, deletions are D."""
+    """Per-base calls of the query laid out along the reference.
+
+    Soft clips and insertions use up calls and go; deletions and skipped stretches are D without using
+    any; hard clips and padding do neither.
+    """
     sizes = F.regexp_extract_all(cigar, F.lit(r"(\d+)[A-Z=]"), F.lit(1))
     kinds = F.regexp_extract_all(cigar, F.lit(r"\d+([A-Z=])"), F.lit(1))
     steps = F.zip_with(sizes, kinds, lambda n, k: F.struct(n.cast("int").alias("n"), k.alias("k")))
 
     def step(acc: Column, s: Column) -> Column:
         n, kind = s["n"], s["k"]
-        kept = F.when(kind == "D", F.repeat(F.lit("D"), n)).when(kind.isin("S", "I"), "").otherwise(
+        kept = F.when(kind.isin("D", "N"), F.repeat(F.lit("D"), n)).when(kind.isin("S", "I", "H", "P"), "").otherwise(
             F.substring(calls, acc["at"] + 1, n)
         )
         return F.struct(
-            F.concat(acc["text"], kept).alias("text"), F.when(kind == "D", acc["at"]).otherwise(acc["at"] + n).alias("at")
+            F.concat(acc["text"], kept).alias("text"), F.when(kind.isin("D", "N", "H", "P"), acc["at"]).otherwise(acc["at"] + n).alias("at")
         )
 
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))

@@ -14,8 +14,22 @@ def as_col(c: Column | str) -> Column:
 
 
 def content_key(*cols: Column | str) -> Column:
-    """128-bit hex key of the given columns; nulls count as empty text."""
-    return F.md5(F.concat_ws("|", *[F.coalesce(as_col(c).cast("string"), F.lit("")) for c in cols]))
+    """128-bit hex key of the given columns. Different values, null and empty text among them, give different keys.
+
+    The parts are joined by a bar; bars and backslashes inside them are escaped.
+    """
+
+    def part(c: Column | str) -> Column:
+        text = as_col(c).cast("string")
+        plain = F.when(text.rlike(r"[|\\]"), F.regexp_replace(text, r"([|\\])", r"\\$1")).otherwise(text)
+        return F.coalesce(plain, F.lit("\\0"))
+
+    return F.md5(F.concat_ws("|", *[part(c) for c in cols]))
+
+
+def content_digest(*cols: Column | str) -> Column:
+    """``content_key`` as 16 bytes: half the width in a shuffle."""
+    return F.unhex(content_key(*cols))
 
 
 def shuffle_key(*cols: Column | str, seed: int = 42) -> Column:

@@ -38,6 +38,12 @@ def matches_any(text: Column, allowed: list[str]) -> Column:
     return F.exists(names, lambda a: F.contains(canonical(text), a))
 
 
+def sample_of_path(path: Column) -> Column:
+    """File name without ``.pat`` and ``.gz``. Spark reports paths as URIs, so escapes are decoded; a plus sign is none."""
+    plain = F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
+    return F.regexp_extract(plain, r"([^/]+?)(?:\.pat)?(?:\.gz)?$", 1)
+
+
 def sample_id_from_name(path: Column) -> Column:
     """Sample file name for a per-sample table name such as ``Blood-T-Eff-CD8_41Q_250.csv``.
 

@@ -10,12 +10,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from strandwise.functions.keys import SEQUENCE, content_key
+from strandwise.functions.keys import SEQUENCE, content_digest
 
 
 def exact_twins(test: DataFrame, train: DataFrame, keys: Sequence[str] = (*SEQUENCE, "dmr_label")) -> DataFrame:
     """Share of test rows whose key also occurs in train; one row."""
-    key = content_key(*keys).alias("_key")
+    key = content_digest(*keys).alias("_key")
     n = test.groupBy(key).agg(F.count("*").alias("_n"))
     known = train.select(key).distinct().withColumn("_known", F.lit(True))
     hit = F.when(F.col("_known"), F.col("_n")).otherwise(0)
@@ -31,7 +31,7 @@ def conflicting_twins(test: DataFrame, train: DataFrame, keys: Sequence[str] = S
     Another label exists exactly when the smallest or the largest train label differs. Labels are compared
     by a 64-bit hash, because numbers can be minimised in a hash aggregate and texts cannot.
     """
-    key = content_key(*keys).alias("_key")
+    key = content_digest(*keys).alias("_key")
     label = F.xxhash64("ctype").alias("_label")
     n = test.groupBy(key, label).agg(F.count("*").alias("_n"))
     labels = train.select(key, label).groupBy("_key").agg(F.min("_label").alias("_lo"), F.max("_label").alias("_hi"))

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from strandwise.functions.keys import SEQUENCE, content_key
+from strandwise.functions.keys import SEQUENCE, content_digest
 from strandwise.session import stage
 
 
@@ -47,7 +47,7 @@ def skip_processed(work: DataFrame, done: DataFrame) -> DataFrame:
 
 def leak_check(train: DataFrame, test: DataFrame, keys: Sequence[str] = SEQUENCE) -> DataFrame:
     """Number of distinct keys in train, in test and in both; one row."""
-    key = content_key(*keys).alias("_key")
+    key = content_digest(*keys).alias("_key")
     sides = (
         train.select(key, F.lit(1).alias("_in_train"), F.lit(0).alias("_in_test"))
         .unionByName(test.select(key, F.lit(0).alias("_in_train"), F.lit(1).alias("_in_test")))

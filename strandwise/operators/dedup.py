@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strandwise.functions.keys import SEQUENCE, content_key
+from strandwise.functions.keys import SEQUENCE, content_digest
 from strandwise.functions.reads import read_weight
 from strandwise.operators.joins import skew_join
 from strandwise.session import stage
@@ -44,7 +44,7 @@ def keep_first(
 ) -> DataFrame:
     """First row per key by ``order``; an integer read count above 1 becomes 1."""
     groups = (["sample_id"] if per_sample else []) + list(keys)
-    first = reads.groupBy(content_key(*groups)).agg(F.min_by(_row(reads), F.col(order)).alias("_r")).select("_r.*")
+    first = reads.groupBy(content_digest(*groups)).agg(F.min_by(_row(reads), F.col(order)).alias("_r")).select("_r.*")
     if "read_count" not in reads.columns:
         return first
     kind = reads.schema["read_count"].dataType.simpleString()
@@ -57,7 +57,7 @@ def keep_first(
 def _with_twin_key(reads: DataFrame) -> DataFrame:
     """Digest of sequence, region, region type and count; a missing count is the text '1' in it."""
     count = F.coalesce(F.col("read_count").cast("string"), F.lit("1"))
-    return reads.withColumn("_key", content_key("dna_seq", "methyl_seq", "dmr_label", "dmr_ctype", count))
+    return reads.withColumn("_key", content_digest("dna_seq", "methyl_seq", "dmr_label", "dmr_ctype", count))
 
 
 def dedup_cross_sample(reads: DataFrame, order: str = "row_id") -> DataFrame:

@@ -14,21 +14,22 @@ from strandwise.operators.ordering import rank_positions, running
 def slice_reference(
     spans: DataFrame, genome: DataFrame, chunk: int, start: str = "start", end: str = "end", key: str = "dmr_label", name: str = "ref_seq"
 ) -> DataFrame:
-    """Bases of every closed span [start, end]; spans reaching past the stored chunks lose that part.
+    """Bases of every closed span [start, end]; what is not stored reads as N, so the length always fits.
 
     An equi-join on (chr, chunk_id); a span collects only the chunks it covers, so its group is as
-    long as the span. Cut once per region, not per read.
+    long as the span. Cut once per region, not per read. Spans of which no base is stored are left out.
     """
     first = F.floor((F.col(start) - 1) / chunk)
     last = F.floor((F.col(end) - 1) / chunk)
     wanted = spans.select(key, "chr", start, end).withColumn("chunk_id", F.explode(F.sequence(first, last)))
     cut = (
-        wanted.join(genome, ["chr", "chunk_id"])
+        wanted.join(genome.select("chr", "chunk_id", "seq"), ["chr", "chunk_id"], "left")
         .groupBy(key)
         .agg(
-            F.array_sort(F.collect_list(F.struct("chunk_id", "seq"))).alias("_parts"),
-            F.min("chunk_id").alias("_low"), F.first(start).alias("_start"), F.first(end).alias("_end"),
+            F.array_sort(F.collect_list(F.struct("chunk_id", F.rpad(F.coalesce("seq", F.lit("")), chunk, "N").alias("seq")))).alias("_parts"),
+            F.min("chunk_id").alias("_low"), F.first(start).alias("_start"), F.first(end).alias("_end"), F.count("seq").alias("_stored"),
         )
+        .where("_stored > 0")
         .select(
             key,
             F.upper(

@@ -148,7 +148,8 @@ def mixture_proportions(
     The objective is a sum of one concave function per type, so the answer is where all slopes are
     equal. Each round samples every type's slope at a few shares with one grouped aggregate over the
     reads and narrows the bounds; the driver sees types x samples numbers. Samples lie close around the
-    interpolated answer, which makes the bounds shrink quickly.
+    interpolated answer, which makes the bounds shrink quickly. ``converged`` is false where the bounds were
+    still wider than ``tolerance`` after ``max_rounds``.
     """
     names = sorted(margins)
     spark = scored.sparkSession
@@ -158,6 +159,7 @@ def mixture_proportions(
     low, high = np.full(len(names), LOW), np.full(len(names), HIGH)
     guess = np.array([margins[t] for t in names], dtype=float)
     guess = np.clip(guess / guess.sum(), LOW, HIGH)
+    done = False
     for _ in range(max_rounds):
         width = (high - low)[:, None]
         steps = np.concatenate([-(4.0 ** -np.arange(1, reach + 1)), [0.0], 4.0 ** -np.arange(reach, 0, -1)])
@@ -179,4 +181,6 @@ def mixture_proportions(
             break
     share = np.clip(guess, LOW, HIGH)
     share = share / share.sum()
-    return spark.createDataFrame([(t, float(x)) for t, x in zip(names, share)], "cell_type string, pred double")
+    return spark.createDataFrame(
+        [(t, float(x), bool(done)) for t, x in zip(names, share)], "cell_type string, pred double, converged boolean"
+    )

@@ -45,11 +45,14 @@ def audit_split(train: DataFrame, test: DataFrame) -> DataFrame:
     )
 
 
-def tumour_purity(scored: DataFrame, train: DataFrame, n: int = 10_000, by_region: bool = False) -> DataFrame:
+def tumour_purity(
+    scored: DataFrame, train: DataFrame, n: int = 10_000, by_region: bool = False, second_class: bool = False
+) -> DataFrame:
     """Share of each class in a bulk sample, from informative reads only.
 
     ``scored`` holds ``probs`` and ``methyl_seq``; the classes of ``train`` fix their order (by name)
-    and the margins. Two classes use the grid search, more the constrained maximum.
+    and the margins. Two classes use the grid search, more the constrained maximum, to which a read gives
+    the probability of its own class, or with ``second_class`` that of the second class whatever its own.
     """
     counts = train.groupBy("ctype").agg(F.count("*").alias("n")).orderBy("ctype").collect()  # one row per class
     total = sum(r["n"] for r in counts)
@@ -60,8 +63,8 @@ def tumour_purity(scored: DataFrame, train: DataFrame, n: int = 10_000, by_regio
     if len(margins) > 2:
         names = F.array(*[F.lit(t) for t in margins])
         # the class of a read stands for its region type
-        typed = rows.select(F.get(names, F.col("true_label")).alias("dmr_ctype"), F.get("probs", F.lit(1)).alias("p_ctype"))
-        return mixture.mixture_proportions(typed, margins)
+        typed = rows.select(F.get(names, F.col("true_label")).alias("dmr_ctype"), F.get("probs", F.lit(1) if second_class else F.col("true_label")).alias("p_ctype"))
+        return mixture.mixture_proportions(typed.where("dmr_ctype IS NOT NULL"), margins)
     other, target = list(margins)
     pair = rows.select("*", F.get("probs", F.lit(0)).alias("p_n"), F.get("probs", F.lit(1)).alias("p_t"))
     m = (margins[other], margins[target])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from strandwise.session import stage
 
 DELIMITERS = (",", "\t", ";", "|")
 
@@ -17,13 +19,32 @@ SYNONYMS = {
 }
 
 
-def sniff_delimiter(spark: SparkSession, path: str) -> tuple[str, list[str]]:
-    """Delimiter that occurs most often in the header line, and the header names split by it."""
-    lines = [r.value for r in spark.read.text(path).head(5) if r.value.strip()]
-    if not lines:
+HEADER_WITHIN = 5  # lines from the top
+
+
+def split_header(line: str, delimiter: str | None = None) -> tuple[str, list[str]]:
+    """Delimiter that occurs most often in the header line (unless given), and the header names split by it."""
+    delimiter = delimiter or max(DELIMITERS, key=line.count)
+    return delimiter, [h.strip().strip('"') for h in line.split(delimiter)]
+
+
+def split_by_header(spark: SparkSession, lines: DataFrame, path: str) -> list[tuple[str, DataFrame]]:
+    """(header line, data lines) for each distinct header among the files of ``numbered_lines``.
+
+    A file's header is its first line that is not blank. Different headers are few, one per way the
+    files were written.
+    """
+    top = lines.where((F.col("row_no") < HEADER_WITHIN) & (F.trim("value") != ""))
+    heads = stage(top.groupBy("file").agg(F.min(F.struct("row_no", "value")).alias("_h")).select("file", "_h.*"), "headers")
+    heads = heads.select("file", F.col("row_no").alias("_head_at"), F.col("value").alias("_head"))
+    distinct = sorted(r[0] for r in heads.select("_head").distinct().collect())
+    if not distinct:
         raise ValueError(f"{path} is empty")
-    delimiter = max(DELIMITERS, key=lambda d: lines[0].count(d))
-    return delimiter, [h.strip().strip('"') for h in lines[0].split(delimiter)]
+    data = lines.where(F.trim("value") != "")
+    return [
+        (h, data.join(heads.where(F.col("_head") == h).drop("_head"), "file").where(F.col("row_no") > F.col("_head_at")))
+        for h in distinct
+    ]
 
 
 def resolve_columns(

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strandwise.functions import coords
+from strandwise.functions.naming import sample_of_path
 from strandwise.operators.intervals import attach_cpg_range, require_cpgs
 from strandwise.operators.ordering import running
-from strandwise.sources.headers import resolve_columns, sniff_delimiter
+from strandwise.sources.headers import resolve_columns, split_by_header, split_header
 from strandwise.session import stage
 from strandwise.sources.lines import fill_from_marker, numbered_lines
 
@@ -26,7 +27,7 @@ def read_fragments(spark: SparkSession, path: str | list[str], span: str = "call
     repartition (the interval join does so by chromosome and bin).
     """
     raw = spark.read.schema(PAT_SCHEMA).csv(path, sep="\t")
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.pat)?(?:\.gz)?$", 1)
+    name = sample_of_path(F.col("_metadata.file_path"))
     return clean_fragments(raw.select(name.alias("sample_id"), "*"), span)
 
 
@@ -53,12 +54,9 @@ def read_regions(
 ) -> DataFrame:
     """Marker regions from CSV; ``dmr_label`` is the data row number before any filtering.
 
-    Several files count on in the order of their names, each with its own header row.
+    Several files count on in the order of their names, each with its own header row, which may name its
+    columns in an order of its own.
     """
-    headers = [h.strip() for h in spark.read.text(path).first().value.split(",")]
-    if cpg is None and not {"startCpG", "endCpG"} <= set(headers):
-        raise ValueError("regions need startCpG and endCpG columns or a CpG index")
-    schema = ", ".join(f"`{h}` string" for h in headers)
     lines = numbered_lines(spark, path)
     # one row per file
     earlier = Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
@@ -67,21 +65,28 @@ def read_regions(
         .select("file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")),
         "files",
     )
-    row = lines.where(F.col("row_no") > 0).join(files, "file").select(
-        (F.col("_before") + F.col("row_no") - 1).alias("dmr_label"), F.from_csv("value", schema).alias("r")
-    )
-    type_column = next((c for c in type_columns if c in headers), None)
-    has_cpg = "startCpG" in headers and "endCpG" in headers
-    regions = row.select(
-        "dmr_label",
-        coords.normalize_chromosome(F.col("r.chr")).alias("chr"),
-        F.col("r.start").cast("bigint").alias("start"),
-        F.col("r.end").cast("bigint").alias("end"),
-        *([F.col("r.startCpG").cast("bigint").alias("cpg_start"), F.col("r.endCpG").cast("bigint").alias("cpg_end")] if has_cpg else []),
-        (F.trim(F.col(f"r.{type_column}")) if type_column else F.lit(None).cast("string")).alias("cell_type"),
-    )
-    if target_type is not None and type_column:
-        regions = regions.where(F.col("cell_type") == target_type)
+
+    def parsed(header: str, rows: DataFrame) -> DataFrame:
+        _, headers = split_header(header, ",")
+        has_cpg = {"startCpG", "endCpG"} <= set(headers)
+        if cpg is None and not has_cpg:
+            raise ValueError("regions need startCpG and endCpG columns or a CpG index")
+        schema = ", ".join(f"`{h}` string" for h in headers)
+        row = rows.join(files, "file").select(
+            (F.col("_before") + F.col("row_no") - 1).alias("dmr_label"), F.from_csv("value", schema).alias("r")
+        )
+        type_column = next((c for c in type_columns if c in headers), None)
+        found = row.select(
+            "dmr_label",
+            coords.normalize_chromosome(F.col("r.chr")).alias("chr"),
+            F.col("r.start").cast("bigint").alias("start"),
+            F.col("r.end").cast("bigint").alias("end"),
+            *([F.col("r.startCpG").cast("bigint").alias("cpg_start"), F.col("r.endCpG").cast("bigint").alias("cpg_end")] if has_cpg else []),
+            (F.trim(F.col(f"r.{type_column}")) if type_column else F.lit(None).cast("string")).alias("cell_type"),
+        )
+        return found.where(F.col("cell_type") == target_type) if target_type is not None and type_column else found
+
+    regions = union_all([parsed(h, rows) for h, rows in split_by_header(spark, lines, path)])
     if drop_sex:
         regions = regions.where(coords.is_autosome(F.col("chr")))
     if cpg is not None:
@@ -122,15 +127,32 @@ def read_reference(spark: SparkSession, path: str | list[str], chunk: int = GENO
     )
 
 
-def read_labelled_reads(spark: SparkSession, path: str, with_region_type: bool = False) -> DataFrame:
-    """Labelled reads with any accepted delimiter and header names, projected to standard columns."""
-    delimiter, headers = sniff_delimiter(spark, path)
-    required = ("dna_seq", "methyl_seq", "ctype", "dmr_label") + (("dmr_ctype",) if with_region_type else ())
-    optional = ("read_count",) if with_region_type else ("dmr_ctype", "read_count")
-    names = resolve_columns(headers, required, optional)
-    schema = ", ".join(f"`{h}` string" for h in headers)
-    raw = spark.read.schema(schema).csv(path, sep=delimiter, header=True)
-    return raw.select(*[F.col(f"`{names[c]}`").alias(c) for c in READ_COLUMNS if c in names])
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    """Rows of all parts by column name; a column that a part lacks is null in its rows."""
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole
+
+
+def read_labelled_reads(spark: SparkSession, path: str, with_region_type: bool = False, labelled: bool = True) -> DataFrame:
+    """Reads with any accepted delimiter and header names, projected to standard columns.
+
+    Every file is read by its own header. Without ``labelled`` the cell type may be absent, as in the
+    reads of samples that are to be scored.
+    """
+    required = ("dna_seq", "methyl_seq", "dmr_label") + (("ctype",) if labelled else ()) + (("dmr_ctype",) if with_region_type else ())
+    optional = tuple(c for c in READ_COLUMNS if c not in required)
+
+    def parsed(header: str, rows: DataFrame) -> DataFrame:
+        delimiter, headers = split_header(header)
+        names = resolve_columns(headers, required, optional)
+        fields = F.from_csv("value", ", ".join(f"`{h}` string" for h in headers), {"sep": delimiter})
+        row = rows.select(fields.alias("r"))
+        return row.select(*[F.col(f"r.`{names[c]}`").alias(c) for c in READ_COLUMNS if c in names])
+
+    found = union_all([parsed(h, rows) for h, rows in split_by_header(spark, numbered_lines(spark, path), path)])
+    return found.select(*[c for c in READ_COLUMNS if c in found.columns])
 
 
 def read_sectioned(spark: SparkSession, path: str, keep_unmarked: bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from strandwise.session import stage
 from strandwise.sources.readers import READ_COLUMNS
 
 FORMATS = ("parquet", "csv", "tsv")
@@ -35,15 +36,19 @@ def write_bed(df: DataFrame, path: str, header: bool = False) -> list[str]:
     return kept
 
 
-def write_sectioned(reads: DataFrame, path: str, parts: int = 8) -> None:
+SECTION_ROWS = 1_000_000
+
+
+def write_sectioned(reads: DataFrame, path: str, section_rows: int = SECTION_ROWS) -> None:
     """Reads as CSV text where a ``*.pat.gz`` row opens each section.
 
-    A sample is spread over ``parts`` sections, each opened by its own marker row, so that a large
-    sample is written by several tasks.
+    A sample is spread over as many sections as its number of rows asks for, each opened by its own marker
+    row, so that the work per task stays the same however large a sample is.
     """
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in READ_COLUMNS]
-    part = F.pmod(F.xxhash64(*cells), F.lit(parts))
-    data = reads.select("sample_id", part.alias("_part"), F.lit(1).alias("_kind"), F.concat_ws(",", *cells).alias("value"))
+    parts = stage(reads.groupBy("sample_id").agg(F.ceil(F.count("*") / section_rows).alias("_parts")), "section-parts")
+    part = F.pmod(F.xxhash64(*cells), F.col("_parts"))
+    data = reads.join(parts, "sample_id").select("sample_id", part.alias("_part"), F.lit(1).alias("_kind"), F.concat_ws(",", *cells).alias("value"))
     marks = (
         data.select("sample_id", "_part").distinct()
         .select("sample_id", "_part", F.lit(0).alias("_kind"), F.concat("sample_id", F.lit(".pat.gz")).alias("value"))

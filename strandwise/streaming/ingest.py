@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strandwise.plans.build_reads import assemble
+from strandwise.functions.naming import sample_of_path
 from strandwise.functions.reads import kmers
 from strandwise.operators.intervals import overlap_fragments
 from strandwise.sources.readers import PAT_SCHEMA, clean_fragments
@@ -14,28 +15,24 @@ from strandwise.sources.readers import PAT_SCHEMA, clean_fragments
 def stream_fragments(spark: SparkSession, folder: str, files_per_batch: int = 64, span: str = "called") -> DataFrame:
     """PAT files as they arrive in ``folder``, each picked up once."""
     raw = spark.readStream.schema(PAT_SCHEMA).option("maxFilesPerTrigger", files_per_batch).csv(folder, sep="\t")
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.pat)?(?:\.gz)?$", 1)
+    name = sample_of_path(F.col("_metadata.file_path"))
     return clean_fragments(raw.select(name.alias("sample_id"), "*"), span)
 
 
 def ingest_samples(
     fragments: DataFrame, samples: DataFrame, marked_regions: DataFrame, out: str, checkpoint: str, **how
 ) -> StreamingQuery:
-    """Turn arriving fragments into labelled reads and append them to the Parquet table ``out``.
+    """Turn arriving fragments into counted reads and append them to the Parquet table ``out``.
 
     Every micro-batch runs the batch plan against the prepared regions (``build_reads.prepare_regions``,
-    kept as a written table). A sample's file is one batch item, so collapsing inside the batch is complete.
+    kept as a written table) and sums up its own reads. Files of one sample may arrive in any batches:
+    ``read_ingested`` adds their counts, so the result does not depend on the size of a batch.
     Each batch writes its own folder, so a batch replayed after a failure replaces itself.
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         reads = assemble(overlap_fragments(batch.join(samples, "sample_id"), marked_regions, **how))
-        collapsed = reads.groupBy("sample_id", "bases", "methyl_seq", "dmr_label", "ctype", "dmr_ctype").agg(
-            F.sum("read_count").alias("read_count")
-        )
-        collapsed.select(
-            "sample_id", kmers(F.col("bases")).alias("dna_seq"), "methyl_seq", "dmr_label", "ctype", "dmr_ctype", "read_count"
-        ).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        _collapsed(reads).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
         fragments.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
@@ -43,6 +40,19 @@ def ingest_samples(
     )
 
 
+def _collapsed(reads: DataFrame) -> DataFrame:
+    return reads.groupBy("sample_id", "bases", "methyl_seq", "dmr_label", "ctype", "dmr_ctype").agg(
+        F.sum("read_count").alias("read_count")
+    )
+
+
+def read_ingested(spark: SparkSession, out: str) -> DataFrame:
+    """Labelled reads of all batches so far, one row per distinct read."""
+    return _collapsed(spark.read.parquet(out)).select(
+        "sample_id", kmers(F.col("bases")).alias("dna_seq"), "methyl_seq", "dmr_label", "ctype", "dmr_ctype", "read_count"
+    )
+
+
 def running_composition(scored: DataFrame) -> DataFrame:
     """Reads per sample and called class over an unbounded scored stream (update or complete mode)."""
     return scored.groupBy("sample_id", "pred").agg(F.count("*").alias("n_reads"))

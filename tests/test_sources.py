@@ -4,7 +4,7 @@ import json
 import pytest
 
 from strandwise.sources import readers as S, writers as W
-from strandwise.sources.headers import resolve_columns, sniff_delimiter
+from strandwise.sources.headers import resolve_columns, split_header
 
 
 def rows(df, *cols):
@@ -54,7 +54,7 @@ def test_sectioned(spark, tmp_path):
 def test_headers(spark, tmp_path):
     p = tmp_path / "h.tsv"
     p.write_text("DMR_Label\tCell_type\tMethylation\tDNA_seq\tdmr_ctype\n1\tT\t01\tAAA AAC\tU\n")
-    assert sniff_delimiter(spark, str(p))[0] == "\t"
+    assert split_header(p.read_text().split("\n")[0])[0] == "\t"
     assert rows(S.read_labelled_reads(spark, str(p))) == [("AAA AAC", "01", "1", "T", "U")]
     assert resolve_columns(["my_dna_seq", "methyl", "ctype", "DMR"], ("dna_seq", "methyl_seq", "ctype", "dmr_label")) == {
         "dna_seq": "my_dna_seq", "methyl_seq": "methyl", "ctype": "ctype", "dmr_label": "DMR"}
@@ -62,6 +62,30 @@ def test_headers(spark, tmp_path):
         resolve_columns(["x1", "zz"], ("dna_seq",))
 
 
+def test_files_with_headers_of_their_own(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("dna_seq,methyl_seq,dmr_label,ctype\nAAA,01,6,T1\n")
+    (tmp_path / "b.csv").write_text("\nctype;dmr_label;methylation;sequence;read_count\nT2;7;10;CCC;3\n")
+    got = S.read_labelled_reads(spark, str(tmp_path))
+    assert rows(got) == [("AAA", "01", "6", "T1", None), ("CCC", "10", "7", "T2", "3")]
+    (tmp_path / "cfdna").mkdir()
+    (tmp_path / "cfdna" / "c.csv").write_text("DNA_seq,Methyl_seq,DMR_Label\nGGG,22,8\n")
+    assert rows(S.read_labelled_reads(spark, str(tmp_path / "cfdna"), labelled=False)) == [("GGG", "22", "8")]
+    with pytest.raises(ValueError):
+        S.read_labelled_reads(spark, str(tmp_path / "cfdna"))
+    regions = tmp_path / "regions"
+    regions.mkdir()
+    (regions / "1.csv").write_text("chr,start,end,Type,startCpG,endCpG\nchr1,1,5,A,1,2\n")
+    (regions / "2.csv").write_text("Type,endCpG,startCpG,end,start,chr\nB,9,8,20,10,chr2\n")
+    got = S.read_regions(spark, str(regions))
+    assert rows(got, "dmr_label", "chr", "start", "end", "cpg_start", "cpg_end", "cell_type") == [
+        (0, "chr1", 1, 5, 1, 2, "A"), (1, "chr2", 10, 20, 8, 9, "B")]
+
+
+def test_sample_names_with_odd_signs(spark, tmp_path):
+    (tmp_path / "Blood-Mono+Macro x%1.pat").write_text("chr1\t10\tC.T\t3\n")
+    assert rows(S.read_fragments(spark, str(tmp_path)), "sample_id") == [("Blood-Mono+Macro x%1",)]
+
+
 def test_manifest_and_bed(spark, tmp_path):
     doc = {"fasta_file": "g.fa", "collective_csv_mode": True, "cell_types": {"k": {"pat_file": "p", "output_file": "o", "cell_type": "T"}}}
     (tmp_path / "m.json").write_text(json.dumps(doc, indent=2))

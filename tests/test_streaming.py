@@ -1,8 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from strandwise.plans.build_reads import build_reads, prepare_regions
 from strandwise.sources.readers import read_fragments
-from strandwise.streaming.ingest import ingest_samples, running_composition, stream_fragments
+from strandwise.streaming.ingest import ingest_samples, read_ingested, running_composition, stream_fragments
 
 GENOME = "TTACGTTACGAACGTTTTTTTTTTTTACGA" + "T" * 34
 
@@ -31,25 +32,34 @@ def test_build_by_hand(spark):
     assert build_reads(f, regions, cpg, genome, 16, collapse=False).where("dmr_label = 0").count() == 5
 
 
-def test_ingest_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("files", [1, 2, 64])
+def test_ingest_equals_batch(spark, tmp_path, files):
     genome, cpg, regions, samples = tables(spark)
     src, out, ck = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
     src.mkdir()
     marked = prepare_regions(regions, cpg, genome, 16)
 
     def drain():
-        q = ingest_samples(stream_fragments(spark, str(src), 1), samples, marked, out, ck)
+        arriving = stream_fragments(spark, str(src), files).drop("sample_id").withColumnRenamed("sample", "sample_id")
+        q = ingest_samples(arriving, samples, marked, out, ck)
         q.awaitTermination()
         assert q.exception() is None
 
-    (src / "s1.pat").write_text("chr1\t1\tC.T\t4\nchr1\t2\tTT\t1\n")
+    def put(sample, name, text):
+        (src / f"sample={sample}").mkdir(exist_ok=True)
+        (src / f"sample={sample}" / name).write_text(text)
+
+    put("s1", "a.pat", "chr1\t1\tC.T\t4\nchr1\t2\tTT\t1\n")
     drain()
     drain()  # nothing new
-    (src / "s2.pat").write_text("chr1\t3\tCC\t2\nbroken\n")
+    put("s2", "a.pat", "chr1\t3\tCC\t2\nbroken\n")
+    for name in ("b.pat", "c.pat", "d.pat"):  # more files of one sample, in batches of their own or together
+        put("s1", name, "chr1\t1\tC.T\t2\n")
     drain()
     columns = ["sample_id", "dna_seq", "methyl_seq", "dmr_label", "ctype", "dmr_ctype", "read_count"]
-    got = sorted(map(tuple, spark.read.parquet(out).select(*columns).collect()))
-    batch = build_reads(read_fragments(spark, str(src)).join(samples, "sample_id"), regions, cpg, genome, 16)
+    got = sorted(map(tuple, read_ingested(spark, out).select(*columns).collect()))
+    fragments = read_fragments(spark, str(src)).drop("sample_id").withColumnRenamed("sample", "sample_id")
+    batch = build_reads(fragments.join(samples, "sample_id"), regions, cpg, genome, 16)
     assert got == sorted(map(tuple, batch.select(*columns).collect())) and {r[0] for r in got} == {"s1", "s2"}
 
 
