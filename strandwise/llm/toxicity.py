@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from strandwise.llm.columns import with_struct
+from strandwise.llm.filters import with_flag
 from strandwise.llm.labelled import sample, training_labels
 from strandwise.session import stage
 
@@ -237,8 +238,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     usable = training_labels(labels, F.col(toxic))
     usable = stage(usable.withColumn("half", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(2)).cast("long")), "toxicity-labels")
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    # only texts that may be labelled are shuffled, in one way at every size
+    asked = with_flag(texts, F.xxhash64("id"), usable.select(F.xxhash64("id").alias("key")), "_may").where("_may").drop("_may")
     # at most BINS rows reach the driver
-    counts = count_groups(texts.join(usable, "id")).toArrow()
+    counts = count_groups(asked.hint("merge").join(usable, "id")).toArrow()
     grams = counts["gram"].to_numpy()
     c = np.stack([counts[f"c{g}"].to_numpy() for g in range(4)]) if len(grams) else np.zeros((4, 0))
     first = fit_ratios(grams, c[2], c[0])
