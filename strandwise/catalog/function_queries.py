@@ -163,13 +163,14 @@ def crop_random(spark, sf):
     return V.table(spark, sf, "orders").select("o_orderkey", F.size(T.crop_random(ids, F.col("o_orderkey"), 40)).alias("n"))
 
 
-MASK_SQL = f"""
-WITH c AS (SELECT o_orderkey, p, {DRAW_SQL.format("o_orderkey || '|' || p || '|centre|42'")} < 0.15 AS centre,
-  {DRAW_SQL.format("o_orderkey || '|' || p || '|kind|42'")} AS kind,
-  floor({DRAW_SQL.format("o_orderkey || '|' || p || '|word|42'")} * 69) AS word FROM (SELECT o_orderkey, unnest(range(0, 30)) AS p FROM orders) o),
-m AS (SELECT *, centre OR coalesce(lag(centre) OVER w, FALSE) OR coalesce(lead(centre) OVER w, FALSE) AS masked FROM c WINDOW w AS (PARTITION BY o_orderkey ORDER BY p))
-SELECT o_orderkey, count(*) FILTER (centre) AS n_centres, count(*) FILTER (masked) AS n_masked,
- count(*) FILTER (masked AND p < 29 AND (kind < 0.8 OR (kind < 0.9 AND word = 4))) AS n_mask_id, 41 AS n_inputs, count(*) FILTER (NOT masked) + 11 AS n_ignored FROM m GROUP BY o_orderkey
+MASK_SQL = """
+WITH o AS (SELECT o_orderkey, translate(md5(CAST(o_orderkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS b, unnest(range(0, 40)) AS p FROM orders),
+d AS (SELECT *, md5(o_orderkey || '|' || p || '|42') AS h, CASE WHEN p < 30 THEN 5 + 16 * (strpos('ACGT', substr(b, p + 1, 1)) - 1) + 4 * (strpos('ACGT', substr(b, p + 2, 1)) - 1) + strpos('ACGT', substr(b, p + 3, 1)) - 1 ELSE 0 END AS id FROM o),
+c AS (SELECT *, p < 30 AND CAST('0x' || substr(h, 1, 8) AS BIGINT) / 4294967296.0 < 0.15 AS centre, CAST('0x' || substr(h, 9, 8) AS BIGINT) / 4294967296.0 AS kind,
+ CAST(floor(CAST('0x' || substr(h, 17, 8) AS BIGINT) / 4294967296.0 * 69) AS INT) AS word FROM d),
+m AS (SELECT *, centre OR (p < 30 AND (coalesce(lag(centre) OVER w, FALSE) OR coalesce(lead(centre) OVER w, FALSE))) AS masked FROM c WINDOW w AS (PARTITION BY o_orderkey ORDER BY p))
+SELECT o_orderkey, '3 ' || string_agg(CAST(CASE WHEN p = 29 THEN 2 WHEN NOT masked OR kind >= 0.9 THEN id WHEN kind < 0.8 THEN 4 ELSE word END AS VARCHAR), ' ' ORDER BY p) AS inputs,
+ '-100 ' || string_agg(CAST(CASE WHEN masked THEN id ELSE -100 END AS VARCHAR), ' ' ORDER BY p) AS labels, count(*) FILTER (centre) AS n_centres FROM m GROUP BY o_orderkey
 """
 
 
@@ -179,13 +180,10 @@ def mask_tokens(spark, sf):
     seq = F.translate(F.md5(F.col("o_orderkey").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT")
     ids = F.concat(T.token_ids(X.kmers(seq)), F.array_repeat(F.lit(T.PAD), 10))
     rows = V.table(spark, sf, "orders").select("o_orderkey", T.mask_tokens(ids, F.col("o_orderkey")).alias("m"))
-    size_of = lambda c, test: F.size(F.filter(c, test))
+    text = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), " ")
     return rows.select(
-        "o_orderkey", size_of("m.centres", lambda x: x).cast("long").alias("n_centres"),
-        size_of("m.labels", lambda x: x != T.IGNORED).cast("long").alias("n_masked"),
-        size_of("m.inputs", lambda x: x == T.MASK).cast("long").alias("n_mask_id"),
-        F.size("m.inputs").alias("n_inputs"),
-        size_of("m.labels", lambda x: x == T.IGNORED).cast("long").alias("n_ignored"),
+        "o_orderkey", text(F.col("m.inputs")).alias("inputs"), text(F.col("m.labels")).alias("labels"),
+        F.size(F.filter("m.centres", lambda x: x)).cast("long").alias("n_centres"),
     )
 
 

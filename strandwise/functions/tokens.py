@@ -16,16 +16,14 @@ NO_CALL = 2
 IGNORED = -100
 
 
-def vocabulary_map() -> Column:
-    """Map literal token -> id."""
-    entries = [F.lit(v) for i, token in enumerate(VOCABULARY) for v in (token, i)]
-    return F.create_map(*entries)
-
-
 def token_ids(dna: Column) -> Column:
     """Ids of a space-joined 3-mer sequence; unknown tokens become 1."""
-    return let(
-        vocabulary_map(), lambda vocab: F.transform(F.split(dna, " "), lambda t: F.coalesce(vocab[t], F.lit(UNK)))
+    letter = lambda t, at: F.instr(F.lit("ACGT"), F.substring(t, at, 1)) - 1
+    return F.transform(
+        F.split(dna, " "),
+        lambda t: F.when(
+            t.rlike("^[ACGT]{3}$"), (len(SPECIALS) + letter(t, 1) * 16 + letter(t, 2) * 4 + letter(t, 3)).cast("int")
+        ).otherwise(F.lit(UNK)),
     )
 
 
@@ -80,50 +78,41 @@ def mask_tokens(ids: Column, row_key: Column, rate: float = 0.15, k: int = 3, se
     Centres are drawn among non-special tokens and widened by k // 2 neighbours up to the last
     non-special token. Of the masked places 80% show the mask id, 10% a random id, 10% stay. Labels
     outside the masked places are -100. The last non-special token shows the end marker and a start
-    marker goes in front.
+    marker goes in front. One digest per place gives its three draws.
     """
     half = k // 2
     reach = [d for d in range(-half, half + 1) if d != 0]
     if k % 2 == 0:
         reach = reach[:-1]
-    chance = lambda p, kind: draw(row_key, p, F.lit(kind), F.lit(str(seed)))
-
-    def masked(tokens: Column, places: Column, centres: Column, end: Column) -> Column:
-        near = F.filter(
-            F.flatten(F.transform(centres, lambda c: F.array(*[c + d for d in reach]))), lambda p: (p >= 0) & (p <= end)
+    drawn = lambda text, part: F.conv(F.substring(text, 8 * part + 1, 8), 16, 10).cast("double") / float(1 << 32)
+    real = lambda t: t >= len(SPECIALS)
+
+    def built(tokens: Column, draws: Column, end: Column, centres: Column, hidden: Column) -> Column:
+        def shown(token: Column, p: Column) -> Column:
+            text = F.get(draws, p)
+            random_id = F.floor(drawn(text, 2) * len(VOCABULARY)).cast("int")
+            replaced = let(drawn(text, 1), lambda x: F.when(x < 0.8, F.lit(MASK)).when(x < 0.9, random_id).otherwise(token))
+            return F.when(p == end, F.lit(EOS)).when(F.get(hidden, p), replaced).otherwise(token)
+
+        labels = F.transform(tokens, lambda t, p: F.when(F.get(hidden, p), t).otherwise(F.lit(IGNORED)))
+        return F.struct(
+            F.concat(F.array(F.lit(SOS)), F.transform(tokens, shown)).alias("inputs"),
+            F.concat(F.array(F.lit(IGNORED)), labels).alias("labels"),
+            F.concat(F.array(F.lit(False)), centres).alias("centres"),
         )
 
-        def built(hidden: Column) -> Column:
-            def shown(token: Column, p: Column) -> Column:
-                random_id = F.floor(chance(p, "word") * len(VOCABULARY)).cast("int")
-                replaced = let(
-                    chance(p, "kind"), lambda x: F.when(x < 0.8, F.lit(MASK)).when(x < 0.9, random_id).otherwise(token)
-                )
-                return F.when(p == end, F.lit(EOS)).when(F.array_contains(hidden, p), replaced).otherwise(token)
-
-            labels = F.transform(tokens, lambda t, p: F.when(F.array_contains(hidden, p), t).otherwise(F.lit(IGNORED)))
-            marks = F.transform(places, lambda p: F.array_contains(centres, p))
-            return F.struct(
-                F.concat(F.array(F.lit(SOS)), F.transform(tokens, shown)).alias("inputs"),
-                F.concat(F.array(F.lit(IGNORED)), labels).alias("labels"),
-                F.concat(F.array(F.lit(False)), marks).alias("centres"),
-            )
-
-        return let(F.array_union(centres, near), built)
-
-    def placed(tokens: Column) -> Column:
-        real = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda p: F.get(tokens, p) >= len(SPECIALS))
-        centres = lambda r: F.filter(r, lambda p: chance(p, "centre") < rate)
-        every = F.sequence(F.lit(0), F.size(tokens) - 1)
-        return let(
-            real,
-            lambda r: let(
-                F.coalesce(F.array_max(r), F.lit(-1)),
-                lambda end: let(centres(r), lambda c: masked(tokens, every, c, end)),
-            ),
-        )
+    def placed(tokens: Column, draws: Column) -> Column:
+        last = F.coalesce(F.array_max(F.transform(tokens, lambda t, p: F.when(real(t), p))), F.lit(-1))
+        chosen = F.transform(tokens, lambda t, p: real(t) & (drawn(F.get(draws, p), 0) < rate))
+
+        def near(centres: Column, end: Column) -> Column:
+            beside = lambda p: [F.coalesce(F.get(centres, p - d), F.lit(False)) for d in reach]
+            return F.transform(centres, lambda c, p: F.when(p <= end, F.array_contains(F.array(c, *beside(p)), True)).otherwise(c))
+
+        return let(last, lambda end: let(chosen, lambda c: let(near(c, end), lambda hidden: built(tokens, draws, end, c, hidden))))
 
-    return let(ids, placed)
+    digests = lambda tokens: F.transform(tokens, lambda t, p: F.md5(F.concat_ws("|", row_key.cast("string"), p.cast("string"), F.lit(str(seed)))))
+    return let(ids, lambda tokens: let(digests(tokens), lambda draws: placed(tokens, draws)))
 
 
 def crop_random(ids: Column, row_key: Column, seq_len: int, shortest: int = 5, seed: int = 42) -> Column:

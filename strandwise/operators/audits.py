@@ -47,17 +47,28 @@ def conflicting_twins(test: DataFrame, train: DataFrame, keys: Sequence[str] = S
 
 def region_majority(train: DataFrame) -> DataFrame:
     """Most common train label per region, the first name among equals."""
-    counts = train.groupBy("dmr_label", "ctype").agg(F.count("*").alias("_n"))
-    return counts.groupBy("dmr_label").agg(F.min_by("ctype", F.struct(-F.col("_n"), F.col("ctype"))).alias("predicted"))
+    return _majority(_cells(train))
+
+
+def _cells(reads: DataFrame) -> DataFrame:
+    return reads.groupBy("dmr_label", "ctype").agg(F.count("*").alias("n"))
+
+
+def _majority(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("dmr_label").agg(F.min_by("ctype", F.struct(-F.col("n"), F.col("ctype"))).alias("predicted"))
 
 
 def region_lookup_baseline(train: DataFrame, test: DataFrame) -> DataFrame:
     """Accuracy of predicting the region's majority label, on covered test rows, and the coverage."""
-    counts = test.groupBy("dmr_label", "ctype").agg(F.count("*").alias("_n"))
-    covered = F.when(F.col("predicted").isNotNull(), F.col("_n")).otherwise(0)
-    right = F.when(F.col("predicted") == F.col("ctype"), F.col("_n")).otherwise(0)
-    return counts.join(region_majority(train), "dmr_label", "left").agg(
-        F.sum("_n").alias("n_test"), F.sum(covered).alias("n_covered"),
+    return lookup_from_counts(_cells(train), _cells(test))
+
+
+def lookup_from_counts(train: DataFrame, test: DataFrame) -> DataFrame:
+    """``region_lookup_baseline`` from reads ``n`` per (dmr_label, ctype)."""
+    covered = F.when(F.col("predicted").isNotNull(), F.col("n")).otherwise(0)
+    right = F.when(F.col("predicted") == F.col("ctype"), F.col("n")).otherwise(0)
+    return test.join(_majority(train), "dmr_label", "left").agg(
+        F.sum("n").alias("n_test"), F.sum(covered).alias("n_covered"),
         F.round(F.sum(right) / F.nullif(F.sum(covered), F.lit(0)), 6).alias("accuracy"),
-        F.round(F.sum(covered) / F.sum("_n"), 6).alias("coverage"),
+        F.round(F.sum(covered) / F.sum("n"), 6).alias("coverage"),
     )

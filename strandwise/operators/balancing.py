@@ -111,15 +111,18 @@ def balance_on_target(reads: DataFrame, order: str = "row_id", seed: int = 42, *
     weight stay whole.
     """
     groups = stage(sequence_groups(reads, order), "groups")
-    own = stage(groups.groupBy("sample_id").agg(F.min_by("first_type", "first_at").alias("own_type")), "own-types")
-    targets = stage(balance_targets(groups, own), "targets")
-    typed = groups.join(own, "sample_id")
-    is_own = F.col("group_type") == F.col("own_type")
-    positive = (
-        typed.groupBy("sample_id").agg(F.sum(F.when(is_own, F.col("weight")).otherwise(0)).alias("positive"))
+    # one row per sample: small enough to be sent to the groups from here on
+    per_type = stage(
+        groups.groupBy("sample_id", "group_type").agg(F.sum("weight").alias("weight"), F.min(F.struct("first_at", "first_type")).alias("first")), "type-weights"
     )
-    whole = typed.join(positive, "sample_id").where(is_own | (F.col("positive") == 0)).select(*groups.columns)
-    keep = whole.unionByName(off_target_prefix(groups, targets, seed)).select("sample_id", "seq_key").distinct()
+    own = per_type.groupBy("sample_id").agg(F.min("first").alias("first")).select("sample_id", F.col("first.first_type").alias("own_type"))
+    is_own = F.col("group_type") == F.col("own_type")
+    positive = F.sum(F.when(is_own, F.col("weight")).otherwise(0)).alias("positive")
+    own = stage(per_type.join(own, "sample_id").groupBy("sample_id", "own_type").agg(positive), "own-types")
+    targets = stage(balance_targets(groups, own.select("sample_id", "own_type")), "targets")
+    whole = groups.join(own, "sample_id").where(is_own | (F.col("positive") == 0)).select(*groups.columns)
+    # a group that both parts name is still one key of the semi join
+    keep = whole.unionByName(off_target_prefix(groups, targets, seed)).select("sample_id", "seq_key")
     keyed = reads.withColumn("seq_key", content_key(*SEQUENCE))
     return skew_join(
         keyed, keep, ["sample_id", "seq_key"], "left_semi", spread=[order],

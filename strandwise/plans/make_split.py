@@ -11,6 +11,7 @@ from strandwise.operators import splitting as S
 from strandwise.operators.balancing import balance_on_target
 from strandwise.operators.combine import keep_known_region_types
 from strandwise.operators.selection import filter_length
+from strandwise.session import stage
 
 MODES: dict[str, Callable[..., DataFrame]] = {
     "random": S.split_random,
@@ -36,7 +37,7 @@ def make_split(
         raise ValueError(f"mode must be one of {sorted(MODES)}, got {mode!r}")
     rows = keep_known_region_types(reads)
     if balance:
-        rows = balance_on_target(rows)
+        rows = stage(balance_on_target(rows), "balanced")
     sides = MODES[mode](rows, **how)
     return split_long(filter_length(sides, shortest), longest).select(
         "dna_seq", "methyl_seq", "ctype", "dmr_label", "dmr_ctype", F.col("read_count"), "side"

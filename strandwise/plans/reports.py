@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from strandwise.operators import audits, metrics, mixture
-from strandwise.operators.profiles import on_target, region_purity_counts
+from strandwise.functions.keys import SEQUENCE, content_digest
+from strandwise.operators import audits, mixture
+from strandwise.operators.profiles import region_purity_counts
 from strandwise.operators.selection import drop_uninformative
+from strandwise.session import stage
 
 
 def sample_composition(scored: DataFrame) -> DataFrame:
@@ -25,22 +27,57 @@ def sample_composition(scored: DataFrame) -> DataFrame:
 
 
 def audit_split(train: DataFrame, test: DataFrame) -> DataFrame:
-    """All leakage figures of one train / test pair as (metric, value) rows."""
-    exact = audits.exact_twins(test, train)
-    pairs = audits.conflicting_twins(test, train)
-    lookup = audits.region_lookup_baseline(train, test)
-    purity = region_purity_counts(train.select("dmr_label", "ctype").unionByName(test.select("dmr_label", "ctype")))
-    target = on_target(train.withColumn("_all", F.lit(0)), ("_all",))
+    """All leakage figures of one train / test pair as (metric, value) rows.
+
+    The reads are counted once per sequence digest, region, cell type and side; every figure is a sum
+    over these counts, and the figures without sequences over one row per region, type and side.
+    """
+    hit = F.col("ctype") == F.col("dmr_ctype")
+    weight = F.col("read_count").cast("long")
+
+    def side(reads: DataFrame, is_test: bool) -> DataFrame:
+        return reads.select(
+            content_digest(*SEQUENCE).alias("key"), "dmr_label", "ctype", F.lit(is_test).alias("test"),
+            F.coalesce(hit, F.lit(False)).cast("long").alias("hit"), weight.alias("weight"), F.when(hit, weight).otherwise(0).alias("hit_weight"),
+        )
+
+    sums = lambda *names: [F.sum(n).alias(n) for n in names]
+    counts = stage(
+        side(train, False).unionByName(side(test, True)).groupBy("key", "dmr_label", "ctype", "test")
+        .agg(F.count("*").alias("n"), *sums("hit", "weight", "hit_weight")),
+        "audit-counts",
+    )
+    cells = stage(counts.groupBy("dmr_label", "ctype", "test").agg(*sums("n", "hit", "weight", "hit_weight")), "audit-cells")
+    in_test, known = F.sum(F.when(F.col("test"), F.col("n")).otherwise(0)), F.max(~F.col("test"))
+
+    share = lambda part, whole: F.round(F.sum(part) / F.sum(whole), 6)
+    exact = counts.groupBy("key", "dmr_label").agg(in_test.alias("t"), known.alias("known")).agg(
+        share(F.when(F.col("known"), F.col("t")).otherwise(0), F.col("t")).alias("share_exact_twins")
+    )
+    # a label that is not the only one in train conflicts with it
+    labels = counts.groupBy("key", "ctype").agg(in_test.alias("t"), known.alias("known"))
+    per_key = labels.groupBy("key").agg(
+        F.count_if("known").alias("labels"), F.sum("t").alias("t"), F.sum(F.when(F.col("known"), F.col("t")).otherwise(0)).alias("own")
+    )
+    conflict = F.when(F.col("labels") > 1, F.col("t")).when(F.col("labels") == 1, F.col("t") - F.col("own")).otherwise(0)
+    pairs = per_key.agg(
+        share(F.when(F.col("labels") > 0, F.col("t")).otherwise(0), F.col("t")).alias("share_twins"),
+        share(conflict, F.col("t")).alias("share_conflicts"),
+    )
+    lookup = audits.lookup_from_counts(cells.where("NOT test"), cells.where("test"))
+    target = cells.where("NOT test").agg(
+        share(F.col("hit"), F.col("n")).alias("on_target_rows"), share(F.col("hit_weight"), F.col("weight")).alias("on_target_reads")
+    )
 
     def rows(df: DataFrame, *names: str) -> DataFrame:
-        cells = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])
-        return df.select(F.explode(cells).alias("c")).select("c.metric", "c.value")
+        listed = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])
+        return df.select(F.explode(listed).alias("c")).select("c.metric", "c.value")
 
     return (
-        rows(exact.withColumnRenamed("share_twins", "share_exact_twins"), "share_exact_twins")
+        rows(exact, "share_exact_twins")
         .unionByName(rows(pairs, "share_twins", "share_conflicts"))
         .unionByName(rows(lookup, "accuracy", "coverage"))
-        .unionByName(rows(purity, "n_regions", "share_one_type", "share_all_types"))
+        .unionByName(rows(region_purity_counts(cells), "n_regions", "share_one_type", "share_all_types"))
         .unionByName(rows(target, "on_target_rows", "on_target_reads"))
     )
 
