@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from strandwise.functions.keys import let
 from strandwise.functions.reads import half_lengths
 
 
@@ -11,24 +12,20 @@ def split_long(reads: DataFrame, longest: int = 250) -> DataFrame:
     """Reads longer than ``longest`` halved until every piece fits, 3-mers and calls together.
 
     Adds ``piece`` (0-based). The halves of a read are its consecutive stretches, so the piece lengths
-    and a running sum of them give every cut.
+    and a running sum of them give every cut. The read is split once, and rows hold their piece alone.
     """
-    sizes = half_lengths(F.length("methyl_seq"), longest)
-    spots = F.transform(
-        F.sequence(F.lit(1), F.size("_sizes")),
-        lambda i: F.struct(
-            F.aggregate(F.slice("_sizes", F.lit(1), i - 1), F.lit(0), lambda a, x: a + x).alias("at"),
-            F.get("_sizes", i - 1).alias("n"),
-        ),
-    )
-    cut = (
-        reads.withColumn("_sizes", sizes)
-        .select(*reads.columns, F.posexplode(spots).alias("piece", "_cut"))
-        .withColumn("_tokens", F.split("dna_seq", " "))
-    )
-    dna = F.array_join(F.slice("_tokens", F.col("_cut.at") + 1, F.col("_cut.n")), " ")
     whole = F.length("methyl_seq") <= longest
-    methyl = F.substring("methyl_seq", F.col("_cut.at") + 1, F.col("_cut.n"))
-    return cut.withColumn("dna_seq", F.when(whole, F.col("dna_seq")).otherwise(dna)).withColumn(
-        "methyl_seq", methyl
-    ).drop("_cut", "_tokens")
+    sizes = half_lengths(F.length("methyl_seq"), longest)
+
+    def pieces(tokens: Column) -> Column:
+        def step(done: Column, n: Column) -> Column:
+            dna = F.when(whole, F.col("dna_seq")).otherwise(F.array_join(F.slice(tokens, done["at"] + 1, n), " "))
+            part = F.struct(dna.alias("dna_seq"), F.substring("methyl_seq", done["at"] + 1, n).alias("methyl_seq"))
+            return F.struct((done["at"] + n).alias("at"), F.concat(done["parts"], F.array(part)).alias("parts"))
+
+        none = F.array().cast("array<struct<dna_seq:string,methyl_seq:string>>")
+        return F.aggregate(sizes, F.struct(F.lit(0).alias("at"), none.alias("parts")), step, lambda done: done["parts"])
+
+    others = [c for c in reads.columns if c not in ("dna_seq", "methyl_seq")]
+    cut = reads.select(*others, F.posexplode(let(F.split("dna_seq", " "), pieces)).alias("piece", "_p"))
+    return cut.select(*[F.col(f"_p.{c}").alias(c) if c not in others else F.col(c) for c in reads.columns], "piece")

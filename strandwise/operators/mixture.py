@@ -9,12 +9,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strandwise.session import stage
 
 ROWS_PER_BLOCK = 256  # reads x grid points held at once inside a task
 GROUP_ROWS = 2_000_000  # reads of one region handled by one task
+GROUPS = 64  # in which the tasks' vectors are added first
 LOW, HIGH = 1e-10, 1 - 1e-10
 
 
@@ -35,7 +37,8 @@ def _ratios(scored: DataFrame, margins: tuple[float, float], *keys: str) -> Data
 def mixture_curve(scored: DataFrame, margins: tuple[float, float], n: int = 10_000) -> DataFrame:
     """Log-likelihood at t = 0, 1/n, ..., (n-1)/n as rows (grid, loglik).
 
-    Every task sums its reads into one vector of n numbers; only those vectors are shuffled.
+    Every task sums its reads into one vector of n numbers; the vectors are added in groups and the
+    groups' sums once more, so no task sees more than a share of them.
     """
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -45,25 +48,31 @@ def mixture_curve(scored: DataFrame, margins: tuple[float, float], n: int = 10_0
             total += _curve(pdf["a"].to_numpy(), pdf["b"].to_numpy(), theta)
             seen = seen or len(pdf) > 0
         if seen:
-            yield pd.DataFrame({"grid": np.arange(n), "part": total})
+            yield pd.DataFrame({"group": [TaskContext.get().partitionId() % GROUPS], "curve": [total]})
 
-    parts = _ratios(scored, margins).mapInPandas(partial, "grid int, part double")
-    return parts.groupBy("grid").agg(F.sum("part").alias("loglik"))
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"group": [0], "curve": [np.sum(pdf["curve"].to_list(), axis=0)]})
 
+    schema = "group int, curve array<double>"
+    parts = _ratios(scored, margins).mapInPandas(partial, schema)
+    whole = parts.groupBy("group").applyInPandas(added, schema).groupBy("group").applyInPandas(added, schema)
+    return whole.select(F.posexplode("curve").alias("grid", "loglik"))
 
-def _curve_summary(curve: DataFrame, n: int, by: list[str]) -> DataFrame:
-    """Best grid point, its log-likelihood and the variance of successive differences per curve."""
-    step = Window.partitionBy(*(by or [F.lit(0)])).orderBy("grid")  # n rows per curve
-    rows = curve.withColumn("_d", F.col("loglik") - F.lag("loglik").over(step))
-    best = F.min_by("grid", F.struct(-F.col("loglik"), F.col("grid")))
-    return rows.groupBy(*by).agg(
-        (best / F.lit(float(n))).alias("purity"), F.var_pop("_d").alias("fi"), F.max("loglik").alias("loglik")
-    )
+
+def _summary(curve: np.ndarray) -> tuple[float, float, float]:
+    """Best grid point (the first of equals), variance of successive differences, largest log-likelihood."""
+    n = len(curve)
+    fi = float(np.var(np.diff(curve))) if n > 1 else float("nan")
+    return int(curve.argmax()) / n, fi, float(curve.max())
 
 
 def mixture_grid(scored: DataFrame, margins: tuple[float, float], n: int = 10_000) -> DataFrame:
     """Share of the type that maximises the likelihood on the grid; one row."""
-    return _curve_summary(mixture_curve(scored, margins, n), n, [])
+    curve = mixture_curve(scored, margins, n)
+    step = Window.partitionBy(F.lit(0)).orderBy("grid")  # n rows
+    rows = curve.withColumn("_d", F.col("loglik") - F.lag("loglik").over(step))
+    best = F.min_by("grid", F.struct(-F.col("loglik"), F.col("grid")))
+    return rows.agg((best / F.lit(float(n))).alias("purity"), F.var_pop("_d").alias("fi"), F.max("loglik").alias("loglik"))
 
 
 def mixture_grid_by_region(
@@ -71,8 +80,8 @@ def mixture_grid_by_region(
 ) -> DataFrame:
     """The grid search inside every region.
 
-    A region with many reads is cut into parts of ``group_rows`` by read id, and the partial curves
-    are added.
+    A region with many reads is cut into parts of ``group_rows`` by read id. A part gives one vector; a
+    region's vectors are added and searched in one step, so one row per region leaves it.
     """
     sizes = stage(
         scored.groupBy(region).agg(F.ceil(F.count("*") / group_rows).cast("int").alias("_parts")), "region-sizes"
@@ -86,11 +95,14 @@ def mixture_grid_by_region(
 
     def partial(pdf: pd.DataFrame) -> pd.DataFrame:
         total = _curve(pdf["a"].to_numpy(), pdf["b"].to_numpy(), np.arange(n) / n)
-        return pd.DataFrame({region: pdf[region].iloc[0], "grid": np.arange(n), "part": total})
+        return pd.DataFrame({region: [pdf[region].iloc[0]], "curve": [total]})
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        purity, fi, loglik = _summary(np.sum(pdf["curve"].to_list(), axis=0))
+        return pd.DataFrame({region: [pdf[region].iloc[0]], "purity": [purity], "fi": [fi], "loglik": [loglik]})
 
-    parts = salted.groupBy(region, "_part").applyInPandas(partial, f"`{region}` {kind}, grid int, part double")
-    curve = parts.groupBy(region, "grid").agg(F.sum("part").alias("loglik"))
-    return _curve_summary(curve, n, [region])
+    parts = salted.groupBy(region, "_part").applyInPandas(partial, f"`{region}` {kind}, curve array<double>")
+    return parts.groupBy(region).applyInPandas(finish, f"`{region}` {kind}, purity double, fi double, loglik double")
 
 
 def mean_purity(by_region: DataFrame) -> DataFrame:
