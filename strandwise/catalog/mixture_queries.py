@@ -78,6 +78,23 @@ def tumour_purity_query(spark, sf):
     return tumour_purity(rows, train, N).withColumn("pred", F.round("pred", 6))
 
 
+@query("tumour_purity_by_region", f"""
+WITH m AS (SELECT CAST(count(*) FILTER (label % 3 <> 0) AS DOUBLE) / count(*) AS mn, CAST(count(*) FILTER (label % 3 = 0) AS DOUBLE) / count(*) AS mt FROM embeddings),
+p AS (SELECT read_id % 5 AS region, a / (a + b) AS x, b / (a + b) AS y FROM (SELECT read_id, probs[1] AS a, probs[2] AS b FROM ({V.PROBS_SQL}) p WHERE read_id % 7 <> 0) q),
+c AS (SELECT region, g, sum(ln((1 - g / {N}) * x / mn + g / {N} * y / mt)) AS ll FROM p, m, (SELECT unnest(range(0, {N})) AS g) i GROUP BY region, g),
+b AS (SELECT avg(pred) AS pred FROM (SELECT arg_min(g, [-ll, g]) / {N} AS pred FROM c GROUP BY region) r)
+SELECT 'T' AS cell_type, round(pred, 6) AS pred FROM b UNION ALL SELECT 'N', round(1 - pred, 6) FROM b""")
+def tumour_purity_by_region(spark, sf):
+    """The mean of the shares found inside five regions."""
+    a, b = F.get("probs", F.lit(0)), F.get("probs", F.lit(1))
+    rows = V.scored(spark, sf).select(
+        "read_id", "true_label", (F.col("read_id") % 5).alias("dmr_label"), F.array(a / (a + b), b / (a + b)).alias("probs"),
+        F.when(F.col("read_id") % 7 == 0, "222").otherwise("212").alias("methyl_seq"),
+    )
+    train = V.table(spark, sf, "embeddings").select(F.when(F.col("label") % 3 == 0, "T").otherwise("N").alias("ctype"))
+    return tumour_purity(rows, train, N, by_region=True).withColumn("pred", F.round("pred", 6))
+
+
 @query("region_moments", """
 SELECT o_orderpriority, count(*) AS n, round(avg((v - 0.5) ** 2), 6) AS m2, round(avg((v - 0.5) ** 3), 6) AS m3,
  round(avg((v - 0.5) ** 3) ** 2 / avg((v - 0.5) ** 2) ** 3, 6) AS skewness_sq FROM (SELECT o_orderpriority, o_totalprice / 600000 AS v FROM orders) t GROUP BY o_orderpriority""")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strandwise.catalog import query, views as V
 from strandwise.functions.reads import kmers
 from strandwise.operators import metrics
+from strandwise.operators.scoring import score_reads
 from strandwise.session import scratch_path
 from strandwise.sources import readers as S, writers as W
 
@@ -81,15 +83,45 @@ def _labelled(spark, sf):
 
 @query("read_labelled_reads", f"{LABELLED_SQL} FROM ({R}) r")
 def read_labelled_reads(spark, sf):
-    """Semicolons and foreign header names."""
+    """Semicolons and foreign header names; files of two kinds, with the columns in two orders."""
     path = scratch_path(spark, "labelled")
-    _labelled(spark, sf).select(
+    columns = [
         F.col("read_count").alias("Read_Count"), F.col("dna_seq").alias("DNA_sequence"), F.col("methyl_seq").alias("MethylSeq"),
         F.col("dmr_label").alias("DMR_Label"), F.col("ctype").alias("Cell_type"), F.col("dmr_ctype").alias("DMR_cType"), "lane",
-    ).write.csv(path, sep=";", header=True)
+    ]
+    first = F.col("dmr_label") % 2 == 0
+    rows = _labelled(spark, sf)
+    rows.where(first).select(*columns).write.csv(path, sep=";", header=True)
+    rows.where(~first).select(*columns[::-1]).write.mode("append").csv(path, sep="\t", header=True)
     return S.read_labelled_reads(spark, path, with_region_type=True)
 
 
+def _call_model():
+    """A fixed scorer standing for the user's model: the classes are the shares of the three call states."""
+
+    def predict(pdf):
+        calls = pdf["methyl_seq"]
+        return np.stack([calls.str.count(c) / calls.str.len() for c in "012"], axis=1)
+
+    return predict
+
+
+@query("compose_unlabelled", f"""
+WITH s AS (SELECT list_transform(['0', '1', '2'], lambda c: CAST(length(methyl_seq) - length(replace(methyl_seq, c, '')) AS DOUBLE) / length(methyl_seq)) AS x FROM ({R}) r),
+p AS (SELECT list_transform(x, lambda v: exp(v) / list_sum(list_transform(x, lambda y: exp(y)))) AS probs FROM s),
+q AS (SELECT probs, list_position(probs, list_max(probs)) - 1 AS pred FROM p)
+SELECT 'cfdna' AS sample_id, i - 1 AS class, round(avg(probs[i]), 6) AS mean_prob, row_number() OVER (ORDER BY avg(probs[i]) DESC, i) AS place,
+ count(*) FILTER (pred = i - 1) AS n_called, count(*) AS n_reads FROM (SELECT probs, pred, unnest(range(1, 4)) AS i FROM q) u GROUP BY i""")
+def compose_unlabelled(spark, sf):
+    """Reads without a cell type: three columns are read, scored and pooled into one call."""
+    path = scratch_path(spark, "unlabelled")
+    _labelled(spark, sf).select(
+        F.col("dna_seq").alias("DNA_seq"), F.col("methyl_seq").alias("Methyl_seq"), F.col("dmr_label").alias("DMR_Label")
+    ).write.csv(path, header=True)
+    rows = S.read_labelled_reads(spark, path, labelled=False).withColumn("sample_id", F.lit("cfdna"))
+    return metrics.pooled_call(score_reads(rows, _call_model, ["methyl_seq"]))
+
+
 @query("read_sectioned", f"{LABELLED_SQL}, sample_id || '.pat.gz' AS sample_id FROM ({R}) r")
 def read_sectioned(spark, sf):
     path = scratch_path(spark, "sectioned")

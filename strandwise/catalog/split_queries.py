@@ -102,6 +102,17 @@ def dedup_cross_sample_split(spark, sf):
     return S.dedup_cross_sample_split(_reads(spark, sf)).select("row_id", "ctype", "side")
 
 
+SHARED_SQL = f"""
+SELECT r.* FROM ({R}) r LEFT JOIN (
+ SELECT {KEY}, min(ctype) AS lo, max(ctype) AS hi, min(row_id) AS first_id FROM ({R}) k GROUP BY ALL HAVING count(DISTINCT lane) = (SELECT count(DISTINCT lane) FROM ({R}) a)) k
+USING ({KEY}) WHERE lo IS NULL OR (lo = hi AND row_id = first_id)"""
+
+
+@query("dedup_shared_split", f"SELECT row_id, ctype, side FROM ({_cut_sql(SHARED_SQL, 0.75, None)}) s")
+def dedup_shared_split(spark, sf):
+    return S.dedup_shared_split(V.keyed_reads(spark, sf), sample="lane").select("row_id", "ctype", "side")
+
+
 @query("split_manual", f"""
 SELECT row_id, sample_id, 1 AS read_count, CASE WHEN sample_id LIKE '%-0' THEN 'train' ELSE 'test' END AS side
 FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, dna_seq, methyl_seq ORDER BY row_id) AS k FROM ({R}) r) g WHERE k = 1""")
