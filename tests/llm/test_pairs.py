@@ -136,3 +136,12 @@ def test_prefix_filter_bound():
         needed = -(-(len(x) + len(y)) * 75 // 175)
         least = max(1, needed - max(shingle_join.least_part(len(x)), shingle_join.least_part(len(y))) + 1)
         assert len(head(x) & head(y)) >= least
+
+
+def test_word_hashes(monkeypatch):
+    text = b"One two\t\nTHREE  \x0b four\x0cone \xc3\xa9 two"
+    got = shingle_join.word_hashes(text).tolist()
+    assert got == [int(shingle_join.word_hashes(w)[0]) for w in text.split()]
+    assert len(set(got)) == 5 and shingle_join.word_hashes(b" \n").tolist() == []
+    monkeypatch.setattr(shingle_join, "CHUNK", 4)
+    assert shingle_join.word_hashes(text).tolist() == got
