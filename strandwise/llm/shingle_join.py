@@ -6,10 +6,10 @@ meet there. Pairs are thinned by size, by the places of their first common shing
 common prefix shingles, and, when both sets are at hand, by the sizes of their parts (suffix filter);
 what is left is intersected once.
 
-Groups of near copies never yield all their pairs. A first round compares every class only with two
-central classes of each prefix shingle, those in whose order it comes first; links found there make
-components. The second round is complete: it takes every pair that shares a prefix shingle and is not
-yet in one component. Both together find the components of all links.
+Groups of near copies never yield all their pairs. First rounds compare a class only with central classes
+of its prefix shingles, those in whose order a shingle comes first; links found there make components. The
+last round is complete: it takes every pair that shares a prefix shingle and is not yet in one component.
+Together they find the components of all links. Shingles that the same classes have are compared as one.
 
 Frequency order: shingles seen more than once in a stretch of some million are counted across the
 table, and as many of the most frequent as ``FREQUENT`` allows are broadcast. The rest count as rare.
@@ -18,7 +18,9 @@ Any fixed order gives the right result; this one keeps common passages out of th
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,33 +37,65 @@ FREQUENT = 1 << 20  # most shingles in the broadcast frequency table
 STRETCH = 1 << 22  # shingles counted together in a task
 BLOOM_WORDS = 1 << 18  # 64-bit words of the filter for the sets to fetch: 2 MB, false hits are harmless
 PARTS = 16  # of a set in the suffix filter
-CACHED_WORDS = 1 << 18
+LEAST_YIELD = 10  # a round that links under one in so many of its pairs is the last before the complete one
+CHUNK = 1 << 20  # bytes hashed at a time
 ROWS = 256
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-class Shingler:
-    """Sorted distinct 64-bit shingle hashes of texts; hashes of words seen before are kept."""
+_BASE = 0x9E3779B97F4A7C15
+_WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
 
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        words = text.lower().split() if text else []
-        known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        ids = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-        n = min(WORDS, len(ids))
-        if not n:
-            return ids
-        h = np.full(len(ids) - n + 1, n, dtype=np.uint64)
-        for k in range(n):
-            h += _mixed(ids[k : len(ids) - n + 1 + k]) * _FACTORS[k]
-        return np.unique(_mixed(h))
+@cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of the word hash and of its inverse, modulo 2**64."""
+    parts = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(size, base, dtype=np.uint64)
+        p[0] = 1
+        parts.append(np.cumprod(p, dtype=np.uint64))
+    return parts[0], parts[1]
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash for each word of the text with its letters A-Z made small.
+
+    A word's polynomial hash is the difference of two running sums over the text, brought back to the
+    power 0. Texts are cut between words after ``CHUNK`` bytes.
+    """
+    parts, at = [], 0
+    while gap := _SPACE.search(text, at + CHUNK):
+        parts.append(_piece_hashes(text[at : gap.start()]))
+        at = gap.start()
+    return np.concatenate([*parts, _piece_hashes(text[at:])])
+
+
+def _piece_hashes(text: bytes) -> np.ndarray:
+    letters = np.frombuffer(text.lower(), dtype=np.uint8)
+    if not len(letters):
+        return np.empty(0, dtype=np.uint64)
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], _WHITE[letters], [True]])))
+    start, end = edge[0::2], edge[1::2]
+    power, inverse = _powers(1 << max(12, int(len(letters)).bit_length()))
+    total = np.zeros(len(letters) + 1, dtype=np.uint64)
+    np.cumsum((letters.astype(np.uint64) + np.uint64(1)) * power[: len(letters)], out=total[1:])
+    return _mixed((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * _FACTORS[0])
+
+
+def shingles_of(text: bytes | None) -> np.ndarray:
+    """Sorted distinct 64-bit shingle hashes; a text of fewer words is one shingle."""
+    words = word_hashes(text) if text else np.empty(0, dtype=np.uint64)
+    n = min(WORDS, len(words))
+    if not n:
+        return words
+    h = np.full(len(words) - n + 1, n, dtype=np.uint64)
+    for k in range(n):
+        h += words[k : len(words) - n + 1 + k] * _FACTORS[k]
+    h = np.sort(_mixed(h))
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -88,7 +122,7 @@ def prefix_size(n: int) -> int:
 
 
 def _pass(texts: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``fn(shingler, rows of (id, row, text)) -> batches`` over each task's rows in small lists."""
+    """``fn(rows of (id, row, text)) -> batches`` over each task's rows in small lists."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -97,12 +131,12 @@ def _pass(texts: DataFrame, fn: Callable, schema: str) -> DataFrame:
                     part = batch.slice(at, ROWS)
                     yield part.column("id"), part.column("row"), part.column("text").cast(pa.binary()).to_pylist()
 
-        yield from fn(Shingler(), rows())
+        yield from fn(rows())
 
     return texts.mapInArrow(run, schema)
 
 
-def _signatures(shingler: Shingler, rows) -> Iterator[pa.RecordBatch]:
+def _signatures(rows) -> Iterator[pa.RecordBatch]:
     """A row per text (id, n, cls), and rows (shingle, count) for what is frequent in a stretch."""
     stretch: list[np.ndarray] = []
     held, seen, kinds = 0, set(), (pa.null(), pa.int64())
@@ -113,7 +147,7 @@ def _signatures(shingler: Shingler, rows) -> Iterator[pa.RecordBatch]:
 
     for ids, row, texts in rows:
         kinds = ids.type, row.type
-        sets = [shingler(t) for t in texts]
+        sets = [shingles_of(t) for t in texts]
         names = [class_of(s) for s in sets]
         nothing = pa.nulls(len(ids), pa.int64())
         yield pa.RecordBatch.from_arrays(
@@ -142,12 +176,12 @@ def _counts(kinds: tuple[pa.DataType, ...], keys: np.ndarray, n: np.ndarray) ->
 
 
 def _prefixes(keys: np.ndarray, counts: np.ndarray):
-    def fn(shingler: Shingler, rows) -> Iterator[pa.RecordBatch]:
+    def fn(rows) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, _, texts in rows:
             out = []
             for t in texts:
-                s = shingler(t)
+                s = shingles_of(t)
                 name = class_of(s)
                 if name is None or name in seen:
                     continue
@@ -172,12 +206,12 @@ def _prefixes(keys: np.ndarray, counts: np.ndarray):
 
 
 def _sets(bloom: np.ndarray):
-    def fn(shingler: Shingler, rows) -> Iterator[pa.RecordBatch]:
+    def fn(rows) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, _, texts in rows:
             found = {}
             for t in texts:
-                s = shingler(t)
+                s = shingles_of(t)
                 name = class_of(s)
                 if name is not None and name not in seen and _may_hold(bloom, name):
                     found[name] = s.tobytes()
@@ -211,32 +245,45 @@ def _bloom(names: DataFrame) -> np.ndarray:
 
 
 def _leaders(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shingle and place: those of shingles with several classes, with their first two.
+    """Rows sorted by shingle, place and class: those of shingles with several classes, with their first two.
 
-    Only the first two rows of the current shingle are kept between batches.
+    Between batches only the first two rows of the current shingle are kept, and the last row's class.
     """
-    last: tuple | None = None  # shingle, class of the last row
-    lead: list[tuple] = []
-    waiting = False  # the shingle's first row is not written yet
-
+    held: np.ndarray | None = None  # rows of shingle, cls, n, pos
+    written = False  # has the first of them gone out?
+    last: tuple[int, int] | None = None
     for batch in batches:
-        rows = list(zip(*(batch.column(c).to_pylist() for c in ("shingle", "cls", "n", "pos"))))
-        out = []
-        for row in rows:
-            if last is None or row[0] != last[0]:
-                lead, waiting = [row], True
-            elif row[1] != last[1]:
-                if waiting:
-                    out.append((*lead[0], None, None, None, None))
-                    waiting = False
-                if len(lead) < 2:
-                    lead.append(row)
-                    out.append((*row, lead[0][1], lead[0][2], None, None))
-                else:
-                    out.append((*row, lead[0][1], lead[0][2], lead[1][1], lead[1][2]))
-            last = row
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _LED.types)], schema=_LED)
+        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("shingle", "cls", "n", "pos")])
+        if not rows.shape[1]:
+            continue
+        pair = rows[:2]
+        fresh = np.concatenate([[last != tuple(pair[:, 0].tolist())], (pair[:, 1:] != pair[:, :-1]).any(axis=0)])
+        last = tuple(pair[:, -1].tolist())
+        rows = rows[:, fresh]
+        if not rows.shape[1]:
+            continue
+        old = 0
+        if held is not None and held[0, 0] == rows[0, 0]:
+            old = held.shape[1]
+            rows = np.concatenate([held, rows], axis=1)
+        shingle = rows[0]
+        place = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+        size = np.diff(np.concatenate([place, [len(shingle)]]))
+        run = np.repeat(np.arange(len(place)), size)
+        within = np.arange(len(shingle)) - place[run]
+        out = (size > 1)[run]
+        out[1:old] = False
+        out[0] &= not (old and written)
+        held, written = rows[:, place[-1] : place[-1] + 2].copy(), bool(size[-1] > 1)
+        pick = np.flatnonzero(out)
+        if len(pick):
+            first = place[run[pick]]
+            leads = []
+            for k in range(2):
+                at = np.minimum(first + k, len(shingle) - 1)
+                leads += [pa.array(rows[c, at], t, mask=within[pick] <= k) for c, t in ((1, pa.int64()), (2, pa.int32()))]
+            own = [pa.array(rows[c, pick], t) for c, t in enumerate(_LED.types[:4])]
+            yield pa.RecordBatch.from_arrays([*own, *leads], schema=_LED)
 
 
 _LED = pa.schema([
@@ -269,7 +316,7 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are as similar as asked for. ``pairs`` is a written table."""
     names = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
     bloom = texts.sparkSession.sparkContext.broadcast(_bloom(names))
-    sets = _pass(texts, lambda s, rows: _sets(bloom.value)(s, rows), "cls long, body binary")
+    sets = _pass(texts, lambda rows: _sets(bloom.value)(rows), "cls long, body binary")
     sets = stage(sets.join(names.distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "join-sets")
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("body").alias("body_a")), "a").join(
         sets.select(F.col("cls").alias("b"), F.col("body").alias("body_b")), "b"
@@ -327,48 +374,95 @@ def classes_and_roots(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     keys = table["shingle"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     frequent = texts.sparkSession.sparkContext.broadcast((keys[order], table["count"].to_numpy()[order]))
-    prefixes = _pass(texts, lambda s, rows: _prefixes(*frequent.value)(s, rows), "shingle long, cls long, n int, pos int")
+    prefixes = _pass(texts, lambda rows: _prefixes(*frequent.value)(rows), "shingle long, cls long, n int, pos int")
     ordered = prefixes.repartition("shingle").sortWithinPartitions("shingle", "pos", "cls")
     led = stage(ordered.mapInArrow(_leaders, _LED_SQL), "join-prefixes")
 
-    first = stage(_central_pairs(led), "join-pairs")
-    links = stage(_linked(first, texts), "join-links")
-    joined = components(links)
-    named = led.select("shingle", "cls", "n", "pos").join(joined.withColumnRenamed("node", "cls"), "cls", "left")
-    named = named.withColumn("root", F.coalesce("root", "cls"))
-    second = stage(_other_pairs(stage(named, "join-named")), "join-pairs")
-    more = stage(_linked(second, texts), "join-links")
-    roots = components(links.unionByName(more)) if not more.isEmpty() else joined
+    tried = stage(_central_pairs(led), "join-pairs")
+    links = stage(_linked(tried, texts), "join-links")
+    groups = stage(_groups(led), "join-groups")
+    while True:
+        roots = components(links)
+        mixed = stage(_mixed_groups(groups, roots), "join-mixed")
+        pairs = stage(_leader_pairs(mixed).join(tried, ["a", "b"], "left_anti"), "join-pairs")
+        asked = pairs.count()
+        if not asked:
+            break
+        found = stage(_linked(pairs, texts), "join-links")
+        tried, links = tried.unionByName(pairs), links.unionByName(found)
+        if found.count() * LEAST_YIELD < asked:
+            roots = components(links)
+            mixed = stage(_mixed_groups(groups, roots), "join-mixed")
+            break
+    rest = stage(_other_pairs(mixed).join(tried, ["a", "b"], "left_anti"), "join-pairs")
+    if not rest.isEmpty():
+        more = stage(_linked(rest, texts), "join-links")
+        if not more.isEmpty():
+            roots = components(links.unionByName(more))
     return classes, roots.withColumnRenamed("node", "cls")
 
 
 def _central_pairs(led: DataFrame) -> DataFrame:
-    """Pairs of a class with a central one that share about as many prefix shingles as linked sets do."""
-    pairs = led.select("cls", "n", "pos", F.explode(F.array(F.struct(F.col("lead1").alias("c"), F.col("lead1_n").alias("cn")), F.struct(F.col("lead2").alias("c"), F.col("lead2_n").alias("cn")))).alias("lead"))
-    pairs = pairs.select("cls", "n", F.col("lead.c").alias("c"), F.col("lead.cn").alias("cn")).where("c IS NOT NULL")
+    """Every class with the first two classes of each of its prefix shingles."""
+    leads = F.array(*[F.struct(F.col(c).alias("c"), F.col(f"{c}_n").alias("cn")) for c in ("lead1", "lead2")])
+    pairs = led.select("cls", "n", F.explode(leads).alias("lead")).select("cls", "n", "lead.c", "lead.cn", F.lit(1).alias("w"))
+    return _counted(pairs.where("c IS NOT NULL"))
+
+
+def _counted(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of (cls, n, c, cn, w) that share about as many prefix shingles as linked sets do."""
     pairs = pairs.where(_sizes_fit(F.col("n"), F.col("cn")))
     small = F.col("cls") < F.col("c")
     pairs = pairs.select(
         F.least("cls", "c").alias("a"), F.greatest("cls", "c").alias("b"),
-        F.when(small, F.col("n")).otherwise(F.col("cn")).alias("na"), F.when(small, F.col("cn")).otherwise(F.col("n")).alias("nb"),
+        F.when(small, F.col("n")).otherwise(F.col("cn")).alias("na"), F.when(small, F.col("cn")).otherwise(F.col("n")).alias("nb"), "w",
     )
-    counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
+    counted = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("w").alias("common"))
     return counted.where(F.col("common") * 2 >= _common(F.col("na"), F.col("nb"))).select("a", "b")
 
 
-def _other_pairs(named: DataFrame) -> DataFrame:
+def _groups(led: DataFrame) -> DataFrame:
+    """``g, cls, n, pos, w``: prefix shingles that the same classes have are one group of ``w`` shingles.
+
+    A group is named by the sums of its classes; ``pos`` is the place of a class's first shingle in it.
+    """
+    rows = led.select("shingle", "cls", "n", "pos")
+    names = rows.groupBy("shingle").agg(
+        F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"), F.count("*").alias("c")
+    ).select("shingle", F.xxhash64("x", "y", "c").alias("g"))
+    return rows.join(names, "shingle").groupBy("g", "cls", "n").agg(F.min("pos").alias("pos"), F.count("*").alias("w"))
+
+
+def _mixed_groups(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """The groups whose classes are not yet in one component, with the components."""
+    named = groups.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    several = named.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
+    return named.join(several, "g", "left_semi")
+
+
+def _leader_pairs(mixed: DataFrame) -> DataFrame:
+    """Every class with the most central class of another component in each of its groups."""
+    row = F.struct("pos", "cls", "n", "root")
+    first = mixed.groupBy("g").agg(F.min(row).alias("p"))
+    led = mixed.join(first, "g")
+    second = led.where(F.col("root") != F.col("p.root")).groupBy("g").agg(F.min(row).alias("q"))
+    partner = F.when(F.col("root") != F.col("p.root"), F.col("p")).otherwise(F.col("q"))
+    pairs = led.join(second, "g").select("cls", "n", "w", F.explode(F.array(partner)).alias("o"))
+    return _counted(pairs.select("cls", "n", F.col("o.cls").alias("c"), F.col("o.n").alias("cn"), "w"))
+
+
+def _other_pairs(mixed: DataFrame) -> DataFrame:
     """All pairs of different components that share a prefix shingle and pass the filters."""
-    mixed = named.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("shingle")
-    rows = stage(named.join(mixed, "shingle", "left_semi"), "join-mixed")
-    x, y = (rows.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", "root")]) for s in ("a", "b"))
-    na, nb = F.col("n_a"), F.col("n_b")
-    pairs = x.join(y, "shingle").where((F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b")) & _sizes_fit(na, nb))
+    x, y = (mixed.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", "w", "root")]) for s in ("a", "b"))
+    na, nb, i, j = (F.col(c) for c in ("n_a", "n_b", "pos_a", "pos_b"))
+    # at most as many common shingles before this one as the smaller place, and the shorter rest from it on
+    fits = F.least(i, j) + F.least(na - i, nb - j) >= _needed(na, nb)
+    pairs = x.join(y, "g").where((F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b")) & _sizes_fit(na, nb) & fits)
     counted = pairs.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "n_a", "n_b").agg(
-        F.count("*").alias("common"), F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b")
+        F.sum("w_a").alias("common"), F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b")
     )
     # from the first common shingle on, the shorter rest bounds the intersection
-    rest = F.least(na - F.col("pos_a"), nb - F.col("pos_b"))
-    return counted.where((F.col("common") >= _common(na, nb)) & (rest >= _needed(na, nb))).select("a", "b")
+    return counted.where((F.least(na - i, nb - j) >= _needed(na, nb)) & (F.col("common") >= _common(na, nb))).select("a", "b")
 
 
 def row_key(doc_id: str, text: str) -> Column:
