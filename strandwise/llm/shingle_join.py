@@ -7,8 +7,8 @@ common prefix shingles, and, when both sets are at hand, by the sizes of their p
 what is left is intersected once.
 
 Groups of near copies never yield all their pairs. First rounds compare a class only with central classes
-of its prefix shingles, those in whose order a shingle comes first; links found there make components. The
-last round is complete: it takes every pair that shares a prefix shingle and is not yet in one component.
+of its prefix shingles, those in whose order a shingle comes first, and with the first class of each of its
+hash minima; links found there make components. The last round is complete: it takes every pair that shares a prefix shingle and is not yet in one component.
 Together they find the components of all links. Shingles that the same classes have are compared as one.
 
 Frequency order: shingles seen more than once in a stretch of some million are counted across the
@@ -37,6 +37,7 @@ FREQUENT = 1 << 20  # most shingles in the broadcast frequency table
 STRETCH = 1 << 22  # shingles counted together in a task
 BLOOM_WORDS = 1 << 18  # 64-bit words of the filter for the sets to fetch: 2 MB, false hits are harmless
 PARTS = 16  # of a set in the suffix filter
+MINIMA = 8  # hash minima by which a class finds a near one
 LEAST_YIELD = 10  # a round that links under one in so many of its pairs is the last before the complete one
 CHUNK = 1 << 20  # bytes hashed at a time
 ROWS = 256
@@ -151,7 +152,8 @@ def _signatures(rows) -> Iterator[pa.RecordBatch]:
         names = [class_of(s) for s in sets]
         nothing = pa.nulls(len(ids), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [ids, row, pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), nothing, nothing], names=_SIGNED
+            [ids, row, pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), nothing, nothing, pa.array([_minima(s) for s in sets], _MINIMA)],
+            names=_SIGNED,
         )
         for s, name in zip(sets, names):
             if name is not None and name not in seen:
@@ -166,13 +168,20 @@ def _signatures(rows) -> Iterator[pa.RecordBatch]:
         yield counted()
 
 
-_SIGNED = ["id", "row", "n", "cls", "shingle", "count"]
+_SIGNED = ["id", "row", "n", "cls", "shingle", "count", "minima"]
+_MINIMA = pa.list_(pa.int64())
+_TURNS = _mixed(np.arange(1, MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def _minima(shingles: np.ndarray) -> np.ndarray | None:
+    """The smallest shingle in each of some orders; two sets share one as often as they are similar."""
+    return np.array([(shingles * t).min() for t in _TURNS]).view(np.int64) if len(shingles) else None
 
 
 def _counts(kinds: tuple[pa.DataType, ...], keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     nothing = pa.nulls(len(keys), pa.int64())
     empty = [pa.nulls(len(keys), k) for k in kinds]
-    return pa.RecordBatch.from_arrays([*empty, nothing, nothing, pa.array(keys), pa.array(n)], names=_SIGNED)
+    return pa.RecordBatch.from_arrays([*empty, nothing, nothing, pa.array(keys), pa.array(n), pa.nulls(len(keys), _MINIMA)], names=_SIGNED)
 
 
 def _prefixes(keys: np.ndarray, counts: np.ndarray):
@@ -364,7 +373,7 @@ def classes_and_roots(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     """``id, row, n, cls`` of every row, and ``cls, root`` of the classes that link with another."""
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), row_key(doc_id, text).alias("row"), F.col(f"`{text}`").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    signed = stage(_pass(texts, _signatures, f"id {kind}, row long, n long, cls long, shingle long, count long"), "join-signatures")
+    signed = stage(_pass(texts, _signatures, f"id {kind}, row long, n long, cls long, shingle long, count long, minima array<long>"), "join-signatures")
     classes = signed.where("shingle IS NULL").select("id", "row", "n", "cls")
     counted = signed.where("shingle IS NOT NULL")
     total = counted.agg(F.sum("count")).first()[0] or 0
@@ -380,6 +389,8 @@ def classes_and_roots(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
 
     tried = stage(_central_pairs(led), "join-pairs")
     links = stage(_linked(tried, texts), "join-links")
+    near = stage(_near_pairs(signed, components(links)).join(tried, ["a", "b"], "left_anti"), "join-pairs")
+    tried, links = tried.unionByName(near), links.unionByName(stage(_linked(near, texts), "join-links"))
     groups = stage(_groups(led), "join-groups")
     while True:
         roots = components(links)
@@ -409,6 +420,16 @@ def _central_pairs(led: DataFrame) -> DataFrame:
     return _counted(pairs.where("c IS NOT NULL"))
 
 
+def _near_pairs(signed: DataFrame, roots: DataFrame) -> DataFrame:
+    """Every class with the first class that has one of its hash minima, where both are in different components."""
+    own = signed.where("cls IS NOT NULL").select("cls", "n", "minima").dropDuplicates(["cls"]).select("cls", "n", F.posexplode("minima").alias("k", "m"))
+    first = own.groupBy("k", "m").agg(F.min("cls").alias("c"), F.max("cls").alias("z")).where("c <> z").select("k", "m", "c")
+    pairs = own.join(first, ["k", "m"]).where("cls <> c").select("c", "cls").distinct()
+    up = lambda c, r: roots.select(F.col("node").alias(c), F.col("root").alias(r))
+    pairs = pairs.join(up("c", "x"), "c", "left").join(up("cls", "y"), "cls", "left")
+    return pairs.where(F.coalesce("x", "c") != F.coalesce("y", "cls")).select(F.col("c").alias("a"), F.col("cls").alias("b"))
+
+
 def _counted(pairs: DataFrame) -> DataFrame:
     """Distinct pairs (a < b) of (cls, n, c, cn, w) that share about as many prefix shingles as linked sets do."""
     pairs = pairs.where(_sizes_fit(F.col("n"), F.col("cn")))
