@@ -12,7 +12,9 @@ are hashed to 64 bits. Spark sorts by name at growing lengths and drops what has
 1. 24 bytes at the anchors; strings within one document only drop out.
 2. The run of windows around an anchor, named by the pair of its first and last window. A run that an
    earlier document has too goes whole; runs whose anchor no earlier document has are done.
-3. The 50-byte windows of the runs at the edges of matches, one by one.
+3. 37 bytes, 13 more to the left or to the right of the anchor. Every window reaches that far on one side, so a
+   run that shares neither with an earlier document is done.
+4. The 50-byte windows of the runs that are left, at the edges of matches, one by one.
 
 Names of one anchor are compared only among themselves, 128 bits in all.
 """
@@ -33,6 +35,7 @@ from strandwise.session import stage
 LENGTH = 50
 ANCHOR = 24
 WINDOWS = LENGTH - ANCHOR + 1  # anchors to choose from in a window
+REACH = (LENGTH - ANCHOR) // 2  # bytes beside the anchor that each window has on one side at least
 CHUNK = 1 << 20  # bytes of a text that are named at a time
 ROWS = 64
 LAST = (1 << 63) - 1  # stands for a null id
@@ -59,6 +62,8 @@ class Runs:
 
     ``anchor`` names the 24 bytes at a run's anchor, ``context`` all the bytes of its windows and where
     in them the anchor lies; ``first`` and ``last`` are the starts of the run's first and last window.
+    ``left`` and ``right`` name the anchor with the bytes beside it, where ``has_left`` and ``has_right`` say
+    that windows of the run reach that far.
     """
 
     def __init__(self, text: bytes):
@@ -68,6 +73,8 @@ class Runs:
         self.windows = join(0, np.uint64)
         self.anchor, self.context = join(1, np.uint64), join(2, np.uint64)
         self.first, self.last = join(3, np.int64), join(4, np.int64)
+        self.left, self.right = join(5, np.uint64), join(6, np.uint64)
+        self.has_left, self.has_right = join(7, bool), join(8, bool)
 
     @staticmethod
     def _chunk(text: bytes, at: int):
@@ -93,7 +100,10 @@ class Runs:
         chosen = place[first]
         shape = ((chosen - first) * 64 + (last - first)).astype(np.uint64)
         context = _pair(_pair(windows[first], windows[last]), shape)
-        return windows, by24[chosen], context, first + at, last + at
+        beside = _pair(by32[: len(by32) - (ANCHOR + REACH - 32)], by32[ANCHOR + REACH - 32 :])
+        has_left, has_right = first <= chosen - REACH, last >= chosen - REACH
+        left, right = (np.where(has, beside[np.clip(i, 0, len(beside) - 1)], np.uint64(0)) for has, i in ((has_left, chosen - REACH), (has_right, chosen)))
+        return windows, by24[chosen], context, first + at, last + at, left, right, has_left, has_right
 
 
 # --- passes --------------------------------------------------------------------------------------
@@ -108,18 +118,37 @@ def _over(texts: DataFrame, columns: list[str], fn: Callable, schema: str) -> Da
             for batch in batches:
                 for at in range(0, batch.num_rows, ROWS):
                     part = batch.slice(at, ROWS)
-                    yield [part.column(c).cast(pa.binary()).to_pylist() if c == "text" else part.column(c).to_pylist() for c in columns]
+                    yield [_READ.get(c, pa.Array.to_pylist)(part.column(c)) for c in columns]
 
         for out in fn(rows()):
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in out], names=names)
+            yield pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in out], names=names)
 
     return texts.select(*columns).mapInArrow(run, schema)
 
 
+def _marks(column: pa.ListArray) -> list[dict[str, np.ndarray]]:
+    """The fields of each row's list of structs as arrays."""
+    ends = column.offsets.to_numpy()
+    fields = column.values
+    arrays = {f.name: fields.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(fields.type)}
+    return [{k: v[a:b] for k, v in arrays.items()} for a, b in zip(ends[:-1], ends[1:])]
+
+
+_READ = {"text": lambda c: c.cast(pa.binary()).to_pylist(), "marks": _marks}
+
+
 def _signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``wanted`` that ``keys`` holds, and where in ``keys``."""
+    order = np.argsort(keys)
+    at = np.minimum(np.searchsorted(keys, wanted, sorter=order), len(keys) - 1)
+    hit = np.flatnonzero(keys[order[at]] == wanted)
+    return hit, order[at[hit]]
+
+
 def _anchors(rows) -> Iterator[list[np.ndarray]]:
     for docs, texts in rows:
         names, owners = [], []
@@ -163,19 +192,21 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (name, doc, first)], names=["name", "doc", "first"])
 
 
-def _contexts(rows) -> Iterator[list[np.ndarray]]:
+def _contexts(rows) -> Iterator[list]:
     for docs, texts, marks in rows:
         out = []
         for doc, text, mark in zip(docs, texts, marks):
             runs = Runs(text)
-            wanted = {m["name"]: m["first"] for m in mark}
-            anchor = _signed(runs.anchor)
-            hit = np.flatnonzero(np.isin(anchor, np.fromiter(wanted, dtype=np.int64)))
-            both, at = np.unique(np.stack([anchor[hit], _signed(runs.context)[hit]], axis=1), axis=0, return_index=True)
-            if len(both):
-                out.append([both[:, 0], both[:, 1], np.full(len(both), doc, dtype=np.int64), np.array([wanted[a] for a in both[:, 0].tolist()], dtype=np.int64)])
+            hit, place = _found(mark["name"], _signed(runs.anchor))
+            _, once = np.unique(runs.context[hit], return_index=True)
+            hit, place = hit[once], place[once]
+            out.append([
+                _signed(runs.anchor[hit]), _signed(runs.context[hit]), np.full(len(hit), doc, dtype=np.int64), mark["first"][place],
+                _signed(runs.left[hit]), runs.has_left[hit], _signed(runs.right[hit]), runs.has_right[hit],
+            ])
         if out:
-            yield [np.concatenate(c) for c in zip(*out)]
+            name, context, doc, first, left, has_left, right, has_right = (np.concatenate(c) for c in zip(*out))
+            yield [name, context, doc, first, pa.array(left, mask=~has_left), pa.array(right, mask=~has_right)]
 
 
 def _edge_windows(rows) -> Iterator[list[np.ndarray]]:
@@ -183,15 +214,16 @@ def _edge_windows(rows) -> Iterator[list[np.ndarray]]:
         out = []
         for doc, text, mark in zip(docs, texts, marks):
             runs = Runs(text)
-            wanted = {(m["name"], m["context"]): m["open"] for m in mark}
-            context = _signed(runs.context)
-            hit = np.flatnonzero(np.isin(context, np.array([c for _, c in wanted], dtype=np.int64)))
-            for i in hit.tolist():
-                name = int(_signed(runs.anchor[i : i + 1])[0])
-                is_open = wanted.get((name, int(context[i])))
-                if is_open is not None:
-                    w = np.unique(_signed(runs.windows[runs.first[i] : runs.last[i] + 1]))
-                    out.append([np.full(len(w), name), w, np.full(len(w), doc, dtype=np.int64), np.full(len(w), is_open)])
+            hit, place = _found(mark["context"], _signed(runs.context))
+            same = mark["name"][place] == _signed(runs.anchor[hit])
+            _, once = np.unique(runs.context[hit[same]], return_index=True)
+            hit, place = hit[same][once], place[same][once]
+            size = runs.last[hit] - runs.first[hit] + 1
+            at = np.repeat(runs.first[hit] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            out.append([
+                np.repeat(_signed(runs.anchor[hit]), size), _signed(runs.windows[at]), np.full(len(at), doc, dtype=np.int64),
+                np.repeat(mark["open"][place], size),
+            ])
         if out:
             yield [np.concatenate(c) for c in zip(*out)]
 
@@ -239,10 +271,14 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         asked = with_flag(texts, F.xxhash64("doc"), marks.select(F.xxhash64("doc").alias("key")), "_may").where("_may")
         return asked.hint("merge").join(marks, "doc").select("doc", "text", "marks")
 
-    runs = _over(beside(shared, ["name", "first"]), ["doc", "text", "marks"], _contexts, "name long, context long, doc long, first long")
+    runs = _over(beside(shared, ["name", "first"]), ["doc", "text", "marks"], _contexts, "name long, context long, doc long, first long, left long, right long")
     of_name, of_run = Window.partitionBy("name"), Window.partitionBy("name", "context")
     judged = runs.repartition("name").withColumn("owner", F.min("doc").over(of_run))
-    judged = judged.withColumn("open", (F.col("owner") == F.col("doc")) & (F.col("first") < F.col("doc")))
+    for side in ("left", "right"):
+        earlier = F.min("doc").over(Window.partitionBy("name", side)) < F.col("doc")
+        judged = judged.withColumn(f"by_{side}", F.col(side).isNotNull() & earlier)
+    shares = F.col("by_left") | F.col("by_right")
+    judged = judged.withColumn("open", (F.col("owner") == F.col("doc")) & (F.col("first") < F.col("doc")) & shares)
     judged = judged.withColumn("asked", F.max("open").over(of_name))
     judged = stage(
         judged.where("doc > owner OR asked").select("name", "context", "doc", (F.col("doc") > F.col("owner")).alias("whole"), "open"),
