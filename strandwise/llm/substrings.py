@@ -57,6 +57,37 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _short_names(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the 16 and the 24 bytes from each position on, doubled from 1, 2, 4 and 8."""
+    name = np.frombuffer(text, dtype=np.uint8).astype(np.uint64)
+    for half in (1, 2, 4):
+        name = name[: len(name) - half] | (name[half:] << np.uint64(8 * half))
+    by16 = _pair(name[:-8], name[8:])
+    return by16, _pair(by16[: len(by16) - 8], name[16:])
+
+
+def _anchor_places(by24: np.ndarray) -> np.ndarray:
+    """For each window the place of its smallest hash, kept in the low bits meanwhile; of equal ones the first."""
+    low = (by24 & ~_PLACE) | np.arange(len(by24), dtype=np.uint64)
+    span = 1
+    while span * 2 <= WINDOWS:
+        low = np.minimum(low[: len(low) - span], low[span:])
+        span *= 2
+    if span < WINDOWS:
+        low = np.minimum(low[: len(low) - (WINDOWS - span)], low[WINDOWS - span :])
+    return (low & _PLACE).astype(np.int64)
+
+
+def anchors_of(text: bytes) -> np.ndarray:
+    """The distinct names of a text's anchors."""
+    found = []
+    for at in range(0, max(1, len(text) - LENGTH + 1), CHUNK):
+        _, by24 = _short_names(text[at : at + CHUNK + LENGTH - 1])
+        place = _anchor_places(by24)
+        found.append(by24[place[np.concatenate([[True], place[1:] != place[:-1]])]])
+    return np.unique(np.concatenate(found))
+
+
 class Runs:
     """Of one text: for each window its name, and the runs of windows that share an anchor.
 
@@ -66,44 +97,36 @@ class Runs:
     that windows of the run reach that far.
     """
 
-    def __init__(self, text: bytes):
+    def __init__(self, text: bytes, beside: bool = False):
         n = len(text)
-        parts = [self._chunk(text[at : at + CHUNK + LENGTH - 1], at) for at in range(0, max(1, n - LENGTH + 1), CHUNK)] if n >= LENGTH else []
+        parts = [self._chunk(text[at : at + CHUNK + LENGTH - 1], at, beside) for at in range(0, max(1, n - LENGTH + 1), CHUNK)] if n >= LENGTH else []
         join = lambda k, kind: np.concatenate([p[k] for p in parts]) if parts else np.empty(0, dtype=kind)
         self.windows = join(0, np.uint64)
         self.anchor, self.context = join(1, np.uint64), join(2, np.uint64)
         self.first, self.last = join(3, np.int64), join(4, np.int64)
-        self.left, self.right = join(5, np.uint64), join(6, np.uint64)
-        self.has_left, self.has_right = join(7, bool), join(8, bool)
+        if beside:
+            self.left, self.right = join(5, np.uint64), join(6, np.uint64)
+            self.has_left, self.has_right = join(7, bool), join(8, bool)
 
     @staticmethod
-    def _chunk(text: bytes, at: int):
-        name = np.frombuffer(text, dtype=np.uint8).astype(np.uint64)
-        for half in (1, 2, 4):
-            name = name[: len(name) - half] | (name[half:] << np.uint64(8 * half))
-        by16 = _pair(name[:-8], name[8:])
-        by24 = _pair(by16[: len(by16) - 8], name[16:])
+    def _chunk(text: bytes, at: int, with_beside: bool):
+        by16, by24 = _short_names(text)
         by32 = _pair(by16[: len(by16) - 16], by16[16:])
         windows = _pair(by32[: len(by32) - (LENGTH - 32)], by32[LENGTH - 32 :])
-        # the smallest hash in each window, with its place in the low bits; the first of equal ones
-        low = (by24 & ~_PLACE) | np.arange(len(by24), dtype=np.uint64)
-        span = 1
-        while span * 2 <= WINDOWS:
-            low = np.minimum(low[: len(low) - span], low[span:])
-            span *= 2
-        if span < WINDOWS:
-            low = np.minimum(low[: len(low) - (WINDOWS - span)], low[WINDOWS - span :])
-        place = (low & _PLACE).astype(np.int64)
+        place = _anchor_places(by24)
         edge = np.flatnonzero(np.diff(place)) + 1
         first = np.concatenate([[0], edge])
         last = np.concatenate([edge, [len(place)]]) - 1
         chosen = place[first]
         shape = ((chosen - first) * 64 + (last - first)).astype(np.uint64)
         context = _pair(_pair(windows[first], windows[last]), shape)
+        found = (windows, by24[chosen], context, first + at, last + at)
+        if not with_beside:
+            return found
         beside = _pair(by32[: len(by32) - (ANCHOR + REACH - 32)], by32[ANCHOR + REACH - 32 :])
         has_left, has_right = first <= chosen - REACH, last >= chosen - REACH
         left, right = (np.where(has, beside[np.clip(i, 0, len(beside) - 1)], np.uint64(0)) for has, i in ((has_left, chosen - REACH), (has_right, chosen)))
-        return windows, by24[chosen], context, first + at, last + at, left, right, has_left, has_right
+        return *found, left, right, has_left, has_right
 
 
 # --- passes --------------------------------------------------------------------------------------
@@ -134,6 +157,12 @@ def _marks(column: pa.ListArray) -> list[dict[str, np.ndarray]]:
     return [{k: v[a:b] for k, v in arrays.items()} for a, b in zip(ends[:-1], ends[1:])]
 
 
+def _numbers(column: pa.ListArray) -> list[np.ndarray]:
+    """Each row's list of numbers as an array, empty for null."""
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
 _READ = {"text": lambda c: c.cast(pa.binary()).to_pylist(), "marks": _marks}
 
 
@@ -154,7 +183,7 @@ def _anchors(rows) -> Iterator[list[np.ndarray]]:
         names, owners = [], []
         for doc, text in zip(docs, texts):
             if text and len(text) >= LENGTH:
-                names.append(np.unique(Runs(text).anchor))
+                names.append(anchors_of(text))
                 owners.append(np.full(len(names[-1]), doc, dtype=np.int64))
         if names:
             yield [_signed(np.concatenate(names)), np.concatenate(owners)]
@@ -196,7 +225,7 @@ def _contexts(rows) -> Iterator[list]:
     for docs, texts, marks in rows:
         out = []
         for doc, text, mark in zip(docs, texts, marks):
-            runs = Runs(text)
+            runs = Runs(text, beside=True)
             hit, place = _found(mark["name"], _signed(runs.anchor))
             _, once = np.unique(runs.context[hit], return_index=True)
             hit, place = hit[once], place[once]
@@ -228,18 +257,18 @@ def _edge_windows(rows) -> Iterator[list[np.ndarray]]:
             yield [np.concatenate(c) for c in zip(*out)]
 
 
-def removed_spans(text: bytes, whole: set[int], single: set[int]) -> list[list[int]]:
+def removed_spans(text: bytes, whole: np.ndarray, single: np.ndarray) -> list[list[int]]:
     """Maximal runs of bytes inside windows of the ``whole`` contexts or with a name in ``single``."""
-    if not (whole or single) or len(text) < LENGTH:
+    if not len(whole) + len(single) or len(text) < LENGTH:
         return []
     runs = Runs(text)
     gone = np.zeros(len(runs.windows) + 1, dtype=np.int32)
-    hit = np.flatnonzero(np.isin(_signed(runs.context), np.fromiter(whole, dtype=np.int64)))
+    hit = np.flatnonzero(np.isin(_signed(runs.context), whole))
     np.add.at(gone, runs.first[hit], 1)
     np.add.at(gone, runs.last[hit] + 1, -1)
     start = np.cumsum(gone[:-1]) > 0
-    if single:
-        start |= np.isin(_signed(runs.windows), np.fromiter(single, dtype=np.int64))
+    if len(single):
+        start |= np.isin(_signed(runs.windows), single)
     at = np.flatnonzero(start)
     if not len(at):
         return []
@@ -307,9 +336,9 @@ def _judge(rows: DataFrame, text: str, names: list[str], out: str) -> DataFrame:
     kind = to_arrow_type(RESULT)
     schema = T.StructType([*[rows.schema[c] for c in names], T.StructField(out, RESULT)])
 
-    def one(body: bytes | None, whole: list[int] | None, single: list[int] | None) -> dict:
+    def one(body: bytes | None, whole: np.ndarray, single: np.ndarray) -> dict:
         body = body or b""
-        spans = removed_spans(body, set(whole or ()), set(single or ()))
+        spans = removed_spans(body, whole, single)
         digest, at = hashlib.sha256(), 0
         for a, b in spans:
             digest.update(body[at:a])
@@ -322,7 +351,7 @@ def _judge(rows: DataFrame, text: str, names: list[str], out: str) -> DataFrame:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 bodies = part.column(text).cast(pa.binary()).to_pylist()
-                made = [one(*r) for r in zip(bodies, part.column("_whole").to_pylist(), part.column("_single").to_pylist())]
+                made = [one(*r) for r in zip(bodies, _numbers(part.column("_whole")), _numbers(part.column("_single")))]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(made, type=kind)], names=[*names, out])
 
     return rows.mapInArrow(run, schema)
