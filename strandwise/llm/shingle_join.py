@@ -2,9 +2,9 @@
 
 Documents with equal shingle sets are one class; all further work is on classes. Each class sends the
 first shingles of its set, rarest first, to a shuffle by shingle; two sets as similar as asked for must
-meet there. Pairs are thinned by size, by the places of their first common shingle, by the number of
-common prefix shingles, and, when both sets are at hand, by the sizes of their parts (suffix filter);
-what is left is intersected once.
+meet there. Pairs are thinned by size, by the places of their common shingles (within the prefixes that their
+own sizes ask for, and by what remains after the first), and, when both sets are at hand, by the sizes of their
+parts (suffix filter); what is left is intersected once.
 
 Groups of near copies never yield all their pairs. First rounds compare a class only with central classes
 of its prefix shingles, those in whose order a shingle comes first, and with the first class of each of its
@@ -473,17 +473,18 @@ def _leader_pairs(mixed: DataFrame) -> DataFrame:
 
 
 def _other_pairs(mixed: DataFrame) -> DataFrame:
-    """All pairs of different components that share a prefix shingle and pass the filters."""
-    x, y = (mixed.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", "w", "root")]) for s in ("a", "b"))
+    """All pairs of different components that can be linked.
+
+    Sets that share ``needed`` shingles share one among the first ``n - needed + 1`` of each. Both places are
+    asked for before rows are made, so classes that meet only behind shingles of their own never form a pair.
+    """
+    x, y = (mixed.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", "root")]) for s in ("a", "b"))
     na, nb, i, j = (F.col(c) for c in ("n_a", "n_b", "pos_a", "pos_b"))
-    # at most as many common shingles before this one as the smaller place, and the shorter rest from it on
-    fits = F.least(i, j) + F.least(na - i, nb - j) >= _needed(na, nb)
-    pairs = x.join(y, "g").where((F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b")) & _sizes_fit(na, nb) & fits)
-    counted = pairs.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "n_a", "n_b").agg(
-        F.sum("w_a").alias("common"), F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b")
-    )
+    within = (i <= na - _needed(na, nb)) & (j <= nb - _needed(na, nb))
+    pairs = x.join(y, "g").where((F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b")) & _sizes_fit(na, nb) & within)
+    first = pairs.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "n_a", "n_b").agg(F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b"))
     # from the first common shingle on, the shorter rest bounds the intersection
-    return counted.where((F.least(na - i, nb - j) >= _needed(na, nb)) & (F.col("common") >= _common(na, nb))).select("a", "b")
+    return first.where(F.least(na - i, nb - j) >= _needed(na, nb)).select("a", "b")
 
 
 def row_key(doc_id: str, text: str) -> Column:
