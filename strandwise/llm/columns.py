@@ -19,11 +19,13 @@ def with_struct(
     fields: T.StructType,
     make: Callable[[], Callable[[list[bytes | None]], list[dict]]],
     keep: Sequence[str] | None = None,
+    least_bytes: int = 0,
 ) -> DataFrame:
     """``keep`` columns (all by default) and the struct column ``out`` computed from ``text``.
 
     ``make`` runs once per task and returns a function from UTF-8 texts (or None) to one dict per
-    text. A column that is already called ``out`` is replaced.
+    text. It is given texts of ``least_bytes`` together or more where a task has them, for functions with a price per
+    call. A column that is already called ``out`` is replaced.
     """
     names = [c for c in (df.columns if keep is None else keep) if c != out]
     kept = [df.schema[c] for c in names]
@@ -33,12 +35,32 @@ def with_struct(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
+        held: list[pa.RecordBatch] = []
+        texts: list[bytes | None] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            made = fn(texts)
+            at = 0
+            for part in held:
+                column = pa.array(made[at : at + part.num_rows], type=kind)
+                at += part.num_rows
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], column], names=[*names, out])
+            held.clear()
+            texts.clear()
+
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 part = whole.slice(at, ROWS)
-                texts = part.column(text).cast(pa.binary()).to_pylist()
-                made = pa.array(fn(texts), type=kind)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], made], names=[*names, out])
+                more = part.column(text).cast(pa.binary()).to_pylist()
+                held.append(part)
+                texts.extend(more)
+                size += sum(map(len, filter(None, more)))
+                if size >= least_bytes:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
 
     return source.mapInArrow(run, schema)
 

@@ -199,3 +199,45 @@ def test_struct_column_replaces_its_name(spark):
     kind = T.StructType([T.StructField("n", T.IntegerType())])
     got = with_struct(df, "text", "odd name", kind, lambda: lambda ts: [{"n": len(t)} for t in ts])
     assert got.columns == ["text", "odd name"] and got.first()["odd name"].n == 1
+
+
+def test_ratio_table_keeps_every_group(spark):
+    """Counts and ratios of all groups against models in memory: none is merged with another or dropped."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcdefghij  "), 400)) + " " + "x" * 200 for _ in range(40)]
+    rows = [(t, int(i % 3 == 0), i % 2) for i, t in enumerate(texts)]
+    counted = toxicity.count_groups(spark.createDataFrame(rows, "text string, label int, half long"))
+    got = {r.gram: (r.c0, r.c1, r.c2, r.c3) for r in counted.collect()}
+    want = {}
+    for text, label, half in rows:
+        for w in text.split():
+            padded = "\x01" * 6 + w + "\x02"
+            for k in range(len(w) + 1):
+                want.setdefault(padded[k : k + 7], [0] * 4)[label * 2 + half] += 1
+    assert got == {g: tuple(c) for g, c in want.items()}
+    names = list(want)
+    packed = {n: toxicity.letter_groups([n.strip("\x01\x02")])[0] for n in names}
+    table = {r.name: r for r in toxicity.ratio_table(counted).collect()}
+    groups = np.array([sum(ord(c) << (toxicity.BITS * (6 - k)) for k, c in enumerate(n)) for n in names], dtype=packed[names[0]].dtype)
+    c = np.array(list(want.values())).T
+    for model, toxic, ordinary in (("half", c[2], c[0]), ("full", c[2] + c[3], c[0] + c[1])):
+        plain = toxicity.fit_ratios(groups, toxic, ordinary)(groups)
+        assert np.allclose([table[n][model] for n in names], plain)
+
+
+@pytest.mark.parametrize("block, kept", [(1 << 18, 1 << 22), (50, 0), (50, 120)])
+def test_lookup_in_blocks(spark, monkeypatch, block, kept):
+    """Ratios come out the same however many blocks there are and whatever a task may keep of them."""
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    monkeypatch.setattr(toxicity, "KEPT_KEYS", kept)
+    rows = [(" ".join(WORDS), 0, 0), (" ".join(WORDS[::2]) + " grobian", 1, 0), ("日本語 тест grobian", 1, 1)]
+    table = toxicity.ratio_table(toxicity.count_groups(spark.createDataFrame(rows, "text string, label int, half long"))).cache()
+    of = {r.name: r.full for r in table.collect()}
+    look = toxicity.Lookup(toxicity.write_blocks(table), "full")
+    words = [*WORDS, "grobian", "grobi", "unseen", "日本語", "日本", "тест"]
+    for _ in range(2):
+        grams, contexts, lengths = toxicity.keys_of(words)
+        padded = ["\x01" * 6 + w + "\x02" for w in words]
+        names = [p[k : k + 7] for p in padded for k in range(len(p) - 6)]
+        assert len(names) == lengths.sum()
+        assert np.allclose(look(grams, contexts), [of.get(n, of.get(n[:6], 0.0)) for n in names])
