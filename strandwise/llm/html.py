@@ -45,6 +45,8 @@ _POOR = re.compile(
     r"more|pagination|pager|paging|tags?|copyright|legal|disclaimer|skip|search\w*|form|hidden|outbrain|taboola)(?![a-z])"
 )
 _RICH = re.compile(r"(?:^|[^a-z])(?:article\w*|content\w*|main|post|story|entry|body|text|prose)(?![a-z])")
+#: Names that only say what a wrapper has, or in which state something else is.
+_STATE = re.compile(r"(?:^|-)(?:has|no|non|with|without|show|hide)-|-(?:open|opened|closed|enabled|disabled|on|off|active|visible)$")
 _WHITE = re.compile(r"\s+")
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -52,6 +54,9 @@ _RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.I) for name in ("sc
 
 MOST = 3.0  # log-odds that enclosing elements can add for content
 SMOOTH = 1.0  # capacity between neighbours that share all ancestors
+PROSE = 80  # characters of a block without many links that count as running text
+WHOLE = 500  # characters of running text, and the share of the page's, that outweigh a wrapper's name
+SHARE = 0.8
 REACH = 3  # blocks in page order that are joined
 UNIT = 1000  # capacities are whole numbers of 1 / UNIT
 
@@ -75,6 +80,8 @@ def blocks_of(html: str) -> list[Block]:
     linked = 0
     stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]  # name, number, lean, dropped
     number, at, links = 0, 0, 0
+    owns: list[tuple[float, float | None]] = [(0.0, None)]  # of each element: its lean, and that without a poor name
+    cores: set[int] = set()  # article and main elements without a poor name
 
     def flush() -> None:
         nonlocal linked
@@ -125,32 +132,76 @@ def blocks_of(html: str) -> list[Block]:
             continue
         number += 1
         _, _, lean, dropped = stack[-1]
-        own, hidden = _lean(name, match[3])
-        stack.append((name, number, min(lean + own, MOST) if own > 0 else min(lean, MOST) + own, dropped or hidden or name in DROPPED))
+        own, unnamed, hidden = _lean(name, match[3])
+        owns.append((own, unnamed))
+        if unnamed is None and name in ("article", "main"):
+            cores.add(number)
+        stack.append((name, number, _added(lean, own), dropped or hidden or name in DROPPED))
         links += name == "a"
     write(html[at:])
     flush()
+    freed = _misnamed(out, {n for n, (_, unnamed) in enumerate(owns) if unnamed is not None}, cores)
+    for block in out if freed else ():
+        if not freed.isdisjoint(block.path):
+            block.lean = 0.0
+            for n in block.path[1:]:
+                own, unnamed = owns[n]
+                block.lean = _added(block.lean, unnamed if n in freed else own)
     return out
 
 
-def _lean(name: str, attributes: str) -> tuple[float, bool]:
-    """Log-odds that an element adds for what it holds, and whether it is hidden."""
+def _added(lean: float, own: float) -> float:
+    """What an element makes of the log-odds of the elements around it."""
+    return min(lean + own, MOST) if own > 0 else min(lean, MOST) + own
+
+
+def _misnamed(blocks: list[Block], poor: set[int], cores: set[int]) -> set[int]:
+    """Elements of a poor name that hold the page's article or main element, or nearly all of its running text.
+
+    No article or main element with text may stand outside, so that comments never pass for the article.
+    """
+    inside: dict[int, set[int]] = {}  # the article and main elements that share a block with an element of a poor name
+    holds: set[int] = set()  # elements of a poor name around an article or main element
+    prose: dict[int, int] = {}
+    used: set[int] = set()
+    total = 0
+    for b in blocks:
+        named = [k for k, n in enumerate(b.path) if n in poor]
+        core = [(k, n) for k, n in enumerate(b.path) if n in cores]
+        used.update(n for _, n in core)
+        n = len(b.text)
+        long = n if n >= PROSE and b.linked < 0.2 * n else 0
+        total += long
+        for k in named:
+            e = b.path[k]
+            prose[e] = prose.get(e, 0) + long
+            inside.setdefault(e, set()).update(n for _, n in core)
+            if any(at > k for at, _ in core):
+                holds.add(e)
+    return {e for e, text in prose.items() if used <= inside[e] and (e in holds or text >= max(WHOLE, SHARE * total))}
+
+
+def _lean(name: str, attributes: str) -> tuple[float, float | None, bool]:
+    """Log-odds that an element adds for what it holds, the same without its poor name if it has one, and whether it is hidden."""
     lean = LEAN.get(name, 0.0)
+    unnamed = None
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return lean, False
+        return lean, None, False
     values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attributes)}
     role = values.get("role", "").lower()
     lean += ROLES.get(role, 0.0)
     named = f"{values.get('class', '')} {values.get('id', '')}".lower()
     if len(named) > 1 and name not in ("html", "body"):
-        # whole names count, not every word of them
-        if _POOR.search(named.replace("_", "-")):
-            lean -= 7.0
-        elif _RICH.search(named.replace("_", "-")):
-            lean += 1.5
+        # any word of a name counts, but not in names of a state
+        names = [n for n in named.replace("_", "-").split() if not _STATE.search(n)]
+        better = lean + 1.5 * any(map(_RICH.search, names))
+        if any(map(_POOR.search, names)):
+            lean, unnamed = lean - 7.0, better
+        else:
+            lean = better
     style = values.get("style", "").replace(" ", "").lower()
     hidden = "hidden" in values or "display:none" in style or "visibility:hidden" in style or values.get("aria-hidden", "").lower() == "true"
-    return lean, hidden
+    return lean, unnamed, hidden
 
 
 def odds_of(block: Block) -> float:

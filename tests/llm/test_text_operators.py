@@ -241,3 +241,23 @@ def test_lookup_in_blocks(spark, monkeypatch, block, kept):
         names = [p[k : k + 7] for p in padded for k in range(len(p) - 6)]
         assert len(names) == lengths.sum()
         assert np.allclose(look(grams, contexts), [of.get(n, of.get(n[:6], 0.0)) for n in names])
+
+
+def content_of(page):
+    blocks = html.blocks_of(page)
+    return " ".join(b.text for b, c in zip(blocks, html.label_blocks(blocks)[1]) if c)
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "comments-open", "share-enabled", "read-more", "layout_with_sidebar", "left-sidebar"])
+@pytest.mark.parametrize("inner", ["article", "main", "section"])
+def test_wrapper_names_do_not_lose_the_article(name, inner):
+    told = ["It was told at length and without a break. " * 23, "A second paragraph goes on. " * 20]
+    body = "".join(f"<p>{t}</p>" for t in told)
+    page = f"<nav><a href=/>Home</a></nav><div class='{name}'><{inner}>{body}</{inner}><div class='sidebar'>Popular today</div></div><div class='comments'><p>Nice one, thanks.</p></div>"
+    assert content_of(page) == " ".join(t.strip() for t in told)
+
+
+def test_comments_never_pass_for_the_article():
+    told, said = "The article is short but it has a few sentences. " * 4, "A reader writes much more than the author did. " * 60
+    for comment in ("<p>", "<article class='comment'><p>"):
+        assert content_of(f"<article><p>{told}</p></article><div id='comments'>{comment}{said}</div>") == told.strip()
