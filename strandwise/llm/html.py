@@ -71,6 +71,7 @@ class Block:
     path: tuple[int, ...]  # numbers of the open elements, outermost first
     lean: float  # what these elements say
     linked: int  # characters inside links
+    name: str = ""  # of the innermost element
 
 
 def blocks_of(html: str) -> list[Block]:
@@ -88,7 +89,7 @@ def blocks_of(html: str) -> list[Block]:
         if parts:
             text = _WHITE.sub(" ", unescape("".join(parts))).strip()
             if text:
-                out.append(Block(text, tuple(n for _, n, _, _ in stack), stack[-1][2], linked))
+                out.append(Block(text, tuple(n for _, n, _, _ in stack), stack[-1][2], linked, stack[-1][0]))
             parts.clear()
         linked = 0
 
@@ -217,21 +218,33 @@ def _cost(odds: float) -> float:
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness edges: neighbours in page order, weaker the farther apart in the page and in the tree."""
+    """Smoothness edges: neighbours in page order, weaker the farther apart in the page and in the tree, and
+    for each open element the block of the same kind before in it, weaker the less they share."""
     edges = []
-    for j in range(len(blocks)):
+    direct: dict[tuple[int, str], int] = {}  # the last block of an element's own children of a name
+    below: dict[tuple[int, str], int] = {}  # the last one anywhere in the element
+
+    for j, block in enumerate(blocks):
         for i in range(max(0, j - REACH), j):
-            a, b = blocks[i].path, blocks[j].path
-            shared = 0
-            for x, y in zip(a, b):
-                if x != y:
-                    break
-                shared += 1
-            near = (shared / max(len(a), len(b))) ** 2
-            edges.append((i, j, SMOOTH * near / (j - i)))
+            edges.append((i, j, SMOOTH * _near(blocks[i], block) / (j - i)))
+        parents = block.path[:-1]
+        before = {below.get((n, block.name), j) for n in parents} | {direct.get((n, block.name), j) for n in parents[-1:]}
+        edges += [(i, j, SMOOTH * _near(blocks[i], block)) for i in sorted(before) if i < j - REACH]
+        below.update(((n, block.name), j) for n in parents)
+        direct.update(((n, block.name), j) for n in parents[-1:])
     return edges
 
 
+def _near(a: Block, b: Block) -> float:
+    """How many of the open elements two blocks share."""
+    shared = 0
+    for x, y in zip(a.path, b.path):
+        if x != y:
+            break
+        shared += 1
+    return (shared / max(len(a.path), len(b.path))) ** 2
+
+
 def minimum_cut(content: list[float], other: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes stay with the source. Labelling a node content costs ``content``, otherwise ``other``.
 

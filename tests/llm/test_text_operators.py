@@ -261,3 +261,13 @@ def test_comments_never_pass_for_the_article():
     told, said = "The article is short but it has a few sentences. " * 4, "A reader writes much more than the author did. " * 60
     for comment in ("<p>", "<article class='comment'><p>"):
         assert content_of(f"<article><p>{told}</p></article><div id='comments'>{comment}{said}</div>") == told.strip()
+
+
+def test_siblings_are_joined_past_what_stands_between():
+    """Edges go to the paragraph before in the same parent, however many other blocks lie between; their number stays linear."""
+    between = "<div><span>Share</span></div>" * 6 + "<div class='ad'><p>Buy</p></div>"
+    blocks = html.blocks_of(f"<article><p>One</p>{between}<p>Two</p></article>")
+    one, two = (next(k for k, b in enumerate(blocks) if b.text == t) for t in ("One", "Two"))
+    assert two - one > html.REACH and any((i, j) == (one, two) and w > 0.3 for i, j, w in html.edges_of(blocks))
+    many = html.blocks_of("<article>" + f"<p>One</p>{between}" * 300 + "</article>")
+    assert len(html.edges_of(many)) < 6 * len(many)
