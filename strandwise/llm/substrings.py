@@ -1,13 +1,13 @@
-"""Removal of byte strings of 50 and more that an earlier document has, by sparse prefix doubling.
+"""Removal of byte strings of 50 and more that an earlier document has, by anchor fingerprints.
 
-A suffix array of all positions would rank every byte of the table several times. Here only some
-positions are ranked, chosen by content: in each window of 50 bytes the 24-byte string with the smallest
+This takes the place of prefix doubling: no position is given a rank and none is ranked again at growing
+offsets. Only some positions are compared, chosen by content: in each window of 50 bytes the 24-byte string with the smallest
 hash is the window's anchor. Equal windows have equal anchors at equal places, so nothing is missed, and
 about one position in fourteen is an anchor.
 
-Names of strings are doubled as in the classic construction: a string of twice the length is named by
-the pair of names at its position and half a length on. Up to 8 bytes the bytes are the name, then pairs
-are hashed to 64 bits. Spark sorts by name at growing lengths and drops what has become unique:
+Names are 64-bit hashes made inside each row: a string of twice the length is named by the pair of names
+at its position and half a length on. Up to 8 bytes the bytes are the name, then pairs are hashed. Spark
+groups equal names at fixed lengths and drops what has become unique:
 
 1. 24 bytes at the anchors; strings within one document only drop out.
 2. The run of windows around an anchor, named by the pair of its first and last window. A run that an
