@@ -33,7 +33,7 @@ from strandwise.llm.token_records import filesystem
 from strandwise.session import stage
 
 ORDER = 7
-BITS = 8  # of a letter in a packed group; ORDER * BITS < 63
+BITS = 21  # of a letter in a packed group: any code point
 DISCOUNT = 0.75
 STRETCH = 3  # words
 STRONG = 3.0  # log-likelihood ratio of a word that counts as strong
@@ -57,10 +57,10 @@ def words_of(text: bytes | None) -> list[str]:
 
 
 def letter_groups(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed groups of ORDER letters for all words in turn, and the number of groups of each word."""
+    """Groups of ORDER letters packed as whole numbers of any size, for all words in turn, and the number of groups of each word."""
     lengths = np.array([len(w) + 1 for w in words], dtype=np.int64)
     pad = _START * (ORDER - 1)
-    letters = np.frombuffer("".join([f"{pad}{w}{_END}" for w in words]).encode("utf-32-le"), dtype=np.uint32).astype(np.int64) & _LETTER
+    letters = np.frombuffer("".join([f"{pad}{w}{_END}" for w in words]).encode("utf-32-le"), dtype=np.uint32).astype(object)
     packed = letters[ORDER - 1 :].copy()
     for k in range(1, ORDER):
         packed |= letters[ORDER - 1 - k : len(letters) - k] << (BITS * k)

@@ -271,3 +271,15 @@ def test_siblings_are_joined_past_what_stands_between():
     assert two - one > html.REACH and any((i, j) == (one, two) and w > 0.3 for i, j, w in html.edges_of(blocks))
     many = html.blocks_of("<article>" + f"<p>One</p>{between}" * 300 + "</article>")
     assert len(html.edges_of(many)) < 6 * len(many)
+
+
+def test_letters_are_whole_code_points(spark):
+    """Letters that share their low byte, and U+0101 and U+4E02 with the markers, make different groups."""
+    words = ["\u0101\u4e02", "\u4e01\u4e02", "\u4e01\u4f02", "\u4e01", "\u4f01", "\u5001", "\u0101", "\u0101a", "a"]
+    packed, lengths = toxicity.letter_groups(words)
+    keys, _, n = toxicity.keys_of(words)
+    padded = ["\x01" * 6 + w + "\x02" for w in words]
+    names = [p[k : k + 7] for p in padded for k in range(len(p) - 6)]
+    assert n.tolist() == lengths.tolist() and len(set(packed)) == len(set(keys.tolist())) == len(set(names))
+    counted = toxicity.count_groups(spark.createDataFrame([(" ".join(words), 1, 0)], "text string, label int, half long"))
+    assert {r.gram for r in counted.collect()} == set(names)
