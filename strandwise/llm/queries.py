@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandwise.llm import decontamination, embeddings, html, mixing, quality, secrets, shingle_join, substrings, token_records, toxicity
+from strandwise.llm import decontamination, embeddings, html, mixing, quality, ranked_search, secrets, shingle_join, substrings, token_records, toxicity
 from strandwise.llm.labelled import held_out
-from strandwise.llm.sql import OP5_SQL, OP6_SQL, OP7_SQL, OP9_SQL
+from strandwise.llm.sql import OP5_SQL, OP6_SQL, OP7_SQL, OP9_SQL, OP11_SQL
 from strandwise.session import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,6 +118,11 @@ def op10_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_ranked_search", OP11_SQL)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
