@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandwise.llm import decontamination, embeddings, html, mixing, quality, ranked_search, secrets, shingle_join, substrings, token_records, toxicity
+from strandwise.llm import decontamination, embeddings, html, mixing, quality, ranked_search, secrets, sharding, shingle_join, substrings, token_records, toxicity
 from strandwise.llm.labelled import held_out
-from strandwise.llm.sql import OP5_SQL, OP6_SQL, OP7_SQL, OP9_SQL, OP11_SQL
+from strandwise.llm.sql import OP5_SQL, OP6_SQL, OP7_SQL, OP9_SQL, OP11_SQL, OP12_SQL
 from strandwise.session import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,6 +123,17 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op12_sharding", OP12_SQL)
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    placed = sharding.shard(docs, shards=8, keep=["doc_id", "text_crc32"])
+    return placed.select(
+        "doc_id", "shard.size", "text_crc32", F.lit("bytes").alias("law"), "shard.shard", "shard.slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

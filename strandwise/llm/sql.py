@@ -67,3 +67,36 @@ scores AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1
 ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM scores WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
 """
+
+
+def _crc32(bytes_: str) -> str:
+    """CRC-32 of a list of bytes by a table ``crc_table(t)``, whose entries follow from the polynomial."""
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bytes_}), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295)"
+
+
+# the polynomial is a fixed value of CRC-32
+_CRC_TABLE = """crc_table AS (SELECT list(list_reduce([i] || range(8), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+ FROM (SELECT unnest(range(256)) AS i) r)"""
+_BYTES = "list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+_LETTERS = "coalesce(CAST('0x' || rpad(left(hex(encode({0})), 12), 12, '0') AS BIGINT), -1)"
+
+
+def _op12_level(i: int) -> str:
+    """Cuts the nodes of a level where the first half of their shards has its bytes."""
+    width = lambda d: f"coalesce((max({d}) - min({d}))::DOUBLE / nullif(any_value(w_{d}), 0)::DOUBLE, 0)"
+    return f"""
+n{i} AS (SELECT node, k, sum(size) AS total, {width('d0')} AS p0, {width('d1')} AS p1, {width('d2')} AS p2 FROM t{i}, extent GROUP BY node, k),
+o{i} AS (SELECT t.*, greatest(1, (2 * total * (k // 2)) // k) AS twice,
+ CASE WHEN p0 >= p1 AND p0 >= p2 THEN d0 WHEN p1 >= p2 THEN d1 ELSE d2 END AS v FROM t{i} t JOIN n{i} USING (node, k)),
+l{i} AS (SELECT *, 2 * sum(size) OVER (PARTITION BY node ORDER BY v, h, doc_id ROWS UNBOUNDED PRECEDING) - size <= twice AS low FROM o{i}),
+t{i + 1} AS (SELECT doc_id, text, size, d0, d1, d2, h, CASE WHEN low THEN node ELSE node + k // 2 END AS node, CASE WHEN low THEN k // 2 ELSE k - k // 2 END AS k FROM l{i}),"""
+
+
+OP12_SQL = f"""
+WITH {_CRC_TABLE},
+t0 AS (SELECT doc_id, text, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, {_LETTERS.format('source')} AS d0, {_LETTERS.format('lang')} AS d1,
+ CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS d2, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS h, 0 AS node, 8 AS k FROM documents),
+extent AS (SELECT max(d0) - min(d0) AS w_d0, max(d1) - min(d1) AS w_d1, max(d2) - min(d2) AS w_d2 FROM t0),{''.join(map(_op12_level, range(3)))}
+done AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY h, doc_id) - 1 AS slot FROM t3)
+SELECT doc_id, size, CAST({_crc32(_BYTES.format("coalesce(text, '')"))} AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(node AS INT) AS shard, slot, CAST(NULL AS INT) AS grown_shard FROM done, crc_table
+"""
