@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandwise.llm import decontamination, embeddings, html, mixing, quality, ranked_search, secrets, sharding, shingle_join, substrings, token_records, toxicity
+from strandwise.llm import decontamination, embeddings, html, merkle, mixing, quality, ranked_search, secrets, sharding, shingle_join, substrings, token_records, toxicity
 from strandwise.llm.labelled import held_out
-from strandwise.llm.sql import OP5_SQL, OP6_SQL, OP7_SQL, OP9_SQL, OP11_SQL, OP12_SQL
+from strandwise.llm.sql import OP5_SQL, OP6_SQL, OP7_SQL, OP9_SQL, OP11_SQL, OP12_SQL, OP13_SQL
 from strandwise.session import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,6 +134,22 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op13_merkle_manifest", OP13_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    altered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0) & F.contains(F.col("text"), F.lit("\n"))
+    # null where tampering changes nothing
+    docs = docs.withColumn("tampered", F.when(altered, merkle.leaf(*fields, F.replace(F.col("text"), F.lit("\n"), F.lit("")))))
+    found = merkle.manifest(docs, [*fields, "text"], keep=["doc_id", "tampered"])
+    m = F.col("merkle")
+    found = found.withColumn("folded_root", merkle.folded(F.coalesce("tampered", m["leaf"]), m["path"]))
+    return found.select(
+        "doc_id", m["leaf"].alias("leaf"), m["subroot"].alias("subroot"), m["root"].alias("root"),
+        merkle.proof_digest(m["path"]).alias("proof_sha256"), "folded_root", (F.col("folded_root") == m["root"]).alias("verified"),
+    )
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

@@ -100,3 +100,32 @@ extent AS (SELECT max(d0) - min(d0) AS w_d0, max(d1) - min(d1) AS w_d1, max(d2)
 done AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY h, doc_id) - 1 AS slot FROM t3)
 SELECT doc_id, size, CAST({_crc32(_BYTES.format("coalesce(text, '')"))} AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(node AS INT) AS shard, slot, CAST(NULL AS INT) AS grown_shard FROM done, crc_table
 """
+
+_PART = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_TAMPERED = f"CASE WHEN {_crc32(_BYTES.format('CAST(doc_id AS VARCHAR)'))} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END"
+
+
+def _tree(nodes: str, name: str) -> str:
+    """Levels of the trees over ``nodes(g, pos, digest)``, the paths of their leaves, and their roots."""
+    return f"""
+{name}_level AS (SELECT 0 AS l, g, pos, digest, count(*) OVER (PARTITION BY g) AS n FROM {nodes}
+ UNION ALL SELECT l + 1, g, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), any_value((n + 2) // 3) FROM {name}_level WHERE n > 1 GROUP BY l, g, pos // 3),
+{name}_path AS (SELECT a.g, a.pos, x.l,
+ coalesce((SELECT string_agg(y.digest, '' ORDER BY y.pos) FROM {name}_level y WHERE y.g = x.g AND y.l = x.l AND y.pos // 3 = x.pos // 3 AND y.pos < x.pos), '') AS lefts,
+ coalesce((SELECT string_agg(y.digest, '' ORDER BY y.pos) FROM {name}_level y WHERE y.g = x.g AND y.l = x.l AND y.pos // 3 = x.pos // 3 AND y.pos > x.pos), '') AS rights
+ FROM {nodes} a JOIN {name}_level x ON x.g = a.g AND x.n > 1 AND x.pos = a.pos // CAST(pow(3, x.l) AS BIGINT)),
+{name}_paths AS (SELECT g, pos, list({{'lefts': lefts, 'rights': rights}} ORDER BY l) AS path FROM {name}_path GROUP BY g, pos),
+{name}_root AS (SELECT g, digest AS root FROM {name}_level WHERE n = 1)"""
+
+
+OP13_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+leaves AS (SELECT doc_id, source, sha256({' || '.join(_PART.format(c) for c in ('doc_id', 'source', 'lang', 'n_chars', 'text'))}) AS digest,
+ sha256({' || '.join(_PART.format(c) for c in ('doc_id', 'source', 'lang', 'n_chars', f'({_TAMPERED})'))}) AS tampered FROM documents, crc_table),
+placed AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos FROM leaves),{_tree('placed', 'low')},
+tops AS (SELECT 0 AS g, g AS pos, root AS digest FROM low_root),{_tree('tops', 'high')},
+found AS (SELECT p.*, s.root AS subroot, r.root AS root, list_concat(coalesce(a.path, []), coalesce(b.path, [])) AS path FROM placed p JOIN low_root s ON s.g = p.g CROSS JOIN high_root r
+ LEFT JOIN low_paths a ON a.g = p.g AND a.pos = p.pos LEFT JOIN high_paths b ON b.pos = p.g),
+folds AS (SELECT *, list_reduce(list_concat([{{'lefts': '', 'rights': tampered}}], path), lambda d, s: {{'lefts': '', 'rights': sha256(s.lefts || d.rights || s.rights)}}).rights AS folded_root FROM found)
+SELECT doc_id, digest AS leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s.lefts || s.rights), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folds
+"""
