@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandwise.functions.keys import SEQUENCE, content_key, shuffle_key
 from strandwise.functions.reads import read_weight
+from strandwise.operators.firsts import NUMBER, lead_numbers, rows_at
 from strandwise.operators.joins import skew_join
 from strandwise.operators.ordering import prefix_cuts, rank_in_group
 from strandwise.session import stage
@@ -19,13 +20,12 @@ TARGET_SCHEMA = "sample_id string, group_type string, target bigint, edge bigint
 def sequence_groups(reads: DataFrame, order: str = "row_id") -> DataFrame:
     """One row per (sample, sequence): weight, rows, and region type, place and cell type of the first row."""
     weight = read_weight(F.col("read_count")) if "read_count" in reads.columns else F.lit(1)
-    return reads.groupBy("sample_id", content_key(*SEQUENCE).alias("seq_key")).agg(
-        F.sum(weight).cast("long").alias("weight"),
-        F.count("*").alias("n"),
-        F.min(F.struct(F.col(order).alias("at"), "dmr_ctype", "ctype")).alias("_first"),
-    ).select(
-        "sample_id", "seq_key", "weight", "n", F.col("_first.dmr_ctype").alias("group_type"),
-        F.col("_first.at").alias("first_at"), F.col("_first.ctype").alias("first_type"),
+    by = ["sample_id", "seq_key"]
+    keyed = reads.select("sample_id", content_key(*SEQUENCE).alias("seq_key"), order, "dmr_ctype", "ctype", weight.cast("long").alias("weight"))
+    sizes = stage(lead_numbers(keyed, by, order, F.sum("weight").alias("weight"), F.count("*").alias("n")), "group-sizes")
+    first = rows_at(keyed.drop("weight"), sizes, by, order)
+    return sizes.drop(NUMBER).join(first, by).select(
+        *by, "weight", "n", F.col("dmr_ctype").alias("group_type"), F.col(order).alias("first_at"), F.col("ctype").alias("first_type"),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandwise.functions.keys import SEQUENCE, content_digest
 from strandwise.functions.reads import read_weight
+from strandwise.operators.firsts import NUMBER, lead_numbers, order_number, rows_at, tied_keys, untied
 from strandwise.operators.joins import skew_join
 from strandwise.session import stage
 
@@ -35,16 +36,14 @@ def duplicate_report(rows: DataFrame, columns: Sequence[str] | None = None) -> D
     )
 
 
-def _row(reads: DataFrame) -> Column:
-    return F.struct(*[F.col(c) for c in reads.columns])
-
-
 def keep_first(
     reads: DataFrame, keys: Sequence[str] = SEQUENCE, order: str = "row_id", per_sample: bool = False
 ) -> DataFrame:
     """First row per key by ``order``; an integer read count above 1 becomes 1."""
     groups = (["sample_id"] if per_sample else []) + list(keys)
-    first = reads.groupBy(content_digest(*groups)).agg(F.min_by(_row(reads), F.col(order)).alias("_r")).select("_r.*")
+    keyed = reads.withColumn("_key", content_digest(*groups))
+    lead = stage(lead_numbers(keyed, ["_key"], order), "first-numbers")
+    first = rows_at(keyed, lead, ["_key"], order).select(*reads.columns)
     if "read_count" not in reads.columns:
         return first
     kind = reads.schema["read_count"].dataType.simpleString()
@@ -60,21 +59,24 @@ def _with_twin_key(reads: DataFrame) -> DataFrame:
     return reads.withColumn("_key", content_digest("dna_seq", "methyl_seq", "dmr_label", "dmr_ctype", count))
 
 
+def _type_range() -> list[Column]:
+    """Smallest and largest 64-bit hash of a key's cell types: equal when the key has one type.
+
+    Numbers, so that the aggregation stays one of fixed width; cell types are a catalogue of names, among which
+    two of one hash are not to be expected.
+    """
+    number = F.when(F.col("ctype").isNotNull(), F.xxhash64("ctype"))
+    return [F.min(number).alias("_lo"), F.max(number).alias("_hi")]
+
+
 def dedup_cross_sample(reads: DataFrame, order: str = "row_id") -> DataFrame:
     """Keep the first row of every key that has a single cell type, drop keys with several.
 
     The key leaves the cell type out. Repeats inside one sample count like repeats across samples.
     """
     keyed = _with_twin_key(reads)
-    return (
-        keyed.groupBy("_key")
-        .agg(
-            F.min_by(_row(reads), F.col(order)).alias("_r"),
-            F.min("ctype").alias("_lo"), F.max("ctype").alias("_hi"),
-        )
-        .where(F.col("_lo") == F.col("_hi"))
-        .select("_r.*")
-    )
+    lead = lead_numbers(keyed, ["_key"], order, *_type_range()).where(F.col("_lo") == F.col("_hi"))
+    return rows_at(keyed, stage(lead.drop("_lo", "_hi"), "first-numbers"), ["_key"], order).select(*reads.columns)
 
 
 def dedup_shared_by_all(
@@ -82,29 +84,45 @@ def dedup_shared_by_all(
 ) -> DataFrame:
     """As ``dedup_cross_sample``, but only for keys found in every sample; other keys keep all rows.
 
-    ``within`` names columns that separate independent inputs held in one table.
+    ``within`` names columns that separate independent inputs held in one table. Reads are looked up in the table of
+    shared keys, which is sent to them where its size allows; then no read moves.
     """
     within = list(within)
     keyed = _with_twin_key(reads)
     key = [*within, "_key"]
-    # (key, sample) first: a hot key shrinks to one row per sample before it meets in one task
-    per_sample = keyed.groupBy(*key, sample).agg(
-        F.count("*").alias("_n"), F.min("ctype").alias("_lo"), F.max("ctype").alias("_hi"),
-        F.min_by(_row(reads), F.col(order)).alias("_r"), F.min(order).alias("_o"),
+    shared = stage(shared_keys(keyed, key, within, sample, order), "shared-keys")
+    single = F.col("_lo") == F.col("_hi")
+    tied = stage(tied_keys(keyed, shared.where(single), key, order), "tied-keys")
+    flagged = shared.withColumn("_at", F.when(single, F.col(NUMBER))).select(*key, "_at", "n")
+    if not tied.isEmpty():  # their rows come from the rest of the order
+        flagged = flagged.join(tied.select(*key, F.lit(True).alias("_tied")), key, "left")
+        flagged = flagged.select(*key, F.when(F.col("_tied").isNull(), F.col("_at")).alias("_at"), "n")
+    found = skew_join(
+        keyed.withColumn(NUMBER, order_number(keyed, order)), flagged.select(*key, "_at", F.lit(True).alias("_shared")),
+        key, "left", spread=[order], counts=flagged.select(*key, "n"), **how,
     )
+    kept = found.where(F.col("_shared").isNull() | (F.col("_at") == F.col(NUMBER))).select(*reads.columns)
+    if tied.isEmpty():
+        return kept
+    numbered = keyed.withColumn(NUMBER, order_number(keyed, order))
+    among = stage(numbered.join(tied, [*key, NUMBER], "left_semi").select(*keyed.columns), "tied-rows")
+    return kept.unionByName(untied(among, key, order).select(*reads.columns))
+
+
+def shared_keys(keyed: DataFrame, key: Sequence[str], within: Sequence[str], sample: str, order: str) -> DataFrame:
+    """Keys found in every sample: their rows, range of types and smallest order number."""
+    # (key, sample) first: a hot key shrinks to one row per sample before it meets in one task
+    per_sample = lead_numbers(keyed, [*key, sample], order, F.count("*").alias("_n"), *_type_range())
     per_key = per_sample.groupBy(*key).agg(
         F.sum("_n").alias("n"), F.count("*").alias("_samples"),
-        F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.min_by("_r", "_o").alias("_r"),
+        F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.min(NUMBER).alias(NUMBER),
     )
     if within:
         totals = keyed.select(*within, sample).distinct().groupBy(*within).agg(F.count("*").alias("_all"))
-        judged = per_key.join(totals, within)
+        judged = per_key.join(totals, list(within))
     else:
-        judged = per_key.withColumn("_all", F.lit(reads.select(sample).distinct().count()))
-    shared = stage(judged.where(F.col("_samples") == F.col("_all")), "shared-keys")
-    first = shared.where(F.col("_lo") == F.col("_hi")).select("_r.*")
-    rest = skew_join(keyed, shared.select(*key), key, "left_anti", spread=[order], counts=shared.select(*key, "n"), **how)
-    return first.unionByName(rest.select(*reads.columns))
+        judged = per_key.withColumn("_all", F.lit(keyed.select(sample).distinct().count()))
+    return judged.where(F.col("_samples") == F.col("_all")).drop("_samples", "_all")
 
 
 def dedup_report(reads: DataFrame) -> DataFrame:
