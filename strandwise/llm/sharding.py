@@ -65,14 +65,14 @@ def shard(
             F.struct(F.lit(0).alias("c"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("row"),
             F.monotonically_increasing_id().alias("r"), size.cast("long").alias("size"),
             F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("long").alias("h"),
-            F.array(*[F.coalesce(a.cast("long"), F.lit(-1)) for a in axes]).alias("d"),
+            F.array(*[F.coalesce(a.cast("long"), F.lit(-1)) for a in axes]).alias("d"), F.lit(0).alias("node"),
         ),
         "shard-rows",
     )
     extent = rows.agg(F.sum("size"), *[F.max(F.col("d")[i]) - F.min(F.col("d")[i]) for i in range(len(axes))]).first()
     if shards is None:
         shards = max(1, -(-(extent[0] or 0) // target_bytes))
-    placed = rows.select("r", "size", "h", "d", F.lit(0).alias("node"), F.lit(shards).alias("k"))
+    placed = rows.select("r", "size", "h", "d", "node", F.lit(shards).alias("k"))
     most, nodes = shards, 1
     while most > 1:
         small = nodes <= BROADCAST_NODES
