@@ -53,14 +53,52 @@ def mean_purity(spark, sf):
     return g.withColumn("purity", F.round("purity", 6))
 
 
-@query("mixture_proportions")
+def _proportions_sql(reads: str) -> str:
+    """Shares from ``reads(cell_type, m, p)``: a multiplier is halved in on until the shares whose slopes equal it add up to 1."""
+    slope = "list_sum(list_transform(x.a, lambda r, i: x.d[i] / (r + (b.lo + b.hi) / 2 * x.d[i])))"
+    share = lambda level: f"""list_reduce(list_transform(range(60), lambda i: {{'lo': 1e-10::DOUBLE, 'hi': (1 - 1e-10)::DOUBLE}}),
+ lambda b, _: CASE WHEN {slope} > {level} THEN {{'lo': (b.lo + b.hi) / 2, 'hi': b.hi}} ELSE {{'lo': b.lo, 'hi': (b.lo + b.hi) / 2}} END).lo"""
+    return f"""
+reads AS ({reads}),
+parts AS (SELECT cell_type, (1 - p) / (1 - m) AS a, p / m - (1 - p) / (1 - m) AS d FROM reads),
+types AS (SELECT list({{'t': cell_type, 'a': a, 'd': d}} ORDER BY cell_type) AS ts FROM (SELECT cell_type, list(a) AS a, list(d) AS d FROM parts GROUP BY cell_type) g),
+level AS (SELECT ts, list_reduce(list_transform(range(110), lambda i: {{'lo': -1e9::DOUBLE, 'hi': 1e9::DOUBLE}}),
+ lambda s, _: CASE WHEN list_sum(list_transform(ts, lambda x: {share('(s.lo + s.hi) / 2')})) > 1 THEN {{'lo': (s.lo + s.hi) / 2, 'hi': s.hi}} ELSE {{'lo': s.lo, 'hi': (s.lo + s.hi) / 2}} END).lo AS multiplier FROM types),
+shares AS (SELECT unnest(list_transform(ts, lambda x: {{'cell_type': x.t, 'share': {share('multiplier')}}})) AS r FROM level)"""
+
+
+TYPES_SQL = "(SELECT unnest(['T0', 'T1', 'T2', 'T3']) AS cell_type, unnest([0.2, 0.3, 0.3, 0.2]) AS m)"
+
+
+@query("mixture_proportions", f"""
+WITH {_proportions_sql(f"SELECT cell_type, m, probs[2] AS p FROM ({V.PROBS_SQL}) p JOIN {TYPES_SQL} t ON t.cell_type = p.dmr_ctype")}
+SELECT r.cell_type AS cell_type, round(r.share / sum(r.share) OVER (), 6) AS pred, true AS converged FROM shares""")
 def mixture_proportions(spark, sf):
-    """Iterative: the tests compare it with a direct search on a small fixture."""
     rows = V.scored(spark, sf).select("dmr_ctype", F.get("probs", F.lit(1)).alias("p_ctype"))
     found = X.mixture_proportions(rows, {"T0": 0.2, "T1": 0.3, "T2": 0.3, "T3": 0.2})
     return found.withColumn("pred", F.round("pred", 6))
 
 
+@query("tumour_purity_many", f"""
+WITH margins AS (SELECT 'T' || CAST(label AS VARCHAR) AS cell_type, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS m FROM embeddings GROUP BY label),
+named AS (SELECT *, row_number() OVER (ORDER BY cell_type) - 1 AS place FROM margins),
+{_proportions_sql(f"SELECT cell_type, m, probs[true_label + 1] AS p FROM ({V.PROBS_SQL}) p JOIN named ON place = true_label WHERE read_id % 7 <> 0")}
+SELECT r.cell_type AS cell_type, round(r.share / sum(r.share) OVER (), 6) AS pred, true AS converged FROM shares""")
+def tumour_purity_many(spark, sf):
+    """Shares of all classes; a read speaks for its own class, every seventh holds no call."""
+    rows = V.scored(spark, sf).withColumn("methyl_seq", F.when(F.col("read_id") % 7 == 0, "222").otherwise("212"))
+    train = V.table(spark, sf, "embeddings").select(F.concat(F.lit("T"), F.col("label").cast("string")).alias("ctype"))
+    return tumour_purity(rows, train).withColumn("pred", F.round("pred", 6))
+
+
+@query("skewness_purity")
+def skewness_purity(spark, sf):
+    """Region weights by descent: the tests compare it with a dense solver on small fixtures."""
+    rows = _pair(spark, sf).withColumn("dmr_label", F.col("read_id") % 23)
+    found = X.skewness_purity(X.mixture_grid_by_region(rows, MARGINS, N))
+    return found.select("n_regions", F.round("purity", 6).alias("purity"), "converged")
+
+
 @query("tumour_purity", f"""
 WITH m AS (SELECT CAST(count(*) FILTER (label % 3 <> 0) AS DOUBLE) / count(*) AS mn, CAST(count(*) FILTER (label % 3 = 0) AS DOUBLE) / count(*) AS mt FROM embeddings),
 p AS (SELECT a / (a + b) AS x, b / (a + b) AS y FROM (SELECT probs[1] AS a, probs[2] AS b FROM ({V.PROBS_SQL}) p WHERE read_id % 7 <> 0) q),

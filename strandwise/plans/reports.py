@@ -83,13 +83,17 @@ def audit_split(train: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def tumour_purity(
-    scored: DataFrame, train: DataFrame, n: int = 10_000, by_region: bool = False, second_class: bool = False
+    scored: DataFrame, train: DataFrame, n: int = 10_000, by_region: bool = False, second_class: bool = False,
+    adjusted: bool = False,
 ) -> DataFrame:
     """Share of each class in a bulk sample, from informative reads only.
 
     ``scored`` holds ``probs`` and ``methyl_seq``; the classes of ``train`` fix their order (by name)
     and the margins. Two classes use the grid search, more the constrained maximum, to which a read gives
     the probability of its own class, or with ``second_class`` that of the second class whatever its own.
+
+    With two classes, ``by_region`` takes the mean of the shares found inside the regions, ``adjusted`` their mean under
+    weights that take the skewness out of it.
     """
     counts = train.groupBy("ctype").agg(F.count("*").alias("n")).orderBy("ctype").collect()  # one row per class
     total = sum(r["n"] for r in counts)
@@ -105,9 +109,12 @@ def tumour_purity(
     other, target = list(margins)
     pair = rows.select("*", F.get("probs", F.lit(0)).alias("p_n"), F.get("probs", F.lit(1)).alias("p_t"))
     m = (margins[other], margins[target])
-    found = (
-        mixture.mean_purity(mixture.mixture_grid_by_region(pair, m, n)) if by_region else mixture.mixture_grid(pair, m, n)
-    ).select("purity")
+    if adjusted:
+        found = mixture.skewness_purity(mixture.mixture_grid_by_region(pair, m, n))
+    elif by_region:
+        found = mixture.mean_purity(mixture.mixture_grid_by_region(pair, m, n))
+    else:
+        found = mixture.mixture_grid(pair, m, n)
     # the grid walks the share of the second class
     return found.select(
         F.explode(F.array(
