@@ -18,13 +18,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from strandwise.llm.columns import with_struct
 from strandwise.llm.filters import with_flag
@@ -45,6 +45,7 @@ PIECE = 64  # letters of a padded word that are counted together
 BLOCK = 1 << 18  # keys in a file of ratios
 KEPT_KEYS = 1 << 22  # that a task keeps in memory, 64 MB; blocks beyond them are read again for each lookup
 LOOKUP_BYTES = 1 << 24  # of texts whose words are looked up together
+PART_BYTES = 1 << 22  # the same inside a batch that Spark hands over
 
 _WORD = re.compile(r"[^\W\d_]+")
 _START, _END = "\x01", "\x02"
@@ -439,7 +440,34 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicit
     return with_struct(docs, text, out, FIELDS, make, keep, LOOKUP_BYTES)
 
 
+def scored_by(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """The score as a function of a text column. Texts go to Python and numbers come back; all else stays in the JVM."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf(T.DoubleType())
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = shared.value
+        scorer = Scorer(Lookup(model.ratios, "full"))
+        for batch in texts:
+            found: list[float] = []
+            held: list[bytes | None] = []
+            size = 0
+            for at in range(0, len(batch), ROWS):
+                part = batch.slice(at, ROWS).cast(pa.binary()).to_pylist()
+                held += part
+                size += sum(map(len, filter(None, part)))
+                if size >= PART_BYTES or at + ROWS >= len(batch):
+                    found += model.probability(scorer(held)).tolist()
+                    held, size = [], 0
+            yield pa.array(found, pa.float64())
+
+    return scores
+
+
 def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` whose score stays below ``threshold``, columns unchanged."""
-    scored = score(docs, fit(docs, labels), out="_toxicity")
-    return scored.where(F.col("_toxicity.score") < threshold).drop("_toxicity")
+    """``docs`` whose score stays below ``threshold``, columns unchanged whatever their names.
+
+    Null and empty texts are judged like texts of which nothing is known; equal texts go or stay together.
+    """
+    score_of = scored_by(docs.sparkSession, fit(docs, labels))
+    return docs.where(score_of(F.col("text")) < threshold)
