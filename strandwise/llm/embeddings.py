@@ -75,8 +75,8 @@ def near_duplicates(
     named = rows.select(
         F.col(f"`{id_}`").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"), F.col(f"`{label}`").cast("string").alias("label")
     ).withColumn("ok", usable(F.col("v"), F.col("label")))
-    # the hash names a vector; equal vectors of a label are one class
-    digest = F.when(F.col("ok"), F.unhex(F.md5(F.concat_ws(",", F.col("label"), F.col("v").cast("array<string>")))))
+    # the hash names a vector; equal vectors of a label are one class. The label's length tells where it ends.
+    digest = F.when(F.col("ok"), F.unhex(F.md5(F.concat_ws(",", F.octet_length("label").cast("string"), F.col("label"), F.col("v").cast("array<string>")))))
     named = named.withColumn("cls", digest)
     members = stage(named.select("id", "cls"), "vectors-members")
     classes = stage(
