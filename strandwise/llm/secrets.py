@@ -14,9 +14,10 @@ import zlib
 from collections.abc import Callable
 
 import ahocorasick
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from strandwise.llm.columns import with_struct
+from strandwise.llm.columns import fresh, with_struct
 
 #: Kinds in the order in which they are listed at equal starts.
 BASE_KINDS = ("assign", "access", "hex")
@@ -79,7 +80,7 @@ def _base62(n: int, width: int = 6) -> str:
 def _is_object(part: bytes) -> bool:
     try:
         return isinstance(json.loads(base64.urlsafe_b64decode(part + b"=" * (-len(part) % 4))), dict)
-    except ValueError:
+    except (ValueError, RecursionError):  # nested deeper than a parser goes: no header of a token
         return False
 
 
@@ -112,8 +113,11 @@ def scan(text: bytes | None, automaton: ahocorasick.Automaton) -> list[tuple[int
 
 def _code_points(text: bytes, spans: list[tuple[int, int, int]]) -> list[dict]:
     """Byte spans as code point spans."""
-    ascii_only = text.isascii()
-    place = (lambda i: i) if ascii_only else (lambda i: len(text[:i].decode("utf-8", "surrogatepass")))
+    if text.isascii():
+        place = int
+    else:  # code points that start before each byte
+        starts = (np.frombuffer(text, dtype=np.uint8) & 0xC0) != 0x80
+        place = np.concatenate([[0], np.cumsum(starts)]).item
     return [{"kind": KINDS[k], "start": place(a), "end": place(b)} for a, k, b in spans]
 
 
@@ -149,10 +153,15 @@ def base_spans(found: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every span replaced by ``mark``; overlapping spans become one mark."""
-    found = find_secrets(docs, text, "_secrets")
+    """``docs`` with every span replaced by ``mark``; overlapping spans become one mark.
+
+    Null and empty texts stay as they are, and so do all other columns, whatever their names.
+    """
+    out = fresh("secrets", docs.columns)
+    found = find_secrets(docs, text, out)
+    spans = F.col(out)["spans"]
     start = F.struct(F.lit("").alias("t"), F.lit(0).alias("end"))
-    body = F.col(text)
+    body = F.col(f"`{text}`")
 
     def step(s: Column, x: Column) -> Column:
         gap = F.substring(body, s["end"] + 1, F.greatest(F.lit(0), x["start"] - s["end"]))
@@ -162,6 +171,6 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataF
             F.greatest(s["end"], x["end"]).alias("end"),
         )
 
-    done = F.aggregate(F.col("_secrets.spans"), start, step)
+    done = F.aggregate(spans, start, step)
     new = F.concat(done["t"], F.substring(body, done["end"] + 1, F.length(body)))
-    return found.withColumn(text, F.when(F.size("_secrets.spans") > 0, new).otherwise(body)).drop("_secrets")
+    return found.withColumn(text, F.when(F.size(spans) > 0, new).otherwise(body)).drop(out)
