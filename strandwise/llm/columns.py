@@ -65,5 +65,13 @@ def with_struct(
     return source.mapInArrow(run, schema)
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name``, with as many underscores before it as no column of ``taken`` has; letter case does not count."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
 def _quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"

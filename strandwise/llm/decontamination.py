@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from strandwise.llm.columns import with_struct
+from strandwise.llm.columns import fresh, with_struct
 from strandwise.session import stage
 
 WINDOW = 13
@@ -105,7 +105,7 @@ def find_contamination(
     for k in range(blocks):
         # at most about block_bytes of text: the bound was checked by the sum above
         part = [(r.id, r.t.encode()) for r in items.where(block == k).collect()]
-        prior = f"_{out}_before" if k else None
+        prior = fresh(f"_{out}_before", docs.columns) if k else None
         if prior:
             result = stage(result.withColumnRenamed(out, prior), "contamination")
         names = [c for c in (docs.columns if columns is None else columns) if c != out]
@@ -161,26 +161,31 @@ def is_contaminated(found: Column) -> Column:
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without contaminated rows, columns unchanged."""
-    found = find_contamination(docs, benchmark, text, out="_contamination")
-    return found.where(~is_contaminated(F.col("_contamination"))).drop("_contamination")
+    """``docs`` without contaminated rows, columns unchanged whatever their names. Null and empty texts stay."""
+    out = fresh("contamination", docs.columns)
+    found = find_contamination(docs, benchmark, text, out=out)
+    return found.where(~is_contaminated(F.col(out))).drop(out)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` whose texts have lost the words inside benchmark windows, and what stood between those."""
-    found = find_contamination(docs, benchmark, text, out="_contamination", window=window)
+    """``docs`` whose texts have lost the words inside benchmark windows, and what stood between those.
+
+    Null and empty texts stay as they are, and so do all other columns, whatever their names.
+    """
+    out = fresh("contamination", docs.columns)
+    found = find_contamination(docs, benchmark, text, out=out, window=window)
     names = docs.columns
     schema = docs.schema
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            texts, hits = batch.column(text).cast(pa.binary()).to_pylist(), batch.column("_contamination").to_pylist()
+            texts, hits = batch.column(text).cast(pa.binary()).to_pylist(), batch.column(out).to_pylist()
             cut = pa.array([_without(t, h["spans"]) for t, h in zip(texts, hits)], type=pa.binary()).cast(pa.string())
             columns = [cut if i == at else batch.column(c) for i, c in enumerate(names)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return found.select(*names, "_contamination").mapInArrow(run, schema)
+    return found.select(*[f"`{c}`" for c in names], out).mapInArrow(run, schema)
 
 
 def _without(text: bytes | None, spans: list[list[int]]) -> bytes | None:

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strandwise.llm.columns import fresh
 from strandwise.session import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -125,8 +126,10 @@ def mix(
 def apply_mix(mixed: DataFrame, text: str = "text", out: str = "mix") -> DataFrame:
     """The rows the mix takes: one per whole epoch of a row, and its first words where the budget ends.
 
-    A row cut by the budget keeps the first words of its text joined by one space.
+    A row cut by the budget keeps the first words of its text joined by one space. Rows of size 0, null texts among
+    them, are not taken. Columns other than ``out`` stay, whatever their names.
     """
+    part = fresh("cut", mixed.columns)
     size, taken = F.col(f"{out}.size"), F.col(f"{out}.taken")
     copies = F.when(size > 0, F.floor(taken / size)).otherwise(0).cast("int")
     rest = (taken - copies * size).cast("int")
@@ -136,5 +139,5 @@ def apply_mix(mixed: DataFrame, text: str = "text", out: str = "mix") -> DataFra
         F.array_repeat(F.lit(False), copies),
         F.when(rest > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")),
     )
-    rows = mixed.select(*mixed.columns, F.explode(parts).alias("_cut"))
-    return rows.withColumn(text, F.when(F.col("_cut"), cut).otherwise(F.col(text))).drop("_cut", out)
+    rows = mixed.select(*[f"`{c}`" for c in mixed.columns], F.explode(parts).alias(part))
+    return rows.withColumn(text, F.when(F.col(part), cut).otherwise(F.col(text))).drop(part, out)

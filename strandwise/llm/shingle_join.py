@@ -503,10 +503,12 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("best"))
     judged = rows.join(best, "root").select("row", (F.col("row") == F.col("best.row")).alias("stays"), "copies")
     special = stage(judged.where("NOT stays OR copies > 1").groupBy("row").agg(F.max("stays").alias("stays")), "join-special")
-    marked = with_flag(docs.withColumn("_row", row_key(doc_id, text)), F.col("_row"), special.select(F.col("row").alias("key")), "_may_go")
-    sure = marked.where(~F.col("_may_go")).select(*docs.columns)
-    asked = marked.where("_may_go").join(special.select(F.col("row").alias("_row"), "stays"), "_row", "left")
-    asked = asked.where(F.coalesce("stays", F.lit(True)))
-    place = F.when(F.col("stays"), F.row_number().over(Window.partitionBy("_row").orderBy("_row"))).otherwise(1)
-    asked = asked.withColumn("_place", place).where("_place = 1").select(*docs.columns)
-    return sure.unionByName(asked)
+    # the user's row travels as one struct, so its columns may have any names
+    packed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("kept"), row_key(doc_id, text).alias("row"))
+    marked = with_flag(packed, F.col("row"), special.select(F.col("row").alias("key")), "may_go")
+    asked = marked.where("may_go").join(special, "row", "left").where(F.coalesce("stays", F.lit(True)))
+    # rows of one key have one id and text; the first by its hash stays, whatever the partitioning
+    place = F.when(F.col("stays"), F.row_number().over(Window.partitionBy("row").orderBy(F.xxhash64("kept")))).otherwise(1)
+    asked = asked.withColumn("place", place).where("place = 1")
+    whole = marked.where("NOT may_go").select("kept").unionByName(asked.select("kept"))
+    return whole.select(*[F.col("kept")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])

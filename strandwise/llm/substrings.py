@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from strandwise.llm.columns import fresh
 from strandwise.llm.filters import with_flag
 from strandwise.session import stage
 
@@ -323,16 +324,18 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         single.select("doc", F.lit(None).cast("long").alias("whole"), F.col("window").alias("single"))
     )
     marks = stage(found.groupBy("doc").agg(F.collect_set("whole").alias("whole"), F.collect_set("single").alias("single")), "repeats-found")
-    source = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*names, text])], doc.alias("_doc"))
-    flagged = with_flag(source, F.xxhash64("_doc"), marks.select(F.xxhash64("doc").alias("key")), "_may")
+    given = [*dict.fromkeys([*names, text])]
+    id_, may, whole, one = (fresh(n, [*given, out]) for n in ("_doc", "_may", "_whole", "_single"))
+    source = docs.select(*[F.col(f"`{c}`") for c in given], doc.alias(id_))
+    flagged = with_flag(source, F.xxhash64(id_), marks.select(F.xxhash64("doc").alias("key")), may)
     nothing = F.array().cast("array<long>")
-    plain = flagged.where("NOT _may").withColumns({"_whole": nothing, "_single": nothing})
-    marked = flagged.where("_may").hint("merge").join(marks.select(F.col("doc").alias("_doc"), F.col("whole").alias("_whole"), F.col("single").alias("_single")), "_doc", "left")
-    columns = [*names, *([text] if text not in names else []), "_whole", "_single"]
-    return _judge(plain.select(*columns).unionByName(marked.select(*columns)), text, names, out)
+    plain = flagged.where(~F.col(may)).withColumns({whole: nothing, one: nothing})
+    marked = flagged.where(F.col(may)).hint("merge").join(marks.select(F.col("doc").alias(id_), F.col("whole").alias(whole), F.col("single").alias(one)), id_, "left")
+    columns = [*[f"`{c}`" for c in given], whole, one]
+    return _judge(plain.select(*columns).unionByName(marked.select(*columns)), text, names, out, whole, one)
 
 
-def _judge(rows: DataFrame, text: str, names: list[str], out: str) -> DataFrame:
+def _judge(rows: DataFrame, text: str, names: list[str], out: str, whole_marks: str, single_marks: str) -> DataFrame:
     kind = to_arrow_type(RESULT)
     schema = T.StructType([*[rows.schema[c] for c in names], T.StructField(out, RESULT)])
 
@@ -351,7 +354,7 @@ def _judge(rows: DataFrame, text: str, names: list[str], out: str) -> DataFrame:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 bodies = part.column(text).cast(pa.binary()).to_pylist()
-                made = [one(*r) for r in zip(bodies, _numbers(part.column("_whole")), _numbers(part.column("_single")))]
+                made = [one(*r) for r in zip(bodies, _numbers(part.column(whole_marks)), _numbers(part.column(single_marks)))]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(made, type=kind)], names=[*names, out])
 
     return rows.mapInArrow(run, schema)
