@@ -29,6 +29,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def load() -> None:
     """Import every module that registers queries."""
     from strandwise.catalog import (  # noqa: F401
-        audit_queries, function_queries, genome_queries, interval_queries, mixture_queries,
+        aligned_queries, audit_queries, function_queries, genome_queries, interval_queries, mixture_queries,
         profile_queries, score_queries, source_queries, split_queries,
     )

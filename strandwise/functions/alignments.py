@@ -34,6 +34,21 @@ def project_on_reference(calls: Column, cigar: Column) -> Column:
     return F.aggregate(steps, start, step, lambda acc: acc["text"])
 
 
+def _cigar_length(cigar: Column, kinds: str) -> Column:
+    sizes = F.regexp_extract_all(cigar, F.lit(rf"(\d+)[{kinds}]"), F.lit(1))
+    return F.aggregate(sizes, F.lit(0).cast("long"), lambda total, n: total + n.cast("long"))
+
+
+def reference_length(cigar: Column) -> Column:
+    """Reference bases an alignment spans: matches, mismatches, deletions and skipped stretches."""
+    return _cigar_length(cigar, "MDN=X")
+
+
+def query_length(cigar: Column) -> Column:
+    """Bases of the read that are aligned or inserted, without clips."""
+    return _cigar_length(cigar, "MI=X")
+
+
 def decode_bismark(ref: Column | str, xm: Column | str, cigar: Column | str, flag: Column | str) -> Column:
     """struct(bases, failed): reference bases with z / Z at called CpGs.
 

@@ -18,6 +18,17 @@ def is_autosome(name: Column, numbered_only: bool = False) -> Column:
     return name.rlike(r"chr\d") if numbered_only else ~name.isin(*SEX_CHROMOSOMES)
 
 
+def chromosome_key(name: Column) -> Column:
+    """What the styles of a chromosome's name share: chr1 and 1, chrM and MT, chrx and X are the same."""
+    plain = F.upper(F.regexp_replace(name, r"(?i)^chr(?=.)", ""))
+    return F.when(plain == "MT", "M").otherwise(plain)
+
+
+def is_kept_chromosome(name: Column, drop_sex: bool = True) -> Column:
+    """Numbered chromosomes in either style, with X and Y unless ``drop_sex``. Scaffolds named after one count as it."""
+    return chromosome_key(name).rlike(r"^\d" if drop_sex else r"^(\d|[XY])")
+
+
 def called_cpgs(pattern: Column) -> Column:
     """Number of called CpGs (C or T) in a PAT pattern."""
     return F.length(F.regexp_replace(pattern, "[^CT]", ""))

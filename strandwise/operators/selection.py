@@ -74,6 +74,28 @@ def assign_region_ids(regions: DataFrame, by: str | None, tie: str) -> DataFrame
     return rank_globally(regions, *order, tie, rank="dmr_id").withColumn("dmr_id", F.col("dmr_id") - 1)
 
 
+def pick_regions(regions: DataFrame, per_type: int = 0) -> DataFrame:
+    """Regions with a statistic, numbered from 0 in ``dmr_id``; with ``per_type`` the best of every type only.
+
+    Falling ``statistic``, rows without one last, then the order of the file. The best of several types are numbered
+    type by type, in the order in which the types first come. Regions that carry ``dmr_id`` keep it.
+    """
+    falling = [F.desc_nulls_last("statistic"), F.col("row_no")]
+    place = Window.partitionBy("ctype").orderBy(*falling)
+    kept = regions
+    if per_type > 0:
+        kept = regions.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= per_type).drop("_place")
+    if "dmr_id" in regions.columns:
+        return kept
+    if per_type <= 0:
+        return rank_globally(kept, *falling, rank="dmr_id").withColumn("dmr_id", F.col("dmr_id") - 1)
+    # one row per type: its best region says where the type comes
+    top = kept.groupBy(F.col("ctype").alias("_type")).agg(F.min(F.struct(F.coalesce(-F.col("statistic"), F.lit(float("inf"))).alias("s"), "row_no")).alias("_top"))
+    placed = kept.join(top, F.col("ctype").eqNullSafe(F.col("_type"))).drop("_type")
+    ranked = rank_globally(placed, "_top", "ctype", *falling, rank="dmr_id")
+    return ranked.withColumn("dmr_id", F.col("dmr_id") - 1).drop("_top")
+
+
 def first_rows(rows: DataFrame, n: int, key: str) -> DataFrame:
     """The first ``n`` rows by ``key`` (a top-n, not a full sort)."""
     return rows.orderBy(key).limit(n)

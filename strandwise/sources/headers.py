@@ -19,9 +19,6 @@ SYNONYMS = {
 }
 
 
-HEADER_WITHIN = 5  # lines from the top
-
-
 def split_header(line: str, delimiter: str | None = None) -> tuple[str, list[str]]:
     """Delimiter that occurs most often in the header line (unless given), and the header names split by it."""
     delimiter = delimiter or max(DELIMITERS, key=line.count)
@@ -31,16 +28,20 @@ def split_header(line: str, delimiter: str | None = None) -> tuple[str, list[str
 def split_by_header(spark: SparkSession, lines: DataFrame, path: str) -> list[tuple[str, DataFrame]]:
     """(header line, data lines) for each distinct header among the files of ``numbered_lines``.
 
-    A file's header is its first line that is not blank. Different headers are few, one per way the
-    files were written.
+    A file's header is its first line that is not blank, wherever that stands; a file without one is an error.
+    Different headers are few, one per way the files were written.
     """
-    top = lines.where((F.col("row_no") < HEADER_WITHIN) & (F.trim("value") != ""))
-    heads = stage(top.groupBy("file").agg(F.min(F.struct("row_no", "value")).alias("_h")).select("file", "_h.*"), "headers")
-    heads = heads.select("file", F.col("row_no").alias("_head_at"), F.col("value").alias("_head"))
+    data = lines.where(F.trim("value") != "")
+    # line numbers first, so that no text is carried through the aggregation of all lines
+    first = stage(lines.groupBy("file").agg(F.min(F.when(F.trim("value") != "", F.col("row_no"))).alias("_head_at")), "header-places")
+    blank = first.where(F.col("_head_at").isNull()).select("file").limit(3).collect()
+    if blank:
+        raise ValueError(f"no header in {', '.join(r['file'] for r in blank)}")
+    at = [data["file"] == first["file"], data["row_no"] == first["_head_at"]]
+    heads = stage(data.join(first, at).select(first["file"], "_head_at", F.col("value").alias("_head")), "headers")
     distinct = sorted(r[0] for r in heads.select("_head").distinct().collect())
     if not distinct:
         raise ValueError(f"{path} is empty")
-    data = lines.where(F.trim("value") != "")
     return [
         (h, data.join(heads.where(F.col("_head") == h).drop("_head"), "file").where(F.col("row_no") > F.col("_head_at")))
         for h in distinct

@@ -94,6 +94,39 @@ def read_regions(
     return regions
 
 
+# Columns that rank regions, the better one first.
+STATISTICS = ("areaStat", "diff.Methy")
+
+
+def read_statistics_regions(spark: SparkSession, path: str, drop_sex: bool = True) -> DataFrame:
+    """Tab-separated regions with a header: ``chr, start, end, ctype, statistic, row_no`` and ``dmr_id`` where the file has it.
+
+    ``statistic`` is the absolute value of ``areaStat``, of ``diff.Methy`` in files without it, else null: the order of the
+    rows (``row_no``) then ranks. Chromosomes may be named in either style; those beyond the numbered ones are dropped,
+    X and Y too with ``drop_sex``. Every file is read by its own header.
+    """
+    lines = numbered_lines(spark, path)
+
+    def parsed(header: str, rows: DataFrame) -> DataFrame:
+        _, headers = split_header(header, "\t")
+        missing = {"chr", "start", "end"} - set(headers)
+        if missing:
+            raise ValueError(f"regions need chr, start and end; {sorted(missing)} not in {headers}")
+        schema = ", ".join(f"`{h}` string" for h in headers)
+        field = lambda name, kind: F.col("r")[name].try_cast(kind)
+        ranked = next((s for s in STATISTICS if s in headers), None)
+        row = rows.select("file", "row_no", F.from_csv("value", schema, {"sep": "\t"}).alias("r"))
+        return row.select(
+            F.trim(F.col("r")["chr"]).alias("chr"), field("start", "bigint").alias("start"), field("end", "bigint").alias("end"),
+            (F.col("r")["ctype"] if "ctype" in headers else F.lit(None).cast("string")).alias("ctype"),
+            (F.abs(field(ranked, "double")) if ranked else F.lit(None).cast("double")).alias("statistic"), "row_no",
+            *([field("dmr_id", "bigint").alias("dmr_id")] if "dmr_id" in headers else []),
+        )
+
+    found = union_all([parsed(h, rows) for h, rows in split_by_header(spark, lines, path)])
+    return found.where(coords.is_kept_chromosome(F.col("chr"), drop_sex))
+
+
 def read_bed(spark: SparkSession, path: str, columns: list[str], header: bool = False) -> DataFrame:
     """Tab-separated BED; columns beyond the named ones are ignored."""
     schema = ", ".join(f"`{c}` {'bigint' if c in ('start', 'end') else 'string'}" for c in columns)
@@ -174,9 +207,11 @@ def read_sectioned(spark: SparkSession, path: str, keep_unmarked: bool = False)
     )
 
 
-def read_alignments(spark: SparkSession, path: str) -> DataFrame:
+def read_alignments(spark: SparkSession, path: str, filename: bool = False) -> DataFrame:
     """SAM text: header lines, duplicates (flag 1024) and reads without an XM tag are skipped.
 
+    With ``filename`` every read carries the name of its file.
+
     ``pos`` is turned to 0-based; ``pos_end`` is ``pos`` plus the aligned query length.
     """
     parts = F.split("value", "\t")
@@ -191,9 +226,10 @@ def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     rows = (
         spark.read.text(path)
         .where(~F.col("value").startswith("@"))
-        .select(parts.alias("p"))
+        .select(*([F.col("_metadata.file_name").alias("filename")] if filename else []), parts.alias("p"))
         .where(F.size("p") >= 11)
         .select(
+            *(["filename"] if filename else []),
             F.get("p", F.lit(0)).alias("qname"),
             F.get("p", F.lit(1)).try_cast("int").alias("flag"),
             F.get("p", F.lit(2)).alias("chr"),
