@@ -98,9 +98,7 @@ def built_on_target(spark, sf):
     return profiles.on_target(_build(spark, sf))
 
 
-@query("ingest_samples", BUILD_SQL)
-def ingest_samples_query(spark, sf):
-    """Many PAT files of every sample picked up by a stream, a few per batch; the table equals the batch build."""
+def _ingested(spark, sf, compact_every):
     src, out, state = (scratch_path(spark, n) for n in ("incoming", "reads", "state"))
     raw = V.raw_fragments(spark, sf)
     raw.withColumnRenamed("sample_id", "sample").repartition(3).write.partitionBy("sample").csv(src, sep="\t")
@@ -108,10 +106,22 @@ def ingest_samples_query(spark, sf):
     marked = prepare_regions(V.markers(spark, sf), V.genome_cpgs(spark, sf), V.genome(spark, sf), V.CHUNK)
     # the folder names the sample here
     arriving = stream_fragments(spark, src, files_per_batch=8).drop("sample_id").withColumnRenamed("sample", "sample_id")
-    ingest_samples(arriving, stage(samples, "samples"), marked, out, state).awaitTermination()
+    ingest_samples(arriving, stage(samples, "samples"), marked, out, state, compact_every=compact_every, buckets=5).awaitTermination()
     return read_ingested(spark, out)
 
 
+@query("ingest_samples", BUILD_SQL)
+def ingest_samples_query(spark, sf):
+    """Many PAT files of every sample picked up by a stream, a few per batch; the table equals the batch build."""
+    return _ingested(spark, sf, 0)
+
+
+@query("ingest_compacted", BUILD_SQL)
+def ingest_compacted(spark, sf):
+    """The same with closed batches folded into buckets on the way."""
+    return _ingested(spark, sf, 1)
+
+
 def _first_call(batches):
     """A user extractor: the first called CpG of a pattern."""
     for pdf in batches:

@@ -168,6 +168,23 @@ def read_manifest(spark, sf):
     return S.read_manifest(spark, path, multiline=False).select("sample_key", "pat_file", "output_file", "cell_type", "fasta_file")
 
 
+@query("read_manifest_mixed", """
+SELECT CASE s_suppkey % 3 WHEN 1 THEN s_name ELSE s_name || CAST(s_suppkey % 3 AS VARCHAR) END AS sample_key, s_name || '.pat.gz' AS pat_file, CASE WHEN s_suppkey % 3 <> 2 THEN s_name || '.csv' END AS output_file,
+ CASE s_suppkey % 3 WHEN 0 THEN 'T' || CAST(s_nationkey AS VARCHAR) WHEN 1 THEN s_name END AS cell_type, CASE s_suppkey % 3 WHEN 1 THEN s_name || '.regions.csv' ELSE 'markers.csv' END AS csv_file,
+ CASE s_suppkey % 3 WHEN 1 THEN 'own.fa' ELSE 'genome.fa' END AS fasta_file, s_suppkey % 3 <> 1 AS collective FROM supplier""")
+def read_manifest_mixed(spark, sf):
+    """Collective documents with objects or bare paths, and documents that map a cell type to its own files, in one folder."""
+    path = scratch_path(spark, "manifests")
+    k, pat = F.col("s_suppkey") % 3, F.concat("s_name", F.lit(".pat.gz"))
+    key = F.concat("s_name", k.cast("string"))
+    whole = lambda value: F.struct(F.lit("markers.csv").alias("collective_csv_file"), F.lit("genome.fa").alias("fasta_file"), F.create_map(key, value).alias("cell_types"))
+    entry = F.struct(pat.alias("pat_file"), F.concat("s_name", F.lit(".csv")).alias("output_file"), F.concat(F.lit("T"), F.col("s_nationkey").cast("string")).alias("cell_type"))
+    own = F.struct(F.concat("s_name", F.lit(".regions.csv")).alias("csv_file"), pat.alias("pat_file"), F.lit("own.fa").alias("fasta_file"), F.concat("s_name", F.lit(".csv")).alias("output_file"))
+    text = F.when(k == 0, F.to_json(whole(entry))).when(k == 1, F.to_json(F.create_map("s_name", own))).otherwise(F.to_json(whole(pat)))
+    V.table(spark, sf, "supplier").select(text.alias("value")).write.text(path)
+    return S.read_manifest(spark, path, multiline=False).drop("collective_csv_file", "cpg_bed_file")
+
+
 @query("manifest_from_names", """
 SELECT 'GSM' || CAST(p_partkey AS VARCHAR) || '_Blood_T_Z' || CAST(p_size AS VARCHAR) || '_hg38' AS sample_key,
  'GSM' || CAST(p_partkey AS VARCHAR) || '_Blood-T-Z' || CAST(p_size AS VARCHAR) || '.hg38.pat.gz' AS pat_file,

@@ -149,8 +149,9 @@ def sequence_groups(spark, sf):
 
 
 # The chain over types is a recursion over at most nine types per sample.
-BALANCE_SQL = f"""
-WITH RECURSIVE r AS MATERIALIZED ({R}),
+def _balance_sql(source: str, out: str) -> str:
+    return f"""
+WITH RECURSIVE r AS MATERIALIZED ({source}),
 g AS MATERIALIZED (SELECT sample_id, md5(dna_seq || '|' || methyl_seq) AS seq_key, CAST(sum(read_count) AS BIGINT) AS weight, arg_min(dmr_ctype, row_id) AS group_type
   FROM r GROUP BY sample_id, md5(dna_seq || '|' || methyl_seq)),
 own AS (SELECT sample_id, arg_min(ctype, row_id) AS own_type FROM r GROUP BY sample_id),
@@ -170,11 +171,14 @@ chain AS (
      FROM chain c JOIN types t ON t.sample_id = c.sample_id AND t.i = c.i + 1) y),
 kept AS (SELECT sample_id, seq_key FROM t WHERE group_type = own_type OR positive = 0
   UNION ALL SELECT q.sample_id, q.seq_key FROM ranked q JOIN chain c ON c.i > 0 AND q.sample_id = c.sample_id AND q.group_type = c.group_type AND q.upto <= c.want)
-SELECT row_id, sample_id, ctype, dmr_ctype FROM r
+SELECT {out} FROM r
 WHERE EXISTS (SELECT 1 FROM kept k WHERE k.sample_id = r.sample_id AND k.seq_key = md5(r.dna_seq || '|' || r.methyl_seq))
 """
 
 
+BALANCE_SQL = _balance_sql(R, "row_id, sample_id, ctype, dmr_ctype")
+
+
 @query("balance_on_target", BALANCE_SQL)
 def balance_on_target(spark, sf):
     return B.balance_on_target(_reads(spark, sf)).select("row_id", "sample_id", "ctype", "dmr_ctype")
@@ -245,3 +249,56 @@ def make_split_query(spark, sf):
     return sides.groupBy("ctype", "dmr_label", "dmr_ctype", "side").agg(
         F.count("*").alias("n_reads"), F.sum("read_count").alias("weight")
     )
+
+
+# reads of 30 tokens, some cut to 20, which are too short
+TOKENS_SQL = f"""SELECT row_id, sample_id, ctype, dmr_label, dmr_ctype, read_count, sample_id || ':' || CAST(dmr_label AS VARCHAR) AS name, substr(methyl_seq, 1, n) AS methyl_seq,
+ array_to_string(list_transform(range(1, n + 1), lambda i: substr(dna_seq, i, 3)), ' ') AS dna_seq FROM (SELECT *, CASE WHEN row_id < '4' THEN 20 ELSE 30 END AS n FROM ({R}) r) t WHERE dmr_ctype IN (SELECT ctype FROM ({R}) s)"""
+
+
+def _tokens(spark, sf):
+    n = F.when(F.col("row_id") < "4", 20).otherwise(30)
+    rows = _reads(spark, sf).withColumns({
+        "dna_seq": F.substring("dna_seq", F.lit(1), n + 2), "methyl_seq": F.substring("methyl_seq", F.lit(1), n),
+        "name": F.concat_ws(":", "sample_id", F.col("dmr_label").cast("string")),
+    })
+    return _spelled(rows)
+
+
+def _pieces_sql(sides: str, cuts: dict[int, int], columns: str) -> str:
+    """Pieces (first token, tokens) of the reads of 30 tokens in ``sides``."""
+    starts, sizes = list(cuts), list(cuts.values())
+    return f"""SELECT {columns}, side, i - 1 AS piece, substr(methyl_seq, {starts}[i] + 1, {sizes}[i]) AS methyl_seq, substr(dna_seq, {starts}[i] * 4 + 1, {sizes}[i] * 4 - 1) AS dna_seq
+FROM (SELECT *, CAST(unnest(range(1, {len(cuts) + 1})) AS INT) AS i FROM ({sides}) s WHERE length(methyl_seq) >= 25) p"""
+
+
+QUARTERS, HALVES = {0: 7, 7: 8, 15: 7, 22: 8}, {0: 15, 15: 15}
+
+
+@query("make_split_expanded", f"""
+WITH r AS MATERIALIZED ({TOKENS_SQL}), g AS (SELECT ctype, {SEQ_HASH} AS h, count(*) AS n FROM r GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY ctype ORDER BY h) AS upto, sum(n) OVER (PARTITION BY ctype) AS total FROM g),
+s AS (SELECT r.*, CASE WHEN 2 * upto - n <= 2 * floor(total * 0.75) THEN 'train' ELSE 'test' END AS side FROM r JOIN c ON r.ctype = c.ctype AND {SEQ_HASH} = c.h),
+e AS (SELECT * EXCLUDE (copy) FROM (SELECT *, unnest(range(read_count)) AS copy FROM s) x)
+{_pieces_sql('SELECT * FROM e', QUARTERS, 'row_id, ctype, dmr_label')}""")
+def make_split_expanded(spark, sf):
+    """Sequences on one side, every read as often as it was counted, four pieces of each."""
+    return make_split(_tokens(spark, sf), "sequence", longest=8, expand=True, extra=("row_id",))
+
+
+@query("make_split_balanced", f"""
+WITH b AS ({_balance_sql(TOKENS_SQL, '*')}), s AS ({_cut_sql('SELECT * FROM b', 0.8, 'ctype')})
+{_pieces_sql('SELECT * FROM s', HALVES, 'row_id, ctype, dmr_label, dmr_ctype, read_count')}""")
+def make_split_balanced(spark, sf):
+    """Balanced samples, a stratified cut, the extra columns kept, two pieces of each read."""
+    return make_split(_tokens(spark, sf), "stratified", balance=True, longest=15, extra=("row_id", "dmr_ctype", "read_count"))
+
+
+@query("make_split_three_way", f"""
+WITH r AS MATERIALIZED ({TOKENS_SQL}), n AS (SELECT name, min(ctype) AS label FROM r GROUP BY name),
+o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(name || '|42')) AS k, count(*) OVER (PARTITION BY label) AS n FROM n),
+s AS (SELECT r.*, CASE WHEN k <= floor(n * 0.6) THEN 'train' WHEN k <= floor(n * 0.8) THEN 'valid' ELSE 'test' END AS side FROM r JOIN o ON o.name = r.name)
+{_pieces_sql('SELECT * FROM s', HALVES, 'row_id, ctype, dmr_label, name')}""")
+def make_split_three_way(spark, sf):
+    """Names on one of three sides."""
+    return make_split(_tokens(spark, sf), "three_way", longest=20, extra=("row_id", "name"), ratios=(0.6, 0.2, 0.2), by="name")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from strandwise.operators.joins import skew_join
+from strandwise.session import stage
 
 # A side is broadcast only when it is counted to stay within both limits.
 BROADCAST_ROWS = 1_000_000
@@ -22,6 +23,23 @@ def _bins(start: Column, end: Column, width: int) -> Column:
     return F.sequence(first, F.greatest(first, _bin(end, width)))
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row, from the lengths of its texts and arrays; nothing is written out to tell."""
+
+    def size(name: str, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0)) + 8
+        if isinstance(kind, (T.ArrayType, T.MapType)):
+            inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType
+            return F.greatest(F.size(F.col(f"`{name}`")), F.lit(0)) * (16 * len(inner.fields) if isinstance(inner, T.StructType) else 16)
+        return F.lit(16 * len(kind.fields) if isinstance(kind, T.StructType) else 8)
+
+    total = F.lit(0)
+    for field in df.schema:
+        total = total + size(field.name, field.dataType)
+    return total.cast("long")
+
+
 def interval_join(
     left: DataFrame,
     right: DataFrame,
@@ -39,8 +57,8 @@ def interval_join(
 
     Both sides are listed under every bin they touch and joined on the bin; a pair sharing several
     bins is kept only in the bin where the later of the two starts lies. With ``contained`` the left
-    range must lie inside the right one. ``right`` is the smaller side: it is broadcast when its
-    counted bin rows and their size as text are within ``broadcast_rows`` and ``broadcast_bytes``;
+    range must lie inside the right one. ``right`` is the smaller side and is read twice: it is broadcast when its
+    counted bin rows and the size of their columns are within ``broadcast_rows`` and ``broadcast_bytes``;
     beyond that both sides are shuffled on (``on``, bin) and bins holding very many left rows are split.
     Columns other than ``on`` must differ between the sides.
     """
@@ -48,7 +66,7 @@ def interval_join(
     ls, le = (F.col(c) for c in left_span)
     rs, re = (F.col(c) for c in right_span)
     bins = F.size(_bins(rs, re, width))
-    size = right.agg(F.sum(bins), F.sum(bins * F.octet_length(F.to_json(F.struct(*right.columns))))).first()
+    size = right.agg(F.sum(bins), F.sum(bins * row_bytes(right))).first()
     small = (size[0] or 0) <= broadcast_rows and (size[1] or 0) <= broadcast_bytes
     # One comparison over both sides also rules out empty ranges. As it cannot be split into one-sided
     # filters, the span expressions of the big side are not evaluated again below the join.
@@ -135,6 +153,7 @@ def region_cpgs(regions: DataFrame, cpg: DataFrame, width: int = 4096) -> DataFr
     spans = regions.select(
         "dmr_label", "chr", F.col("start").alias("_start"), F.col("end").alias("_end"), "cpg_start"
     )
+    spans = stage(spans, "region-spans")  # a range join of its own as a rule, and read twice here
     points = cpg.select("chr", "pos", F.col("pos").alias("_pos_end"), "cpg_idx")
     hits = interval_join(points, spans, ("pos", "_pos_end"), ("_start", "_end"), width=width)
     return hits.select("dmr_label", "chr", "pos", "cpg_idx", (F.col("cpg_idx") - F.col("cpg_start")).alias("ordinal"))

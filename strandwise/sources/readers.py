@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from strandwise.functions import coords
 from strandwise.functions.naming import sample_of_path
 from strandwise.operators.intervals import attach_cpg_range, require_cpgs
+from strandwise.operators.joins import dealt
 from strandwise.operators.ordering import running
 from strandwise.sources.headers import resolve_columns, split_by_header, split_header
 from strandwise.session import stage
@@ -14,8 +15,10 @@ from strandwise.sources.lines import fill_from_marker, numbered_lines
 
 PAT_SCHEMA = "chr string, cpg_start bigint, pattern string, read_count int"
 CPG_SCHEMA = "chr string, pos bigint, cpg_idx bigint"
+MANIFEST_ENTRY = "pat_file string, output_file string, cell_type string, csv_file string, fasta_file string, cpg_bed_file string"
 READ_COLUMNS = ("dna_seq", "methyl_seq", "dmr_label", "ctype", "dmr_ctype", "read_count")
 SECTION_SUFFIX = ".pat.gz"
+UNSPLITTABLE = (".gz", ".zst", ".snappy", ".lz4")
 GENOME_CHUNK = 1024
 
 
@@ -23,12 +26,14 @@ def read_fragments(spark: SparkSession, path: str | list[str], span: str = "call
     """PAT text files as fragments; the file name is the sample.
 
     Short lines and patterns without a call are skipped. ``span`` says whether ``cpg_end`` counts
-    called CpGs only or every character. A gz file is one split, so wide work after this should
-    repartition (the interval join does so by chromosome and bin).
+    called CpGs only or every character. A gz file is read by one task, which deals its rows out to all
+    partitions before anything else is done with them, whatever its size.
     """
     raw = spark.read.schema(PAT_SCHEMA).csv(path, sep="\t")
     name = sample_of_path(F.col("_metadata.file_path"))
-    return clean_fragments(raw.select(name.alias("sample_id"), "*"), span)
+    named = raw.select(name.alias("sample_id"), "*")
+    unsplittable = any(f.endswith(UNSPLITTABLE) for f in raw.inputFiles())
+    return clean_fragments(dealt(named) if unsplittable else named, span)
 
 
 def clean_fragments(raw: DataFrame, span: str = "called") -> DataFrame:
@@ -252,19 +257,32 @@ def read_run_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Sample manifest: global paths next to a map of samples, one row per sample.
+    """Sample manifests of any of their shapes, one row per sample.
 
-    ``multiline`` reads one document per file, otherwise one per line.
+    A collective document holds paths for all next to ``cell_types``, a map of samples; any other is itself the map, from a
+    cell type to paths of its own. A sample is an object, or in a collective map just the path of its PAT file. Shapes may
+    differ from document to document and from entry to entry: the outer levels are read as maps of JSON text, and every value is
+    parsed by what it is. ``csv_file`` is the region file that goes for the sample, ``collective`` tells the shape, and
+    a document of its own type gives its key as ``cell_type`` unless the sample names one.
+
+    ``multiline`` reads one document per file, otherwise one per line. Text that is no JSON object gives no rows.
     """
-    entry = "struct<pat_file:string, output_file:string, cell_type:string>"
-    schema = (
-        "collective_csv_file string, fasta_file string, cpg_bed_file string, "
-        f"cell_types map<string, {entry}>"
+    raw = spark.read.text(path, wholetext=multiline).select(F.from_json("value", "map<string,string>").alias("doc"))
+    collective = F.map_contains_key("doc", "cell_types")
+    held = raw.select(
+        "doc", collective.alias("collective"),
+        F.explode(F.when(collective, F.from_json(F.col("doc")["cell_types"], "map<string,string>")).otherwise(F.col("doc"))).alias("sample_key", "value"),
+    )
+    is_object = F.ltrim("value").startswith("{")
+    parsed = held.where(is_object | F.col("collective")).withColumn("e", F.from_json(F.when(is_object, F.col("value")), MANIFEST_ENTRY))
+    shared = lambda name: F.when(F.col("collective"), F.col("doc")[name])
+    named = F.when(~F.col("collective"), F.col("sample_key"))
+    return parsed.select(
+        "sample_key", F.coalesce("e.pat_file", F.when(~is_object, F.col("value"))).alias("pat_file"), "e.output_file",
+        F.coalesce("e.cell_type", named).alias("cell_type"), shared("collective_csv_file").alias("collective_csv_file"),
+        F.coalesce("e.csv_file", shared("collective_csv_file")).alias("csv_file"), F.coalesce("e.fasta_file", shared("fasta_file")).alias("fasta_file"),
+        F.coalesce("e.cpg_bed_file", shared("cpg_bed_file")).alias("cpg_bed_file"), "collective",
     )
-    raw = spark.read.schema(schema).json(path, multiLine=multiline)
-    return raw.select(
-        "collective_csv_file", "fasta_file", "cpg_bed_file", F.explode("cell_types").alias("sample_key", "e")
-    ).select("sample_key", "e.pat_file", "e.output_file", "e.cell_type", "collective_csv_file", "fasta_file", "cpg_bed_file")
 
 
 def read_family_schemes(spark: SparkSession, path: str | list[str]) -> DataFrame:
