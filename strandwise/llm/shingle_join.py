@@ -38,6 +38,7 @@ STRETCH = 1 << 22  # shingles counted together in a task
 BLOOM_WORDS = 1 << 18  # 64-bit words of the filter for the sets to fetch: 2 MB, false hits are harmless
 PARTS = 16  # of a set in the suffix filter
 MINIMA = 8  # hash minima by which a class finds a near one
+ALIKE = 5  # minima that two classes share when they are compared before the complete round
 LEAST_YIELD = 10  # a round that links under one in so many of its pairs is the last before the complete one
 CHUNK = 1 << 20  # bytes hashed at a time
 ROWS = 256
@@ -427,7 +428,12 @@ def _near_pairs(signed: DataFrame, roots: DataFrame) -> DataFrame:
     pairs = own.join(first, ["k", "m"]).where("cls <> c").select("c", "cls").distinct()
     up = lambda c, r: roots.select(F.col("node").alias(c), F.col("root").alias(r))
     pairs = pairs.join(up("c", "x"), "c", "left").join(up("cls", "y"), "cls", "left")
-    return pairs.where(F.coalesce("x", "c") != F.coalesce("y", "cls")).select(F.col("c").alias("a"), F.col("cls").alias("b"))
+    pairs = pairs.where(F.coalesce("x", "c") != F.coalesce("y", "cls")).select("c", "cls")
+    # as minima are few numbers and sets are long, pairs that share few of them wait for the complete round
+    held = lambda c, m: signed.where("cls IS NOT NULL").select(F.col("cls").alias(c), F.col("minima").alias(m)).dropDuplicates([c])
+    met = pairs.join(held("c", "mx"), "c").join(held("cls", "my"), "cls")
+    alike = F.size(F.filter(F.zip_with("mx", "my", lambda x, y: x == y), lambda same: same))
+    return met.where(alike >= ALIKE).select(F.col("c").alias("a"), F.col("cls").alias("b"))
 
 
 def _counted(pairs: DataFrame) -> DataFrame:
