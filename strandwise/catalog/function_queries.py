@@ -155,12 +155,14 @@ DRAW_SQL = "CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT) / 4294967296.0"
 
 
 @query("crop_random", f"""
-SELECT o_orderkey, CASE WHEN {DRAW_SQL.format("o_orderkey || '|crop|42'")} < 0.5
- THEN least(30, 5 + CAST(floor({DRAW_SQL.format("o_orderkey || '|length|42'")} * 36) AS INT)) ELSE 30 END AS n FROM orders""")
+SELECT o_orderkey, array_to_string(list_transform(range(1, n + 1), lambda i: 5 + 16 * (strpos('ACGT', substr(b, i, 1)) - 1) + 4 * (strpos('ACGT', substr(b, i + 1, 1)) - 1) + strpos('ACGT', substr(b, i + 2, 1)) - 1), ' ') AS ids
+FROM (SELECT o_orderkey, translate(md5(CAST(o_orderkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS b, CASE WHEN {DRAW_SQL.format("o_orderkey || '|crop|42'")} < 0.5
+ THEN least(30, 5 + CAST(floor({DRAW_SQL.format("o_orderkey || '|length|42'")} * 36) AS INT)) ELSE 30 END AS n FROM orders) o""")
 def crop_random(spark, sf):
     seq = F.translate(F.md5(F.col("o_orderkey").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT")
     ids = T.token_ids(X.kmers(seq))
-    return V.table(spark, sf, "orders").select("o_orderkey", F.size(T.crop_random(ids, F.col("o_orderkey"), 40)).alias("n"))
+    cropped = T.crop_random(ids, F.col("o_orderkey"), 40)
+    return V.table(spark, sf, "orders").select("o_orderkey", F.array_join(cropped.cast("array<string>"), " ").alias("ids"))
 
 
 MASK_SQL = """
