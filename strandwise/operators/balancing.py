@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandwise.functions.keys import SEQUENCE, content_key, shuffle_key
 from strandwise.functions.reads import read_weight
-from strandwise.operators.firsts import NUMBER, lead_numbers, rows_at
+from strandwise.operators.firsts import NUMBER, lead_numbers, numbered, rows_at
 from strandwise.operators.joins import skew_join
 from strandwise.operators.ordering import prefix_cuts, rank_in_group
 from strandwise.session import stage
@@ -22,8 +22,9 @@ def sequence_groups(reads: DataFrame, order: str = "row_id") -> DataFrame:
     weight = read_weight(F.col("read_count")) if "read_count" in reads.columns else F.lit(1)
     by = ["sample_id", "seq_key"]
     keyed = reads.select("sample_id", content_key(*SEQUENCE).alias("seq_key"), order, "dmr_ctype", "ctype", weight.cast("long").alias("weight"))
-    sizes = stage(lead_numbers(keyed, by, order, F.sum("weight").alias("weight"), F.count("*").alias("n")), "group-sizes")
-    first = rows_at(keyed.drop("weight"), sizes, by, order)
+    numbers = numbered(keyed, by, order, "weight")
+    sizes = stage(lead_numbers(numbers, by, F.sum("weight").alias("weight"), F.count("*").alias("n")), "group-sizes")
+    first = rows_at(keyed.drop("weight"), numbers, sizes, by, order)
     return sizes.drop(NUMBER).join(first, by).select(
         *by, "weight", "n", F.col("dmr_ctype").alias("group_type"), F.col(order).alias("first_at"), F.col("ctype").alias("first_type"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandwise.functions.keys import SEQUENCE, content_digest
 from strandwise.functions.reads import read_weight
-from strandwise.operators.firsts import NUMBER, lead_numbers, order_number, rows_at, tied_keys, untied
+from strandwise.operators.firsts import NUMBER, lead_numbers, numbered, order_number, rows_at, tied_keys, untied
 from strandwise.operators.joins import skew_join
 from strandwise.session import stage
 
@@ -42,8 +42,9 @@ def keep_first(
     """First row per key by ``order``; an integer read count above 1 becomes 1."""
     groups = (["sample_id"] if per_sample else []) + list(keys)
     keyed = reads.withColumn("_key", content_digest(*groups))
-    lead = stage(lead_numbers(keyed, ["_key"], order), "first-numbers")
-    first = rows_at(keyed, lead, ["_key"], order).select(*reads.columns)
+    numbers = numbered(keyed, ["_key"], order)
+    lead = stage(lead_numbers(numbers, ["_key"]), "first-numbers")
+    first = rows_at(keyed, numbers, lead, ["_key"], order).select(*reads.columns)
     if "read_count" not in reads.columns:
         return first
     kind = reads.schema["read_count"].dataType.simpleString()
@@ -65,8 +66,11 @@ def _type_range() -> list[Column]:
     Numbers, so that the aggregation stays one of fixed width; cell types are a catalogue of names, among which
     two of one hash are not to be expected.
     """
-    number = F.when(F.col("ctype").isNotNull(), F.xxhash64("ctype"))
-    return [F.min(number).alias("_lo"), F.max(number).alias("_hi")]
+    return [F.min("_type").alias("_lo"), F.max("_type").alias("_hi")]
+
+
+def _type_number() -> Column:
+    return F.when(F.col("ctype").isNotNull(), F.xxhash64("ctype")).alias("_type")
 
 
 def dedup_cross_sample(reads: DataFrame, order: str = "row_id") -> DataFrame:
@@ -75,8 +79,9 @@ def dedup_cross_sample(reads: DataFrame, order: str = "row_id") -> DataFrame:
     The key leaves the cell type out. Repeats inside one sample count like repeats across samples.
     """
     keyed = _with_twin_key(reads)
-    lead = lead_numbers(keyed, ["_key"], order, *_type_range()).where(F.col("_lo") == F.col("_hi"))
-    return rows_at(keyed, stage(lead.drop("_lo", "_hi"), "first-numbers"), ["_key"], order).select(*reads.columns)
+    numbers = numbered(keyed, ["_key"], order, _type_number())
+    lead = lead_numbers(numbers, ["_key"], *_type_range()).where(F.col("_lo") == F.col("_hi"))
+    return rows_at(keyed, numbers, stage(lead.drop("_lo", "_hi"), "first-numbers"), ["_key"], order).select(*reads.columns)
 
 
 def dedup_shared_by_all(
@@ -90,9 +95,10 @@ def dedup_shared_by_all(
     within = list(within)
     keyed = _with_twin_key(reads)
     key = [*within, "_key"]
-    shared = stage(shared_keys(keyed, key, within, sample, order), "shared-keys")
+    numbers = numbered(keyed, key, order, _type_number(), sample)
+    shared = stage(shared_keys(numbers, key, within, sample), "shared-keys")
     single = F.col("_lo") == F.col("_hi")
-    tied = stage(tied_keys(keyed, shared.where(single), key, order), "tied-keys")
+    tied = stage(tied_keys(numbers, shared.where(single), key), "tied-keys")
     flagged = shared.withColumn("_at", F.when(single, F.col(NUMBER))).select(*key, "_at", "n")
     if not tied.isEmpty():  # their rows come from the rest of the order
         flagged = flagged.join(tied.select(*key, F.lit(True).alias("_tied")), key, "left")
@@ -104,24 +110,24 @@ def dedup_shared_by_all(
     kept = found.where(F.col("_shared").isNull() | (F.col("_at") == F.col(NUMBER))).select(*reads.columns)
     if tied.isEmpty():
         return kept
-    numbered = keyed.withColumn(NUMBER, order_number(keyed, order))
-    among = stage(numbered.join(tied, [*key, NUMBER], "left_semi").select(*keyed.columns), "tied-rows")
+    placed = keyed.withColumn(NUMBER, order_number(keyed, order))
+    among = stage(placed.join(tied, [*key, NUMBER], "left_semi").select(*keyed.columns), "tied-rows")
     return kept.unionByName(untied(among, key, order).select(*reads.columns))
 
 
-def shared_keys(keyed: DataFrame, key: Sequence[str], within: Sequence[str], sample: str, order: str) -> DataFrame:
+def shared_keys(numbers: DataFrame, key: Sequence[str], within: Sequence[str], sample: str) -> DataFrame:
     """Keys found in every sample: their rows, range of types and smallest order number."""
     # (key, sample) first: a hot key shrinks to one row per sample before it meets in one task
-    per_sample = lead_numbers(keyed, [*key, sample], order, F.count("*").alias("_n"), *_type_range())
+    per_sample = lead_numbers(numbers, [*key, sample], F.count("*").alias("_n"), *_type_range())
     per_key = per_sample.groupBy(*key).agg(
         F.sum("_n").alias("n"), F.count("*").alias("_samples"),
         F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.min(NUMBER).alias(NUMBER),
     )
     if within:
-        totals = keyed.select(*within, sample).distinct().groupBy(*within).agg(F.count("*").alias("_all"))
+        totals = numbers.select(*within, sample).distinct().groupBy(*within).agg(F.count("*").alias("_all"))
         judged = per_key.join(totals, list(within))
     else:
-        judged = per_key.withColumn("_all", F.lit(keyed.select(sample).distinct().count()))
+        judged = per_key.withColumn("_all", F.lit(numbers.select(sample).distinct().count()))
     return judged.where(F.col("_samples") == F.col("_all")).drop("_samples", "_all")
 
 

@@ -1,8 +1,9 @@
 """The first row of every key, found by numbers alone and fetched afterwards.
 
 Keeping whole rows while keys are aggregated makes every buffer as wide as a row, and Spark then sorts where it could
-hash. Here the aggregation sees a key and a 64-bit number that follows the order. Whole rows move once, to a semi join on
-(key, number), which spreads the rows of a frequent key over all tasks.
+hash. Here keys and 64-bit numbers that follow the order are written once, a few dozen bytes per row; the aggregation and
+the look for ties see nothing else. Whole rows are read once more and move once, to a semi join on (key, number), which
+spreads the rows of a frequent key over all tasks.
 """
 
 from __future__ import annotations
@@ -35,15 +36,19 @@ def order_number(rows: DataFrame, order: str, part: int = 0) -> Column:
     return F.coalesce(number, F.lit(LAST))
 
 
-def lead_numbers(rows: DataFrame, key: Sequence[str], order: str, *more: Column) -> DataFrame:
-    """``key``, the smallest order number of each key, and ``more`` aggregates; numbers keep it a hash aggregation."""
-    return rows.groupBy(*key).agg(F.min(order_number(rows, order)).alias(NUMBER), *more)
+def numbered(rows: DataFrame, key: Sequence[str], order: str, *more: Column | str) -> DataFrame:
+    """``key``, the order number of each row and ``more``, as a written table."""
+    return stage(rows.select(*key, order_number(rows, order).alias(NUMBER), *more), "order-numbers")
 
 
-def tied_keys(rows: DataFrame, lead: DataFrame, key: Sequence[str], order: str) -> DataFrame:
+def lead_numbers(numbers: DataFrame, key: Sequence[str], *more: Column) -> DataFrame:
+    """``key``, the smallest number of each key, and ``more`` aggregates; numbers keep it a hash aggregation."""
+    return numbers.groupBy(*key).agg(F.min(NUMBER).alias(NUMBER), *more)
+
+
+def tied_keys(numbers: DataFrame, lead: DataFrame, key: Sequence[str]) -> DataFrame:
     """Keys with several rows at their smallest number; usually none."""
-    slim = rows.select(*key, order_number(rows, order).alias(NUMBER))
-    met = slim.join(lead.select(*key, NUMBER), [*key, NUMBER])
+    met = numbers.select(*key, NUMBER).join(lead.select(*key, NUMBER), [*key, NUMBER])
     return met.groupBy(*key, NUMBER).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select(*key, NUMBER)
 
 
@@ -58,22 +63,22 @@ def untied(rows: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     numbers = [order_number(rows, order, part) for part in range(1, -(-longest // BYTES))] if text else []
     numbers += [F.coalesce(F.octet_length(F.col(f"`{order}`").cast("string")), F.lit(0)).cast("long"), F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])]
     for number in numbers:
-        numbered = rows.withColumn(NUMBER, number)
-        least = numbered.groupBy(*key).agg(F.min(NUMBER).alias(NUMBER))
-        rows = stage(numbered.join(least, [*key, NUMBER], "left_semi").drop(NUMBER), "tied-rows")
+        placed = rows.withColumn(NUMBER, number)
+        least = placed.groupBy(*key).agg(F.min(NUMBER).alias(NUMBER))
+        rows = stage(placed.join(least, [*key, NUMBER], "left_semi").drop(NUMBER), "tied-rows")
     return rows.dropDuplicates()
 
 
-def rows_at(rows: DataFrame, lead: DataFrame, key: Sequence[str], order: str) -> DataFrame:
-    """The first row by ``order`` of each key in ``lead`` (a written table of ``lead_numbers``).
+def rows_at(rows: DataFrame, numbers: DataFrame, lead: DataFrame, key: Sequence[str], order: str) -> DataFrame:
+    """The first row by ``order`` of each key in ``lead`` (a written table of ``lead_numbers`` of ``numbers``).
 
     Rows that share the smallest number are told apart by the rest of their order.
     """
     names = rows.columns
-    tied = stage(tied_keys(rows, lead, key, order), "tied-keys")
-    numbered = rows.withColumn(NUMBER, order_number(rows, order))
+    tied = stage(tied_keys(numbers, lead, key), "tied-keys")
+    placed = rows.withColumn(NUMBER, order_number(rows, order))
     if tied.isEmpty():
-        return numbered.join(lead.select(*key, NUMBER), [*key, NUMBER], "left_semi").select(*names)
+        return placed.join(lead.select(*key, NUMBER), [*key, NUMBER], "left_semi").select(*names)
     clear = lead.select(*key, NUMBER).join(tied.select(*key), list(key), "left_anti")
-    among = stage(numbered.join(tied, [*key, NUMBER], "left_semi").select(*names), "tied-rows")
-    return numbered.join(clear, [*key, NUMBER], "left_semi").select(*names).unionByName(untied(among, key, order))
+    among = stage(placed.join(tied, [*key, NUMBER], "left_semi").select(*names), "tied-rows")
+    return placed.join(clear, [*key, NUMBER], "left_semi").select(*names).unionByName(untied(among, key, order))
