@@ -3,8 +3,8 @@
 Documents with equal shingle sets are one class; all further work is on classes. Each class sends the
 first shingles of its set, rarest first, to a shuffle by shingle; two sets as similar as asked for must
 meet there. Pairs are thinned by size, by the places of their common shingles (within the prefixes that their
-own sizes ask for, and by what remains after the first), and, when both sets are at hand, by the sizes of their
-parts (suffix filter); what is left is intersected once.
+own sizes ask for, and by what remains after the first), by the counts of their parts (suffix filter), first
+from counts that classes carry and again when both sets are at hand; what is left is intersected once.
 
 Groups of near copies never yield all their pairs. First rounds compare a class only with central classes
 of its prefix shingles, those in whose order a shingle comes first, and with the first class of each of its
@@ -37,6 +37,7 @@ FREQUENT = 1 << 20  # most shingles in the broadcast frequency table
 STRETCH = 1 << 22  # shingles counted together in a task
 BLOOM_WORDS = 1 << 18  # 64-bit words of the filter for the sets to fetch: 2 MB, false hits are harmless
 PARTS = 16  # of a set in the suffix filter
+RANGES = 256  # of hashes in which a class counts its shingles, for the bound that needs no sets
 MINIMA = 8  # hash minima by which a class finds a near one
 ALIKE = 5  # minima that two classes share when they are compared before the complete round
 LEAST_YIELD = 10  # a round that links under one in so many of its pairs is the last before the complete one
@@ -153,7 +154,10 @@ def _signatures(rows) -> Iterator[pa.RecordBatch]:
         names = [class_of(s) for s in sets]
         nothing = pa.nulls(len(ids), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [ids, row, pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), nothing, nothing, pa.array([_minima(s) for s in sets], _MINIMA)],
+            [
+                ids, row, pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), nothing, nothing,
+                pa.array([_minima(s) for s in sets], _MINIMA), pa.array([_ranges(s) for s in sets], pa.binary()),
+            ],
             names=_SIGNED,
         )
         for s, name in zip(sets, names):
@@ -169,7 +173,7 @@ def _signatures(rows) -> Iterator[pa.RecordBatch]:
         yield counted()
 
 
-_SIGNED = ["id", "row", "n", "cls", "shingle", "count", "minima"]
+_SIGNED = ["id", "row", "n", "cls", "shingle", "count", "minima", "ranges"]
 _MINIMA = pa.list_(pa.int64())
 _TURNS = _mixed(np.arange(1, MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -182,7 +186,19 @@ def _minima(shingles: np.ndarray) -> np.ndarray | None:
 def _counts(kinds: tuple[pa.DataType, ...], keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     nothing = pa.nulls(len(keys), pa.int64())
     empty = [pa.nulls(len(keys), k) for k in kinds]
-    return pa.RecordBatch.from_arrays([*empty, nothing, nothing, pa.array(keys), pa.array(n), pa.nulls(len(keys), _MINIMA)], names=_SIGNED)
+    return pa.RecordBatch.from_arrays([*empty, nothing, nothing, pa.array(keys), pa.array(n), pa.nulls(len(keys), _MINIMA), pa.nulls(len(keys), pa.binary())], names=_SIGNED)
+
+
+def _ranges(shingles: np.ndarray) -> bytes | None:
+    """How many shingles lie in each range of hashes."""
+    if not len(shingles):
+        return None
+    counts = np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=RANGES)
+    return counts.astype(np.uint16 if counts.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def _counts_of(ranges: bytes) -> np.ndarray:
+    return np.frombuffer(ranges, dtype=np.uint16 if len(ranges) == 2 * RANGES else np.uint32).astype(np.int64)
 
 
 def _prefixes(keys: np.ndarray, counts: np.ndarray):
@@ -322,8 +338,29 @@ def _common(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(1), _needed(a, b) - F.greatest(_part(a), _part(b)) + 1)
 
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _thinned(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs whose counts per range of hashes leave room for a link: two sets have at most the smaller count of each
+    range in common. Half a kilobyte per class tells most unlinked pairs, whatever the length of their texts."""
+    names = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
+    rows = with_flag(signed.where("cls IS NOT NULL").select("cls", "ranges"), F.xxhash64("cls"), names.select(F.xxhash64("cls").alias("key")), "may")
+    held = stage(rows.where("may").select("cls", "ranges").dropDuplicates(["cls"]), "join-ranges")
+    both = pairs.join(held.select(F.col("cls").alias("a"), F.col("ranges").alias("x")), "a").join(held.select(F.col("cls").alias("b"), F.col("ranges").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(_room, "a long, b long")
+
+
+def _room(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = (np.stack([_counts_of(r) for r in batch.column(c).to_pylist()]) for c in ("x", "y"))
+        needed = -(-(x.sum(axis=1) + y.sum(axis=1)) * SHARE[0] // (SHARE[0] + SHARE[1]))
+        mask = pa.array(np.minimum(x, y).sum(axis=1) >= needed)
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, signed: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are as similar as asked for. ``pairs`` is a written table."""
+    pairs = stage(_thinned(pairs, signed), "join-thinned")
     names = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
     bloom = texts.sparkSession.sparkContext.broadcast(_bloom(names))
     sets = _pass(texts, lambda rows: _sets(bloom.value)(rows), "cls long, body binary")
@@ -374,7 +411,7 @@ def classes_and_roots(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     """``id, row, n, cls`` of every row, and ``cls, root`` of the classes that link with another."""
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), row_key(doc_id, text).alias("row"), F.col(f"`{text}`").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    signed = stage(_pass(texts, _signatures, f"id {kind}, row long, n long, cls long, shingle long, count long, minima array<long>"), "join-signatures")
+    signed = stage(_pass(texts, _signatures, f"id {kind}, row long, n long, cls long, shingle long, count long, minima array<long>, ranges binary"), "join-signatures")
     classes = signed.where("shingle IS NULL").select("id", "row", "n", "cls")
     counted = signed.where("shingle IS NOT NULL")
     total = counted.agg(F.sum("count")).first()[0] or 0
@@ -389,9 +426,9 @@ def classes_and_roots(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     led = stage(ordered.mapInArrow(_leaders, _LED_SQL), "join-prefixes")
 
     tried = stage(_central_pairs(led), "join-pairs")
-    links = stage(_linked(tried, texts), "join-links")
+    links = stage(_linked(tried, texts, signed), "join-links")
     near = stage(_near_pairs(signed, components(links)).join(tried, ["a", "b"], "left_anti"), "join-pairs")
-    tried, links = tried.unionByName(near), links.unionByName(stage(_linked(near, texts), "join-links"))
+    tried, links = tried.unionByName(near), links.unionByName(stage(_linked(near, texts, signed), "join-links"))
     groups = stage(_groups(led), "join-groups")
     while True:
         roots = components(links)
@@ -400,7 +437,7 @@ def classes_and_roots(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
         asked = pairs.count()
         if not asked:
             break
-        found = stage(_linked(pairs, texts), "join-links")
+        found = stage(_linked(pairs, texts, signed), "join-links")
         tried, links = tried.unionByName(pairs), links.unionByName(found)
         if found.count() * LEAST_YIELD < asked:
             roots = components(links)
@@ -408,7 +445,7 @@ def classes_and_roots(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
             break
     rest = stage(_other_pairs(mixed).join(tried, ["a", "b"], "left_anti"), "join-pairs")
     if not rest.isEmpty():
-        more = stage(_linked(rest, texts), "join-links")
+        more = stage(_linked(rest, texts, signed), "join-links")
         if not more.isEmpty():
             roots = components(links.unionByName(more))
     return classes, roots.withColumnRenamed("node", "cls")
