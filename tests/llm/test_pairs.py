@@ -145,3 +145,21 @@ def test_word_hashes(monkeypatch):
     assert len(set(got)) == 5 and shingle_join.word_hashes(b" \n").tolist() == []
     monkeypatch.setattr(shingle_join, "CHUNK", 4)
     assert shingle_join.word_hashes(text).tolist() == got
+
+
+def test_counts_per_range_bound_the_intersection():
+    """No linked pair is told apart by its counts; the bound holds for any pair."""
+    import numpy as np
+
+    from strandwise.llm import shingle_join as sj
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 40, 3000):
+        for share in (0.0, 0.5, 0.85, 1.0):
+            x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+            y = np.unique(np.concatenate([x[: int(len(x) * share)], rng.integers(0, 1 << 63, n - int(len(x) * share), dtype=np.uint64)]))
+            a, b = sj._counts_of(sj._ranges(x)), sj._counts_of(sj._ranges(y))
+            assert a.sum() == len(x) and b.sum() == len(y)
+            assert np.minimum(a, b).sum() >= len(np.intersect1d(x, y))
+    many = np.full(70_000, 5, dtype=np.uint64)  # more in a range than two bytes hold
+    assert sj._ranges(np.empty(0, dtype=np.uint64)) is None and sj._counts_of(sj._ranges(many))[0] == 70_000
