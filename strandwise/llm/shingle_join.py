@@ -38,6 +38,7 @@ STRETCH = 1 << 22  # shingles counted together in a task
 BLOOM_WORDS = 1 << 18  # 64-bit words of the filter for the sets to fetch: 2 MB, false hits are harmless
 PARTS = 16  # of a set in the suffix filter
 RANGES = 256  # of hashes in which a class counts its shingles, for the bound that needs no sets
+PER_RANGE = 2  # most shingles a range holds on average; larger sets have more ranges, as full ranges tell little
 MINIMA = 8  # hash minima by which a class finds a near one
 ALIKE = 5  # minima that two classes share when they are compared before the complete round
 LEAST_YIELD = 10  # a round that links under one in so many of its pairs is the last before the complete one
@@ -190,15 +191,25 @@ def _counts(kinds: tuple[pa.DataType, ...], keys: np.ndarray, n: np.ndarray) ->
 
 
 def _ranges(shingles: np.ndarray) -> bytes | None:
-    """How many shingles lie in each range of hashes."""
+    """How many shingles lie in each range of hashes: the width of a count, then the counts of 2**k ranges."""
     if not len(shingles):
         return None
-    counts = np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=RANGES)
-    return counts.astype(np.uint16 if counts.max() < 1 << 16 else np.uint32).tobytes()
+    bits = max(RANGES - 1, (len(shingles) - 1) // PER_RANGE).bit_length()
+    counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    width = next(w for w in (1, 2, 4) if counts.max() < 1 << 8 * w)
+    return bytes([width]) + counts.astype(f"u{width}").tobytes()
 
 
 def _counts_of(ranges: bytes) -> np.ndarray:
-    return np.frombuffer(ranges, dtype=np.uint16 if len(ranges) == 2 * RANGES else np.uint32).astype(np.int64)
+    return np.frombuffer(ranges, dtype=f"u{ranges[0]}", offset=1)
+
+
+def may_link(ranges: tuple[bytes, bytes]) -> bool:
+    """Whether two classes can have enough in common: at most the smaller count of each range, the finer ranges summed up."""
+    x, y = sorted((_counts_of(r) for r in ranges), key=len)
+    y = y.reshape(len(x), -1).sum(axis=1, dtype=np.int64)
+    needed = -(-(int(x.sum(dtype=np.int64)) + int(y.sum())) * SHARE[0] // (SHARE[0] + SHARE[1]))
+    return int(np.minimum(x, y).sum(dtype=np.int64)) >= needed
 
 
 def _prefixes(keys: np.ndarray, counts: np.ndarray):
@@ -340,7 +351,7 @@ def _common(a: Column, b: Column) -> Column:
 
 def _thinned(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     """The pairs whose counts per range of hashes leave room for a link: two sets have at most the smaller count of each
-    range in common. Half a kilobyte per class tells most unlinked pairs, whatever the length of their texts."""
+    range in common. A byte or less per shingle, a quarter of a kilobyte at least, tells most unlinked pairs."""
     names = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
     rows = with_flag(signed.where("cls IS NOT NULL").select("cls", "ranges"), F.xxhash64("cls"), names.select(F.xxhash64("cls").alias("key")), "may")
     held = stage(rows.where("may").select("cls", "ranges").dropDuplicates(["cls"]), "join-ranges")
@@ -352,9 +363,7 @@ def _room(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        x, y = (np.stack([_counts_of(r) for r in batch.column(c).to_pylist()]) for c in ("x", "y"))
-        needed = -(-(x.sum(axis=1) + y.sum(axis=1)) * SHARE[0] // (SHARE[0] + SHARE[1]))
-        mask = pa.array(np.minimum(x, y).sum(axis=1) >= needed)
+        mask = pa.array([may_link((x.as_py(), y.as_py())) for x, y in zip(batch.column("x"), batch.column("y"))], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
 
 

@@ -163,3 +163,23 @@ def test_counts_per_range_bound_the_intersection():
             assert np.minimum(a, b).sum() >= len(np.intersect1d(x, y))
     many = np.full(70_000, 5, dtype=np.uint64)  # more in a range than two bytes hold
     assert sj._ranges(np.empty(0, dtype=np.uint64)) is None and sj._counts_of(sj._ranges(many))[0] == 70_000
+
+
+def test_counts_of_sets_of_different_size():
+    """Larger sets have more ranges; a pair of different numbers of ranges is compared on the fewer, and no link is lost."""
+    import numpy as np
+
+    from strandwise.llm import shingle_join as sj
+
+    rng = np.random.default_rng(4)
+    told = 0
+    for n in (300, 510, 515, 1030, 6000, 70_000):
+        whole = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        for kept in (0.75, 0.8, 1.0):
+            part = whole[np.sort(rng.permutation(len(whole))[: int(np.ceil(len(whole) * kept))])]
+            assert sj.may_link((sj._ranges(whole), sj._ranges(part))) and sj.may_link((sj._ranges(part), sj._ranges(whole)))
+        other = np.unique(np.concatenate([whole[: n // 3], rng.integers(0, 1 << 64, n - n // 3, dtype=np.uint64)]))
+        told += not sj.may_link((sj._ranges(whole), sj._ranges(other)))
+    assert told == 6  # a third in common is seen as too little at every size
+    copies = np.full(300, 5, dtype=np.uint64)
+    assert sj._counts_of(sj._ranges(copies))[0] == 300 and len(sj._ranges(np.arange(3, dtype=np.uint64))) == 1 + sj.RANGES
