@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandwise.llm.components import components
 from strandwise.llm.filters import with_flag
+from strandwise.operators.joins import skew_join
 from strandwise.session import stage
 
 WORDS = 5
@@ -42,6 +43,7 @@ PER_RANGE = 2  # most shingles a range holds on average; larger sets have more r
 MINIMA = 8  # hash minima by which a class finds a near one
 ALIKE = 5  # minima that two classes share when they are compared before the complete round
 LEAST_YIELD = 10  # a round that links under one in so many of its pairs is the last before the complete one
+HOT_PAIRS = 1 << 10  # pairs of one class that a task gives its shingles to
 CHUNK = 1 << 20  # bytes hashed at a time
 ROWS = 256
 
@@ -355,8 +357,18 @@ def _thinned(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     names = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
     rows = with_flag(signed.where("cls IS NOT NULL").select("cls", "ranges"), F.xxhash64("cls"), names.select(F.xxhash64("cls").alias("key")), "may")
     held = stage(rows.where("may").select("cls", "ranges").dropDuplicates(["cls"]), "join-ranges")
-    both = pairs.join(held.select(F.col("cls").alias("a"), F.col("ranges").alias("x")), "a").join(held.select(F.col("cls").alias("b"), F.col("ranges").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_room, "a long, b long")
+    return _with_both(pairs, held, "ranges").mapInArrow(_room, "a long, b long")
+
+
+def _with_both(pairs: DataFrame, held: DataFrame, column: str) -> DataFrame:
+    """``a, b, x, y``: the pairs of a written table with the column of both classes. The pairs of a central class are
+    dealt out in parts, each of which gets what the class holds once."""
+    out = pairs
+    for side, other, name in (("a", "b", "x"), ("b", "a", "y")):
+        counts = pairs.groupBy(side).agg(F.count("*").alias("n"))
+        values = held.select(F.col("cls").alias(side), F.col(column).alias(name))
+        out = skew_join(out, values, [side], spread=[other], counts=counts, hot_rows=HOT_PAIRS)
+    return out.select("a", "b", "x", "y")
 
 
 def _room(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,17 +386,14 @@ def _linked(pairs: DataFrame, texts: DataFrame, signed: DataFrame) -> DataFrame:
     bloom = texts.sparkSession.sparkContext.broadcast(_bloom(names))
     sets = _pass(texts, lambda rows: _sets(bloom.value)(rows), "cls long, body binary")
     sets = stage(sets.join(names.distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "join-sets")
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("body").alias("body_a")), "a").join(
-        sets.select(F.col("cls").alias("b"), F.col("body").alias("body_b")), "b"
-    )
-    return both.select("a", "b", "body_a", "body_b").mapInArrow(_verify, "a long, b long")
+    return _with_both(pairs, sets, "body").mapInArrow(_verify, "a long, b long")
 
 
 def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pivots = (np.arange(1, PARTS, dtype=np.uint64) * np.uint64((1 << 64) // PARTS))
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column("body_a"), batch.column("body_b")):
+        for x, y in zip(batch.column("x"), batch.column("y")):
             x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
             needed = -(-(len(x) + len(y)) * SHARE[0] // (SHARE[0] + SHARE[1]))
             parts = [np.diff(np.searchsorted(s, pivots), prepend=0, append=len(s)) for s in (x, y)]
