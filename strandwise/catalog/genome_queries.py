@@ -8,6 +8,7 @@ from strandwise.catalog import query, views as V
 from strandwise.catalog.interval_queries import IMPUTE_SQL
 from strandwise.functions import alignments as AL
 from strandwise.operators import genome as G, profiles
+from strandwise.operators.joins import dealt
 from strandwise.plans.build_reads import build_reads, extract_reads, prepare_regions
 from strandwise.session import scratch_path, stage
 from strandwise.streaming.ingest import ingest_samples, read_ingested, stream_fragments
@@ -98,14 +99,24 @@ def built_on_target(spark, sf):
     return profiles.on_target(_build(spark, sf))
 
 
+FILE_ROWS = 1_000_000  # fragments that one task sorts by sample and writes
+
+
+def _incoming(raw, path):
+    """PAT files of every sample, written by tasks of bounded size; the number of tasks, three at least."""
+    parts = max(3, -(-raw.count() // FILE_ROWS))
+    dealt(raw.withColumnRenamed("sample_id", "sample"), parts).write.partitionBy("sample").csv(path, sep="\t")
+    return parts
+
+
 def _ingested(spark, sf, compact_every):
     src, out, state = (scratch_path(spark, n) for n in ("incoming", "reads", "state"))
     raw = V.raw_fragments(spark, sf)
-    raw.withColumnRenamed("sample_id", "sample").repartition(3).write.partitionBy("sample").csv(src, sep="\t")
+    parts = _incoming(raw, src)
     samples = raw.select("sample_id").distinct().withColumn("ctype", F.concat(F.lit("T"), F.substring("sample_id", 2, 10)))
     marked = prepare_regions(V.markers(spark, sf), V.genome_cpgs(spark, sf), V.genome(spark, sf), V.CHUNK)
     # the folder names the sample here
-    arriving = stream_fragments(spark, src, files_per_batch=8).drop("sample_id").withColumnRenamed("sample", "sample_id")
+    arriving = stream_fragments(spark, src, files_per_batch=-(-8 * parts // 3)).drop("sample_id").withColumnRenamed("sample", "sample_id")
     ingest_samples(arriving, stage(samples, "samples"), marked, out, state, compact_every=compact_every, buckets=5).awaitTermination()
     return read_ingested(spark, out)
 

@@ -11,15 +11,15 @@ from strandwise.session import stage
 HOT_ROWS = 2_000_000
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """``rows`` over all shuffle partitions by a hash of their contents and place, whatever the number of input splits.
+def dealt(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """``rows`` over all shuffle partitions (or ``parts``) by a hash of their place, whatever the number of input splits.
 
     Files that cannot be split give one task each; what comes after this runs on all of them. The number of
     partitions is fixed, so small ones are not merged back.
     """
     place, spot = "_deal_place", "_deal_spot"
     numbered = rows.withColumn(place, F.monotonically_increasing_id())
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return numbered.withColumn(spot, F.xxhash64(place)).repartition(parts, spot).drop(place, spot)
 
 

@@ -73,3 +73,16 @@ def test_running_composition(spark, tmp_path):
     got = {(r["sample_id"], r["pred"]): r["n_reads"] for r in spark.table("composition").collect()}
     assert got == {(r["sample_id"], r["pred"]): r["n_reads"] for r in running_composition(scored).collect()}
     assert running_composition(scored).agg(F.sum("n_reads")).first()[0] == 10
+
+
+def test_incoming_files_are_written_by_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """More fragments, more writing tasks: none sorts a fixed share of the table."""
+    from strandwise.catalog import genome_queries as Q
+
+    monkeypatch.setattr(Q, "FILE_ROWS", 100, raising=False)
+    raw = spark.range(1000).selectExpr("'s' || id % 2 AS sample_id", "'chr1' AS chr", "id AS cpg_start", "'CT' AS pattern", "1 AS read_count")
+    assert Q._incoming(raw, str(tmp_path / "many")) == 10 and Q._incoming(raw.limit(5), str(tmp_path / "few")) == 3
+    back = spark.read.schema("chr string, cpg_start bigint, pattern string, read_count int").csv(str(tmp_path / "many"), sep="\t")
+    assert sorted(r.cpg_start for r in back.collect()) == list(range(1000))
+    sizes = [r["count"] for r in back.groupBy(F.regexp_extract("_metadata.file_path", r"part-(\d+)", 1)).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 200
