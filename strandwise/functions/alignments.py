@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from strandwise.functions.keys import as_col, let
+from strandwise.functions.reads import window_text
 
 DUPLICATE, PAIRED, REVERSE, FIRST = 1024, 1, 16, 64
 METHYLATED_FROM = 178  # summed 0..255 likelihoods of both modifications
@@ -89,12 +90,9 @@ def decoded_kmers(bases: Column, k: int = 3) -> tuple[Column, Column]:
     """3-mers and methylation string of decoded bases; the final window is left out."""
     plain = F.translate(bases, "hHzZxX", "CCCCCC")
     windows = F.length(bases) - k
-    spots = F.sequence(F.lit(1), windows)
-    dna = F.array_join(let(plain, lambda s: F.transform(spots, lambda i: F.substring(s, i, F.lit(k)))), " ")
-    middle = lambda i: F.substring(bases, i + k // 2, F.lit(1))
-    methyl = F.array_join(
-        F.transform(spots, lambda i: F.when(middle(i) == "z", "0").when(middle(i) == "Z", "1").otherwise("2")), ""
-    )
+    dna = window_text(plain, k, windows)
+    middles = F.substring(bases, F.lit(1 + k // 2), windows)
+    methyl = F.translate(F.regexp_replace(middles, "(?s)[^zZ]", "2"), "zZ", "01")
     return F.when(windows >= 1, dna).otherwise(""), F.when(windows >= 1, methyl).otherwise("")
 
 

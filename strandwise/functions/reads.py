@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, functions as F
 
 from strandwise.functions.keys import let
 
 FLANK = 10  # bases of context kept on each side of the covered CpGs
+BLOCK = 16  # windows spelled by one match
+LISTED = 2048  # lengths beyond the longest piece whose halves are listed in the plan
 
 
 def clean_bases(seq: Column) -> Column:
@@ -24,9 +28,22 @@ def kmer_array(seq: Column, k: int = 3, drop_last: bool = False) -> Column:
     return F.when(F.length(seq) > lost, let(clean_bases(seq), windows)).otherwise(F.array().cast("array<string>"))
 
 
+def window_text(text: Column, k: int, windows: Column) -> Column:
+    """The first ``windows`` (at least one) overlapping windows of ``k`` characters, joined by spaces.
+
+    One pattern spells a block of windows at a time, without a list of them. Filling after the text completes the last block.
+    """
+    spots = "(.)" * BLOCK + ("(?=" + "(.)" * (k - 1) + ")" if k > 1 else "")
+    spelled = "".join("".join(f"${at + i}" for i in range(k)) + " " for at in range(1, BLOCK + 1))
+    filled = F.concat(text, F.lit("N" * (BLOCK - 1)))
+    return F.substring(F.regexp_replace(filled, f"(?s){spots}", spelled), F.lit(1), (windows * (k + 1) - 1).cast("int"))
+
+
 def kmers(seq: Column, k: int = 3, drop_last: bool = False) -> Column:
     """Space-joined k-mers; empty text for sequences that are too short."""
-    return F.array_join(kmer_array(seq, k, drop_last), " ")
+    lost = k if drop_last else k - 1
+    # cleaning keeps the number of characters of the upper-case text
+    return F.when(F.length(seq) > lost, window_text(clean_bases(seq), k, F.length(F.upper(seq)) - lost)).otherwise("")
 
 
 def impute_missing(pattern: Column) -> Column:
@@ -97,27 +114,39 @@ def methyl_string(cpgs: Column, origin: Column, tokens: Column) -> Column:
     return F.rpad(drawn, tokens, "2")
 
 
-def half_lengths(length: Column, longest: int) -> Column:
-    """Piece lengths left by halving until no piece is longer than ``longest``, in order.
+def half_spans(length: Column, longest: int) -> Column:
+    """Pieces left by halving until none is longer than ``longest``, in order: struct(at, n) with a 0-based start.
 
-    Every round replaces a piece that is still too long by ``n div 2`` and the rest; log2 of the
-    length over ``longest`` rounds are enough, one more covers the uneven halves.
+    Lengths up to eight times ``longest`` (``LISTED`` of them at most) are looked up in a list. For others, every round
+    replaces a piece that is still too long by ``n div 2`` and the rest; log2 of the length over ``longest`` rounds are
+    enough, one more covers the uneven halves.
     """
     if longest < 1:
         raise ValueError("longest must be positive")
-    too_long = lambda n: n > longest
+
+    def halves(at: int, n: int) -> list[dict[str, int]]:
+        return [{"at": at, "n": n}] if n <= longest else halves(at, n // 2) + halves(at + n // 2, n - n // 2)
+
+    top = min(8 * longest, longest + LISTED)
+    listed = F.from_json(F.lit(json.dumps([halves(0, n) for n in range(longest + 1, top + 1)])), "array<array<struct<at:int,n:int>>>")
+
+    def piece(at: Column, n: Column) -> Column:
+        return F.struct(at.cast("int").alias("at"), n.cast("int").alias("n"))
 
     def halve(pieces: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                pieces,
-                lambda n: F.when(
-                    too_long(n), F.array(F.floor(n / 2).cast("int"), (n - F.floor(n / 2)).cast("int"))
-                ).otherwise(F.array(n)),
-            )
-        )
+        def cut(p: Column) -> Column:
+            half = F.call_function("div", p["n"], F.lit(2))
+            return F.when(p["n"] > longest, F.array(piece(p["at"], half), piece(p["at"] + half, p["n"] - half))).otherwise(F.array(p))
+
+        return F.flatten(F.transform(pieces, cut))
 
     rounds = F.ceil(F.log2(length / F.lit(float(longest))) + 1e-9).cast("int") + 1
-    return F.when(length <= longest, F.array(length.cast("int"))).otherwise(
-        F.aggregate(F.sequence(F.lit(1), rounds), F.array(length.cast("int")), lambda pieces, _: halve(pieces))
+    whole = F.array(piece(F.lit(0), length))
+    return F.when(length <= longest, whole).when(length <= top, F.get(listed, (length - longest - 1).cast("int"))).otherwise(
+        F.aggregate(F.sequence(F.lit(1), rounds), whole, lambda pieces, _: halve(pieces))
     )
+
+
+def half_lengths(length: Column, longest: int) -> Column:
+    """Piece lengths left by halving until no piece is longer than ``longest``, in order."""
+    return F.transform(half_spans(length, longest), lambda p: p["n"])

@@ -155,3 +155,37 @@ def test_losses_and_softmax(spark):
     got = one(spark, [(z, y)], "z array<double>, y int", V.softmax(F.col("z")), V.cross_entropy(F.col("z"), F.col("y")),
               V.focal_loss(F.col("z"), F.col("y")), V.one_vs_rest_focal_loss(F.col("z"), F.col("y"), alpha_pos=[0.9] * 3))[0]
     assert got[0] == pytest.approx(p) and got[1] == pytest.approx(ce) and got[2] == pytest.approx((1 - p[y]) ** 2 * ce) and got[3] == pytest.approx(ovr)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("k, drop_last", [(1, False), (3, False), (3, True), (5, True)])
+def test_kmers_of_every_length_without_lists(spark, k, drop_last):
+    lost = k if drop_last else k - 1
+    texts = ["", "a", "acgt\nxACGTé", "straße", "日", "\U0001f600acgtac", *["ACGTTGCAN"[i % 9 :] * 8 for i in range(9)], *["ACGGT" * 9][:1], "AC" * 9, *["ACGTTGCA"[: i % 8] + "GATTACA" * (i // 8) for i in range(40)]]
+    rows = [(t,) for t in texts] + [(None,)]
+    for text, got in one(spark, rows, "s string", "s", X.kmers(F.col("s"), k, drop_last)):
+        clean = "".join(c if c in "ACGT" else "N" for c in (text or "").upper())
+        want = [clean[i : i + k] for i in range(len(clean) - lost)] if len(text or "") > lost else []
+        assert got == " ".join(want), text
+    df = spark.createDataFrame(rows, "s string").select(X.kmers(F.col("s"), k, drop_last))
+    assert "lambda" not in plan(df)
+
+
+def test_split_long_cuts_even_and_uneven_tokens_alike(spark):
+    calls = "".join(str(i % 3) for i in range(30))
+    tokens = ["ACG", "CGT", "GTA"] * 10
+    texts = {"even": " ".join(tokens), "uneven": " ".join(tokens[:29] + ["A"]), "short": " ".join(tokens[:20]), "long": " ".join(tokens + ["TTT"]),
+             "gap": "ACG  CGT " + " ".join(tokens[:27]), "end": " ".join(tokens[:29]) + " AC\n", "empty": "", "none": None}
+    df = spark.createDataFrame([(k, t, calls) for k, t in texts.items()] + [("no-calls", "ACG", None), ("whole", "x  y", "012")], "name string, dna_seq string, methyl_seq string")
+    got = {(r["name"], r["piece"]): (r["dna_seq"], r["methyl_seq"]) for r in split_long(df, 8).collect()}
+    want = {("whole", 0): ("x  y", "012")}
+    for name, text in texts.items():
+        at = 0
+        for piece, n in enumerate(halves(30, 8)):
+            want[name, piece] = (None if text is None else " ".join(text.split(" ")[at : at + n]), calls[at : at + n])
+            at += n
+    assert got == want
+    assert "split(dna_seq" not in plan(split_long(df, 8)).split("Generate")[0]  # tokens are found before the pieces, not for each
