@@ -196,7 +196,7 @@ SELECT sample_id, group_type, seq_key, CAST(weight AS BIGINT) AS weight FROM o W
 @query("off_target_prefix", PREFIX_SQL)
 def off_target_prefix(spark, sf):
     """Lightest third of every (sample, region type)."""
-    groups = B.stage(B.sequence_groups(_reads(spark, sf)), "groups")
+    groups = B.sequence_groups(_reads(spark, sf))
     hist = groups.groupBy("sample_id", "group_type", "weight").agg(F.count("*").alias("groups"))
     targets = B.stage(B.edges_of(hist, lambda total: F.floor(total / 3)), "targets")
     return B.off_target_prefix(groups, targets).select("sample_id", "group_type", "seq_key", "weight")

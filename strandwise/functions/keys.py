@@ -29,7 +29,12 @@ def content_key(*cols: Column | str) -> Column:
 
 def content_digest(*cols: Column | str) -> Column:
     """``content_key`` as 16 bytes: half the width in a shuffle."""
-    return F.unhex(content_key(*cols))
+    return key_digest(content_key(*cols))
+
+
+def key_digest(key: Column) -> Column:
+    """The 16 bytes of a hex key. Never null, so that a join on it needs no test for null, which would compute the key twice."""
+    return F.coalesce(F.unhex(key), F.lit(b""))
 
 
 def shuffle_key(*cols: Column | str, seed: int = 42) -> Column:

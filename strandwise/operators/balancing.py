@@ -7,9 +7,9 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strandwise.functions.keys import SEQUENCE, content_key, shuffle_key
+from strandwise.functions.keys import SEQUENCE, content_digest, key_digest, shuffle_key
 from strandwise.functions.reads import read_weight
-from strandwise.operators.firsts import NUMBER, lead_numbers, numbered, rows_at
+from strandwise.operators.firsts import lead_numbers, order_numbers, rows_at
 from strandwise.operators.joins import skew_join
 from strandwise.operators.ordering import prefix_cuts, rank_in_group
 from strandwise.session import stage
@@ -18,15 +18,19 @@ TARGET_SCHEMA = "sample_id string, group_type string, target bigint, edge bigint
 
 
 def sequence_groups(reads: DataFrame, order: str = "row_id") -> DataFrame:
-    """One row per (sample, sequence): weight, rows, and region type, place and cell type of the first row."""
+    """One row per (sample, sequence): weight, rows, and region type, place and cell type of the first row.
+
+    Keys travel as 16 bytes, and what is summed up comes with the first row. The rows are those of a written table.
+    """
     weight = read_weight(F.col("read_count")) if "read_count" in reads.columns else F.lit(1)
-    by = ["sample_id", "seq_key"]
-    keyed = reads.select("sample_id", content_key(*SEQUENCE).alias("seq_key"), order, "dmr_ctype", "ctype", weight.cast("long").alias("weight"))
-    numbers = numbered(keyed, by, order, "weight")
+    by = ["sample_id", "_key"]
+    keyed = reads.select("sample_id", content_digest(*SEQUENCE).alias("_key"), order, "dmr_ctype", "ctype", weight.cast("long").alias("weight"))
+    numbers = order_numbers(keyed, by, order, "weight")
     sizes = stage(lead_numbers(numbers, by, F.sum("weight").alias("weight"), F.count("*").alias("n")), "group-sizes")
-    first = rows_at(keyed.drop("weight"), numbers, sizes, by, order)
-    return sizes.drop(NUMBER).join(first, by).select(
-        *by, "weight", "n", F.col("dmr_ctype").alias("group_type"), F.col(order).alias("first_at"), F.col("ctype").alias("first_type"),
+    first = rows_at(keyed.drop("weight"), numbers, sizes, by, order, ["weight", "n"])
+    return first.select(
+        "sample_id", F.lower(F.hex("_key")).alias("seq_key"), "weight", "n",
+        F.col("dmr_ctype").alias("group_type"), F.col(order).alias("first_at"), F.col("ctype").alias("first_type"),
     )
 
 
@@ -111,7 +115,7 @@ def balance_on_target(reads: DataFrame, order: str = "row_id", seed: int = 42, *
     proportion to their weight, each in name order, lightest groups first. Samples without on-target
     weight stay whole.
     """
-    groups = stage(sequence_groups(reads, order), "groups")
+    groups = sequence_groups(reads, order)
     # one row per sample: small enough to be sent to the groups from here on
     per_type = stage(
         groups.groupBy("sample_id", "group_type").agg(F.sum("weight").alias("weight"), F.min(F.struct("first_at", "first_type")).alias("first")), "type-weights"
@@ -123,11 +127,12 @@ def balance_on_target(reads: DataFrame, order: str = "row_id", seed: int = 42, *
     targets = stage(balance_targets(groups, own.select("sample_id", "own_type")), "targets")
     whole = groups.join(own, "sample_id").where(is_own | (F.col("positive") == 0)).select(*groups.columns)
     # a group that both parts name is still one key of the semi join
-    keep = whole.unionByName(off_target_prefix(groups, targets, seed)).select("sample_id", "seq_key")
-    keyed = reads.withColumn("seq_key", content_key(*SEQUENCE))
+    digest = key_digest(F.col("seq_key")).alias("_key")
+    keep = whole.unionByName(off_target_prefix(groups, targets, seed)).select("sample_id", digest)
+    keyed = reads.withColumn("_key", content_digest(*SEQUENCE))
     return skew_join(
-        keyed, keep, ["sample_id", "seq_key"], "left_semi", spread=[order],
-        counts=groups.select("sample_id", "seq_key", "n"), **how,
+        keyed, keep, ["sample_id", "_key"], "left_semi", spread=[order],
+        counts=groups.select("sample_id", digest, "n"), **how,
     ).select(*reads.columns)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandwise.functions.keys import SEQUENCE, content_digest
 from strandwise.functions.reads import read_weight
-from strandwise.operators.firsts import NUMBER, lead_numbers, numbered, order_number, rows_at, tied_keys, untied
+from strandwise.operators.firsts import NUMBER, lead_numbers, numbered, order_number, order_numbers, rows_at, tied_keys, untied
 from strandwise.operators.joins import skew_join
 from strandwise.session import stage
 
@@ -42,7 +42,7 @@ def keep_first(
     """First row per key by ``order``; an integer read count above 1 becomes 1."""
     groups = (["sample_id"] if per_sample else []) + list(keys)
     keyed = reads.withColumn("_key", content_digest(*groups))
-    numbers = numbered(keyed, ["_key"], order)
+    numbers = order_numbers(keyed, ["_key"], order)
     lead = stage(lead_numbers(numbers, ["_key"]), "first-numbers")
     first = rows_at(keyed, numbers, lead, ["_key"], order).select(*reads.columns)
     if "read_count" not in reads.columns:
@@ -79,7 +79,7 @@ def dedup_cross_sample(reads: DataFrame, order: str = "row_id") -> DataFrame:
     The key leaves the cell type out. Repeats inside one sample count like repeats across samples.
     """
     keyed = _with_twin_key(reads)
-    numbers = numbered(keyed, ["_key"], order, _type_number())
+    numbers = order_numbers(keyed, ["_key"], order, _type_number())
     lead = lead_numbers(numbers, ["_key"], *_type_range()).where(F.col("_lo") == F.col("_hi"))
     return rows_at(keyed, numbers, stage(lead.drop("_lo", "_hi"), "first-numbers"), ["_key"], order).select(*reads.columns)
 

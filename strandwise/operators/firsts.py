@@ -1,9 +1,9 @@
 """The first row of every key, found by numbers alone and fetched afterwards.
 
 Keeping whole rows while keys are aggregated makes every buffer as wide as a row, and Spark then sorts where it could
-hash. Here keys and 64-bit numbers that follow the order are written once, a few dozen bytes per row; the aggregation and
-the look for ties see nothing else. Whole rows are read once more and move once, to a semi join on (key, number), which
-spreads the rows of a frequent key over all tasks.
+hash. Here the aggregation sees keys and 64-bit numbers that follow the order, a few dozen bytes per row. Whole rows are read
+once more and move once, to a join on (key, number), which spreads the rows of a frequent key over all tasks. Ties show in
+the number of rows found; only then they are looked for.
 """
 
 from __future__ import annotations
@@ -36,9 +36,14 @@ def order_number(rows: DataFrame, order: str, part: int = 0) -> Column:
     return F.coalesce(number, F.lit(LAST))
 
 
+def order_numbers(rows: DataFrame, key: Sequence[str], order: str, *more: Column | str) -> DataFrame:
+    """``key``, the order number of each row and ``more``."""
+    return rows.select(*key, order_number(rows, order).alias(NUMBER), *more)
+
+
 def numbered(rows: DataFrame, key: Sequence[str], order: str, *more: Column | str) -> DataFrame:
-    """``key``, the order number of each row and ``more``, as a written table."""
-    return stage(rows.select(*key, order_number(rows, order).alias(NUMBER), *more), "order-numbers")
+    """``order_numbers`` as a written table, for those who read them more than once."""
+    return stage(order_numbers(rows, key, order, *more), "order-numbers")
 
 
 def lead_numbers(numbers: DataFrame, key: Sequence[str], *more: Column) -> DataFrame:
@@ -69,16 +74,25 @@ def untied(rows: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     return rows.dropDuplicates()
 
 
-def rows_at(rows: DataFrame, numbers: DataFrame, lead: DataFrame, key: Sequence[str], order: str) -> DataFrame:
-    """The first row by ``order`` of each key in ``lead`` (a written table of ``lead_numbers`` of ``numbers``).
+def rows_at(
+    rows: DataFrame, numbers: DataFrame, lead: DataFrame, key: Sequence[str], order: str, carried: Sequence[str] = ()
+) -> DataFrame:
+    """The first row by ``order`` of each key in ``lead`` (a written table of ``lead_numbers`` of ``numbers``), as a written table.
 
-    Rows that share the smallest number are told apart by the rest of their order.
+    Rows that share the smallest number are told apart by the rest of their order: there are some when more rows than keys
+    are found. ``carried`` columns of ``lead`` come with the rows. Null keys have no row.
     """
     names = rows.columns
-    tied = stage(tied_keys(numbers, lead, key), "tied-keys")
     placed = rows.withColumn(NUMBER, order_number(rows, order))
-    if tied.isEmpty():
-        return placed.join(lead.select(*key, NUMBER), [*key, NUMBER], "left_semi").select(*names)
-    clear = lead.select(*key, NUMBER).join(tied.select(*key), list(key), "left_anti")
-    among = stage(placed.join(tied, [*key, NUMBER], "left_semi").select(*names), "tied-rows")
-    return placed.join(clear, [*key, NUMBER], "left_semi").select(*names).unionByName(untied(among, key, order))
+    found = stage(placed.join(lead.select(*key, NUMBER, *carried), [*key, NUMBER]).select(*names, *carried), "first-rows")
+    whole = lead
+    for name in key:
+        whole = whole.where(F.col(f"`{name}`").isNotNull())
+    if found.count() == whole.count():
+        return found
+    tied = stage(tied_keys(numbers, lead, key), "tied-keys").select(*key)
+    clear = found.join(tied, list(key), "left_anti").select(*found.columns)
+    single = untied(stage(found.join(tied, list(key), "left_semi").select(*names), "tied-rows"), key, order)
+    if carried:
+        single = single.join(lead.select(*key, *carried), list(key)).select(*found.columns)
+    return stage(clear.unionByName(single), "first-rows")

@@ -143,12 +143,12 @@ def split_by_sample(reads: DataFrame, ratio: float = TRAIN_SHARE, seed: int = SE
 
 def dedup_then_split(reads: DataFrame, ratio: float = TRAIN_SHARE, seed: int = SEED) -> DataFrame:
     """First row per sequence, count set to 1, then a random cut."""
-    return split_random(stage(keep_first(reads), "unique-reads"), ratio, seed=seed)
+    return split_random(keep_first(reads), ratio, seed=seed)
 
 
 def dedup_cross_sample_split(reads: DataFrame, ratio: float = TRAIN_SHARE, seed: int = SEED) -> DataFrame:
     """Cross-sample de-duplication, then a random cut."""
-    return split_random(stage(dedup_cross_sample(reads), "unique-reads"), ratio, seed=seed)
+    return split_random(dedup_cross_sample(reads), ratio, seed=seed)
 
 
 def dedup_shared_split(reads: DataFrame, ratio: float = TRAIN_SHARE, seed: int = SEED, **how) -> DataFrame:

@@ -89,3 +89,22 @@ def test_reads_are_hashed_not_sorted(spark):
         assert "SortAggregate" not in plan(df) and "ObjectHashAggregate" not in plan(df)
     assert twins.columns == ["_key", "_number", "_type", "sample_id"]  # numbers and digests only
     assert "Exchange hashpartitioning" not in plan(dedup.dedup_shared_by_all(rows))  # few shared keys: no read moves
+
+
+def test_ties_show_in_the_rows_found_and_numbers_are_not_joined(spark, monkeypatch):
+    """Without ties the order numbers are read once; with ties what was carried stays with the row."""
+    from strandwise.operators import firsts as module
+
+    looked = []
+    monkeypatch.setattr(module, "tied_keys", lambda *a, f=tied_keys: looked.append(a) or f(*a))
+    for rows, ties in (([("a", "2", 1), ("a", "1", 2), (None, "1", 3)], 0), (ROWS[:-3], 1)):
+        df = made(spark, rows)
+        numbers = module.order_numbers(df, ["k"], "o")
+        lead = stage(lead_numbers(numbers, ["k"], F.count("*").alias("n")), "lead")
+        got = {r.k: (r.o, r.n) for r in rows_at(df, numbers, lead, ["k"], "o", ["n"]).collect()}
+        assert got["a"] == (("1", 2), ("row-0000000001", 3))[ties] and None not in got and len(looked) == ties
+
+
+def test_keys_are_not_computed_again_to_test_for_null(spark):
+    rows = spark.range(1).selectExpr("id AS row_id", "'a' AS dna_seq", "'m' AS methyl_seq", "1 AS read_count").withColumn("_key", content_digest("dna_seq"))
+    assert not rows.schema["_key"].nullable
