@@ -125,7 +125,7 @@ def compose_unlabelled(spark, sf):
 @query("read_sectioned", f"{LABELLED_SQL}, sample_id || '.pat.gz' AS sample_id FROM ({R}) r")
 def read_sectioned(spark, sf):
     path = scratch_path(spark, "sectioned")
-    W.write_sectioned(_labelled(spark, sf), path)
+    W.write_sectioned(V.keyed_reads(spark, sf), path, bases=True)
     return S.read_sectioned(spark, path).drop("row_no")
 
 

@@ -3,6 +3,8 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from strandwise.sources import readers as S, writers as W
 from strandwise.sources.headers import resolve_columns, split_header
 
@@ -109,3 +111,36 @@ def test_composition_formats(spark, tmp_path):
         W.write_composition(df, str(tmp_path / "t"), "xml")
     with pytest.raises(ValueError):
         W.write_reads(df, str(tmp_path / "t"), "xml")
+
+
+def test_lines_stay_where_they_are_when_markers_are_few(spark, tmp_path):
+    from strandwise.sources.lines import fill_from_marker, numbered_lines
+
+    texts = {"a": ["x", "#1", "x", "x", "#2", "#3", "x"], "b": ["x", "x"], "c": ["#4"] + ["x"] * 9000 + ["#5", "x"], "d": ["#6", "#6"]}
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("\n".join(lines))
+    lines = numbered_lines(spark, str(tmp_path))
+    want = []
+    for name, values in texts.items():
+        last = None
+        for i, v in enumerate(values):
+            last = v if v.startswith("#") else last
+            want.append((name, i, last))
+    mark = F.when(F.col("value").startswith("#"), F.col("value"))
+    for most in (100, 2):
+        filled = fill_from_marker(lines, mark, "head", most)
+        got = filled.select(F.regexp_extract("file", r"([^/]+)$", 1), "row_no", "head").collect()
+        assert sorted(map(tuple, got), key=lambda r: r[:2]) == want
+        assert ("Window" in filled._jdf.queryExecution().executedPlan().toString()) == (most == 2)
+
+
+def test_sections_of_bases_read_like_sections_of_kmers(spark, tmp_path):
+    from strandwise.functions.reads import kmers
+    from strandwise.sources import writers as W
+
+    rows = [(f"s{i % 3}", "ACGTTGCA"[i % 4 :] if i % 7 else None, "012", i, None if i % 5 == 0 else "T", "U", 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "sample_id string, dna_seq string, methyl_seq string, dmr_label int, ctype string, dmr_ctype string, read_count int")
+    W.write_sectioned(df, str(tmp_path / "bases"), 7, bases=True)
+    W.write_sectioned(df.withColumn("dna_seq", kmers(F.col("dna_seq"))), str(tmp_path / "kmers"), 7)
+    a, b = (sorted(tuple(r) for r in S.read_sectioned(spark, str(tmp_path / n)).drop("row_no").collect()) for n in ("bases", "kmers"))
+    assert a == b and len(a) == 60
