@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from strandwise.functions.reads import kmers
 from strandwise.operators.ordering import rank_positions, running
+from strandwise.session import stage
 
 
 def slice_reference(
@@ -54,14 +55,12 @@ def index_cpgs(genome: DataFrame, chunk: int) -> DataFrame:
         "chr", "chunk_id", F.concat("seq", F.when(F.length("seq") == chunk, F.coalesce("_next", F.lit(""))).otherwise("")).alias("_text")
     )
     size = F.length("_text")
-    places = F.when(
-        size > 1,
-        F.filter(F.sequence(F.lit(1), size - 1), lambda i: F.substring(F.col("_text"), i, F.lit(2)) == "CG"),
-    ).otherwise(F.array().cast("array<int>"))
-    points = joined.select("chr", "chunk_id", F.explode(places).alias("_at")).select(
+    spots = joined.where(size > 1).withColumn("_at", F.explode(F.sequence(F.lit(1), size - 1)))
+    points = spots.where(F.substring(F.col("_text"), F.col("_at"), F.lit(2)) == "CG").select(
         "chr", (F.col("chunk_id") * chunk + F.col("_at")).alias("pos")
     )
-    return rank_positions(points, "chr", "pos", "cpg_idx")
+    # ranking reads them twice, the genome and its neighbours are met once
+    return rank_positions(stage(points, "cpg-points"), "chr", "pos", "cpg_idx")
 
 
 def genome_windows(genome: DataFrame, chunk: int, length: int = 510, chromosomes: list[str] | None = None) -> DataFrame:
