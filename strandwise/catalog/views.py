@@ -156,7 +156,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     seed = F.when(F.col("l_orderkey") % 3 == 0, F.col("l_partkey") % 500).otherwise(F.col("l_orderkey") + 1000)
     row_id = F.md5(F.concat_ws(
         "|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
-        F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"), F.date_format("l_shipdate", "yyyy-MM-dd"),
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"), F.col("l_shipdate").cast("date").cast("string"),
     ))
     base = table(spark, sf_dir, "lineitem").withColumn("seed", seed).withColumn(
         "t", F.when(F.col("l_suppkey") % 4 == 0, F.col("l_linenumber") % 8).otherwise(F.col("seed") % 8)
