@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -12,6 +13,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 ROWS = 256  # rows whose texts are held as Python objects at a time
 
 
+def give_back() -> None:
+    """Hands memory that earlier tasks of this worker have freed back to the system; allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def with_struct(
     df: DataFrame,
     text: str,
@@ -34,6 +43,7 @@ def with_struct(
     source = df.select(*[_quote(c) for c in dict.fromkeys([*names, text])])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         fn = make()
         held: list[pa.RecordBatch] = []
         texts: list[bytes | None] = []

@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strandwise.llm.columns import give_back
 from strandwise.llm.components import components
 from strandwise.llm.filters import with_flag
 from strandwise.operators.joins import skew_join
@@ -137,6 +138,7 @@ def _pass(texts: DataFrame, fn: Callable, schema: str) -> DataFrame:
                     part = batch.slice(at, ROWS)
                     yield part.column("id"), part.column("row"), part.column("text").cast(pa.binary()).to_pylist()
 
+        give_back()
         yield from fn(rows())
 
     return texts.mapInArrow(run, schema)

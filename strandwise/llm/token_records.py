@@ -15,6 +15,7 @@ that succeed reach the manifest, so a repeated or speculative task leaves a file
 from __future__ import annotations
 
 import os
+import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -27,13 +28,14 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from strandwise.llm.columns import give_back
 from strandwise.llm.crc32c import crc32c, masked
 from strandwise.session import scratch_path, stage
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 NULL = 2**32 - 1
-CACHED_WORDS = 1 << 19  # a worker's memory of encoded words; emptied when full
+CACHED_WORDS = 3 << 17  # a worker's memory of encoded words and pieces; emptied when full
 ROWS = 256
 INDEX = np.dtype([("offset", "<u8"), ("size", "<u8"), ("ids", "<u4")])
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_bytes long"
@@ -55,25 +57,24 @@ class Encoder:
     This tokenizer drops white space before it splits, so a text's ids are those of its pieces between
     spaces and line ends, one after the other; pieces seen before are not encoded again. A piece of
     Latin letters, with or without one mark behind, is split as the tokenizer would and goes straight to
-    its model; any other piece goes through the whole tokenizer.
+    its model; any other piece goes through the whole tokenizer. A word without its mark, in small letters,
+    is a piece too, so both are kept in one place.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.kind, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
         if len(known) > CACHED_WORDS:
             known.clear()
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
         rest = []
         for piece in set().union(*pieces).difference(known):
             got = self._letters(piece)
@@ -87,20 +88,20 @@ class Encoder:
         return [b"".join([*map(known.__getitem__, p), end]) for p in pieces]
 
     def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.kind).tobytes()
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _letters(self, piece: str) -> bytes | None:
         low = piece.lower()
         word, mark = (low[:-1], low[-1]) if low and low[-1] in MARKS else (low, "")
-        if not word.isalpha() or max(word) >= BEYOND_LATIN or not is_normalized("NFC", word):
+        if not word.isalpha() or not word.isascii() and (max(word) >= BEYOND_LATIN or not is_normalized("NFC", word)):
             return None
-        return self._part(word) + (self._part(mark) if mark else b"")
+        return self._part(word, self.known) + (self._part(mark, self.marks) if mark else b"")
 
-    def _part(self, part: str) -> bytes:
-        got = self.words.get(part)
+    def _part(self, part: str, kept: dict[str, bytes]) -> bytes:
+        got = kept.get(part)
         if got is None:
             spelled = part if part.isascii() else part.encode().decode("latin-1").translate(_byte_letters())
-            got = self.words[part] = self._packed([t.id for t in self.model.tokenize(spelled)])
+            got = kept[part] = self._packed([t.id for t in self.model.tokenize(spelled)])
         return got
 
 
@@ -117,7 +118,7 @@ def _byte_letters() -> dict[int, int]:
 
 @cache
 def encoder(vocabulary: str) -> Encoder:
-    """One encoder for all tasks that a Python worker runs, with the pieces it knows."""
+    """One encoder for all writing tasks that a Python worker runs, with the pieces it knows."""
     return Encoder(vocabulary)
 
 
@@ -150,6 +151,7 @@ def write_records(
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         shard, sink = None, None
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
@@ -262,6 +264,8 @@ def read_records(manifest: DataFrame, width: int = 2) -> DataFrame:
 
 def _decoder(width: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # files are read when all are written; the worker goes on without its pieces
+        give_back()
         for batch in batches:
             for row in batch.to_pylist():
                 shard, before = Shard(row["path"], width), row["ahead"]

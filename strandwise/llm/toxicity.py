@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from strandwise.llm.columns import with_struct
+from strandwise.llm.columns import give_back, with_struct
 from strandwise.llm.filters import with_flag
 from strandwise.llm.labelled import sample, training_labels
 from strandwise.llm.token_records import filesystem
@@ -85,6 +85,7 @@ def count_groups(rows: DataFrame) -> DataFrame:
     """``gram`` and its counts in each class and half of ``rows`` (text, label, half), for every distinct group."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         held = [Counter() for _ in CLASSES]
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
@@ -446,6 +447,7 @@ def scored_by(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
 
     @F.arrow_udf(T.DoubleType())
     def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back()
         model = shared.value
         scorer = Scorer(Lookup(model.ratios, "full"))
         for batch in texts:

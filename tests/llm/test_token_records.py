@@ -70,3 +70,15 @@ def test_frames_in_any_order_and_damage(spark, tmp_path):
         f.write(b"\x99")
     with pytest.raises(OSError):
         tr.Shard(path, 2).read(0, 1)
+
+
+def test_words_are_kept_once():
+    encode = tr.Encoder(tr.default_vocabulary())
+    got = encode(["word Word word,"])
+    assert np.frombuffer(got[0], "<u2").tolist() == whole(["word Word word,"])[0] + [tr.END]
+    assert sum(len(v) for v in vars(encode).values() if isinstance(v, dict)) == 4  # three pieces and a mark
+
+
+def test_reading_lets_go_of_the_encoder():
+    tr.encoder(tr.default_vocabulary())
+    assert list(tr._decoder(2)(iter([]))) == [] and tr.encoder.cache_info().currsize == 0
