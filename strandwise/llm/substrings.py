@@ -14,7 +14,7 @@ groups equal names at fixed lengths and drops what has become unique:
    earlier document has too goes whole; runs whose anchor no earlier document has are done.
 3. 37 bytes, 13 more to the left or to the right of the anchor. Every window reaches that far on one side, so a
    run that shares neither with an earlier document is done.
-4. The 50-byte windows of the runs that are left, at the edges of matches, one by one.
+4. The 50-byte windows of the runs that are left, at the edges of matches, one by one: those that hold a shared side.
 
 Names of one anchor are compared only among themselves, 128 bits in all.
 """
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ ANCHOR = 24
 WINDOWS = LENGTH - ANCHOR + 1  # anchors to choose from in a window
 REACH = (LENGTH - ANCHOR) // 2  # bytes beside the anchor that each window has on one side at least
 CHUNK = 1 << 20  # bytes of a text that are named at a time
+BLOCK = 1 << 15  # bytes of texts that are named together
+TABLE = 1 << 14
 ROWS = 64
 LAST = (1 << 63) - 1  # stands for a null id
 
@@ -79,55 +82,76 @@ def _anchor_places(by24: np.ndarray) -> np.ndarray:
     return (low & _PLACE).astype(np.int64)
 
 
-def anchors_of(text: bytes) -> np.ndarray:
-    """The distinct names of a text's anchors."""
-    found = []
-    for at in range(0, max(1, len(text) - LENGTH + 1), CHUNK):
-        _, by24 = _short_names(text[at : at + CHUNK + LENGTH - 1])
-        place = _anchor_places(by24)
-        found.append(by24[place[np.concatenate([[True], place[1:] != place[:-1]])]])
-    return np.unique(np.concatenate(found))
-
-
 class Runs:
-    """Of one text: for each window its name, and the runs of windows that share an anchor.
+    """Of a text, or of several that are looked at together: the runs of windows that share an anchor, and
+    names of strings, made where they are asked for.
 
-    ``anchor`` names the 24 bytes at a run's anchor, ``context`` all the bytes of its windows and where
-    in them the anchor lies; ``first`` and ``last`` are the starts of the run's first and last window.
-    ``left`` and ``right`` name the anchor with the bytes beside it, where ``has_left`` and ``has_right`` say
-    that windows of the run reach that far.
+    ``anchor`` names the 24 bytes at a run's anchor, which starts at ``chosen``; ``first`` and ``last`` are the
+    starts of the run's first and last window, all as places in the joined texts. Text k begins at ``start[k]`` and has the
+    runs from ``cut[k]`` up to ``cut[k + 1]``; no run holds windows of two texts.
     """
 
-    def __init__(self, text: bytes, beside: bool = False):
+    def __init__(self, *texts: bytes):
+        text = texts[0] if len(texts) == 1 else b"".join(texts)
         n = len(text)
-        parts = [self._chunk(text[at : at + CHUNK + LENGTH - 1], at, beside) for at in range(0, max(1, n - LENGTH + 1), CHUNK)] if n >= LENGTH else []
-        join = lambda k, kind: np.concatenate([p[k] for p in parts]) if parts else np.empty(0, dtype=kind)
-        self.windows = join(0, np.uint64)
-        self.anchor, self.context = join(1, np.uint64), join(2, np.uint64)
-        self.first, self.last = join(3, np.int64), join(4, np.int64)
-        if beside:
-            self.left, self.right = join(5, np.uint64), join(6, np.uint64)
-            self.has_left, self.has_right = join(7, bool), join(8, bool)
-
-    @staticmethod
-    def _chunk(text: bytes, at: int, with_beside: bool):
+        self.start = np.cumsum([0, *map(len, texts)])
+        parts = [self._chunk(text[at : at + CHUNK + LENGTH - 1], at) for at in range(0, n - LENGTH + 1, CHUNK)]
+        join = lambda k, kind: parts[0][k] if len(parts) == 1 else np.concatenate([p[k] for p in parts]) if parts else np.empty(0, dtype=kind)
+        self.anchor = join(0, np.uint64)
+        self.first, self.last, self.chosen = join(1, np.int64), join(2, np.int64), join(3, np.int64)
+        for p in parts[:-1]:
+            p[4] = p[4][:CHUNK]  # the rest is at the start of the next part
+        self.by16 = join(4, np.uint64)
+        self.cut = np.searchsorted(self.first, self.start)
+
+    def _chunk(self, text: bytes, at: int) -> list[np.ndarray]:
         by16, by24 = _short_names(text)
-        by32 = _pair(by16[: len(by16) - 16], by16[16:])
-        windows = _pair(by32[: len(by32) - (LENGTH - 32)], by32[LENGTH - 32 :])
         place = _anchor_places(by24)
-        edge = np.flatnonzero(np.diff(place)) + 1
-        first = np.concatenate([[0], edge])
-        last = np.concatenate([edge, [len(place)]]) - 1
+        begin, end = np.ones(len(place), dtype=bool), np.ones(len(place), dtype=bool)
+        np.not_equal(place[1:], place[:-1], out=begin[1:])
+        end[:-1] = begin[1:]
+        if len(self.start) > 2:
+            alone = np.ones(len(place), dtype=bool)  # windows inside one text
+            for border in (self.start[1:-1] - at).tolist():
+                alone[max(0, border - LENGTH + 1) : max(0, border)] = False
+            begin[1:] |= ~alone[:-1]
+            end[:-1] |= ~alone[1:]
+            begin &= alone
+            end &= alone
+        first, last = np.flatnonzero(begin), np.flatnonzero(end)
         chosen = place[first]
-        shape = ((chosen - first) * 64 + (last - first)).astype(np.uint64)
-        context = _pair(_pair(windows[first], windows[last]), shape)
-        found = (windows, by24[chosen], context, first + at, last + at)
-        if not with_beside:
-            return found
-        beside = _pair(by32[: len(by32) - (ANCHOR + REACH - 32)], by32[ANCHOR + REACH - 32 :])
-        has_left, has_right = first <= chosen - REACH, last >= chosen - REACH
-        left, right = (np.where(has, beside[np.clip(i, 0, len(beside) - 1)], np.uint64(0)) for has, i in ((has_left, chosen - REACH), (has_right, chosen)))
-        return *found, left, right, has_left, has_right
+        return [by24[chosen], first + at, last + at, chosen + at, by16]
+
+    def _by32(self, at: np.ndarray) -> np.ndarray:
+        return _pair(self.by16[at], self.by16[at + 16])
+
+    def windows_at(self, at: np.ndarray) -> np.ndarray:
+        """Names of the windows that start at these places."""
+        return _pair(self._by32(at), self._by32(at + (LENGTH - 32)))
+
+    @cached_property
+    def windows(self) -> np.ndarray:
+        """The name of each 50-byte string of the joined texts."""
+        by32 = _pair(self.by16[:-16], self.by16[16:])
+        return _pair(by32[: max(0, len(by32) - (LENGTH - 32))], by32[LENGTH - 32 :])
+
+    @cached_property
+    def context(self) -> np.ndarray:
+        """Names of all the bytes of each run's windows and of where in them the anchor lies."""
+        shape = ((self.chosen - self.first) * 64 + (self.last - self.first)).astype(np.uint64)
+        ends = self.windows_at(np.concatenate([self.first, self.last]))
+        return _pair(_pair(ends[: len(shape)], ends[len(shape) :]), shape)
+
+    def beside(self) -> tuple[np.ndarray, ...]:
+        """Names of each anchor with the bytes to its left and to its right, 0 where no window of the run reaches that far; which do."""
+        middle = self.chosen - REACH
+        sides = (self.first <= middle, middle), (self.last >= middle, self.chosen)
+        names = []
+        for has, at in sides:
+            name = np.zeros(len(has), dtype=np.uint64)
+            name[has] = _pair(self._by32(at[has]), self._by32(at[has] + (ANCHOR + REACH - 32)))
+            names.append(name)
+        return names[0], names[1], sides[0][0], sides[1][0]
 
 
 # --- passes --------------------------------------------------------------------------------------
@@ -179,12 +203,23 @@ def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hit, order[at[hit]]
 
 
+def _among(wanted: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of ``wanted`` are in ``keys``; few pass a table of the keys' low bits."""
+    table = np.zeros(TABLE, dtype=bool)
+    table[keys & (TABLE - 1)] = True
+    found = table[wanted & (TABLE - 1)]
+    at = np.flatnonzero(found)
+    found[at] = np.isin(wanted[at], keys)
+    return found
+
+
 def _anchors(rows) -> Iterator[list[np.ndarray]]:
-    for docs, texts in rows:
+    for group in rows:
         names, owners = [], []
-        for doc, text in zip(docs, texts):
-            if text and len(text) >= LENGTH:
-                names.append(anchors_of(text))
+        for docs, texts in _blocks(*group):
+            runs = Runs(*[t or b"" for t in texts])
+            for k, doc in enumerate(docs):
+                names.append(np.unique(runs.anchor[runs.cut[k] : runs.cut[k + 1]]))
                 owners.append(np.full(len(names[-1]), doc, dtype=np.int64))
         if names:
             yield [_signed(np.concatenate(names)), np.concatenate(owners)]
@@ -222,54 +257,78 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (name, doc, first)], names=["name", "doc", "first"])
 
 
+def _blocks(*columns: list) -> Iterator[tuple[list, ...]]:
+    """Rows in groups of about ``BLOCK`` bytes of text, which is the second column."""
+    held, size = [], 0
+    for row in zip(*columns):
+        held.append(row)
+        size += len(row[1] or b"")
+        if size >= BLOCK:
+            yield tuple(zip(*held))
+            held, size = [], 0
+    if held:
+        yield tuple(zip(*held))
+
+
 def _contexts(rows) -> Iterator[list]:
-    for docs, texts, marks in rows:
+    for group in rows:
         out = []
-        for doc, text, mark in zip(docs, texts, marks):
-            runs = Runs(text, beside=True)
-            hit, place = _found(mark["name"], _signed(runs.anchor))
-            _, once = np.unique(runs.context[hit], return_index=True)
-            hit, place = hit[once], place[once]
-            out.append([
-                _signed(runs.anchor[hit]), _signed(runs.context[hit]), np.full(len(hit), doc, dtype=np.int64), mark["first"][place],
-                _signed(runs.left[hit]), runs.has_left[hit], _signed(runs.right[hit]), runs.has_right[hit],
-            ])
+        for docs, texts, marks in _blocks(*group):
+            runs = Runs(*[t or b"" for t in texts])
+            sides = runs.beside()
+            for k, (doc, mark) in enumerate(zip(docs, marks)):
+                hit, place = _found(mark["name"], _signed(runs.anchor[runs.cut[k] : runs.cut[k + 1]]))
+                hit += runs.cut[k]
+                context, once = np.unique(runs.context[hit], return_index=True)
+                hit, place = hit[once], place[once]
+                left, right, has_left, has_right = (side[hit] for side in sides)
+                out.append([
+                    _signed(runs.anchor[hit]), _signed(context), np.full(len(hit), doc, dtype=np.int64), mark["first"][place],
+                    _signed(left), has_left, _signed(right), has_right,
+                ])
         if out:
             name, context, doc, first, left, has_left, right, has_right = (np.concatenate(c) for c in zip(*out))
             yield [name, context, doc, first, pa.array(left, mask=~has_left), pa.array(right, mask=~has_right)]
 
 
 def _edge_windows(rows) -> Iterator[list[np.ndarray]]:
-    for docs, texts, marks in rows:
+    for group in rows:
         out = []
-        for doc, text, mark in zip(docs, texts, marks):
-            runs = Runs(text)
-            hit, place = _found(mark["context"], _signed(runs.context))
-            same = mark["name"][place] == _signed(runs.anchor[hit])
-            _, once = np.unique(runs.context[hit[same]], return_index=True)
-            hit, place = hit[same][once], place[same][once]
-            size = runs.last[hit] - runs.first[hit] + 1
-            at = np.repeat(runs.first[hit] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            out.append([
-                np.repeat(_signed(runs.anchor[hit]), size), _signed(runs.windows[at]), np.full(len(at), doc, dtype=np.int64),
-                np.repeat(mark["open"][place], size),
-            ])
+        for docs, texts, marks in _blocks(*group):
+            runs = Runs(*[t or b"" for t in texts])
+            for k, (doc, mark) in enumerate(zip(docs, marks)):
+                hit, place = _found(mark["context"], _signed(runs.context[runs.cut[k] : runs.cut[k + 1]]))
+                hit += runs.cut[k]
+                same = mark["name"][place] == _signed(runs.anchor[hit])
+                _, once = np.unique(runs.context[hit[same]], return_index=True)
+                hit, place = hit[same][once], place[same][once]
+                # the windows that hold the left side come first, the one at the middle holds both
+                middle = runs.chosen[hit] - REACH
+                first = np.where(mark["left"][place], runs.first[hit], np.maximum(runs.first[hit], middle))
+                last = np.where(mark["right"][place], runs.last[hit], np.minimum(runs.last[hit], middle))
+                size = np.maximum(0, last - first + 1)
+                at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                out.append([
+                    np.repeat(_signed(runs.anchor[hit]), size), _signed(runs.windows_at(at)), np.full(len(at), doc, dtype=np.int64),
+                    np.repeat(mark["open"][place], size),
+                ])
         if out:
             yield [np.concatenate(c) for c in zip(*out)]
 
 
-def removed_spans(text: bytes, whole: np.ndarray, single: np.ndarray) -> list[list[int]]:
-    """Maximal runs of bytes inside windows of the ``whole`` contexts or with a name in ``single``."""
-    if not len(whole) + len(single) or len(text) < LENGTH:
+def removed_spans(runs: Runs, k: int, whole: np.ndarray, single: np.ndarray) -> list[list[int]]:
+    """Of text k: maximal runs of bytes inside windows of the ``whole`` contexts or with a name in ``single``."""
+    begin, end, own = int(runs.start[k]), int(runs.start[k + 1]), slice(runs.cut[k], runs.cut[k + 1])
+    n = end - begin - LENGTH + 1
+    if n < 1 or not len(whole) + len(single):
         return []
-    runs = Runs(text)
-    gone = np.zeros(len(runs.windows) + 1, dtype=np.int32)
-    hit = np.flatnonzero(np.isin(_signed(runs.context), whole))
-    np.add.at(gone, runs.first[hit], 1)
-    np.add.at(gone, runs.last[hit] + 1, -1)
+    gone = np.zeros(n + 1, dtype=np.int32)
+    hit = np.flatnonzero(_among(_signed(runs.context[own]), whole))
+    np.add.at(gone, runs.first[own][hit] - begin, 1)
+    np.add.at(gone, runs.last[own][hit] + (1 - begin), -1)
     start = np.cumsum(gone[:-1]) > 0
     if len(single):
-        start |= np.isin(_signed(runs.windows), single)
+        start |= _among(_signed(runs.windows[begin : begin + n]), single)
     at = np.flatnonzero(start)
     if not len(at):
         return []
@@ -302,20 +361,23 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return asked.hint("merge").join(marks, "doc").select("doc", "text", "marks")
 
     runs = _over(beside(shared, ["name", "first"]), ["doc", "text", "marks"], _contexts, "name long, context long, doc long, first long, left long, right long")
-    of_name, of_run = Window.partitionBy("name"), Window.partitionBy("name", "context")
+    # a context has its left side in it, so one order of rows serves both
+    of_left, of_run, of_right = (Window.partitionBy("name", *by) for by in (["left"], ["left", "context"], ["right"]))
     judged = runs.repartition("name").withColumn("owner", F.min("doc").over(of_run))
-    for side in ("left", "right"):
-        earlier = F.min("doc").over(Window.partitionBy("name", side)) < F.col("doc")
-        judged = judged.withColumn(f"by_{side}", F.col(side).isNotNull() & earlier)
-    shares = F.col("by_left") | F.col("by_right")
-    judged = judged.withColumn("open", (F.col("owner") == F.col("doc")) & (F.col("first") < F.col("doc")) & shares)
-    judged = judged.withColumn("asked", F.max("open").over(of_name))
+    mine = (F.col("owner") == F.col("doc")) & (F.col("first") < F.col("doc"))
+    judged = judged.withColumn("by_left", mine & F.col("left").isNotNull() & (F.min("doc").over(of_left) < F.col("doc")))
+    judged = judged.withColumn("by_right", mine & F.col("right").isNotNull() & (F.min("doc").over(of_right) < F.col("doc")))
+    # of a side, only the windows of runs that share it with an open run are looked at
+    judged = judged.withColumn("ask_right", F.max("by_right").over(of_right)).withColumn("ask_left", F.max("by_left").over(of_left))
     judged = stage(
-        judged.where("doc > owner OR asked").select("name", "context", "doc", (F.col("doc") > F.col("owner")).alias("whole"), "open"),
+        judged.where("doc > owner OR ask_left OR ask_right").select(
+            "name", "context", "doc", (F.col("doc") > F.col("owner")).alias("whole"), (F.col("by_left") | F.col("by_right")).alias("open"),
+            F.col("ask_left").alias("left"), F.col("ask_right").alias("right"),
+        ),
         "repeats-runs",
     )
     edges = _over(
-        beside(judged.where("NOT whole"), ["name", "context", "open"]), ["doc", "text", "marks"], _edge_windows,
+        beside(judged.where("NOT whole"), ["name", "context", "open", "left", "right"]), ["doc", "text", "marks"], _edge_windows,
         "name long, window long, doc long, open boolean",
     )
     of_window = Window.partitionBy("name", "window")
@@ -339,9 +401,7 @@ def _judge(rows: DataFrame, text: str, names: list[str], out: str, whole_marks:
     kind = to_arrow_type(RESULT)
     schema = T.StructType([*[rows.schema[c] for c in names], T.StructField(out, RESULT)])
 
-    def one(body: bytes | None, whole: np.ndarray, single: np.ndarray) -> dict:
-        body = body or b""
-        spans = removed_spans(body, whole, single)
+    def one(body: bytes, spans: list[list[int]]) -> dict:
         digest, at = hashlib.sha256(), 0
         for a, b in spans:
             digest.update(body[at:a])
@@ -354,7 +414,11 @@ def _judge(rows: DataFrame, text: str, names: list[str], out: str, whole_marks:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 bodies = part.column(text).cast(pa.binary()).to_pylist()
-                made = [one(*r) for r in zip(bodies, _numbers(part.column(whole_marks)), _numbers(part.column(single_marks)))]
+                made = []
+                for _, texts, wholes, singles in _blocks(bodies, bodies, _numbers(part.column(whole_marks)), _numbers(part.column(single_marks))):
+                    # texts without marks lose nothing
+                    runs = Runs(*[t if t and len(w) + len(o) else b"" for t, w, o in zip(texts, wholes, singles)])
+                    made += [one(t or b"", removed_spans(runs, k, w, o)) for k, (t, w, o) in enumerate(zip(texts, wholes, singles))]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(made, type=kind)], names=[*names, out])
 
     return rows.mapInArrow(run, schema)

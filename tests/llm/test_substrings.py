@@ -64,3 +64,35 @@ def test_long_text_over_chunks(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_named_together_are_named_alike():
+    from strandwise.llm import substrings
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abc ") for _ in range(n)).encode() for n in (0, 300, 49, 50, 0, 51, 700, 3)]
+    together = substrings.Runs(*texts)
+    for k, text in enumerate(texts):
+        alone, own, at = substrings.Runs(text), slice(together.cut[k], together.cut[k + 1]), together.start[k]
+        assert together.anchor[own].tolist() == alone.anchor.tolist() and together.context[own].tolist() == alone.context.tolist()
+        assert (together.first[own] - at).tolist() == alone.first.tolist() and (together.last[own] - at).tolist() == alone.last.tolist()
+
+
+def test_only_windows_of_a_shared_side_are_looked_at():
+    import numpy as np
+
+    from strandwise.llm import substrings
+
+    text = bytes(random.Random(9).choices(b"abcdefgh ", k=400))
+    runs = substrings.Runs(text)
+    n = len(runs.first)
+
+    def windows(left, right):
+        mark = {"context": runs.context.view(np.int64), "name": runs.anchor.view(np.int64), "open": np.ones(n, bool), "left": np.full(n, left), "right": np.full(n, right)}
+        return sum(len(part[1]) for part in substrings._edge_windows([([1], [text], [mark])]))
+
+    middle = runs.chosen - substrings.REACH
+    both = int(((runs.first <= middle) & (middle <= runs.last)).sum())
+    assert windows(True, True) == len(text) - LENGTH + 1
+    assert windows(True, False) + windows(False, True) == windows(True, True) + both
+    assert 0 < windows(True, False) < windows(True, True)
